@@ -75,12 +75,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(NamedTuple):
-    """starts, ends: byte places; doc: index of each word's text; hash: of each word."""
+    """starts, ends: byte places; doc: index of each word's text; hash: of each word; prefixes: for each asked
+    length a hash of the word's first bytes, 0 for words that aren't longer."""
 
     starts: np.ndarray
     ends: np.ndarray
     doc: np.ndarray
     hash: np.ndarray
+    prefixes: tuple[np.ndarray, ...] = ()
 
 
 def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -103,12 +105,12 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         row += len(part)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, prefixes: tuple[int, ...] = ()) -> Words:
     """The words of all texts of a group. table: a value for each byte, 0 for those that separate."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(none, none, none, np.zeros(0, np.uint64))
+        return Words(none, none, none, np.zeros(0, np.uint64), (np.zeros(0, np.uint64),) * len(prefixes))
     value = table[data]
     inside = value != 0
     edge = np.zeros(n + 1, bool)
@@ -124,7 +126,11 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     np.cumsum(value, out=sums[1:])
     hashes = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
     doc = np.searchsorted(offsets, starts, "right") - 1
-    return Words(starts, ends, doc, mix(hashes))
+    heads = []
+    for size in prefixes:
+        head = (sums[np.minimum(starts + size, n)] - sums[starts]) * down[starts] + _U(size << 32)
+        heads.append(np.where(ends - starts > size, mix(head), _U(0)))
+    return Words(starts, ends, doc, mix(hashes), tuple(heads))
 
 
 def shingles(found: Words, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,14 +1,17 @@
 """Quality rules under weak supervision, in DataFrame expressions only.
 
-Eight rules look at a text and vote good (1), bad (-1) or abstain (0). Expectation-maximisation over the counts
-of vote patterns (3**8 at most, so the driver holds a bounded table) estimates, without labels, the share of
-good documents and each rule's accuracy on good and on bad ones. A document is kept if the posterior
-probability that it is good reaches a threshold; no rule alone decides.
+Eight rules look at a text and vote good (1), bad (-1) or abstain (0). Six know a fault and vote bad on it or
+abstain; two also know a sign of prose. Expectation-maximisation over the counts of vote patterns (3**8 at
+most, so the driver holds a bounded table) estimates, without labels, a mixture of good documents and of one
+kind of bad documents for each rule's fault: the share of each kind and each rule's rates of votes on it, which
+are its accuracies. One kind for all bad documents would make rules with other faults outvote the one that is
+right. A document is kept if the posterior probability that it is good reaches a threshold; no rule alone
+decides.
 
 Defined cases: a null text has no words; a text of under 20 words, or with over 30 % of its words in repeated
 8-word windows, fails the base and is never kept; repeated rows are judged each and count each; no rows give
-no patterns and the prior accuracies. Columns of the documents keep their names and values; the operator's
-own columns begin with ``__q_`` until the caller selects them.
+no patterns and the prior rates. Columns of the documents keep their names and values; the operator's own
+columns begin with ``__q_`` until the caller selects them.
 """
 
 from __future__ import annotations
@@ -24,8 +27,11 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEAT_PERCENT = 30
 KEEP_FROM = 0.5
-#: Pseudo-votes of the EM step: what a rule is taken to do before any document is seen.
-PRIOR_RIGHT, PRIOR_WEIGHT = 0.8, 10.0
+#: What EM starts from and keeps as pseudo-documents of each kind: a rule votes bad on 1 % of good documents, on
+#: 90 % of those with its own fault and on 10 % of those with another; the rest is split between good votes and
+#: abstentions.
+PRIOR_SHARE, PRIOR_WEIGHT = 0.85, 20.0
+BAD_ON_GOOD, BAD_ON_OWN, BAD_ON_OTHER = 0.01, 0.9, 0.1
 SYMBOLS = "[#*$%&|<>]"
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -81,63 +87,71 @@ def votes() -> dict[str, Column]:
     symbols, repeated, distinct = (F.col(f"__q_{c}") / words for c in ("n_symbols", "n_repeat_words", "n_distinct"))
     upper = F.col("__q_n_upper") / F.nullif(F.col("__q_word_chars"), F.lit(0))
     again, ended = F.col("__q_n_dup_lines") / lines, F.col("__q_n_ended") / lines
+    never = F.lit(False)
     return {
-        "length": _vote(words, words >= 50, words < 10),
-        "word_length": _vote(per_word, per_word.between(4.25, 6.5), (per_word < 3) | (per_word > 7.25)),
-        "symbols": _vote(symbols, symbols <= 0.02, symbols > 0.1),
-        "repeated_lines": _vote(again, again <= 0.1, again > 0.4),
-        "repeated_words": _vote(repeated, repeated <= 0.1, repeated > 0.3),
-        "upper_case": _vote(upper, upper <= 0.1, upper > 0.3),
-        "line_ends": _vote(ended, ended >= 0.5, ended < 0.1),
-        "distinct_words": _vote(distinct, distinct >= 0.3, distinct < 0.12),
+        "length": _vote(words, never, words < 10),
+        "word_length": _vote(per_word, per_word.between(4.25, 6.5), ((per_word < 3) | (per_word > 7.25)) & (words >= LEAST_WORDS)),
+        "symbols": _vote(symbols, never, symbols > 0.1),
+        "repeated_lines": _vote(again, never, again > 0.4),
+        "repeated_words": _vote(repeated, never, repeated > 0.3),
+        "upper_case": _vote(upper, never, upper > 0.3),
+        "line_ends": _vote(ended, ended >= 0.5, (ended < 0.1) & (lines >= 5)),
+        "distinct_words": _vote(distinct, never, distinct < 0.12),
     }
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, list[tuple[float, float]]]:
-    """(share of good documents, for each rule: P(votes good | good, votes), P(votes bad | bad, votes)).
+#: For each kind (good first, then one for each rule), for each rule: rates of a bad vote, an abstention, a good vote.
+Rates = list[list[tuple[float, float, float]]]
 
-    A rule that abstains says nothing. Pseudo-votes keep every accuracy inside (0, 1).
-    """
-    m = len(next(iter(patterns), ()))
-    share, right = 0.8, [(PRIOR_RIGHT, PRIOR_RIGHT)] * m
-    total = sum(patterns.values())
-    for _ in range(rounds if total else 0):
-        held = [(p, n, posterior(p, share, right)) for p, n in patterns.items()]
-        new_share = (sum(n * q for _, n, q in held) + PRIOR_WEIGHT * 0.8) / (total + PRIOR_WEIGHT)
-        new_right = []
-        for j in range(m):
-            good = sum(n * q for p, n, q in held if p[j])
-            bad = sum(n * (1 - q) for p, n, q in held if p[j])
-            as_good = sum(n * q for p, n, q in held if p[j] == 1)
-            as_bad = sum(n * (1 - q) for p, n, q in held if p[j] == -1)
-            new_right.append(((as_good + PRIOR_RIGHT * PRIOR_WEIGHT) / (good + PRIOR_WEIGHT), (as_bad + PRIOR_RIGHT * PRIOR_WEIGHT) / (bad + PRIOR_WEIGHT)))
-        moved = max(abs(a - b) for a, b in zip([share, *sum(right, ())], [new_share, *sum(new_right, ())], strict=True))
-        share, right = new_share, new_right
-        if moved < tolerance:
-            break
-    return share, right
 
+def prior_rates(m: int) -> Rates:
+    def split(bad: float) -> tuple[float, float, float]:
+        return bad, (1 - bad) / 2, (1 - bad) / 2
+
+    return [[split(BAD_ON_GOOD)] * m, *([split(BAD_ON_OWN if i == j else BAD_ON_OTHER) for j in range(m)] for i in range(m))]
 
-def _weights(right: list[tuple[float, float]]) -> list[tuple[float, float]]:
-    """Log odds that a good and a bad vote add."""
-    return [(math.log(g / (1 - b)), math.log((1 - g) / b)) for g, b in right]
 
+def kinds(pattern: tuple[int, ...], shares: list[float], rates: Rates) -> list[float]:
+    """Posterior probability of each kind."""
+    logs = [math.log(s) + sum(math.log(r[v + 1]) for v, r in zip(pattern, of, strict=True)) for s, of in zip(shares, rates, strict=True)]
+    top = max(logs)
+    parts = [math.exp(x - top) for x in logs]
+    return [x / sum(parts) for x in parts]
 
-def posterior(pattern: tuple[int, ...], share: float, right: list[tuple[float, float]]) -> float:
-    odds = math.log(share / (1 - share)) + sum(w[0] if v > 0 else w[1] for v, w in zip(pattern, _weights(right), strict=True) if v)
-    return 1 / (1 + math.exp(-odds)) if odds > -700 else 0.0
+
+def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100, tolerance: float = 1e-7) -> tuple[list[float], Rates]:
+    """(share of each kind, rates) from the number of documents of each vote pattern."""
+    m = len(next(iter(patterns), ()))
+    first = prior_rates(m)
+    first_shares = [PRIOR_SHARE, *[(1 - PRIOR_SHARE) / max(1, m)] * m]
+    shares, rates, total = first_shares, first, sum(patterns.values())
+    for _ in range(rounds if total else 0):
+        held = [(p, n, kinds(p, shares, rates)) for p, n in patterns.items()]
+        sizes = [sum(n * q[k] for _, n, q in held) for k in range(m + 1)]
+        new = [(s + f * PRIOR_WEIGHT) / (total + PRIOR_WEIGHT) for s, f in zip(sizes, first_shares, strict=True)]
+        rates = [[tuple((sum(n * q[k] for p, n, q in held if p[j] == v) + first[k][j][v + 1] * PRIOR_WEIGHT) / (sizes[k] + PRIOR_WEIGHT) for v in (-1, 0, 1)) for j in range(m)] for k in range(m + 1)]
+        moved = max(abs(a - b) for a, b in zip(shares, new, strict=True))
+        shares = new
+        if moved < tolerance:
+            break
+    return shares, rates
 
 
 def _judged(rows: DataFrame) -> DataFrame:
     """Add __q_quality, __q_base_failed and __q_kept to rows with features."""
     names = votes()
     counted = rows.groupBy(*[v.cast("int").alias(k) for k, v in names.items()]).count().collect()
-    share, right = estimate({tuple(r[k] for k in names): r["count"] for r in counted})
-    odds = F.lit(math.log(share / (1 - share)))
-    for vote, (good, bad) in zip(names.values(), _weights(right), strict=True):
-        odds = odds + F.when(vote == 1, F.lit(good)).when(vote == -1, F.lit(bad)).otherwise(F.lit(0.0))
+    shares, rates = estimate({tuple(r[k] for k in names): r["count"] for r in counted})
+    logs = []
+    for share, of in zip(shares, rates, strict=True):
+        log = F.lit(math.log(share))
+        for vote, (bad, none, good) in zip(names.values(), of, strict=True):
+            log = log + F.when(vote == 1, F.lit(math.log(good))).when(vote == -1, F.lit(math.log(bad))).otherwise(F.lit(math.log(none)))
+        logs.append(log)
+    rows = rows.withColumn("__q_logs", F.array(*logs))
+    sums = F.aggregate("__q_logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.get(F.col("__q_logs"), F.lit(0))))
     failed = (F.col("__q_n_words") < LEAST_WORDS) | (100 * F.col("__q_n_repeat_words") > MOST_REPEAT_PERCENT * F.col("__q_n_words"))
-    rows = rows.withColumns({"__q_quality": 1 / (1 + F.exp(-odds)), "__q_base_failed": failed})
+    rows = rows.withColumns({"__q_quality": 1 / sums, "__q_base_failed": failed})
     return rows.withColumn("__q_kept", ~F.col("__q_base_failed") & (F.col("__q_quality") >= KEEP_FROM))
 
 

@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence's probability is the logistic of a bias and the weights of its words; a document's is the noisy-or
+A sentence's probability is the logistic of a bias and the weights of its words and of their first 4, 5 and 6
+bytes, which stand for stems; a document's is the noisy-or
 of its sentences, 1 - prod(1 - p). Weights are fitted to document labels alone by gradient ascent on that
 likelihood, and the fitted sentence scores then locate the offending sentences.
 
@@ -23,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlake.llm.bytesof import Words, chunks, letter_table, words
+from stormlake.llm.bytesof import Words, chunks, letter_table, mix, words
 
 LABELLED_PER_CLASS = 4000
 LONGEST_LABELLED = 20_000
 #: A word needs so many labelled documents and such a z score of its rates to get a weight.
 LEAST_DOCS, LEAST_Z = 4, 4.0
 PREDICT_FROM = 0.7
-ROUNDS, STEP, SHRINK = 400, 0.1, 1e-3
+ROUNDS, STEP, SHRINK = 400, 0.1, 1e-5
+PREFIXES = (4, 5, 6)
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?\n"]] = True
 
@@ -58,9 +60,9 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 def select_words(doc: np.ndarray, word: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Sorted hashes of words whose document rates differ between the labels. doc, word: of each occurrence."""
-    pairs = np.unique(np.stack([word, doc.astype(np.uint64)]), axis=1) if len(word) else np.zeros((2, 0), np.uint64)
-    names, place = np.unique(pairs[0], return_inverse=True)
-    bad = toxic[pairs[1].astype(np.int64)]
+    _, once = np.unique(mix(word) + doc.astype(np.uint64), return_index=True)
+    names, place = np.unique(word[once], return_inverse=True)
+    bad = toxic[doc[once]]
     n = np.bincount(place, minlength=len(names)).astype(float)
     k = np.bincount(place, weights=bad, minlength=len(names))
     share = toxic.mean()
@@ -121,15 +123,17 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
         table = letter_table()
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
-                found = words(data, offsets, table)
+                found = words(data, offsets, table, PREFIXES)
                 number = sentences(data, found)
                 cuts = np.searchsorted(found.doc, np.arange(hi - lo + 1))
                 out = {x: [] for x in ("n", "s", "w")}
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     own = number[a:b] - (number[a] if b > a else 0)
                     out["n"].append(int(own[-1]) + 1 if b > a else 0)
-                    out["s"].append(own.astype(np.int32))
-                    out["w"].append(found.hash[a:b].view(np.int64))
+                    every = np.concatenate([x[a:b] for x in (found.hash, *found.prefixes)])
+                    there = every != 0
+                    out["s"].append(np.tile(own, 1 + len(PREFIXES))[there].astype(np.int32))
+                    out["w"].append(every[there].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(out["n"], pa.int64()), pa.array(out["s"], pa.list_(pa.int32())), pa.array(out["w"], pa.list_(pa.int64()))], names=["doc_id", "n_sentences", "sentence", "word"])
 
     got = chosen.mapInArrow(each, shape).toArrow().combine_chunks()
@@ -156,7 +160,7 @@ def score(docs: DataFrame, model: Model, show_from: float = 0.5) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 n = hi - lo
-                found = words(data, offsets, table)
+                found = words(data, offsets, table, PREFIXES)
                 number = sentences(data, found)
                 total = int(number[-1]) + 1 if len(number) else 0
                 first = np.flatnonzero(np.diff(number, prepend=-1))
@@ -164,9 +168,10 @@ def score(docs: DataFrame, model: Model, show_from: float = 0.5) -> DataFrame:
                 count = np.bincount(of, minlength=n)
                 z = np.full(total, model.bias)
                 if len(model.hashes) and total:
-                    place = np.minimum(np.searchsorted(model.hashes, found.hash), len(model.hashes) - 1)
-                    known = np.flatnonzero(model.hashes[place] == found.hash)
-                    z += np.bincount(number[known], weights=model.weights[place[known]], minlength=total)
+                    for names in (found.hash, *found.prefixes):
+                        place = np.minimum(np.searchsorted(model.hashes, names), len(model.hashes) - 1)
+                        known = np.flatnonzero(model.hashes[place] == names)
+                        z += np.bincount(number[known], weights=model.weights[place[known]], minlength=total)
                 none = np.bincount(of, weights=_softplus(z), minlength=n)
                 bad = np.flatnonzero(z >= np.log(show_from / (1 - show_from)))
                 marks: list[list[dict]] = [[] for _ in range(n)]
