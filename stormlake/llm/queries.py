@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stormlake.llm import fingerprints, lengths, mixing, quality, toxicity, urls
+from stormlake.llm import fingerprints, lengths, mixing, quality, secrets, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_read(spark, sf_dir, "pages").select("page_id", "url"), urls.rule_table(spark, urls.RULES))
 
 
+def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op4_secret_scans": op4_secret_scans,
     "op5_mixing": op5_mixing,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
