@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stormlake.llm import fingerprints, lengths, mixing, quality, secrets, toxicity, urls
+from stormlake.llm import fingerprints, lengths, mixing, neardup, quality, secrets, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_read(spark, sf_dir, "documents"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(_read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_secret_scans": op4_secret_scans,
     "op5_mixing": op5_mixing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity": op7_toxicity,
     "op9_fingerprints": op9_fingerprints,
 }
