@@ -1,6 +1,6 @@
 """Near-duplicate detection by consistent weighted sampling over TF-IDF shingles.
 
-A text is a weighted set: each shingle of five words weighs its count times 1 + 0.25 * ln((N+1)/(df+1)) / ln(N+1),
+A text is a weighted set: a shingle of five words weighs (1 + ln count) (1 + 0.25 ln((N+1)/(df+1)) / ln(N+1)),
 where df counts distinct texts with the shingle and N all of them. Two texts are linked if their weighted Jaccard
 similarity is 0.8 or more; classes are connected components of links. Steps:
 
@@ -226,7 +226,7 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
                 short = packing.cut(hashes)
                 place = np.minimum(np.searchsorted(known, short), len(known) - 1)
                 shared = known[place] == short
-                weight = tf.astype(np.float32) * np.where(shared, idf[place], alone)
+                weight = (1 + np.log(tf)).astype(np.float32) * np.where(shared, idf[place], alone)
                 if weight[shared].sum(dtype=np.float64) >= SIMILARITY * weight.sum(dtype=np.float64) * (1 - 1e-6):
                     chosen.append((int(n), hashes, weight))
             for lo in range(0, len(chosen), 256):
