@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stormlake.llm import fingerprints, lengths, mixing, neardup, quality, secrets, toxicity, urls
+from stormlake.llm import fingerprints, lengths, mixing, neardup, ngrams, quality, secrets, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.report(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_toxicity": op7_toxicity,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
 }
 ORACLES: dict[str, str] = {"op3_url_filters": urls.ORACLE}
