@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -32,6 +33,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more, once their results are checkpointed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a table of the shared folder and read it again: compressed, for rows with texts."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

@@ -9,9 +9,9 @@ similarity is 0.8 or more; classes are connected components of links. Steps:
    runs to hash buckets, buckets add up and send back to each block the shingles that occur in two texts or more.
 3. A text whose shared shingles (df of two or more) weigh under 0.8 of it can't be linked and is done. The others
    get improved consistent weighted samples (Ioffe's ICWS), 15 bands of 4, and keep their weighted sets.
-4. In each band bucket, members are verified against one hub, so a bucket of n texts makes n - 1 pairs. Links give
-   components; then members of one bucket that are still apart and agree on enough samples are verified too,
-   in blocks of a bucket's members, so that no link is lost to the hub's choice.
+4. A band bucket's hub is its least member. Each text is verified against the hub it shares most bands with, so n
+   texts make n pairs at most. Links give components; then members of one bucket that are still in different
+   components are compared exactly where they lie, in blocks of a bucket's members, and only links leave the task.
 5. Components by large-star and small-star rounds on tables; class ids go back to all copies.
 
 Nothing is capped: very common shingles, buckets and copies cost one row for each task or member. A link of
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlake.llm.base import checkpointed
+from stormlake.llm.base import checkpointed, release
 from stormlake.llm.bytesof import chunks, mix, shingles, space_table, words
 
 SHINGLE_WORDS = 5
@@ -38,9 +38,7 @@ SIMILARITY = 0.8
 IDF_SPREAD = 0.25
 BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
-#: Members of a bucket are compared in detail from so many equal samples: 4.5 standard deviations below 0.8.
-AGREE = 34
-#: Characters of a block and of what a bucket counts; members of a verified group and of a compared block.
+#: Characters of a block and of what a bucket counts; members of a verified group and of a compared part.
 BLOCK_CHARS, BUCKET_CHARS, GROUP, COMPARED = 4_000_000, 16_000_000, 64, 1024
 #: Copies of one text beyond this share of all rows are dropped before texts are dealt out; such texts are fewer than 10,000.
 HOT_SHARE = 1e-4
@@ -161,7 +159,7 @@ class _Packing:
 
 PACKED = "bucket int, block int, low binary, counts binary, at binary, df binary"
 REPEATED = "block int, hashes binary, df binary"
-ELIGIBLE = "node long, bands array<long>, samples binary, hashes binary, weights binary"
+ELIGIBLE = "node long, bands array<long>, hashes binary, weights binary"
 
 
 def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -235,7 +233,6 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
                 drawn = samples(np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some]), np.cumsum(lengths) - lengths)
                 out["node"] += [x[0] for x in some]
                 out["bands"] += list(band_keys(drawn))
-                out["samples"] += [x.tobytes() for x in drawn]
                 out["hashes"] += [x[1].tobytes() for x in some]
                 out["weights"] += [x[2].tobytes() for x in some]
         return _table(ELIGIBLE, **out)
@@ -288,29 +285,44 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def apart(bands: DataFrame, roots: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs of one bucket that are in different components and agree on AGREE samples."""
+def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links (a, b) between members of one bucket that are in different components."""
     rows = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     mixed = mixed.select("key", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
     rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    rows = rows.join(signatures, "node")
+    rows = rows.join(sets.select("node", "hashes", "weights"), "node")
 
     def each(table: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"a": [], "b": []}
+        order = np.argsort(table.column("node").to_numpy())
+        table = table.take(pa.array(order))
         node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
-        drawn = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint32).reshape(len(node), -1)
         across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        out: list[tuple[int, int]] = []
-        for x in range(len(node)):
-            fits = (root != root[x]) & (node > node[x])
+        raw = table.column("hashes").to_pylist()
+        starts = np.cumsum([0, *(len(x) // 8 for x in raw)])
+        names, element = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        weight = np.frombuffer(b"".join(table.column("weights").to_pylist()), np.float32)
+        total = np.add.reduceat(weight, starts[:-1], dtype=np.float64)
+        mine = np.zeros(len(names), np.float32)
+        for x in range(len(node) - 1):
+            a, b = starts[x], starts[x + 1]
+            fits = root[x + 1 :] != root[x]
+            # a set of other weight can't be similar enough
+            fits &= np.minimum(total[x + 1 :], total[x]) >= least * (1 - 1e-6) * np.maximum(total[x + 1 :], total[x])
             if across:
-                fits &= own != own[x]
-            near = np.flatnonzero(fits)
-            near = near[(drawn[near] == drawn[x]).sum(axis=1) >= AGREE]
-            out += [(int(node[x]), int(y)) for y in node[near]]
-        return _table("a long, b long", a=[x[0] for x in out], b=[x[1] for x in out])
+                fits &= own[x + 1 :] != own[x]
+            if not fits.any():
+                continue
+            mine[element[a:b]] = weight[a:b]
+            common = np.add.reduceat(np.minimum(mine[element[b:]], weight[b:]), starts[x + 1 : -1] - b, dtype=np.float64)
+            mine[element[a:b]] = 0
+            near = np.flatnonzero(fits & (common >= least * (total[x] + total[x + 1 :] - common))) + x + 1
+            out["a"] += [int(node[x])] * len(near)
+            out["b"] += node[near].tolist()
+        return _table("a long, b long", **out)
 
     return rows.groupBy("key", "i", "j").applyInArrow(each, "a long, b long").distinct()
 
@@ -335,13 +347,15 @@ def node_classes(docs: DataFrame) -> DataFrame:
     # at most 1 / HOT_SHARE rows
     texts = texts.join(F.broadcast(hot), F.col("__d_node") == F.col("__d_hot"), "left").filter(F.col("__d_hot").isNull() | F.col("doc_id").eqNullSafe(F.col("__d_first")))
     sets = checkpointed(eligible_sets(texts.select(F.col("__d_node").alias("node"), "text"), chars, nodes))
+    release(docs.sparkSession)
     bands = sets.select("node", F.explode("bands").alias("key"))
     hubs = bands.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = bands.join(hubs, "key").filter("node > a").select("a", F.col("node").alias("b")).distinct()
+    shared = bands.join(hubs, "key").filter("node > a").groupBy("node", "a").agg(F.count("*").alias("n"))
+    stars = shared.groupBy(F.col("node").alias("b")).agg(F.max(F.struct("n", (-F.col("a")).alias("a")))["a"].alias("a")).select((-F.col("a")).alias("a"), "b")
     links = checkpointed(verified(stars, sets))
+    release(docs.sparkSession)
     roots = components(links)
-    more = checkpointed(apart(bands, roots, sets.select("node", "samples")))
-    more = checkpointed(verified(more, sets))
+    more = checkpointed(apart(bands, roots, sets))
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     named = copies.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
