@@ -286,7 +286,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links (a, b) between members of one bucket that are in different components."""
+    """Links (a, b) between members of one bucket that are in different components; of several links between the same
+    two components a task gives one, as it joins them at once."""
     rows = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
     mixed = mixed.select("key", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
@@ -307,9 +308,10 @@ def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SI
         weight = np.frombuffer(b"".join(table.column("weights").to_pylist()), np.float32)
         total = np.add.reduceat(weight, starts[:-1], dtype=np.float64)
         mine = np.zeros(len(names), np.float32)
+        label = root.copy()
         for x in range(len(node) - 1):
             a, b = starts[x], starts[x + 1]
-            fits = root[x + 1 :] != root[x]
+            fits = label[x + 1 :] != label[x]
             # a set of other weight can't be similar enough
             fits &= np.minimum(total[x + 1 :], total[x]) >= least * (1 - 1e-6) * np.maximum(total[x + 1 :], total[x])
             if across:
@@ -320,8 +322,10 @@ def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SI
             common = np.add.reduceat(np.minimum(mine[element[b:]], weight[b:]), starts[x + 1 : -1] - b, dtype=np.float64)
             mine[element[a:b]] = 0
             near = np.flatnonzero(fits & (common >= least * (total[x] + total[x + 1 :] - common))) + x + 1
-            out["a"] += [int(node[x])] * len(near)
-            out["b"] += node[near].tolist()
+            _, once = np.unique(label[near], return_index=True)
+            out["a"] += [int(node[x])] * len(once)
+            out["b"] += node[near[once]].tolist()
+            label[np.isin(label, label[near])] = label[x]
         return _table("a long, b long", **out)
 
     return rows.groupBy("key", "i", "j").applyInArrow(each, "a long, b long").distinct()
