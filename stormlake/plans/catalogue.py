@@ -2,9 +2,111 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stormlake.functions import geometry, times
+from stormlake.operators import columns, hydrometeors, places, scans
+from stormlake.operators.sql import oracle, run
+from stormlake.plans.bindings import BINDINGS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+_DAY0 = 1_704_067_200_000_000
+_DAY = 86_400_000_000
+
+
+def _portable(name: str, text: str, **renamed: str) -> None:
+    """Register a text over bound tables; renamed: a field's binding of another name."""
+    fields = {f: renamed.get(f, f) for f in dict.fromkeys(re.findall(r"\{(\w+)\}", text))}
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(text, **{f: BINDINGS[b][0](spark, sf_dir) for f, b in fields.items()})
+
+    QUERIES[name] = query
+    ORACLES[name] = oracle(text, **{f: BINDINGS[b][1] for f, b in fields.items()})
+
+
+def _frame(name: str, twin: str) -> Callable:
+    """Register a DataFrame function with its SQL twin, in which ``{name}`` fields are bound tables."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = function
+        ORACLES[name] = oracle(twin, **{f: BINDINGS[f][1] for f in dict.fromkeys(re.findall(r"\{(\w+)\}", twin))})
+        return function
+
+    return add
+
+
+_portable("column_products", columns.column_products())
+_portable("low_level_rotation", columns.low_level_rotation())
+_portable("sweep_statistics", columns.sweep_statistics())
+_portable("point_samples", columns.point_samples())
+_portable("storm_relative", columns.storm_relative())
+_portable("vad_ring_fits", columns.ring_fits())
+_portable("wind_profile", columns.wind_profile())
+_portable("storm_relative_helicity", columns.helicity())
+_portable("range_windows", columns.ring_windows())
+_portable("hydrometeor_classes", hydrometeors.classify())
+_portable("scan_sequences", scans.sequences())
+_portable("newest_per_site", scans.newest_per_site())
+_portable("scan_at_or_before", scans.scan_at())
+_portable("scans_between", scans.scans_between(_DAY0 + 5 * _DAY, _DAY0 + 9 * _DAY))
+_portable("prior_scans", scans.prior_scans())
+_portable("mosaic_partners", scans.mosaic_partners())
+_portable("storm_motion_near", scans.storm_motion_near())
+_portable("quota_prune", scans.quota_prune(3_000_000, _DAY0 + 5 * _DAY, _DAY0 + 6 * _DAY))
+_portable("eviction_order", scans.eviction_order(_DAY0 + 20 * _DAY, _DAY0 + 25 * _DAY, 1_000_000))
+_portable("next_frames", scans.next_frames())
+_portable("rotation_tracks", scans.rotation_tracks(20_000))
+_portable("hourly_counts", scans.hourly_counts())
+_portable("new_keys", scans.new_keys())
+_portable("site_shares", scans.sizes_summary())
+_portable("cell_motion", scans.cell_motion(), points="track_points")
+_portable("site_neighbours", places.neighbours())
+_portable("nearest_sites", places.nearest_sites())
+_portable("neighbour_offsets", places.offsets())
+_portable("nearest_radar", places.nearest_radar())
+_portable("warnings_active", places.active_at())
+_portable("warnings_sweep", places.active_sweep())
+_portable("outlook_in_effect", places.in_effect(), intervals="cycles")
+_portable("points_in_polygons", places.in_polygon())
+
+
+@_frame("key_times", "SELECT event_id, substr(key, 17, 4) AS site, epoch_us(strptime(substr(key, 21, 15), '%Y%m%d_%H%M%S')) AS ts_us, substr(key, 17) AS base, substr(key, 17, 4) || '_' || substr(key, 21, 15) AS name FROM {keys} WHERE key NOT LIKE '%\\_MDM' ESCAPE '\\'")
+def key_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = BINDINGS["keys"][0](spark, sf_dir).filter(~F.col("key").endswith("_MDM"))
+    site, at = times.key_site(F.col("key")), times.key_time(F.col("key"))
+    return keys.select("event_id", site.alias("site"), F.unix_micros(at).alias("ts_us"), times.base_name(F.col("key")).alias("base"), times.volume_name(site, at).alias("name"))
+
+
+@_frame("catalogue_json", "SELECT event_id, cast(json_extract(props, '$.k') AS bigint) AS k, cast(json_extract(props, '$.k') AS bigint) % 2 = 0 AS complete FROM {keys}")
+def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = BINDINGS["keys"][0](spark, sf_dir)
+    k = F.from_json("props", "k bigint")["k"]
+    return keys.select("event_id", k.alias("k"), (k % 2 == 0).alias("complete"))
+
+
+@_frame("iso_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN 'Z' ELSE '.' || lpad(cast(epoch_us(ts) % 1000000 AS varchar), 6, '0') || 'Z' END AS iso, cast(epoch_us(ts) // 86400000000 + 1 AS bigint) AS julian_day FROM (SELECT event_id, ts FROM events)")
+def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.col("ts").cast("timestamp")
+    return events.select("event_id", times.iso(at).alias("iso"), (F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) + 1).cast("bigint").alias("julian_day"))
+
+
+@_frame("beam_geometry", """SELECT point_id, round(r, 4) AS slant_km, round(sqrt(r * r + k * k + 2e0 * r * k * sin(e)) - k, 4) AS height_km, round(k * atan2(r * cos(e), k + r * sin(e)), 4) AS ground_km, floor(az * 72e1 / 36e1) AS az_bin
+    FROM (SELECT point_id, az, 8494.67e0 AS k, radians(2.5e0) AS e, 8494.67e0 * sin(range_km / 8494.67e0) / cos(radians(2.5e0) + range_km / 8494.67e0) AS r FROM {samples}) q""")
+def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = BINDINGS["samples"][0](spark, sf_dir)
+    slant = geometry.slant_km(F.col("range_km"), 2.5)
+    return points.select("point_id", F.round(slant, 4).alias("slant_km"), F.round(geometry.height_km(F.col("range_km"), 2.5), 4).alias("height_km"), F.round(geometry.ground_km(slant, 2.5), 4).alias("ground_km"), geometry.azimuth_bin(F.col("az"), 720).cast("double").alias("az_bin"))
+
+
+@_frame("velocity_folds", "SELECT gate_id, round(z - 2e1 - 16e0 * floor((z - 2e1 + 8e0) / 16e0), 4) AS wrapped, round_even(z / 7e0, 2) AS rounded, CASE WHEN lkdp / 1e1 <= 1e-3 THEN -30e0 ELSE round(10e0 * log10(lkdp / 1e1), 4) END AS lkdp FROM {gates}")
+def velocity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = BINDINGS["gates"][0](spark, sf_dir)
+    return gates.select("gate_id", F.round(geometry.wrap_velocity(F.col("z") - 20, 8.0), 4).alias("wrapped"), geometry.round_even(F.col("z") / 7, 2).alias("rounded"), F.round(geometry.log_kdp(F.col("lkdp") / 10), 4).alias("lkdp"))
