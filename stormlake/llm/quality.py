@@ -119,9 +119,9 @@ def kinds(pattern: tuple[int, ...], shares: list[float], rates: Rates) -> list[f
     return [x / sum(parts) for x in parts]
 
 
-def estimate(patterns: dict[tuple[int, ...], int], rounds: int = 100, tolerance: float = 1e-7) -> tuple[list[float], Rates]:
+def estimate(patterns: dict[tuple[int, ...], int], rules: int = 0, rounds: int = 100, tolerance: float = 1e-7) -> tuple[list[float], Rates]:
     """(share of each kind, rates) from the number of documents of each vote pattern."""
-    m = len(next(iter(patterns), ()))
+    m = rules or len(next(iter(patterns), ()))
     first = prior_rates(m)
     first_shares = [PRIOR_SHARE, *[(1 - PRIOR_SHARE) / max(1, m)] * m]
     shares, rates, total = first_shares, first, sum(patterns.values())
@@ -141,7 +141,7 @@ def _judged(rows: DataFrame) -> DataFrame:
     """Add __q_quality, __q_base_failed and __q_kept to rows with features."""
     names = votes()
     counted = rows.groupBy(*[v.cast("int").alias(k) for k, v in names.items()]).count().collect()
-    shares, rates = estimate({tuple(r[k] for k in names): r["count"] for r in counted})
+    shares, rates = estimate({tuple(r[k] for k in names): r["count"] for r in counted}, len(names))
     logs = []
     for share, of in zip(shares, rates, strict=True):
         log = F.lit(math.log(share))
