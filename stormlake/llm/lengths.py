@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormlake.llm.base import checkpointed
 from stormlake.llm.vocabulary import encoding
 
 #: Lengths of one bucket of the suffix sums.
@@ -39,9 +40,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     n_docs, n_tokens of that length; docs_from, tokens_from: at that length or longer; total_tokens of all;
     truncated_tokens: tokens kept if every document is cut to L; docs_share: share of documents up to L.
-    The histogram is cut into buckets of 1024 lengths, so no task sees it whole.
+    The histogram is cut into buckets of 1024 lengths, so no task sees it whole; it is read twice and so checkpointed.
     """
-    rows = histogram.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "__b": F.floor(F.col("length") / BUCKET)})
+    rows = checkpointed(histogram).withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "__b": F.floor(F.col("length") / BUCKET)})
     above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     buckets = rows.groupBy("__b").agg(F.sum("n_docs").alias("__d"), F.sum("n_tokens").alias("__t"))
