@@ -6,6 +6,7 @@ Tables: sites(site, lat, lon), points(point_id, lat, lon), intervals(id, kind, b
 from __future__ import annotations
 
 from stormlake.functions.constants import EARTH_KM, MOSAIC_KM, NEIGHBOURS
+from stormlake.operators.scans import last_before
 
 
 def _distance(a: str, b: str) -> str:
@@ -71,12 +72,9 @@ def active_sweep() -> str:
 
 
 def in_effect() -> str:
-    """The latest issue at or before each request, within a day: cycles as an as-of join on day."""
-    return """
-    WITH days AS (SELECT r.req_id, r.at_us, cast(floor(r.at_us / 86400e6) AS bigint) - d.back AS day FROM {requests} r CROSS JOIN (SELECT 0 AS back UNION ALL SELECT 1 AS back) d),
-    met AS (SELECT d.req_id, i.id, i.begin_us FROM days d JOIN {intervals} i ON cast(floor(i.begin_us / 86400e6) AS bigint) = d.day AND i.begin_us <= d.at_us),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY begin_us DESC, id DESC) AS k FROM met)
-    SELECT req_id, id, begin_us FROM ranked WHERE k = 1"""
+    """The latest issue at or before each request of its kind, of the same day or the one before: cycles as an as-of join."""
+    text = last_before("SELECT kind, begin_us AS at_us, id FROM {intervals}", "SELECT site AS kind, at_us, req_id FROM {requests}", "kind")
+    return f"SELECT req_id, event_us AS begin_us, id FROM ({text}) q"
 
 
 def in_polygon() -> str:

@@ -23,13 +23,28 @@ def newest_per_site() -> str:
     return "SELECT site, max(ts_us) AS ts_us, max_by(event_id, {pair:ts_us:event_id}) AS event_id, count(*) AS n_scans FROM {scans} GROUP BY site"
 
 
-def scan_at(max_days: int = 1) -> str:
-    """For each request (req_id, site, at_us) the newest scan at or before it, of the same day or the one before."""
+def last_before(events: str, requests: str, key: str) -> str:
+    """For each request the last event of its key and day at or before it, else the last one of the day before.
+
+    events: (key, at_us, id) and requests: (key, at_us, req_id) as SQL. Both are sorted together within a key's day; a running
+    count of events numbers stretches that begin with an event, so the join needs neither a range condition nor a product.
+    """
+    day = "cast(floor(at_us / 86400e6) AS bigint)"
     return f"""
-    WITH days AS (SELECT r.req_id, r.site, r.at_us, cast(floor(r.at_us / 86400e6) AS bigint) - d.back AS day FROM {{requests}} r CROSS JOIN (SELECT 0 AS back UNION ALL SELECT {max_days} AS back) d),
-    met AS (SELECT d.req_id, d.day, s.ts_us, s.event_id FROM days d JOIN {{scans}} s ON s.site = d.site AND cast(floor(s.ts_us / 86400e6) AS bigint) = d.day AND s.ts_us <= d.at_us),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ts_us DESC, event_id DESC) AS k FROM met)
-    SELECT req_id, ts_us, event_id FROM ranked WHERE k = 1"""
+    WITH happened AS (SELECT {key}, {day} AS day, at_us, id FROM ({events}) e),
+    together AS (SELECT {key}, day, at_us, 0 AS kind, id, at_us AS event_us, cast(NULL AS bigint) AS req_id FROM happened
+        UNION ALL SELECT {key}, {day} AS day, at_us, 1 AS kind, cast(NULL AS bigint) AS id, cast(NULL AS bigint) AS event_us, req_id FROM ({requests}) r),
+    numbered AS (SELECT *, count(id) OVER (PARTITION BY {key}, day ORDER BY at_us, kind, id ROWS UNBOUNDED PRECEDING) AS stretch FROM together),
+    found AS (SELECT req_id, kind, {key}, day, max(event_us) OVER (PARTITION BY {key}, day, stretch) AS event_us, max(id) OVER (PARTITION BY {key}, day, stretch) AS id FROM numbered),
+    ranked AS (SELECT {key}, day, at_us, id, row_number() OVER (PARTITION BY {key}, day ORDER BY at_us DESC, id DESC) AS k FROM happened)
+    SELECT f.req_id, coalesce(f.event_us, n.at_us) AS event_us, coalesce(f.id, n.id) AS id FROM found f LEFT JOIN (SELECT {key}, day, at_us, id FROM ranked WHERE k = 1) n ON n.{key} = f.{key} AND n.day = f.day - 1
+    WHERE f.kind = 1 AND coalesce(f.id, n.id) IS NOT NULL"""
+
+
+def scan_at() -> str:
+    """For each request (req_id, site, at_us) the newest scan at or before it, of the same day or the one before."""
+    text = last_before("SELECT site, ts_us AS at_us, event_id AS id FROM {scans}", "SELECT site, at_us, req_id FROM {requests}", "site")
+    return f"SELECT req_id, event_us AS ts_us, id AS event_id FROM ({text}) q"
 
 
 def scans_between(start_us: int, end_us: int) -> str:

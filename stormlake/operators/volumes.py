@@ -288,7 +288,7 @@ def hydrometeor_gates(radials: DataFrame, melting_bottom_m: float = 3000.0, melt
             slant = first + spacing * np.arange(z.shape[1])
             e, wide_beam = sweep["elevation"], 0.475
             top, bottom = winds.beam_height(slant, e + wide_beam), winds.beam_height(slant, e - wide_beam)
-            layer = np.where(top < melting_bottom_m, "below", np.where(bottom > melting_top_m, "above", "within"))
+            layer = np.where(top <= melting_bottom_m, "below", np.where(bottom >= melting_top_m, "above", "within"))
             a, g = np.nonzero(np.isfinite(z) & np.isfinite(zdr) & np.isfinite(rho))
             base = (int(rows["scan_time"].iloc[0].timestamp()) * 100 + int(sweep["number"])) * 2_000_000
             out.append(pd.DataFrame({"icao": rows["icao"].iloc[0], "scan_time": rows["scan_time"].iloc[0], "elev": e, "az_bin": a, "gate": g, "gate_id": base + a * 2000 + g, "z": z[a, g], "zdr": zdr[a, g], "rho": rho[a, g], "lkdp": lkdp[a, g], "sdz": sdz[a, g], "sdphi": sdphi[a, g], "layer": layer[g]}))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormlake.functions import geometry, times
-from stormlake.operators import columns, hydrometeors, places, scans
+from stormlake.operators import columns, hydrometeors, places, scans, sections, volumes
 from stormlake.operators.sql import oracle, run
+from stormlake.operators.tilts import select_tilts
 from stormlake.plans.bindings import BINDINGS
+from stormlake.sources import level2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,6 +78,17 @@ _portable("warnings_sweep", places.active_sweep())
 _portable("outlook_in_effect", places.in_effect(), intervals="cycles")
 _portable("points_in_polygons", places.in_polygon())
 
+_portable("cross_section", sections.cross_section())
+_portable("tilt_resample", sections.tilt_resample())
+_portable("phase_unwrap", sections.phase_unwrap())
+_portable("mosaic_cells", sections.neighbour_cells())
+_portable("hodograph_layers", sections.hodograph_layers(columns.wind_profile()))
+_portable("freezing_level", sections.freezing_level())
+_portable("nearest_tilt", sections.nearest_tilt())
+_portable("warning_counts", "SELECT kind, count(*) AS n, cast(sum(CASE WHEN end_us - begin_us > 400000000000 THEN 1 ELSE 0 END) AS bigint) AS n_long, min(begin_us) AS first_us FROM {intervals} GROUP BY kind")
+_portable("distinct_requests", "SELECT site, cast(floor(at_us / 60e6) AS bigint) AS minute, count(*) AS n_requests FROM {requests} GROUP BY site, cast(floor(at_us / 60e6) AS bigint)")
+_portable("wind_levels", f"SELECT vol, max(CASE WHEN height_m = 1000 THEN u END) AS u1000, max(CASE WHEN height_m = 3000 THEN u END) AS u3000, count(*) AS n_levels FROM ({columns.wind_profile()}) p GROUP BY vol")
+
 
 @_frame("key_times", "SELECT event_id, substr(key, 17, 4) AS site, epoch_us(strptime(substr(key, 21, 15), '%Y%m%d_%H%M%S')) AS ts_us, substr(key, 17) AS base, substr(key, 17, 4) || '_' || substr(key, 21, 15) AS name FROM {keys} WHERE key NOT LIKE '%\\_MDM' ESCAPE '\\'")
 def key_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,3 +123,48 @@ def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def velocity_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     gates = BINDINGS["gates"][0](spark, sf_dir)
     return gates.select("gate_id", F.round(geometry.wrap_velocity(F.col("z") - 20, 8.0), 4).alias("wrapped"), geometry.round_even(F.col("z") / 7, 2).alias("rounded"), F.round(geometry.log_kdp(F.col("lkdp") / 10), 4).alias("lkdp"))
+
+
+_TILTS = """
+WITH RECURSIVE rows AS (SELECT event_type AS site, event_id AS i, cast(round(value) AS bigint) AS gates, cast(user_id AS double) / 1e1 AS elev, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) AS k FROM events),
+fold(site, k, g, elev, gates, i) AS (SELECT site, k, 1, elev, gates, i FROM rows WHERE k = 1
+    UNION ALL SELECT r.site, r.k, CASE WHEN r.elev - f.elev < 0.2e0 THEN f.g ELSE f.g + 1 END,
+        CASE WHEN r.elev - f.elev < 0.2e0 AND NOT (r.gates > f.gates OR (r.gates = f.gates AND r.i > f.i)) THEN f.elev ELSE r.elev END,
+        CASE WHEN r.elev - f.elev < 0.2e0 AND NOT (r.gates > f.gates OR (r.gates = f.gates AND r.i > f.i)) THEN f.gates ELSE r.gates END,
+        CASE WHEN r.elev - f.elev < 0.2e0 AND NOT (r.gates > f.gates OR (r.gates = f.gates AND r.i > f.i)) THEN f.i ELSE r.i END
+    FROM fold f JOIN rows r ON r.site = f.site AND r.k = f.k + 1)
+SELECT site, cast(g - 1 AS bigint) AS place, max_by(i, k) AS sweep FROM fold GROUP BY site, g"""
+
+
+def tilt_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of a site merged to tilts, a fold of its sorted sweeps."""
+    sweeps = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("site"), F.col("event_id").alias("i"), F.round("value").cast("bigint").alias("gates"), (F.col("user_id").cast("double") / 10).alias("elev"))
+    return select_tilts(sweeps).select("site", F.posexplode("tilts").alias("place", "t")).select("site", F.col("place").cast("bigint").alias("place"), F.col("t.i").alias("sweep"))
+
+
+QUERIES["tilt_selection"], ORACLES["tilt_selection"] = tilt_selection, _TILTS
+
+
+@_frame("display_text", "SELECT gate_id, CASE WHEN zdr IS NULL THEN 'no data' WHEN z > 7e1 THEN 'range folded' ELSE printf('%.1f dBZ', z) END AS text, printf('%d km @ %03d', cast(floor(z + 0.5e0) AS bigint), cast(floor(elev * 1e2 + 0.5e0) AS bigint) % 360) AS place FROM {gates}")
+def display_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gates = BINDINGS["gates"][0](spark, sf_dir)
+    text = F.when(F.col("zdr").isNull(), "no data").when(F.col("z") > 70, "range folded").otherwise(F.format_string("%.1f dBZ", "z"))
+    return gates.select("gate_id", text.alias("text"), F.format_string("%d km @ %03d", F.floor(F.col("z") + 0.5), F.round(F.col("elev") * 100).cast("bigint") % 360).alias("place"))
+
+
+def _scene(spark: SparkSession) -> DataFrame:
+    """Radials of two generated volumes, through the archive encoder and decoder."""
+    files = [(f"KTST_{k}", level2.write_volume(level2.storm_scene(time_ms=1_714_600_800_000 + k * 300_000, sweeps=(0.5, 1.5, 3.0, 5.0, 7.5, 9.0, 11.0)))) for k in range(2)]
+    return volumes.decode(spark.createDataFrame(files, "path string, content binary"))
+
+
+# no SQL twins: decoding, dealiasing, components and tracking of a generated scene
+QUERIES |= {
+    "scene_radials": lambda spark, sf_dir: _scene(spark),
+    "scene_products": lambda spark, sf_dir: volumes.products(_scene(spark)),
+    "scene_cells": lambda spark, sf_dir: volumes.cells(_scene(spark)),
+    "scene_cell_tracks": lambda spark, sf_dir: volumes.cell_tracks(volumes.cells(_scene(spark))),
+    "scene_wind_profiles": lambda spark, sf_dir: volumes.wind_profiles(_scene(spark)),
+    "scene_storm_motions": lambda spark, sf_dir: volumes.storm_motions(_scene(spark)),
+    "scene_hydrometeors": lambda spark, sf_dir: volumes.hydrometeor_counts(_scene(spark)),
+}
