@@ -32,13 +32,13 @@ def last_before(events: str, requests: str, key: str) -> str:
     day = "cast(floor(at_us / 86400e6) AS bigint)"
     return f"""
     WITH happened AS (SELECT {key}, {day} AS day, at_us, id FROM ({events}) e),
-    together AS (SELECT {key}, day, at_us, 0 AS kind, id, at_us AS event_us, cast(NULL AS bigint) AS req_id FROM happened
-        UNION ALL SELECT {key}, {day} AS day, at_us, 1 AS kind, cast(NULL AS bigint) AS id, cast(NULL AS bigint) AS event_us, req_id FROM ({requests}) r),
-    numbered AS (SELECT *, count(id) OVER (PARTITION BY {key}, day ORDER BY at_us, kind, id ROWS UNBOUNDED PRECEDING) AS stretch FROM together),
-    found AS (SELECT req_id, kind, {key}, day, max(event_us) OVER (PARTITION BY {key}, day, stretch) AS event_us, max(id) OVER (PARTITION BY {key}, day, stretch) AS id FROM numbered),
+    together AS (SELECT {key}, day, at_us, 0 AS asks, id, at_us AS event_us, cast(NULL AS bigint) AS req_id FROM happened
+        UNION ALL SELECT {key}, {day} AS day, at_us, 1 AS asks, cast(NULL AS bigint) AS id, cast(NULL AS bigint) AS event_us, req_id FROM ({requests}) r),
+    numbered AS (SELECT *, count(id) OVER (PARTITION BY {key}, day ORDER BY at_us, asks, id ROWS UNBOUNDED PRECEDING) AS stretch FROM together),
+    found AS (SELECT req_id, asks, {key}, day, max(event_us) OVER (PARTITION BY {key}, day, stretch) AS event_us, max(id) OVER (PARTITION BY {key}, day, stretch) AS id FROM numbered),
     ranked AS (SELECT {key}, day, at_us, id, row_number() OVER (PARTITION BY {key}, day ORDER BY at_us DESC, id DESC) AS k FROM happened)
     SELECT f.req_id, coalesce(f.event_us, n.at_us) AS event_us, coalesce(f.id, n.id) AS id FROM found f LEFT JOIN (SELECT {key}, day, at_us, id FROM ranked WHERE k = 1) n ON n.{key} = f.{key} AND n.day = f.day - 1
-    WHERE f.kind = 1 AND coalesce(f.id, n.id) IS NOT NULL"""
+    WHERE f.asks = 1 AND coalesce(f.id, n.id) IS NOT NULL"""
 
 
 def scan_at() -> str:
