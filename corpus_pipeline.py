@@ -14,28 +14,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from stormlake.llm import bpe, mixing, neardup, quality, secrets
-from stormlake.llm.base import stored
+from stormlake.llm.base import discard, stored
+from stormlake.ship import ship
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    discard("quality", unless=docs)  # the stage before has been written
     return neardup.keep_one(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
+    discard("candidates", unless=docs)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return bpe.report(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
