@@ -46,6 +46,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(name: str, unless: DataFrame) -> None:
+    """Delete tables that ``stored`` has written under a name, but for those that a DataFrame still reads."""
+    spark = unless.sparkSession
+    read = unless.inputFiles()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-*")
+    store = pattern.getFileSystem(conf)
+    for found in store.globStatus(pattern) or ():
+        path = found.getPath()
+        if not any(path.toUri().getPath() in x for x in read):
+            store.delete(path, True)
+
+
 def mounted_dir(spark: SparkSession, name: str) -> str:
     """A new folder of the shared one as a path that workers can map into memory."""
     url = urlparse(shared_dir(spark))

@@ -39,7 +39,7 @@ IDF_SPREAD = 0.25
 BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
 #: Characters of a block and of what a bucket counts; members of a verified group and of a compared part.
-BLOCK_CHARS, BUCKET_CHARS, GROUP, COMPARED = 4_000_000, 16_000_000, 64, 1024
+BLOCK_CHARS, BUCKET_CHARS, GROUP, COMPARED = 4_000_000, 8_000_000, 64, 1024
 #: Copies of one text beyond this share of all rows are dropped before texts are dealt out; such texts are fewer than 10,000.
 HOT_SHARE = 1e-4
 _U = np.uint64
