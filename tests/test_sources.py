@@ -173,3 +173,15 @@ def test_sessions(spark, tmp_path):
     assert [r["n_scans"] for r in got] == [3, 1]
     hours = run_stream(live.hour_buckets(stream), spark, "hours", "append").collect()
     assert sum(r["n_scans"] for r in hours) == 4
+
+
+def test_dimensions(spark):
+    from stormlake.functions import dimensions
+
+    lat, lon, height = dimensions.location("KTLX")
+    assert abs(lat - 35.3334) < 1e-3 and abs(lon + 97.2778) < 1e-3 and abs(height - 390) < 5 and dimensions.location("KXXX") is None
+    assert dimensions.sites(spark).count() > 150 and dimensions.events(spark).filter("peak_time BETWEEN from_time AND to_time").count() == dimensions.events(spark).count() == 16
+    scans = spark.createDataFrame([("KTLX", datetime(1999, 5, 4, 0, m), f"n{m}") for m in (0, 4, 7)] + [("KTLX", datetime(2001, 1, 1), "other")], "icao string, scan_time timestamp, name string")
+    assert [(r["name"], r["at_peak"]) for r in dimensions.event_scans(scans, dimensions.events(spark)).orderBy("name").collect()] == [("n0", False), ("n4", True), ("n7", False)]
+    blank = spark.createDataFrame([("KTLX", None, None, None)], "icao string, lat double, lon double, height_m double")
+    assert volumes.with_site(blank, dimensions.sites(spark)).first()["height_m"] == height
