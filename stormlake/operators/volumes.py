@@ -301,10 +301,8 @@ def hydrometeor_gates(radials: DataFrame, melting_bottom_m: float = 3000.0, melt
 
 def hydrometeor_counts(radials: DataFrame) -> DataFrame:
     """Gates of each class, volume and tilt."""
-    from stormlake.operators.sql import run
-
     gates = hydrometeor_gates(radials)
-    coded = run(hydrometeors.classify(), gates=gates)
+    coded = hydrometeors.classify_gates(gates)
     return gates.join(coded, "gate_id").groupBy("icao", "scan_time", "elev", "code").agg(F.count("*").alias("n_gates"))
 
 

@@ -54,6 +54,7 @@ _portable("wind_profile", columns.wind_profile())
 _portable("storm_relative_helicity", columns.helicity())
 _portable("range_windows", columns.ring_windows())
 _portable("hydrometeor_classes", hydrometeors.classify())
+QUERIES["hydrometeor_classes"] = lambda spark, sf_dir: hydrometeors.classify_gates(BINDINGS["gates"][0](spark, sf_dir))
 _portable("scan_sequences", scans.sequences())
 _portable("newest_per_site", scans.newest_per_site())
 _portable("scan_at_or_before", scans.scan_at())
