@@ -29,6 +29,8 @@ UNIT = 1 << 32
 #: Documents of a bucket, about.
 BUCKET_ROWS = 100_000
 SEED = 20240501
+#: Sources whose table is broadcast; beyond it is joined like any other.
+MOST_BROADCAST = 10_000
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, most: float = MOST_COPIES) -> dict[str | None, float]:
@@ -83,7 +85,7 @@ def with_copies(rows: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WE
     counts = bucketed(small).groupBy("source", "__level", "__salt").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("source").orderBy("__level", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    starts = starts.join(F.broadcast(table), starts["source"].eqNullSafe(table["__name"])).select("source", "__level", "__salt", (F.col("__before") * F.col("__each") + F.col("__offset")).alias("__from"), "__each", "__source_size", "__target")
+    starts = starts.join(F.broadcast(table) if len(plan) <= MOST_BROADCAST else table, starts["source"].eqNullSafe(table["__name"])).select("source", "__level", "__salt", (F.col("__before") * F.col("__each") + F.col("__offset")).alias("__from"), "__each", "__source_size", "__target")
     starts = starts.select(F.col("source").alias("__b_source"), F.col("__level").alias("__b_level"), F.col("__salt").alias("__b_salt"), "__from", "__each", "__source_size", "__target")
     placed = bucketed(rows)
     # one row for each document of a bucket: a stable order by size and id
