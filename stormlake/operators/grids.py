@@ -249,9 +249,23 @@ def dealias(velocity: np.ndarray, nyquist: float, reference: np.ndarray | None =
             shift = -int(steps[np.argmax(np.bincount(place))])
         unfolded[inside] += shift * period
         folds[inside] += shift
+    if reference is not None:
+        _follow_reference(unfolded, region, reference, period)
     return _islands(unfolded, region, size, period).astype(np.float32)
 
 
+def _follow_reference(v: np.ndarray, region: np.ndarray, reference: np.ndarray, period: float, least: int = 100, share: float = 0.8) -> None:
+    """Move single regions with many reference gates of which most lie on another fold, in place."""
+    both = np.isfinite(v) & np.isfinite(reference)
+    count = np.bincount(region[both], minlength=1)
+    for k in np.flatnonzero(count >= least):
+        inside = region == k
+        steps, votes = np.unique(np.round((reference - v)[inside & both] / period).astype(int), return_counts=True)
+        best = int(np.argmax(votes))
+        if k and steps[best] and votes[best] >= share * votes.sum():
+            v[inside] += steps[best] * period
+
+
 def _islands(v: np.ndarray, region: np.ndarray, size: np.ndarray, period: float, passes: int = 3) -> np.ndarray:
     """Move regions that are a whole fold off most of their boundary, all of a pass at once."""
     n = len(size)
@@ -279,9 +293,13 @@ def _islands(v: np.ndarray, region: np.ndarray, size: np.ndarray, period: float,
     return v
 
 
-def find_cells(cref: np.ndarray, first_km: float, spacing_km: float, extra: dict[str, np.ndarray] | None = None) -> list[dict]:
+def find_cells(cref: np.ndarray, first_km: float, spacing_km: float, extra: dict[str, np.ndarray] | None = None, low: dict | None = None) -> list[dict]:
     """Storm cells: components at 40 dBZ of 8 km2 or more, replaced by their cores at 50 and 60 where they have two or
-    more; strongest first. extra: further maxima by name, 0 where absent."""
+    more; strongest first.
+
+    extra: further maxima by name, 0 where absent; rotation counts within 8 km of the centroid. low: REF, RHO and ZDR of
+    the lowest tilt with first_km and spacing_km; with it a cell has a debris flag.
+    """
     n_az, n_gates = cref.shape
     r = first_km + spacing_km * np.arange(n_gates)
     area = np.broadcast_to(r * (2 * np.pi / n_az) * spacing_km, cref.shape)
@@ -306,10 +324,23 @@ def find_cells(cref: np.ndarray, first_km: float, spacing_km: float, extra: dict
             for name, grid in (extra or {}).items():
                 near = m if name != "rot" else np.hypot(x - cell["x_km"], y - cell["y_km"]) <= C.CELL_SEARCH_KM
                 cell[f"max_{name}"] = float(max(0.0, np.nanmax(np.where(np.isfinite(grid[near]), grid[near], 0.0), initial=0.0)))
+                if name == "rot" and low is not None:
+                    cell["debris"] = cell["max_rot"] >= C.TDS_MIN_ROT and _debris(low, *(float(t[near & (grid == cell["max_rot"])][0]) for t in (x, y)))
             out.append(cell)
     return sorted(out, key=lambda c: (-c["max_dbz"], -c["area_km2"]))
 
 
+def _debris(low: dict, x0: float, y0: float) -> bool:
+    """Whether enough gates around a rotation maximum are strong, badly correlated and low in differential reflectivity."""
+    n_az, n_gates = low["REF"].shape
+    az = np.radians((np.arange(n_az) + 0.5) * 360 / n_az)[:, None]
+    r = low["first_km"] + low["spacing_km"] * np.arange(n_gates)
+    near = np.hypot(np.sin(az) * r - x0, np.cos(az) * r - y0) <= C.TDS_RADIUS_KM
+    with np.errstate(invalid="ignore"):
+        hit = near & (low["REF"] >= C.TDS_MIN_DBZ) & (low["RHO"] <= C.TDS_MAX_RHO) & (low["ZDR"] <= C.TDS_MAX_ZDR)
+    return int(hit.sum()) >= C.TDS_MIN_GATES
+
+
 def link_cells(previous: list[dict], current: list[dict], dt_s: float, next_id: int) -> int:
     """Carry ids, tracks and motion from one frame to the next: closest pairs first, one to one, ties by index; within
     10 km of where known motion leads, else 15 km. Returns the next free id."""

@@ -214,7 +214,7 @@ def products(radials: DataFrame) -> DataFrame:
     return _by_site_day(radials).applyInPandas(each, PRODUCT)
 
 
-CELL = "icao string, scan_time timestamp, rank int, x_km double, y_km double, area_km2 double, max_dbz double, max_vil double, max_et double, max_rot double"
+CELL = "icao string, scan_time timestamp, rank int, x_km double, y_km double, area_km2 double, max_dbz double, max_vil double, max_et double, max_rot double, debris boolean"
 
 
 def cells(radials: DataFrame) -> DataFrame:
@@ -227,8 +227,10 @@ def cells(radials: DataFrame) -> DataFrame:
             if not grid:
                 continue
             first, spacing = _tilts(sweeps, "REF")[0]["geometry"]["REF"]
-            found = grids.find_cells(grid["CREF"], first / 1000, spacing / 1000, {"vil": grid["VIL"], "et": grid["ET"], "rot": grid["ROT"]})
-            out += [(rows["icao"].iloc[0], at, k, *[round(c[x], 3) for x in ("x_km", "y_km", "area_km2", "max_dbz", "max_vil", "max_et", "max_rot")]) for k, c in enumerate(found)]
+            dual = [t for t in _tilts(sweeps, "REF") if {"RHO", "ZDR"} <= set(t["fields"])][:1]
+            low = {**{k: dual[0]["fields"][k] for k in ("REF", "RHO", "ZDR")}, "first_km": dual[0]["geometry"]["REF"][0] / 1000, "spacing_km": dual[0]["geometry"]["REF"][1] / 1000} if dual and len({dual[0]["fields"][k].shape for k in ("REF", "RHO", "ZDR")}) == 1 else None
+            found = grids.find_cells(grid["CREF"], first / 1000, spacing / 1000, {"vil": grid["VIL"], "et": grid["ET"], "rot": grid["ROT"]}, low)
+            out += [(rows["icao"].iloc[0], at, k, *[round(c[x], 3) for x in ("x_km", "y_km", "area_km2", "max_dbz", "max_vil", "max_et", "max_rot")], bool(c.get("debris", False))) for k, c in enumerate(found)]
         return pd.DataFrame(out, columns=[x.split()[0] for x in CELL.split(", ")])
 
     return _by_site_day(radials).applyInPandas(each, CELL)

@@ -128,3 +128,26 @@ def test_torn_and_foreign_input():
     assert 0 < len(level2.read_volume(raw[: len(raw) * 2 // 3]).radials) < 360
     with pytest.raises(ValueError):
         level2.read_volume(b"not radar")
+
+
+def test_debris_needs_rotation_and_bad_correlation():
+    n_az, n_gates = 360, 60
+    az = np.radians((np.arange(n_az) + 0.5))[:, None]
+    r = 1.0 + 0.5 * np.arange(n_gates)
+    d = np.hypot(np.sin(az) * r - 10, np.cos(az) * r - 10)
+    ref = np.where(d < 4, 52.0, 10.0)
+    rot = np.where(d < 0.6, 15.0, 1.0)
+    low = {"REF": ref, "RHO": np.where(d < 2, 0.7, 0.98), "ZDR": np.zeros_like(ref), "first_km": 1.0, "spacing_km": 0.5}
+    flag = lambda rot, low: grids.find_cells(ref, 1.0, 0.5, {"rot": rot}, low)[0]["debris"]
+    assert flag(rot, low) and not flag(rot / 2, low) and not flag(rot, {**low, "RHO": np.full_like(ref, 0.98)})
+
+
+def test_a_single_region_follows_the_reference():
+    reference = np.zeros((36, 40))
+    reference[10:25, 10:30] = 30.0
+    v = np.zeros((36, 40))
+    v[:, 9] = v[9, 9:31] = np.nan
+    region = np.ones(v.shape, int)
+    region[10:25, 10:30] = 2
+    grids._follow_reference(v, region, reference, 30.0)
+    assert v[12, 15] == 30.0 and v[0, 0] == 0.0
