@@ -24,7 +24,9 @@ from stormlake.llm.base import bucket_of, range_bounds
 from stormlake.llm.bytesof import chunks, shingles, space_table, words
 
 SHINGLE_WORDS = 5
-SKETCH_SIZE = 128
+SKETCH_SIZE = 256
+#: Bits of a hash that a sketch keeps.
+BITS = 48
 #: Rows of one range of ids, and the most ranges: bounds are held by the driver.
 RANGE_ROWS, MOST_RANGES = 1024, 8192
 
@@ -35,6 +37,7 @@ def sketch_texts(column: pa.Array | pa.ChunkedArray, k: int = SKETCH_SIZE, size:
     for lo, hi, data, offsets in chunks(column):
         doc, value = shingles(words(data, offsets, table), size)
         cuts = np.searchsorted(doc, np.arange(hi - lo + 1))
+        value >>= np.uint64(64 - BITS)
         out += [np.unique(value[a:b])[:k] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     return out
 
@@ -62,7 +65,7 @@ def resemblance(a: np.ndarray, b: np.ndarray, k: int = SKETCH_SIZE) -> float:
 
 def distinct_shingles(a: np.ndarray, k: int = SKETCH_SIZE) -> float:
     """Estimated number of distinct shingles; exact below k."""
-    return float(len(a)) if len(a) < k else (k - 1) / (float(a[k - 1]) / 2.0**64)
+    return float(len(a)) if len(a) < k else (k - 1) / ((float(a[k - 1]) + 1) / 2.0**BITS)
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = SKETCH_SIZE) -> float:
@@ -74,11 +77,15 @@ def containment(a: np.ndarray, b: np.ndarray, k: int = SKETCH_SIZE) -> float:
 
 
 def to_string(a: np.ndarray) -> str:
-    return base64.b64encode(a.astype(">u8").tobytes()).decode()
+    """Six bytes a hash, most significant first, in base64."""
+    return base64.b64encode(a.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - BITS // 8 :].tobytes()).decode()
 
 
 def from_string(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), ">u8").astype(np.uint64)
+    raw = np.frombuffer(base64.b64decode(text), np.uint8).reshape(-1, BITS // 8)
+    held = np.zeros((len(raw), 8), np.uint8)
+    held[:, 8 - BITS // 8 :] = raw
+    return held.view(">u8").reshape(-1).astype(np.uint64)
 
 
 def fingerprint(docs: DataFrame, text: str = "text", k: int = SKETCH_SIZE, size: int = SHINGLE_WORDS, out: str = "fingerprint") -> DataFrame:
