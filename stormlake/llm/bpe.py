@@ -2,8 +2,8 @@
 
 Workers encode whole texts with the vocabulary's ranks and decode by concatenating the binary pieces of the ids.
 ``fold_words`` is the same merge as a fold of Spark's higher-order functions over the bytes of distinct words with a
-literal rank table; it gives equal ids, but costs 0.3 ms a word where the main path costs under 2 us a token (README),
-so corpora don't take it.
+literal rank table; it gives equal ids, but costs some 50 us a distinct word, and the words must be made distinct and
+mapped back (README), so corpora don't take it.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; strings that look like special
 tokens are ordinary text; very long words are merged by the library's own heap. Other columns are never read.
@@ -127,11 +127,16 @@ def fold_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
         slot = f"cast(pmod(shiftrightunsigned(xxhash64(k), get({d}, cast(pmod(xxhash64(k), {len(shifts)}) as int))), {len(keys)}) as int)"
         return f"transform(transform({pieces}, k -> {slot}), (s, i) -> CASE WHEN get({k}, s) = get({pieces}, i) THEN get({v}, s) END)"
 
-    pairs = "CASE WHEN size(p) < 2 THEN cast(array() as array<string>) ELSE transform(sequence(1, size(p) - 1), i -> concat(get(p, i - 1), get(p, i))) END"
-    merged = "concat(slice(p, 1, j - 1), array(concat(get(p, j - 1), get(p, j))), slice(p, j + 2, size(p)))"
-    # the inner aggregates over one value name it: q the pairs, r their ranks, j the place of the first least rank
-    step = f"""aggregate(array({pairs}), p, (p, q) -> aggregate(array({ranked("q")}), p, (p, r) ->
-        CASE WHEN array_min(r) IS NULL THEN p ELSE aggregate(array(cast(array_position(r, array_min(r)) as int)), p, (p, j) -> {merged}) END))"""
-    fold = f"aggregate(CASE WHEN size(p) > 1 THEN sequence(2, size(p)) ELSE cast(array() as array<int>) END, p, (p, i) -> {step}, p -> {ranked('p')})"
+    none = "cast(array() AS array<string>)"
+    pairs = f"CASE WHEN size(p) < 2 THEN {none} ELSE transform(sequence(1, size(p) - 1), i -> concat(get(p, i - 1), get(p, i))) END"
+    beside = f"concat(CASE WHEN j > 1 THEN array(concat(get(a.p, j - 2), x)) ELSE {none} END, CASE WHEN j + 1 < size(a.p) THEN array(concat(x, get(a.p, j + 1))) ELSE {none} END)"
+    # a holds the pieces p and the ranks r of neighbouring pairs; the inner aggregates over one value name it: j the place of
+    # the first least rank, x the merged piece, q the two new pairs
+    step = f"""aggregate(array(cast(array_position(a.r, array_min(a.r)) AS int)), a, (a, j) -> CASE WHEN j IS NULL OR j = 0 THEN a ELSE
+        aggregate(array(concat(get(a.p, j - 1), get(a.p, j))), a, (a, x) -> aggregate(array({beside}), a, (a, q) -> named_struct(
+            'p', concat(slice(a.p, 1, j - 1), array(x), slice(a.p, j + 2, size(a.p))),
+            'r', concat(slice(a.r, 1, greatest(j - 2, 0)), {ranked("q")}, slice(a.r, j + 2, size(a.r)))))) END)"""
+    steps = "CASE WHEN size(p) > 1 THEN sequence(2, size(p)) ELSE cast(array() AS array<int>) END"
+    fold = f"aggregate({steps}, named_struct('p', p, 'r', {ranked('__pairs')}), (a, i) -> {step}, a -> {ranked('a.p')})"
     rows = words.withColumn("p", F.regexp_extract_all(F.hex(F.encode(F.col(column), "UTF-8")), F.lit(".."), F.lit(0)))
-    return rows.withColumn("ids", F.expr(fold)).drop("p")
+    return rows.withColumn("__pairs", F.expr(pairs)).withColumn("ids", F.expr(fold)).drop("p", "__pairs")
