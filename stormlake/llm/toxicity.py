@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from stormlake.llm.bytesof import Words, chunks, letter_table, mix, words
 
-LABELLED_PER_CLASS = 4000
+LABELLED_PER_CLASS = 2000
 LONGEST_LABELLED = 20_000
 #: A word needs so many labelled documents and such a z score of its rates to get a weight.
 LEAST_DOCS, LEAST_Z = 4, 4.0
