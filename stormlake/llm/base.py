@@ -67,10 +67,6 @@ def mounted_dir(spark: SparkSession, name: str) -> str:
     return f"{url.path}/{name}-{uuid.uuid4().hex}"
 
 
-def text_or_empty(df: DataFrame, column: str = "text") -> Column:
-    return F.coalesce(df[column], F.lit(""))
-
-
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most ``parts`` values of an integer column that cut it into ranges of like size; the first is the minimum."""
     if parts < 1:
