@@ -27,7 +27,7 @@ from stormlake.llm.arrays import Sorted, edges, least_type, save
 from stormlake.llm.base import mounted_dir
 from stormlake.llm.bytesof import chunks, lower_table, mix, words
 
-ORDER = 2
+ORDER = 3
 #: Characters of training text for each hash range; tokens packed at once by a task; bytes of text scored at once.
 RANGE_CHARS, PACK_TOKENS, SCORE_BYTES = 12_000_000, 2_000_000, 1 << 21
 HEAVY_SHARE, SPLIT = 1e-3, 64

@@ -338,6 +338,14 @@ def test_language_model(spark, order):
         assert abs(r["score"] - score(t)) < 1e-9
 
 
+def test_language_model_counts_trigrams_by_default(spark):
+    texts = [prose(random.Random(i), 20) for i in range(30)] + ["the an re", "an re the", "the re an"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ngrams.report(docs).collect()}
+    _, _, score = brute_model([t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1], 3)
+    assert all(abs(got[i] - score(t)) < 1e-9 for i, t in enumerate(texts))
+
+
 # 9
 
 
