@@ -165,6 +165,22 @@ def test_secrets(spark):
     assert out[8]["text"] == f"{secrets.MASK} {secrets.MASK}" and out[8]["n_chars"] == len(out[8]["text"]) and password not in out[1]["text"]
 
 
+def test_secrets_of_any_length_after_a_key_word(spark):
+    secret = {
+        'password="Tr0ub4dor&3"': "Tr0ub4dor&3", "password=hunter2 and": "hunter2", "set hunter3. password: hunter2.": "hunter2", "secret: correcthorsebattery": "correcthorsebattery", 'the token = "aB3dE5gH7jK", in': "aB3dE5gH7jK",
+        "at https://root:s3cr3t!@db now": "s3cr3t!", "MY_SECRET_KEY=x7!kQ2 on": "x7!kQ2", "host=a;password=x9Kq2;user=b": "x9Kq2",
+    }
+    clean = ["the secret: never give up", "author: Shakespeare wrote", "max_tokens=512 of", "password=null or", "password=${DB_PASSWORD} in", "Password: Required field", "token_type: bearer", "passage: 12", "https://user:password@host"]
+    texts = [*secret, *clean]
+    docs = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in enumerate(texts)], SHAPE)
+    found = [(r["doc_id"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in secrets.scan(docs).filter("is_secret").collect()]
+    assert sorted(found) == list(enumerate(secret.values()))
+    out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert [out[i] for i in range(len(texts))] == [*[t.replace(x, secrets.MASK) for t, x in secret.items()], *clean]
+    seeds = secrets.seed_findings(spark).groupBy("label").count().collect()
+    assert len(seeds) == 2 and secrets.seed_findings(spark).filter("candidate IS NULL OR before IS NULL OR after IS NULL OR candidate = ''").count() == 0
+
+
 # 5
 
 
