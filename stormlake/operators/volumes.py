@@ -158,43 +158,59 @@ def unfold(sweeps: list[dict], prior: list[dict] | None = None) -> np.ndarray:
     return wind
 
 
-def _sites_in_order(rows: pd.DataFrame) -> Iterator[tuple[pd.Timestamp, list[dict], np.ndarray]]:
-    """Volumes of one site in time order, each unfolded against the last complete one if it is at most 15 minutes old."""
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.Timestamp, pd.DataFrame]]:
+    """Rows of each site and time, from batches in that order; holds the rows of one time and of a batch."""
+    name, held = None, []
+    for batch in batches:
+        for key, rows in batch.groupby(["icao", "scan_time"]):
+            if held and key != name:
+                yield *name, pd.concat(held)
+                held = []
+            name = key
+            held.append(rows)
+    if held:
+        yield *name, pd.concat(held)
+
+
+def _sites_in_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.Timestamp, list[dict], np.ndarray]]:
+    """Volumes site by site in time order, each unfolded against its site's last complete one if it is at most 15 minutes old."""
     last = None
-    for at, volume in rows.groupby("scan_time"):
+    for icao, at, volume in _frames(batches):
         sweeps = _sweeps(volume)
-        fresh = last is not None and 0 < (at - last[0]).total_seconds() <= C.PRIOR_MAX_AGE_S
-        wind = unfold(sweeps, [s for s in last[1] if "DVEL" in s["fields"]] if fresh else None)
+        fresh = last is not None and last[0] == icao and 0 < (at - last[1]).total_seconds() <= C.PRIOR_MAX_AGE_S
+        wind = unfold(sweeps, [s for s in last[2] if "DVEL" in s["fields"]] if fresh else None)
         if bool(volume["complete"].iloc[0]):
-            last = (at, sweeps)
-        yield at, sweeps, wind
+            last = (icao, at, sweeps)
+        yield icao, at, sweeps, wind
 
 
-def _by_site_day(radials: DataFrame):
-    """Temporal chains run within a site's day, so that a group stays bounded."""
-    return radials.withColumn("day", F.to_date("scan_time")).groupBy("icao", "day")
+def _by_site(rows: DataFrame, *more: str) -> DataFrame:
+    """A site's rows in one partition and in time order. Chains run through all of them, with one volume and the one before in
+    memory."""
+    return rows.filter(F.col("icao").isNotNull() & F.col("scan_time").isNotNull()).repartition("icao").sortWithinPartitions("icao", "scan_time", *more)
 
 
 PROFILE = "icao string, scan_time timestamp, height_m double, u_ms double, v_ms double, n int"
 
 
 def wind_profiles(radials: DataFrame) -> DataFrame:
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(rows["icao"].iloc[0], at, float(h), float(u), float(v), int(n)) for at, _, wind in _sites_in_order(rows) for h, u, v, n in wind]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in PROFILE.split(", ")])
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for icao, at, _, wind in _sites_in_order(batches):
+            yield pd.DataFrame([(icao, at, float(h), float(u), float(v), int(n)) for h, u, v, n in wind], columns=[x.split()[0] for x in PROFILE.split(", ")])
 
-    return _by_site_day(radials).applyInPandas(each, PROFILE)
+    return _by_site(radials).mapInPandas(each, PROFILE)
 
 
 MOTION = "icao string, scan_time timestamp, right_u double, right_v double, left_u double, left_v double, mean_u double, mean_v double, srh1 double, srh3 double"
 
 
 def storm_motions(radials: DataFrame) -> DataFrame:
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        out = [(rows["icao"].iloc[0], at, *m["right"], *m["left"], *m["mean"], m["srh1"], m["srh3"]) for at, _, wind in _sites_in_order(rows) if (m := winds.bunkers(wind))]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in MOTION.split(", ")])
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for icao, at, _, wind in _sites_in_order(batches):
+            if m := winds.bunkers(wind):
+                yield pd.DataFrame([(icao, at, *m["right"], *m["left"], *m["mean"], m["srh1"], m["srh3"])], columns=[x.split()[0] for x in MOTION.split(", ")])
 
-    return _by_site_day(radials).applyInPandas(each, MOTION)
+    return _by_site(radials).mapInPandas(each, MOTION)
 
 
 PRODUCT = "icao string, scan_time timestamp, field string, az_bin int, v array<float>"
@@ -203,15 +219,13 @@ PRODUCT = "icao string, scan_time timestamp, field string, az_bin int, v array<f
 def products(radials: DataFrame) -> DataFrame:
     """CREF, ET, VIL and ROT rows; missing gates -1000."""
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for at, sweeps, _ in _sites_in_order(rows):
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for icao, at, sweeps, _ in _sites_in_order(batches):
             for name, grid in column_grids(sweeps).items():
                 filled = np.where(np.isfinite(grid), grid, C.MISSING).astype(np.float32)
-                out += [(rows["icao"].iloc[0], at, name, i, ray) for i, ray in enumerate(filled)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in PRODUCT.split(", ")])
+                yield pd.DataFrame([(icao, at, name, i, ray) for i, ray in enumerate(filled)], columns=[x.split()[0] for x in PRODUCT.split(", ")])
 
-    return _by_site_day(radials).applyInPandas(each, PRODUCT)
+    return _by_site(radials).mapInPandas(each, PRODUCT)
 
 
 CELL = "icao string, scan_time timestamp, rank int, x_km double, y_km double, area_km2 double, max_dbz double, max_vil double, max_et double, max_rot double, debris boolean"
@@ -220,9 +234,8 @@ CELL = "icao string, scan_time timestamp, rank int, x_km double, y_km double, ar
 def cells(radials: DataFrame) -> DataFrame:
     """Storm cells of each volume, strongest first."""
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for at, sweeps, _ in _sites_in_order(rows):
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for icao, at, sweeps, _ in _sites_in_order(batches):
             grid = column_grids(sweeps)
             if not grid:
                 continue
@@ -230,28 +243,30 @@ def cells(radials: DataFrame) -> DataFrame:
             dual = [t for t in _tilts(sweeps, "REF") if {"RHO", "ZDR"} <= set(t["fields"])][:1]
             low = {**{k: dual[0]["fields"][k] for k in ("REF", "RHO", "ZDR")}, "first_km": dual[0]["geometry"]["REF"][0] / 1000, "spacing_km": dual[0]["geometry"]["REF"][1] / 1000} if dual and len({dual[0]["fields"][k].shape for k in ("REF", "RHO", "ZDR")}) == 1 else None
             found = grids.find_cells(grid["CREF"], first / 1000, spacing / 1000, {"vil": grid["VIL"], "et": grid["ET"], "rot": grid["ROT"]}, low)
-            out += [(rows["icao"].iloc[0], at, k, *[round(c[x], 3) for x in ("x_km", "y_km", "area_km2", "max_dbz", "max_vil", "max_et", "max_rot")], bool(c.get("debris", False))) for k, c in enumerate(found)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in CELL.split(", ")])
+            out = [(icao, at, k, *[round(c[x], 3) for x in ("x_km", "y_km", "area_km2", "max_dbz", "max_vil", "max_et", "max_rot")], bool(c.get("debris", False))) for k, c in enumerate(found)]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in CELL.split(", ")])
 
-    return _by_site_day(radials).applyInPandas(each, CELL)
+    return _by_site(radials).mapInPandas(each, CELL)
 
 
 TRACK = "icao string, scan_time timestamp, track_id int, x_km double, y_km double, u_ms double, v_ms double, n_frames int"
 
 
 def cell_tracks(found: DataFrame) -> DataFrame:
-    """Cells linked from frame to frame within a site's day."""
+    """Cells linked from frame to frame of a site; ids count up through all of its frames."""
 
-    def each(rows: pd.DataFrame) -> pd.DataFrame:
-        out, previous, new, before = [], [], 1, None
-        for at, frame in rows.sort_values(["scan_time", "rank"]).groupby("scan_time"):
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, previous, new, before = None, [], 1, None
+        for icao, at, frame in _frames(batches):
+            if icao != site:
+                site, previous, new, before = icao, [], 1, None
             current = [{"time_s": at.timestamp(), "x_km": r.x_km, "y_km": r.y_km} for r in frame.itertuples()]
             new = grids.link_cells(previous, current, (at - before).total_seconds() if before is not None else 0, new)
-            out += [(rows["icao"].iloc[0], at, c["id"], c["x_km"], c["y_km"], *(c["motion"] or (None, None)), len(c["track"])) for c in current]
+            out = [(icao, at, c["id"], c["x_km"], c["y_km"], *(c["motion"] or (None, None)), len(c["track"])) for c in current]
             previous, before = current, at
-        return pd.DataFrame(out, columns=[x.split()[0] for x in TRACK.split(", ")])
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in TRACK.split(", ")])
 
-    return _by_site_day(found).applyInPandas(each, TRACK)
+    return _by_site(found, "rank").mapInPandas(each, TRACK)
 
 
 def _windowed(x: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +46,25 @@ def test_winds(radials):
 def test_hydrometeors(radials):
     counts = volumes.hydrometeor_counts(radials).groupBy("code").agg(F.sum("n_gates").alias("n")).collect()
     assert counts and all(1 <= r["code"] <= 11 for r in counts)
+
+
+def test_chains_run_through_midnight(spark):
+    files = [(f"K_{k}", level2.write_volume(level2.storm_scene(time_ms=T0 + k * 300_000, sweeps=(0.5, 1.5, 3.0, 5.0, 7.5)))) for k in range(2)]
+    rows = volumes.decode(spark.createDataFrame(files, "path string, content binary")).withColumn("scan_time", F.expr("scan_time + INTERVAL 118 MINUTES")).cache()  # 23:58 and 00:03
+    assert rows.select(F.to_date("scan_time")).distinct().count() == 2
+    tracks = volumes.cell_tracks(volumes.cells(rows)).orderBy("scan_time", "track_id").collect()
+    assert tracks[0]["track_id"] == tracks[-1]["track_id"] == 1 and [t["n_frames"] for t in tracks] == [1, 2] and tracks[-1]["u_ms"] is not None
+    two = rows.filter("field = 'VEL'").toPandas()
+    sites = pd.concat([two, two.assign(icao="KTWO")]).sort_values(["icao", "scan_time"])
+    priors = []
+    taken = volumes.unfold
+    volumes.unfold = lambda sweeps, prior=None: priors.append(prior is not None) or taken(sweeps, prior)
+    try:
+        seen = [(icao, at) for icao, at, _, _ in volumes._sites_in_order(iter([sites[:100], sites[100:]]))]
+    finally:
+        volumes.unfold = taken
+    assert len(seen) == 4 and priors == [False, True, False, True]
+    at = lambda text: pd.Timestamp(text)
+    cells = pd.DataFrame([("KA", at("2024-05-01 23:58"), 0, 0.0, 0.0), ("KA", at("2024-05-02 00:03"), 0, 1.0, 0.0), ("KA", at("2024-05-02 00:24"), 0, 1.0, 0.0), ("KB", at("2024-05-02 00:25"), 0, 1.0, 0.0)], columns=["icao", "scan_time", "rank", "x_km", "y_km"])
+    got = volumes.cell_tracks(spark.createDataFrame(cells)).orderBy("icao", "scan_time").collect()
+    assert [(t["track_id"], t["n_frames"]) for t in got] == [(1, 1), (1, 2), (2, 1), (1, 1)]
