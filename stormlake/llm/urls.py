@@ -1,18 +1,22 @@
 """URL filters as a sort-merge range join, in DataFrame expressions only.
 
 A rule (host, path, verdict) fits its host and all subdomains where the url's path starts with the rule's. A
-url is looked up at each of its host's suffixes that has rules, under the canonical key of reversed host
-labels and path; there a rule is the interval of keys with its own key as prefix. Intervals of one host are
-nested or apart. Rules and urls are sorted together by key, and each rule row carries the stack of rules that
-are open at it; a url takes the stack of the last rule before it, drops those already closed and keeps the
-innermost. Among suffixes the longest rule (host and path) wins, then the longer host.
+url is looked up at each of its host's suffixes that may have rules, under the canonical key of reversed host
+labels and path; there a rule is the interval of keys that begin with its own. Intervals of one host are nested
+or apart, so a sorted sweep over openings, urls and closings keeps the open rules as a stack: the running number
+of open intervals is the stack's height, and what lies at its top is the last rule that was opened at that
+height. Both are window functions over one sort, so no stack is ever built as an array. Among suffixes the longest rule
+(host and path) wins, then the longer host.
 
-A host suffix like ``com`` may hold most urls: its urls are dealt over salts in proportion to their number and
-its rules are copied to each salt, at most one copy for ten urls.
+A host suffix like ``com`` may hold most urls: suffixes of more than HOT_URLS urls, and of more than a share of
+1 / MOST_HOT of them all, are broadcast with a number of salts (at most MOST_HOT rows) before anything is
+shuffled by suffix; their urls are dealt over the salts and their rules copied to each, at most one copy for ten urls.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; only A-Z of a host are lowered;
 ports stay part of the host; equal rules with both verdicts block; without a fitting rule the verdict is the
-default (allow) and the rule null; repeated pages keep their rows; an empty rule table allows all.
+default (allow) and the rule null; repeated pages keep their rows; an empty rule table allows all; very long urls
+are one key like others, compared byte by byte; columns of pages other than page_id and url, and of rules other than host, path
+and verdict, are never read.
 """
 
 from __future__ import annotations
@@ -22,8 +26,10 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Urls of one salt, at least.
-SALT_ROWS = 1000
+#: Urls of a suffix, and of one salt of it, up to which it isn't dealt out; suffixes that are broadcast, at most.
+HOT_URLS, MOST_HOT = 1000, 10_000
+#: Rows of one copy of a page from which its copies are made by several tasks.
+MANY_COPIES = 10_000
 DEFAULT = "allow"
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -41,42 +47,52 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _canonical(host: Column, path: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(" "), path)
-
-
-def _stacks(rules: DataFrame) -> DataFrame:
-    """(suffix, key, stack): each rule with the rules open at it, innermost first."""
-    own = rules.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).withColumn("key", _canonical(F.col("host"), F.col("path")))
-    entry = F.struct(F.length("path").alias("depth"), "key", F.concat("host", "path").alias("rule"), "verdict", F.length("host").alias("host_length"))
-    inner = own.select(F.col("host"), F.col("key").alias("own"), F.explode(F.expr("transform(sequence(0, length(path)), n -> substring(path, 1, n))")).alias("path"))
-    outer = own.select("host", "path", entry.alias("entry"))
-    met = inner.join(outer, ["host", "path"])
-    return met.groupBy("host", "own").agg(F.sort_array(F.collect_list("entry"), asc=False).alias("stack")).select(F.col("host").alias("suffix"), F.col("own").alias("key"), "stack")
+    """Bytes, so that X'FF', which no text has, ends the interval of the keys with this prefix."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(" "), path).cast("binary")
+
+
+def _salted_suffixes(levels: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Levels with their salt, without hot suffixes that have no rule; rules copied to each salt of their suffix."""
+    rules = own.groupBy("suffix").agg(F.count("*").alias("rules"))
+    urls = levels.groupBy("suffix").agg(F.count("*").alias("urls"))
+    total = levels.count()
+    hot = urls.filter(F.col("urls") > max(HOT_URLS, total // MOST_HOT)).join(rules, "suffix", "left")
+    salts = F.ceil(F.col("urls") / F.greatest(F.lit(HOT_URLS), 10 * F.col("rules"))).cast("int")
+    hot = hot.select("suffix", F.coalesce(salts, F.lit(0)).alias("salts"))
+    if (few := rules.limit(MOST_HOT + 1)).count() <= MOST_HOT:
+        levels = levels.join(F.broadcast(few.select("suffix")), "suffix", "left_semi")
+    levels = levels.join(F.broadcast(hot), "suffix", "left").filter("salts IS NULL OR salts > 0")
+    levels = levels.withColumn("salt", F.pmod(F.xxhash64("page_id", "host", "path"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copied = own.join(F.broadcast(hot), "suffix", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.greatest("salts", F.lit(1)), F.lit(1)) - 1))).drop("salts")
+    return levels, copied
 
 
 def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each page."""
     host, path = host_and_path(pages["url"])
     rows = pages.select("page_id", host.alias("host"), path.alias("path")).groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
-    stacks = _stacks(rules.select("host", "path", "verdict"))
+    own = rules.groupBy(F.col("host").alias("suffix"), F.col("path").alias("rule_path")).agg(F.max("verdict").alias("verdict"))
+    own = own.withColumns({"key": _canonical(F.col("suffix"), F.col("rule_path")), "rule": F.struct((F.length("suffix") + F.length("rule_path")).alias("length"), F.length("suffix").alias("host_length"), F.concat("suffix", "rule_path").alias("rule"), "verdict")})
     deepest = rules.agg(F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0))).first()[0]
-    suffixes = F.expr(f"transform(sequence(1, least({max(1, deepest)}, size(split(host, '\\\\.')))), n -> array_join(slice(split(host, '\\\\.'), size(split(host, '\\\\.')) - n + 1, n), '.'))")
-    levels = rows.drop("n").withColumn("suffix", F.explode(suffixes))
-    known = stacks.groupBy("suffix").agg(F.count("*").alias("rules"))
-    levels = levels.join(known, "suffix", "left_semi")
-    salts = levels.groupBy("suffix").agg(F.count("*").alias("urls")).join(known, "suffix")
-    salts = salts.select("suffix", F.ceil(F.col("urls") / F.greatest(F.lit(SALT_ROWS), 10 * F.col("rules"))).cast("int").alias("salts"))
-    urls = levels.join(salts, "suffix").select("suffix", F.pmod(F.xxhash64("page_id", "host", "path"), F.col("salts")).cast("int").alias("salt"), _canonical(F.col("suffix"), F.col("path")).alias("key"), F.lit(1).alias("kind"), F.struct("page_id", "host", "path").alias("page"))
-    opened = stacks.join(salts, "suffix").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("suffix", "salt", "key", F.lit(0).alias("kind"), "stack")
-    swept = urls.unionByName(opened, allowMissingColumns=True)
+    labels = "split(host, '\\\\.')"
+    suffixes = F.expr(f"transform(sequence(1, least({max(1, deepest)}, size({labels}))), n -> array_join(slice({labels}, size({labels}) - n + 1, n), '.'))")
+    levels = rows.select("page_id", "host", "path", F.explode(suffixes).alias("suffix"))
+    levels, opened = _salted_suffixes(levels, own.select("suffix", "key", "rule"))
+    # kinds at one key: a rule opens, urls, a rule closes
+    events = opened.withColumn("event", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.lit(1).alias("step"), "key"), F.struct(F.lit(2).alias("kind"), F.lit(-1).alias("step"), F.concat("key", F.lit(b"\xff")).alias("key")))))
+    events = events.select("suffix", "salt", "event.kind", "event.step", "event.key", F.when(F.col("event.kind") == 0, F.col("rule")).alias("rule"))
+    urls = levels.select("suffix", "salt", F.lit(1).alias("kind"), F.lit(0).alias("step"), _canonical(F.col("suffix"), F.col("path")).alias("key"), F.struct("page_id", "host", "path").alias("page"))
     sweep = Window.partitionBy("suffix", "salt").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = swept.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1")
-    best = F.filter("open", lambda r: F.startswith(F.col("key"), r["key"]))
-    swept = swept.withColumn("r", F.get(best, F.lit(0))).filter("r IS NOT NULL")
-    hits = swept.select("page.*", F.struct((F.col("r.host_length") + F.col("r.depth")).alias("length"), F.col("r.host_length").alias("host_length"), F.col("r.rule").alias("rule"), F.col("r.verdict").alias("verdict")).alias("hit"))
+    swept = events.unionByName(urls, allowMissingColumns=True).withColumn("height", F.sum("step").over(sweep))
+    top = Window.partitionBy("suffix", "salt", "height").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = swept.filter("kind < 2").withColumn("hit", F.last("rule", ignorenulls=True).over(top)).filter("kind = 1 AND height > 0")
+    hits = swept.select("page.*", "hit")
     judged = rows.unionByName(hits, allowMissingColumns=True).groupBy("page_id", "host", "path").agg(F.sum("n").alias("n"), F.max("hit").alias("hit"))
-    judged = judged.withColumn("again", F.explode(F.expr("array_repeat(0, cast(n as int))")))
-    return judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"))
+    judged = judged.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", F.lit(default)).alias("verdict"), "n")
+    once = judged.filter(F.col("n") <= MANY_COPIES).withColumn("again", F.explode(F.expr("array_repeat(0, cast(n as int))")))
+    many = judged.filter(F.col("n") > MANY_COPIES).withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 1) div {MANY_COPIES})"))).repartition("page_id", "host", "path", "part")
+    many = many.withColumn("again", F.explode(F.expr(f"array_repeat(0, cast(least({MANY_COPIES}, n - part * {MANY_COPIES}) as int))"))).drop("part")
+    return once.unionByName(many).drop("n", "again")
 
 
 ORACLE = r"""
