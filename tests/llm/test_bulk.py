@@ -1,0 +1,67 @@
+"""Hot keys, large numbers and long texts of the training-data operators, against brute force."""
+
+from __future__ import annotations
+
+import collections
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from stormlake.llm import mixing, urls
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+# 3
+
+
+def test_hot_suffixes_and_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(urls, "HOT_URLS", 20)
+    monkeypatch.setattr(urls, "MANY_COPIES", 7)
+    rng = random.Random(8)
+    rules = [("com", "/a", "block"), ("com", "/ab", "allow"), ("com", "/abc/", "block"), ("x.com", "", "allow"), ("x.com", "/b", "block"), ("org", "/\U0010ffff", "block"), ("com", "/a", "allow")]
+    hosts = ["com", "x.com", "y.x.com", "net", "org", "xcom"]
+    said = [f"http://{rng.choice(hosts)}/" + "".join(rng.choices("abc/\U0010ffff", k=rng.randint(0, 5))) for _ in range(500)] + ["http://x.com/b1"] * 40 + ["http://com/" + "a" * 300_000]
+    pages = spark.createDataFrame([(i if i < 500 else 500, u) for i, u in enumerate(said)], "page_id long, url string").repartition(3)
+    got = collections.Counter((r["page_id"], r["rule"], r["verdict"]) for r in urls.judge(pages, urls.rule_table(spark, rules)).collect())
+    want = collections.Counter()
+    for i, u in enumerate(said):
+        host, _, path = u[7:].partition("/")
+        fit = [(len(h + p), len(h), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        want[(min(i, 500), *max(fit, default=(0, 0, None, "allow"))[2:])] += 1
+    assert got == want
+
+
+# 5
+
+
+@pytest.mark.parametrize("bucket_rows", [100_000, 7])
+def test_systematic_sampling_against_brute_force(spark, monkeypatch, bucket_rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", bucket_rows)
+    rng = random.Random(4)
+    docs = [(i, "w " * rng.choice([0, 1, 5, 30, 400]), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(150)] + [(None, "x y", "a"), (None, "x y", "a")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    salts = -(-len(docs) // bucket_rows)
+    keyed = mixing.sized(frame).select("doc_id", "source", F.col("__size").alias("size"), F.col("__tie").alias("tie"), F.pmod(F.xxhash64("doc_id", "__size", "__tie"), F.lit(salts)).alias("salt")).collect()
+    size = collections.Counter()
+    for r in keyed:
+        assert r["size"] == 0 or r["source"] in ("a", "b", "c", None)
+        size[r["source"]] += r["size"]
+    goal = mixing.targets(list(size.items()))
+    want = collections.Counter()
+    for source in size:
+        rows = sorted((r for r in keyed if r["source"] == source), key=lambda r: (int(4 * __import__("math").log2(r["size"] + 1)), r["salt"], r["size"], r["doc_id"] is not None, r["doc_id"] or 0, r["tie"]))
+        each, at = round(goal[source] / size[source] * mixing.UNIT), mixing._offset(source, mixing.SEED)
+        for r in rows:
+            want[r["doc_id"], r["size"], (at + each) // mixing.UNIT - at // mixing.UNIT] += 1
+            at += each
+    assert collections.Counter((r["doc_id"], r["size"], r["copies"]) for r in mixing.mix_report(frame).collect()) == want
+
+
+def test_starts_of_large_sources_do_not_overflow(spark):
+    cases = [(before, each, offset) for before in (0, 2**31, 7 * 10**17) for each in (0, mixing.UNIT, 3 * mixing.UNIT, 3 * mixing.UNIT - 1, 12_345_678_901) for offset in (0, mixing.UNIT - 1)]
+    rows = spark.createDataFrame(cases, "before long, each long, offset long")
+    for r in rows.withColumn("got", mixing.fraction(F.col("before"), F.col("each"), F.col("offset"))).collect():
+        assert r["got"] == (r["before"] * r["each"] + r["offset"]) % mixing.UNIT
