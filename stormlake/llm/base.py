@@ -17,16 +17,35 @@ SEPARATORS = r"[\x20\x09-\x0D]+"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
+#: Tables that this process wrote with ``stored`` and hasn't deleted, by name.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (tests)."""
+    """The folder that driver and executors share; in local mode (tests) a temporary one where the session names none."""
     sc = spark.sparkContext
     named = sc.getConf().get(CHECKPOINT_DIR) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the executors share")
         named = tempfile.mkdtemp(prefix="stormlake-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def _store(spark: SparkSession, path: str):  # noqa: ANN202
+    """(file system, path) of the JVM."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _until_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver ends."""
+    store, found = _store(spark, path)
+    store.mkdirs(found)
+    store.deleteOnExit(found)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -40,31 +59,37 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write to a table of the shared folder and read it again: compressed, for rows with texts."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write to a table of the shared folder and read it again: compressed, for rows with texts. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _until_exit(spark, path)
+    _WRITTEN.setdefault(name, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(name: str, unless: DataFrame) -> None:
-    """Delete tables that ``stored`` has written under a name, but for those that a DataFrame still reads."""
-    spark = unless.sparkSession
+    """Delete the tables that this process has ``stored`` under a name, but for those that a DataFrame still reads."""
     read = unless.inputFiles()
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-*")
-    store = pattern.getFileSystem(conf)
-    for found in store.globStatus(pattern) or ():
-        path = found.getPath()
-        if not any(path.toUri().getPath() in x for x in read):
-            store.delete(path, True)
+    kept = []
+    for path in _WRITTEN.pop(name, []):
+        if any(urlparse(path).path in x for x in read):
+            kept.append(path)
+        else:
+            store, found = _store(unless.sparkSession, path)
+            store.delete(found, True)
+    if kept:
+        _WRITTEN[name] = kept
 
 
 def mounted_dir(spark: SparkSession, name: str) -> str:
-    """A new folder of the shared one as a path that workers can map into memory."""
+    """A new folder of the shared one as a path that workers can map into memory. It goes when the driver ends."""
     url = urlparse(shared_dir(spark))
     if url.scheme not in ("", "file"):
         raise ValueError(f"{CHECKPOINT_DIR} must be a mounted folder to map arrays from it: {url.scheme}")
-    return f"{url.path}/{name}-{uuid.uuid4().hex}"
+    path = f"{url.path}/{name}-{uuid.uuid4().hex}"
+    _until_exit(spark, f"file://{path}")
+    return path
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:

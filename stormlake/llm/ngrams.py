@@ -1,14 +1,18 @@
 """Language-model scoring: an interpolated modified Kneser-Ney n-gram model.
 
-N-grams are counted in Spark: tasks send each other packed runs of distinct n-grams by hash range, and each range
-writes its sorted hash arrays into the shared folder. Counts of order n are raw, those below are numbers of distinct
-words before; both come from one chain of shuffles, n to 1. Workers map the arrays into memory and score texts.
+Words are counted first; each gets an id, small for frequent words. N-grams are then counted in Spark: tasks send each
+other packed runs of distinct n-grams of ids by hash range, and each range writes its sorted hash arrays into the
+shared folder. Counts of order n are raw, those below are numbers of distinct words before; both come from one chain
+of shuffles, n to 1. Workers map the arrays into memory and score texts.
 
-A word is 48 bits of its hash, an n-gram's key 24 bits of its context's hash and 40 of its own. Words of over a
-thousandth of all tokens, at most 1000, are dealt over 64 ranges as contexts, so that one word can't fill a range.
+An n-gram's range is its context's, so that the words after one context meet. Words of over a thousandth of all
+tokens, fewer than 1000, are dealt over 64 ranges as contexts, so that one word can't fill a range. A run goes to one of at
+most FANOUT groups of ranges; beyond so many ranges a second step deals each group to its own ranges, so a task never
+writes more than FANOUT runs at once, whatever the size of the corpus.
 
 Defined cases: null and empty texts have one token, the end; ids that are null count as training rows; repeated
-rows count and are scored each; without training tokens every word has the same probability; other columns are
+rows count and are scored each; a very long text is tokenised alone and takes memory in proportion to its length;
+without training tokens every word has the same probability; other columns are
 never read.
 """
 
@@ -23,17 +27,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlake.llm.arrays import Sorted, edges, least_type, save
-from stormlake.llm.base import mounted_dir
+from stormlake.llm.arrays import Sorted, range_of, save
+from stormlake.llm.base import checkpointed, mounted_dir
 from stormlake.llm.bytesof import chunks, lower_table, mix, words
 
 ORDER = 3
 #: Characters of training text for each hash range; tokens packed at once by a task; bytes of text scored at once.
-RANGE_CHARS, PACK_TOKENS, SCORE_BYTES = 12_000_000, 2_000_000, 1 << 21
+RANGE_CHARS, PACK_TOKENS, SCORE_BYTES = 12_000_000, 1_500_000, 1 << 22
 HEAVY_SHARE, SPLIT = 1e-3, 64
-BEGIN, END = np.uint64(0), np.uint64(1)
+#: Runs that a task writes at once, at most.
+FANOUT = 4096
+#: Ids: what stands before a text, and words that training never saw. The end of a text is a word.
+BEGIN, UNKNOWN = np.uint64(0), np.uint64((1 << 48) - 1)
+END = np.uint64(1)
 _U = np.uint64
-_LOW40 = _U((1 << 40) - 1)
 
 
 class Model(NamedTuple):
@@ -51,7 +58,7 @@ class Model(NamedTuple):
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, word) of all tokens of a group of texts, each text closed by END."""
+    """(doc, hash of 48 bits) of all tokens of a group of texts, each text closed by END."""
     found = words(data, offsets, lower_table())
     n = len(offsets) - 1
     place = np.arange(len(found.doc)) + found.doc
@@ -78,38 +85,58 @@ def _fold(rows: np.ndarray) -> np.ndarray:
     return key
 
 
-def contexts(rows: np.ndarray) -> np.ndarray:
-    """Keys of the words before the last."""
-    return _fold(rows[:, :-1])
-
-
-def keys(rows: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Keys of n-grams; an order-1 gram's is its own hash."""
-    if rows.shape[1] == 1:
-        return _fold(rows)
-    top = contexts(rows)
-    if rows.shape[1] == 2 and len(heavy):
-        place = np.minimum(np.searchsorted(heavy, rows[:, 0]), len(heavy) - 1)
-        often = heavy[place] == rows[:, 0]
-        top = np.where(often, mix(top + (rows[:, 1] % _U(SPLIT) + _U(1)) * _U(0x9E3779B97F4A7C15)), top)
-    return (top & ~_LOW40) | (_fold(rows) & _LOW40)
-
-
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _often(rows: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which n-grams are pairs that begin with a heavy word."""
+    if rows.shape[1] != 2 or not len(heavy):
+        return np.zeros(len(rows), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, rows[:, 0]), len(heavy) - 1)] == rows[:, 0]
+
+
+def ranges(rows: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
+    """Range of each n-gram: its context's, for heavy words one of 64; a single word's own."""
+    top = _fold(rows[:, :-1] if rows.shape[1] > 1 else rows)
+    often = np.flatnonzero(_often(rows, heavy))
+    if len(often):
+        top[often] = mix(top[often] + (rows[often, 1] % _U(SPLIT) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    return range_of(top, buckets)
+
+
+def _squeeze(columns: list[np.ndarray]) -> bytes:
+    """Columns of whole numbers as their bytes of equal place, compressed together."""
+    parts = [np.array([len(columns[0])], "<u8").tobytes()]
+    for x in columns:
+        width = max(1, -(-int(x.max() if len(x) else 0).bit_length() // 8))
+        parts += [bytes([width]), np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    raw = b"".join(parts)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(raw, asbytes=True)
+
+
+def _expand(data: bytes, columns: int) -> list[np.ndarray]:
+    raw = pa.Codec("zstd").decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
+    for _ in range(columns):
+        width = raw[at]
+        held = np.zeros((n, 8), np.uint8)
+        held[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
+        out.append(held.reshape(-1).view("<u8"))
+        at += 1 + n * width
+    return out
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    held = np.zeros((len(raw) // 6, 8), np.uint8)
-    held[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return held.view("<u8").reshape(-1).astype(np.uint64)
+#: A run for a range; or, under a negative number, sums: of a level, or of a heavy word where one is named.
+SUMS = [f"s{i}" for i in range(8)]
+PACKED = "bucket int, data binary, level int, word long, " + ", ".join(f"{x} long" for x in SUMS)
+_NAMES = [x.split()[0] for x in PACKED.split(", ")]
+_TYPES = [pa.int32(), pa.binary(), pa.int32(), *[pa.int64()] * 9]
 
 
-PACKED = "bucket int, first binary, runs binary, rest binary, counts binary"
+def _rows(bucket: list, data: list, level: list, word: list, sums: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((bucket, data, level, word, *(sums[:, i] if len(sums) else [None] * len(bucket) for i in range(len(SUMS)))), _TYPES, strict=True)], names=_NAMES)
 
 
-def _distinct(rows: np.ndarray, counts: np.ndarray | None, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, rows, counts) of distinct n-grams, by key."""
+def _distinct(rows: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, rows, counts) of distinct n-grams, by hash."""
+    key = _fold(rows)
     order = np.argsort(key)
     ranked = key[order]
     new = np.ones(len(ranked), bool)
@@ -119,55 +146,104 @@ def _distinct(rows: np.ndarray, counts: np.ndarray | None, key: np.ndarray) -> t
     return ranked[at], rows[order[at]], total.astype(np.int64)
 
 
-def _pack(key: np.ndarray, rows: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Rows sorted by key as one packed run for each range; the first words are run-length coded."""
-    cuts = np.append(np.searchsorted(key, edges(buckets)), len(key))
-    out: list[list] = [[] for _ in range(5)]
-    for bucket, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        if j == i:
-            continue
-        some = rows[i:j]
-        order = np.argsort(some[:, 0], kind="stable")
-        some, n = some[order], counts[i:j][order]
-        new = np.ones(len(some), bool)
-        new[1:] = some[1:, 0] != some[:-1, 0]
-        at = np.flatnonzero(new)
-        for held, x in zip(out, (bucket, _six(some[at, 0]), np.diff(np.append(at, len(some))).astype(np.uint32).tobytes(), b"".join(_six(some[:, c]) for c in range(1, some.shape[1])), n.astype(np.uint32).tobytes()), strict=True):
-            held.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *[pa.array(x, pa.binary()) for x in out[1:]]], names=[x.split()[0] for x in PACKED.split(", ")])
-
-
-def _unpack(table: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    rows, counts = [], []
-    for first, runs, rest, n in zip(*(table.column(c).to_pylist() for c in ("first", "runs", "rest", "counts")), strict=True):
-        own = np.frombuffer(n, np.uint32)
-        some = np.empty((len(own), order), np.uint64)
-        some[:, 0] = np.repeat(_from_six(first), np.frombuffer(runs, np.uint32))
-        for c in range(1, order):
-            some[:, c] = _from_six(rest[(c - 1) * 6 * len(own) : c * 6 * len(own)])
-        rows.append(some)
-        counts.append(own.astype(np.int64))
+def _pack(rows: np.ndarray, counts: np.ndarray, group: np.ndarray) -> pa.RecordBatch:
+    """One packed run for each group, in an order that compresses well."""
+    shift = _U(max(0, int(rows.max() if rows.size else 0).bit_length() - 25))
+    order = np.argsort((group.astype(np.uint64) << _U(50)) | (rows[:, 0] >> shift << _U(25)) | (rows[:, 1 if rows.shape[1] > 1 else 0] >> shift), kind="stable")
+    rows, counts, group = rows[order], counts[order], group[order]
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    data = [_squeeze([*(rows[i:j, c] for c in range(rows.shape[1])), counts[i:j]]) for i, j in zip(starts, np.append(starts, len(group))[1:], strict=True)]
+    none = [None] * len(starts)
+    return _rows(group[starts].tolist(), data, none, none, np.zeros((0, 8)))
+
+
+def _unpack(runs: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    rows, counts = [np.zeros((0, order), np.uint64)], [np.zeros(0, np.int64)]
+    for run in runs:
+        if run:
+            *some, n = _expand(run, order + 1)
+            rows.append(np.column_stack(some).astype(np.uint64, copy=False))
+            counts.append(n.astype(np.int64))
     return np.concatenate(rows), np.concatenate(counts)
 
 
-def _counted(texts: DataFrame, order: int, buckets: int, heavy: np.ndarray) -> DataFrame:
-    """Packed runs of the n-grams of a column of texts."""
+class _Dealer:
+    """Where runs go: to ranges at once if these are few, else to groups of ranges and from there to ranges."""
+
+    def __init__(self, buckets: int, heavy: np.ndarray):
+        self.buckets, self.heavy, self.width = buckets, heavy, -(-buckets // FANOUT)
+
+    def pack(self, rows: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return _pack(rows, counts, ranges(rows, self.buckets, self.heavy) // self.width)
+
+    def dealt(self, runs: DataFrame, order: int) -> DataFrame:
+        if self.width == 1:
+            return runs
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            group, held, size = None, [], 0
+
+            def flush() -> pa.RecordBatch:
+                _, rows, counts = _distinct(*_unpack(held, order))
+                return _pack(rows, counts, ranges(rows, self.buckets, self.heavy))
+
+            for batch in batches:
+                sums = batch.filter(pa.compute.less(batch.column(0), 0))
+                if sums.num_rows:
+                    yield sums
+                for name, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if name < 0:
+                        continue
+                    if held and (name != group or size >= 8 * PACK_TOKENS):
+                        yield flush()
+                        held, size = [], 0
+                    group = name
+                    held.append(run)
+                    size += len(run)
+            if held:
+                yield flush()
+
+        return runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(each, PACKED)
+
+    def grouped(self, runs: DataFrame, order: int):
+        """Runs by range; every range has one, if an empty one."""
+        none = ", ".join(f"CAST(NULL AS {x.split()[1]}) AS {x.split()[0]}" for x in PACKED.split(", ")[1:]).replace("AS long)", "AS bigint)")
+        every = runs.sparkSession.range(self.buckets, numPartitions=max(1, self.buckets // 10_000)).selectExpr("CAST(id AS int) AS bucket", *none.split(", "))
+        return self.dealt(runs, order).unionByName(every).groupBy("bucket")
+
+
+def _ids(vocabulary: Sorted, buckets: int, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(count, id) of words given by their hashes."""
+    names, place = np.unique(word, return_inverse=True)
+    rows = names[:, None]
+    count, ids = vocabulary.find(ranges(rows, buckets, np.zeros(0, np.uint64)), _fold(rows), int(UNKNOWN))
+    return count[place], ids[place]
+
+
+def _counted(texts: DataFrame, order: int, dealer: _Dealer, vocabulary: str | None) -> DataFrame:
+    """Packed runs of the n-grams of a column of texts; of word hashes without a vocabulary, else of ids."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        known = Sorted(vocabulary) if vocabulary else None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = docs = 0
 
         def flush() -> pa.RecordBatch:
-            rows = np.concatenate(held)
-            return _pack(*_distinct(rows, None, keys(rows, heavy)), buckets)
+            doc, word = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if known is not None:
+                word = _ids(known, dealer.buckets, word)[1]
+            _, rows, counts = _distinct(grams(doc, word, order), None)
+            return dealer.pack(rows, counts)
 
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                held.append(grams(*tokens(data, offsets), order))
-                size += len(held[-1])
+            for lo, hi, data, offsets in chunks(batch.column(0)):
+                doc, word = tokens(data, offsets)
+                held.append((doc + docs, word))
+                docs += hi - lo
+                size += len(word)
                 if size >= PACK_TOKENS:
                     yield flush()
-                    held.clear()
                     size = 0
         if held:
             yield flush()
@@ -175,39 +251,38 @@ def _counted(texts: DataFrame, order: int, buckets: int, heavy: np.ndarray) -> D
     return texts.mapInArrow(each, PACKED)
 
 
-def _by_context(rows: np.ndarray, counts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_context(counts: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct keys, (total, once, twice, more)) of the counts under each key."""
     names, place = np.unique(key, return_inverse=True)
     of = lambda x: np.bincount(place, weights=x, minlength=len(names)).astype(np.int64)
     return names, np.stack([of(counts), of(counts == 1), of(counts == 2), of(counts > 2)], axis=1)
 
 
-STATS = "bucket int, level int, data binary"
-
-
-def _level(order: int, folder: str, buckets: int, heavy: np.ndarray):
+def _level(order: int, folder: str, dealer: _Dealer):
     """What a range does with the n-grams of one order: write its arrays, then send on the grams without first word."""
 
     def each(key: tuple, table: pa.Table) -> pa.Table:
         bucket = key[0].as_py()
-        rows, counts = _unpack(table, order)
-        name, rows, counts = _distinct(rows, counts, keys(rows, heavy))
-        save(f"{folder}/{order}", f"values-{bucket}", least_type(counts))
-        save(f"{folder}/{order}", f"keys-{bucket}", name)
+        if bucket < 0:
+            return table
+        rows, counts = _unpack(table.column("data").to_pylist(), order)
+        name, rows, counts = _distinct(rows, counts)
+        save(f"{folder}/{order}", bucket, name, counts)
         held = np.bincount(np.minimum(counts, 5), minlength=6)[1:5]
-        save(f"{folder}/{order}", f"stats-{bucket}", np.append(held, [counts.sum(), len(counts), (counts == 1).sum(), (counts == 2).sum(), (counts > 2).sum()]).astype(np.int64))
-        if order == 1:
-            return pa.table({k: pa.array([], t) for k, t in zip([x.split()[0] for x in PACKED.split(", ")], [pa.int32(), *[pa.binary()] * 4], strict=True)})
-        often = np.zeros(len(rows), bool)
-        if order == 2 and len(heavy):
-            often = heavy[np.minimum(np.searchsorted(heavy, rows[:, 0]), len(heavy) - 1)] == rows[:, 0]
-            word, sums = _by_context(rows[often], counts[often], rows[often, 0])
-            save(f"{folder}/{order}", f"heavy-{bucket}", np.column_stack([word.astype(np.int64), sums]))
-        before, sums = _by_context(rows[~often], counts[~often], contexts(rows[~often]))
-        save(f"{folder}/{order}c", f"values-{bucket}", least_type(sums))
-        save(f"{folder}/{order}c", f"keys-{bucket}", before)
-        rest = rows[:, 1:]
-        return pa.Table.from_batches([_pack(*_distinct(rest, None, keys(rest, heavy)), buckets)])
+        sums = [np.append(held, [counts.sum(), (counts == 1).sum(), (counts == 2).sum(), (counts > 2).sum()])]
+        word: list[int | None] = [None]
+        out = []
+        if order > 1:
+            often = _often(rows, dealer.heavy)
+            heavy, of = _by_context(counts[often], rows[often, 0])
+            word += heavy.astype(np.int64).tolist()
+            sums += [np.append(x, [0] * 4) for x in of]
+            before, of = _by_context(counts[~often], mix(_fold(rows[~often, :-1])))
+            save(f"{folder}/{order}c", bucket, before, of)
+            _, rest, counts = _distinct(rows[:, 1:], None)
+            out.append(dealer.pack(rest, counts))
+        out.append(_rows([-1 - bucket] * len(sums), [None] * len(sums), [order] * len(sums), word, np.array(sums)))
+        return pa.Table.from_batches(out)
 
     return each
 
@@ -230,42 +305,37 @@ def train(docs: DataFrame, usable: Column, order: int = ORDER) -> Model:
     texts = docs.filter(usable).select(F.coalesce("text", F.lit("")).alias("text"))
     chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     buckets = max(12, -(-chars // RANGE_CHARS))
-    none = np.zeros(0, np.uint64)
+    plain = _Dealer(buckets, np.zeros(0, np.uint64))
 
     def base(key: tuple, table: pa.Table) -> pa.Table:
-        rows, counts = _unpack(table, 1)
-        name, rows, counts = _distinct(rows, counts, keys(rows, none))
         bucket = key[0].as_py()
-        save(f"{folder}/0", f"values-{bucket}", least_type(counts))
-        save(f"{folder}/0", f"keys-{bucket}", name)
-        often = counts >= max(2, counts.sum() * HEAVY_SHARE)
-        return pa.table({"total": [int(counts.sum())], "distinct": [len(counts)], "heavy": pa.array([rows[often, 0].astype(np.int64)], pa.list_(pa.int64())), "counts": pa.array([counts[often]], pa.list_(pa.int64()))})
-
-    found = _counted(texts, 1, buckets, none).groupBy("bucket").applyInArrow(base, "total long, distinct long, heavy array<long>, counts array<long>").collect()
-    total, distinct = sum(r["total"] for r in found), sum(r["distinct"] for r in found)
-    heavy = np.array(sorted(w for r in found for w, n in zip(r["heavy"], r["counts"], strict=True) if n > HEAVY_SHARE * total), np.uint64)
-    heavy = np.unique(np.append(heavy, BEGIN)) if total else none
-    rows = _counted(texts, order, buckets, heavy)
+        name, rows, counts = _distinct(*_unpack(table.column("data").to_pylist(), 1))
+        rank = np.empty(len(counts), np.int64)
+        rank[np.lexsort((name, -counts))] = np.arange(len(counts))
+        ids = (rank * buckets + bucket + 1).astype(np.uint64)
+        save(f"{folder}/0", bucket, name, counts, ids)
+        often = counts > counts.sum() * HEAVY_SHARE
+        return pa.table({"word": pa.array([None, *ids[often].tolist()], pa.int64()), "n": [int(counts.sum()), *counts[often].tolist()], "distinct": [len(counts), *[0] * int(often.sum())]})
+
+    found = checkpointed(plain.grouped(_counted(texts, 1, plain, None), 1).applyInArrow(base, "word long, n long, distinct long"))
+    total, distinct = found.filter("word IS NULL").agg(F.sum("n"), F.sum("distinct")).first()
+    # fewer than 1 / HEAVY_SHARE words
+    heavy = np.array(sorted(r["word"] for r in found.filter(F.col("word").isNotNull() & (F.col("n") > HEAVY_SHARE * total)).collect()), np.uint64)
+    dealer = _Dealer(buckets, np.unique(np.append(heavy, BEGIN)) if total else heavy)
+    heavy = dealer.heavy
+    rows = _counted(texts, order, dealer, f"{folder}/0")
     for level in range(order, 0, -1):
-        rows = rows.groupBy("bucket").applyInArrow(_level(level, folder, buckets, heavy), PACKED)
-    rows.agg(F.count("*")).collect()
-    stats = [sum([np.zeros(9, np.int64), *_held(folder, level, "stats", buckets)]) for level in range(1, order + 1)]
-    sums = np.zeros((len(heavy), 4), np.int64)
-    for part in _held(folder, 2, "heavy", buckets):
-        np.add.at(sums, np.searchsorted(heavy, part[:, 0].astype(np.uint64)), part[:, 1:])
-    bottom = tuple(int(stats[0][i]) for i in (4, 6, 7, 8))
-    return Model(folder, order, buckets, total, distinct, [_discounts(*map(int, s[:4])) for s in stats], bottom, heavy, sums)
-
-
-def _held(folder: str, level: int, name: str, buckets: int) -> list[np.ndarray]:
-    from pathlib import Path
-
-    return [np.load(p) for b in range(buckets) if (p := Path(f"{folder}/{level}/{name}-{b}.npy")).exists()]
+        rows = dealer.grouped(rows, level).applyInArrow(_level(level, folder, dealer), PACKED)
+    # a row for each level and for each heavy word
+    held = {(r["level"], r["word"]): [r[x] for x in SUMS] for r in rows.groupBy("level", "word").agg(*[F.sum(x).alias(x) for x in SUMS]).filter("level IS NOT NULL").collect()}
+    stats = [held[level, None] for level in range(1, order + 1)]
+    sums = np.array([held.get((2, int(w)), [0] * 8)[:4] for w in heavy], np.int64).reshape(-1, 4)
+    return Model(folder, order, buckets, total, distinct, [_discounts(*s[:4]) for s in stats], tuple(stats[0][4:]), heavy, sums)
 
 
 @lru_cache(maxsize=1)
-def _opened(folder: str, buckets: int, order: int) -> tuple[list[Sorted], dict[int, Sorted]]:
-    return [Sorted(f"{folder}/{m}", buckets) for m in range(order + 1)], {m: Sorted(f"{folder}/{m}c", buckets, 4) for m in range(2, order + 1)}
+def _opened(folder: str, order: int) -> tuple[list[Sorted], dict[int, Sorted]]:
+    return [Sorted(f"{folder}/{m}") for m in range(order + 1)], {m: Sorted(f"{folder}/{m}c", 4) for m in range(2, order + 1)}
 
 
 def _taken(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndarray:
@@ -273,15 +343,16 @@ def _taken(counts: np.ndarray, discounts: tuple[float, float, float]) -> np.ndar
 
 
 def probabilities(model: Model, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probability, training count) of each token."""
-    tables, before = _opened(model.folder, model.buckets, model.order)
+    """(probability, training count) of each token, given by its hash."""
+    tables, before = _opened(model.folder, model.order)
+    count, word = _ids(tables[0], model.buckets, word)
     names, place = np.unique(word, return_inverse=True)
-    one = keys(names[:, None], model.heavy)
-    count = tables[0].find(one)
+    one = names[:, None]
     uniform = 1.0 / (model.vocabulary + 1)
     total, *seen = model.bottom
     if total:
-        p = (_taken(tables[1].find(one), model.discounts[0]) + np.dot(seen, model.discounts[0]) * uniform) / total
+        found, _ = tables[1].find(ranges(one, model.buckets, model.heavy), _fold(one))
+        p = (_taken(found, model.discounts[0]) + np.dot(seen, model.discounts[0]) * uniform) / total
     else:
         p = np.full(len(names), uniform)
     p = p[place]
@@ -289,20 +360,23 @@ def probabilities(model: Model, doc: np.ndarray, word: np.ndarray) -> tuple[np.n
     for m in range(2, model.order + 1):
         some = rows[:, model.order - m :]
         d = model.discounts[m - 1]
+        top = _fold(some[:, :-1])
         if m == 2:
-            history, back = np.unique(some[:, 0], return_inverse=True)
-            sums = before[2].find(contexts(np.column_stack([history, history])))
+            history, once, back = np.unique(some[:, 0], return_index=True, return_inverse=True)
+            sums, _ = before[2].find(range_of(top[once], model.buckets), mix(top[once]))
             if len(model.heavy):
                 at = np.minimum(np.searchsorted(model.heavy, history), len(model.heavy) - 1)
                 often = model.heavy[at] == history
                 sums[often] = model.heavy_contexts[at[often]]
             sums = sums[back]
         else:
-            sums = before[m].find(contexts(some))
-        taken = _taken(tables[m].find(keys(some, model.heavy)), d)
-        known = sums[:, 0] > 0
-        p[known] = (taken[known] + sums[known, 1:] @ np.array(d) * p[known]) / sums[known, 0]
-    return p, count[place]
+            sums, _ = before[m].find(range_of(top, model.buckets), mix(top))
+        # a context that was never seen has no words after it
+        known = np.flatnonzero(sums[:, 0])
+        sums, some = sums[known], some[known]
+        found, _ = tables[m].find(ranges(some, model.buckets, model.heavy), _fold(some))
+        p[known] = (_taken(found, d) + sums[:, 1:] @ np.array(d) * p[known]) / sums[:, 0]
+    return p, count
 
 
 SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -6,10 +6,12 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stormlake.llm import mixing, urls
+from stormlake.llm import arrays, base, mixing, ngrams, urls
+from tests.llm.brute import brute_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -65,3 +67,48 @@ def test_starts_of_large_sources_do_not_overflow(spark):
     rows = spark.createDataFrame(cases, "before long, each long, offset long")
     for r in rows.withColumn("got", mixing.fraction(F.col("before"), F.col("each"), F.col("offset"))).collect():
         assert r["got"] == (r["before"] * r["each"] + r["offset"]) % mixing.UNIT
+
+
+# 8
+
+
+def test_arrays_find_what_was_saved(tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 70_000):
+        key = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        values = rng.integers(0, 300, (len(key), 4)) ** rng.integers(1, 4, (len(key), 4))
+        arrays.save(str(tmp_path), n, key, values, np.arange(len(key), dtype=np.uint64))
+        table = arrays.Sorted(str(tmp_path), 4)
+        other = rng.integers(0, 1 << 64, 1000, dtype=np.uint64)
+        asked = np.concatenate([key, other])
+        got, ids = table.find(np.full(len(asked), n), asked, 7)
+        assert (got[: len(key)] == values).all() and not got[len(key) :].any() and (ids[: len(key)] == np.arange(len(key))).all() and (ids[len(key) :] == 7).all()
+    with pytest.raises(FileNotFoundError):
+        table.find(np.array([4]), np.array([1], np.uint64))
+
+
+@pytest.mark.parametrize("fanout", [4096, 3])
+def test_runs_dealt_in_two_steps_give_the_same_model(spark, monkeypatch, fanout):
+    rng = random.Random(9)
+    texts = ["the " * 40 + " ".join("".join(rng.choices("abcd", k=rng.randint(1, 3))) for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(ngrams, "FANOUT", fanout)
+    model = ngrams.train(docs, F.lit(True), 4)
+    assert model.buckets == 12
+    _, _, score = brute_model(texts, 4)
+    for r in ngrams.score(docs, model).collect():
+        assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9
+
+
+# shared folder
+
+
+def test_discard_deletes_what_this_process_wrote_and_nothing_else(spark, tmp_path):
+    folder = base.shared_dir(spark)
+    other = f"{folder}/kept-0123"
+    spark.range(3).write.parquet(other)
+    first, second = base.stored(spark.range(3), "kept"), base.stored(spark.range(4), "kept")
+    base.discard("kept", unless=second)
+    assert second.count() == 4 and spark.read.parquet(other).count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        first.count()
