@@ -78,10 +78,15 @@ def grams(doc: np.ndarray, word: np.ndarray, order: int) -> np.ndarray:
     return out
 
 
+def _next(key: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of an n-gram from its context's."""
+    return mix(key * _U(0xD6E8FEB86659FD93) + word)
+
+
 def _fold(rows: np.ndarray) -> np.ndarray:
-    key = np.full(len(rows), rows.shape[1] + 0x51ED270B, np.uint64)
+    key = np.full(len(rows), 0x51ED270B, np.uint64)
     for i in range(rows.shape[1]):
-        key = mix(key * _U(0xD6E8FEB86659FD93) + rows[:, i])
+        key = _next(key, rows[:, i])
     return key
 
 
@@ -92,11 +97,17 @@ def _often(rows: np.ndarray, heavy: np.ndarray) -> np.ndarray:
     return heavy[np.minimum(np.searchsorted(heavy, rows[:, 0]), len(heavy) - 1)] == rows[:, 0]
 
 
-def ranges(rows: np.ndarray, buckets: int, heavy: np.ndarray) -> np.ndarray:
-    """Range of each n-gram: its context's, for heavy words one of 64; a single word's own."""
-    top = _fold(rows[:, :-1] if rows.shape[1] > 1 else rows)
+def ranges(rows: np.ndarray, buckets: int, heavy: np.ndarray, top: np.ndarray | None = None) -> np.ndarray:
+    """Range of each n-gram: its context's, for heavy words one of 64; a single word's own. top: hashes of the contexts, or
+    of single words, where they are known."""
+    if top is None:
+        top = _fold(rows[:, :-1] if rows.shape[1] > 1 else rows)
+    if rows.shape[1] == 1:
+        # not the first bits of the hash that orders the range
+        return range_of(mix(top), buckets)
     often = np.flatnonzero(_often(rows, heavy))
     if len(often):
+        top = top.copy()
         top[often] = mix(top[often] + (rows[often, 1] % _U(SPLIT) + _U(1)) * _U(0x9E3779B97F4A7C15))
     return range_of(top, buckets)
 
@@ -216,7 +227,8 @@ def _ids(vocabulary: Sorted, buckets: int, word: np.ndarray) -> tuple[np.ndarray
     """(count, id) of words given by their hashes."""
     names, place = np.unique(word, return_inverse=True)
     rows = names[:, None]
-    count, ids = vocabulary.find(ranges(rows, buckets, np.zeros(0, np.uint64)), _fold(rows), int(UNKNOWN))
+    key = _fold(rows)
+    count, ids = vocabulary.find(ranges(rows, buckets, np.zeros(0, np.uint64), key), key, int(UNKNOWN))
     return count[place], ids[place]
 
 
@@ -348,10 +360,11 @@ def probabilities(model: Model, doc: np.ndarray, word: np.ndarray) -> tuple[np.n
     count, word = _ids(tables[0], model.buckets, word)
     names, place = np.unique(word, return_inverse=True)
     one = names[:, None]
+    key = _fold(one)
     uniform = 1.0 / (model.vocabulary + 1)
     total, *seen = model.bottom
     if total:
-        found, _ = tables[1].find(ranges(one, model.buckets, model.heavy), _fold(one))
+        found, _ = tables[1].find(ranges(one, model.buckets, model.heavy, key), key)
         p = (_taken(found, model.discounts[0]) + np.dot(seen, model.discounts[0]) * uniform) / total
     else:
         p = np.full(len(names), uniform)
@@ -373,8 +386,8 @@ def probabilities(model: Model, doc: np.ndarray, word: np.ndarray) -> tuple[np.n
             sums, _ = before[m].find(range_of(top, model.buckets), mix(top))
         # a context that was never seen has no words after it
         known = np.flatnonzero(sums[:, 0])
-        sums, some = sums[known], some[known]
-        found, _ = tables[m].find(ranges(some, model.buckets, model.heavy), _fold(some))
+        sums, some, top = sums[known], some[known], top[known]
+        found, _ = tables[m].find(ranges(some, model.buckets, model.heavy, top), _next(top, some[:, -1]))
         p[known] = (_taken(found, d) + sums[:, 1:] @ np.array(d) * p[known]) / sums[:, 0]
     return p, count
 
