@@ -1,7 +1,8 @@
 """Tables of sorted 64-bit hashes with values, one file for each range, mapped into memory by workers.
 
 A file holds sorted hashes in cells: a cell's number is a hash's first bits and isn't stored, the 32 bits after them
-are. Values take a byte each; those of 255 and more stand beside with their places. Hashes must be spread evenly. Two
+are. Values take a byte each: a value under 255, or for rows of values the number of one of the range's 255 most frequent
+rows; all others stand beside with their places. Hashes must be spread evenly. Two
 hashes of a range that agree in cell and 32 bits are one; with some four hashes to a cell, a hash that isn't there is taken
 for one that is with probability 1e-9.
 
@@ -56,21 +57,37 @@ def _read(path: str) -> list[np.ndarray]:
     return out
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code of each row, the rows of the codes); 255 for rows that have none. Rows hold up to four values."""
+    width = values.shape[1]
+    small = np.flatnonzero(values.max(axis=1, initial=0) < 1 << 16)
+    place = (np.arange(width) * 16).astype(np.uint64)
+    often, of, count = np.unique((values[small].astype(np.uint64) << place).sum(axis=1, dtype=np.uint64), return_inverse=True, return_counts=True)
+    top = np.argsort(-count, kind="stable")[:255]
+    number = np.full(len(often), 255, np.uint8)
+    number[top] = np.arange(len(top))
+    code = np.full(len(values), 255, np.uint8)
+    code[small] = number[of]
+    return code, (often[top][:, None] >> place) & _U(0xFFFF)
+
+
 def save(folder: str, part: int, key: np.ndarray, values: np.ndarray, ids: np.ndarray | None = None) -> None:
-    """Write a range: sorted distinct hashes, one or more values of each, and ids of any size."""
+    """Write a range: sorted distinct hashes, a value or a row of values of each, and ids of any size."""
     os.makedirs(folder, exist_ok=True)
     bits = max(1, (len(key) // CELL).bit_length())
     cells = np.searchsorted(key >> _U(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     low = ((key << _U(bits)) >> _U(32)).astype(np.uint32)
-    flat = values.reshape(-1)
-    at = np.flatnonzero(flat >= 255)
-    _write(f"{folder}/{part}", [least_type(cells), low, np.minimum(flat, 255).astype(np.uint8), at.astype(np.uint64), flat[at].astype(np.uint64), least_type(ids if ids is not None else np.zeros(0, np.uint64))])
+    none = np.zeros(0, np.uint64)
+    code, rows = _coded(values) if values.ndim > 1 else (np.minimum(values, 255).astype(np.uint8), none)
+    at = np.flatnonzero(code == 255)
+    _write(f"{folder}/{part}", [least_type(cells), low, code, rows.astype(np.uint64).reshape(-1), at.astype(np.uint64), values[at].astype(np.uint64).reshape(-1), least_type(ids if ids is not None else none)])
 
 
 class Part(NamedTuple):
     cells: np.ndarray
     low: np.ndarray
-    values: np.ndarray
+    code: np.ndarray
+    rows: np.ndarray
     more_at: np.ndarray
     more: np.ndarray
     ids: np.ndarray
@@ -91,11 +108,13 @@ class Part(NamedTuple):
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
         return np.where((lo < end) & (self.low[np.minimum(lo, n - 1)] == want), lo, -1)
 
-    def value(self, flat: np.ndarray) -> np.ndarray:
-        out = self.values[flat].astype(np.int64)
-        often = np.flatnonzero(out == 255)
+    def value(self, at: np.ndarray, width: int) -> np.ndarray:
+        code = self.code[at]
+        out = code.astype(np.int64) if width == 1 else self.rows.reshape(-1, width).astype(np.int64)[np.minimum(code, max(0, len(self.rows) // width - 1))]
+        often = np.flatnonzero(code == 255)
         if len(often):
-            out[often] = self.more[np.searchsorted(self.more_at, flat[often].astype(np.uint64))]
+            found = np.searchsorted(self.more_at, at[often].astype(np.uint64))
+            out[often] = self.more[found] if width == 1 else self.more.reshape(-1, width)[found]
         return out
 
 
@@ -128,7 +147,7 @@ class Sorted:
             at = held.place(keys[order[i:j]])
             hit = at >= 0
             rows, at = order[i:j][hit], at[hit]
-            out[rows] = held.value((at[:, None] * self.width + np.arange(self.width)).reshape(-1)).reshape(-1, self.width) if self.width > 1 else held.value(at)
+            out[rows] = held.value(at, self.width)
             if ids is not None:
                 names[rows] = held.ids[at]
         return out, names

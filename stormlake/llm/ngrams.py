@@ -24,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ from stormlake.llm.bytesof import chunks, lower_table, mix, words
 
 ORDER = 3
 #: Characters of training text for each hash range; tokens packed at once by a task; bytes of text scored at once.
-RANGE_CHARS, PACK_TOKENS, SCORE_BYTES = 12_000_000, 1_500_000, 1 << 22
+RANGE_CHARS, PACK_TOKENS, SCORE_BYTES = 8_000_000, 1_000_000, 1 << 21
 HEAVY_SHARE, SPLIT = 1e-3, 64
 #: Runs that a task writes at once, at most.
 FANOUT = 4096
@@ -199,7 +200,7 @@ class _Dealer:
                 return _pack(rows, counts, ranges(rows, self.buckets, self.heavy))
 
             for batch in batches:
-                sums = batch.filter(pa.compute.less(batch.column(0), 0))
+                sums = batch.filter(pc.less(batch.column(0), 0))
                 if sums.num_rows:
                     yield sums
                 for name, run in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -245,8 +246,7 @@ def _counted(texts: DataFrame, order: int, dealer: _Dealer, vocabulary: str | No
             held.clear()
             if known is not None:
                 word = _ids(known, dealer.buckets, word)[1]
-            _, rows, counts = _distinct(grams(doc, word, order), None)
-            return dealer.pack(rows, counts)
+            return dealer.pack(*_distinct(grams(doc, word, order), None)[1:])
 
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(0)):
