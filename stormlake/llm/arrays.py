@@ -110,7 +110,11 @@ class Part(NamedTuple):
 
     def value(self, at: np.ndarray, width: int) -> np.ndarray:
         code = self.code[at]
-        out = code.astype(np.int64) if width == 1 else self.rows.reshape(-1, width).astype(np.int64)[np.minimum(code, max(0, len(self.rows) // width - 1))]
+        if width == 1:
+            out = code.astype(np.int64)
+        else:
+            rows = np.append(self.rows, np.zeros(width, np.uint64)).reshape(-1, width).astype(np.int64)
+            out = rows[np.minimum(code, len(rows) - 1)]
         often = np.flatnonzero(code == 255)
         if len(often):
             found = np.searchsorted(self.more_at, at[often].astype(np.uint64))
