@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,3 +153,12 @@ def interpolate(z: Column, heights: Column, values: Column) -> Column:
     h0, h1, v0, v1 = F.get(heights, i), F.get(heights, i + 1), F.get(values, i), F.get(values, i + 1)
     t = F.least(F.greatest((z - h0) / (h1 - h0), F.lit(0.0)), F.lit(1.0))
     return F.when(F.size(heights) == 0, F.lit(None).cast("double")).when(F.size(heights) == 1, v0).otherwise(v0 + t * (v1 - v0))
+
+
+def climate_freezing_m(lat: float, days: int) -> float:
+    """Height above the sea of 0 degrees Celsius by latitude and days since 1970: highest in late July, a mean that falls
+    and a swing that grows poleward; seasons are turned round in the south."""
+    a = min(max(abs(lat), 10.0), 70.0)
+    swing = min(max(50.0 * a - 350.0, 300.0), 1900.0)
+    season = math.cos(2 * math.pi * (days % 365.2425 - 205.0) / 365.2425)
+    return max(0.0, 5900.0 - 75.0 * a + (season if lat >= 0 else -season) * swing)

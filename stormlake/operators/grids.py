@@ -53,20 +53,22 @@ def azimuthal_shear(velocity: np.ndarray, first_m: float, spacing_m: float, half
         padded = np.pad(x, ((0, 0), (1, 1)))
         return padded[:, :-2] + padded[:, 1:-1] + padded[:, 2:]
 
-    count, s_v, s_vv = across(have.astype(float)), across(filled), across(filled**2)
-    rows = across(np.ones_like(filled))
+    reach = int(half.max(initial=1))
+    turned = [np.concatenate([x[-reach:], x, x[:reach]]) for x in (across(have.astype(float)), across(filled), across(filled**2))]
+    width = across(np.ones((1, n_gates)))[0]
     out = np.full(v.shape, np.nan)
+    # n falls with range, so the gates of one n lie together
     for n in np.unique(half):
         gates = np.flatnonzero((half == n) & (r > 2000.0 - 1e-9))
         if not len(gates):
             continue
-        c = sv = svv = sx = sxx = sxv = total = left = right = 0
+        some = slice(gates[0], gates[-1] + 1)
+        c = sv = svv = sx = sxx = sxv = left = right = 0
         for k in range(-n, n + 1):
-            at = np.roll(np.arange(n_az), -k)
-            x = k * step[gates]
-            m, a = count[at][:, gates], s_v[at][:, gates]
-            c, sv, svv, total = c + m, sv + a, svv + s_vv[at][:, gates], total + rows[at][:, gates]
-            sx, sxx, sxv = sx + m * x, sxx + m * x * x, sxv + a * x
+            m, y, yy = (t[reach + k : reach + k + n_az, some] for t in turned)
+            x = k * step[some]
+            c, sv, svv = c + m, sv + y, svv + yy
+            sx, sxx, sxv = sx + m * x, sxx + m * (x * x), sxv + y * x
             if k < 0:
                 left = left + m
             elif k > 0:
@@ -75,8 +77,8 @@ def azimuthal_shear(velocity: np.ndarray, first_m: float, spacing_m: float, half
             cov = sxv - sx * sv / c
             slope = cov / (sxx - sx * sx / c)
             spread = np.sqrt(np.maximum(0, svv - sv * sv / c - slope * cov) / c)
-            ok = (left > 0) & (right > 0) & (2 * c >= total) & (spread <= residual) & have[:, gates]
-        out[:, gates] = np.where(ok, slope * 1000, np.nan)
+            ok = (left > 0) & (right > 0) & (2 * c >= (2 * n + 1) * width[some]) & (spread <= residual) & have[:, some]
+        out[:, some] = np.where(ok, slope * 1000, np.nan)
     return out
 
 
@@ -124,172 +126,173 @@ def specific_phase(phase: np.ndarray, rho: np.ndarray, ref: np.ndarray, spacing_
     return out
 
 
-def components(mask: np.ndarray) -> np.ndarray:
-    """Labels from 1 of 4-neighbour components, azimuth wrapping, numbered by their first cell; 0 outside."""
-    n_az, n_gates = mask.shape
-    parent = np.arange(mask.size)
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    runs = np.zeros(mask.shape, np.int64)
-    first = mask.copy()
-    first[:, 1:] &= ~mask[:, :-1]
-    starts = np.where(first, np.arange(mask.size).reshape(mask.shape), 0)
-    runs = np.maximum.accumulate(starts, axis=1)
-    # a ray's first run may start at 0, which the accumulation takes for none: cells outside are never read
-    for a in range(n_az):
-        b = (a + 1) % n_az
-        both = np.flatnonzero(mask[a] & mask[b])
-        pairs = np.unique(np.stack([runs[a, both], runs[b, both]]), axis=1) if len(both) else np.zeros((2, 0), np.int64)
-        for i, j in pairs.T:
-            ri, rj = find(int(i)), find(int(j))
-            if ri != rj:
-                parent[max(ri, rj)] = min(ri, rj)
-    out = np.zeros(mask.shape, np.int64)
-    roots = {int(i): find(int(i)) for i in np.unique(runs[mask])}
-    order = {r: k for k, r in enumerate(sorted(set(roots.values())), 1)}
-    lookup = {i: order[r] for i, r in roots.items()}
-    out[mask] = [lookup[int(i)] for i in runs[mask]]
+def labels(group: np.ndarray) -> np.ndarray:
+    """Labels from 1 of 4-neighbour components of equal positive values, azimuth wrapping, numbered by their first cell; 0
+    where the value is 0. Runs along rays are joined across rays by rounds of least labels."""
+    inside = group > 0
+    new = inside.copy()
+    new[:, 1:] &= group[:, 1:] != group[:, :-1]
+    run = np.cumsum(new.ravel()).reshape(group.shape) - 1
+    after, run_after, new_after = (np.roll(x, -1, axis=0) for x in (group, run, new))
+    meet = inside & (group == after)
+    meet[:, 1:] &= new[:, 1:] | new_after[:, 1:]
+    u, v = run[meet], run_after[meet]
+    root = np.arange(int(run.max(initial=-1)) + 1)
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        u, v = u[apart], v[apart]
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    number = np.cumsum(root == np.arange(len(root)))
+    out = np.zeros(group.shape, np.int64)
+    out[inside] = number[root[run[inside]]]
     return out
 
 
+def components(mask: np.ndarray) -> np.ndarray:
+    """Labels of the components of a mask."""
+    return labels(mask.astype(np.int8))
+
+
+def _votes(group: np.ndarray, step: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, all votes, most voted step, its votes) of each group; the least step wins ties."""
+    if not len(group):
+        return (np.zeros(0, np.int64),) * 4
+    low = int(step.min())
+    width = int(step.max()) - low + 1
+    key, place = np.unique(group.astype(np.int64) * width + (step - low), return_inverse=True)
+    count = np.bincount(place, weights=weight)
+    of, step = key // width, key % width + low
+    order = np.lexsort((step, -count, of))
+    first = order[np.flatnonzero(np.diff(of[order], prepend=-1))]
+    return of[first], np.bincount(of, weights=count)[of[first]], step[first], count[first]
+
+
+def _boundaries(region: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(region, other region, step of v to the other) at each place where two regions meet, once in each direction."""
+    out = []
+    for a, b, x, y in ((region, np.roll(region, -1, axis=0), v, np.roll(v, -1, axis=0)), (region[:, :-1], region[:, 1:], v[:, :-1], v[:, 1:])):
+        m = (a > 0) & (b > 0) & (a != b)
+        step = (y - x)[m]
+        out += [(a[m], b[m], step), (b[m], a[m], -step)]
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
+
+
 def dealias(velocity: np.ndarray, nyquist: float, reference: np.ndarray | None = None, fallbacks: tuple[np.ndarray, ...] = ()) -> np.ndarray:
     """Unfold one sweep: regions of three velocity bands are merged along their longest boundaries by whole folds, then
     each merged component is placed by votes of a reference, of fallbacks that agree, or by its most common fold.
 
     velocity in m/s with NaN; reference and fallbacks are grids of the same shape of unfolded velocity.
     """
-    v = np.clip(velocity, -nyquist, nyquist)
+    v = np.clip(velocity.astype(float), -nyquist, nyquist)
     valid = np.isfinite(v)
     if nyquist <= 0 or valid.sum() < 2:
         return v.astype(np.float32)
     period = 2 * nyquist
-    band = np.minimum(np.floor((np.where(valid, v, 0) + nyquist) / period * 3), 2)
-    region = np.zeros(v.shape, np.int64)
-    total = 0
-    for b in range(3):
-        label = components(valid & (band == b))
-        region = np.where(label > 0, label + total, region)
-        total += int(label.max(initial=0))
-    # number regions by their first cell
-    ids, first = np.unique(region, return_index=True)
-    keep = ids > 0
-    rank = np.zeros(total + 1, np.int64)
-    rank[ids[keep][np.argsort(first[keep])]] = np.arange(1, keep.sum() + 1)
-    region = rank[region]
+    band = np.minimum(np.floor((np.where(valid, v, 0) + nyquist) / period * 3), 2).astype(np.int8)
+    region = labels(np.where(valid, band + 1, 0).astype(np.int8))
     n = int(region.max()) + 1
     size = np.bincount(region.ravel(), minlength=n)
-    edges: list[dict[int, list[float]]] = [{} for _ in range(n)]
+    owner, fold = _merged(region, v, size, period)
+    folds = fold[region]
+    unfolded = np.where(valid, v + folds * period, np.nan)
+    part = owner[region]
+    shift, placed = np.zeros(n, np.int64), np.zeros(n, bool)
+    for grid, share in [(reference, 0.0)] * (reference is not None) + [(f, 0.7) for f in fallbacks]:
+        both = valid & np.isfinite(grid) & ~placed[part]
+        names, total, step, best = _votes(part[both], np.round((grid[both] - unfolded[both]) / period).astype(np.int64))
+        good = (total >= 20) & (best >= share * total)
+        shift[names[good]], placed[names[good]] = step[good], True
+    names, _, step, _ = _votes(owner[1:], fold[1:], size[1:].astype(float))
+    shift[names] = np.where(placed[names], shift[names], -step)
+    unfolded += shift[part] * period
+    if reference is not None:
+        _follow_reference(unfolded, region, reference, period)
+    return _islands(unfolded, region, size, period).astype(np.float32)
 
-    def boundary(a: np.ndarray, b: np.ndarray, va: np.ndarray, vb: np.ndarray) -> None:
-        m = (a > 0) & (b > 0) & (a != b)
-        lo, hi = np.minimum(a[m], b[m]), np.maximum(a[m], b[m])
-        jump = np.where(a[m] < b[m], vb[m] - va[m], va[m] - vb[m])
-        key, place = np.unique(lo * n + hi, return_inverse=True)
-        for k, c, s in zip(key, np.bincount(place, minlength=len(key)), np.bincount(place, weights=jump, minlength=len(key)), strict=True):
-            i, j = divmod(int(k), n)
-            held = edges[i].setdefault(j, [0, 0.0])
-            held[0] += int(c)
-            held[1] += float(s)
-
-    boundary(region, np.roll(region, -1, axis=0), v, np.roll(v, -1, axis=0))
-    boundary(region[:, :-1], region[:, 1:], v[:, :-1], v[:, 1:])
+
+def _merged(region: np.ndarray, v: np.ndarray, size: np.ndarray, period: float) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, fold) of each region after merging along boundaries, the longest first, where the mean step is near a whole
+    fold; the smaller part moves."""
+    n = len(size)
+    a, b, step = _boundaries(region, v)
+    once = a < b
+    key, place = np.unique(a[once] * n + b[once], return_inverse=True)
+    count, jump = np.bincount(place), np.bincount(place, weights=step[once])
     links: list[dict[int, tuple[int, float]]] = [{} for _ in range(n)]
     heap = []
-    for i in range(n):
-        for j, (c, s) in edges[i].items():
-            links[i][j], links[j][i] = (c, s), (c, -s)
-            heap.append((-c, i, j))
+    for i, j, c, s in zip((key // n).tolist(), (key % n).tolist(), count.tolist(), jump.tolist(), strict=True):
+        links[i][j], links[j][i] = (c, s), (c, -s)
+        heap.append((-c, i, j))
     heapq.heapify(heap)
-    owner, fold = np.arange(n), np.zeros(n, np.int64)
-    members = {i: [i] for i in range(1, n)}
-    weight = size.astype(np.int64)
+    owner, fold = list(range(n)), [0] * n
+    members = [[i] for i in range(n)]
+    weight = size.tolist()
     while heap:
         c, i, j = heapq.heappop(heap)
-        if i not in members or j not in members or links[i].get(j, (0, 0))[0] != -c:
+        held = links[i].get(j)
+        if held is None or held[0] != -c:
             continue
-        mean = links[i][j][1] / -c / period
-        k = -int(np.round(mean))
+        mean = held[1] / -c / period
+        k = -round(mean)
         if abs(mean + k) > 0.4:
             continue
         stay, go, shift = (i, j, k) if weight[i] >= weight[j] else (j, i, -k)
-        for m in members.pop(go):
+        for m in members[go]:
             fold[m] += shift
             owner[m] = stay
-            members[stay].append(m)
+        members[stay] += members[go]
+        members[go] = []
         weight[stay] += weight[go]
-        links[stay].pop(go, None)
-        for other, (count, jump) in links[go].items():
-            links[other].pop(go, None)
+        moved, links[go] = links[go], {}
+        of_stay = links[stay]
+        of_stay.pop(go, None)
+        for other, (count_, jump_) in moved.items():
+            of_other = links[other]
+            of_other.pop(go, None)
             if other == stay:
                 continue
-            old = links[stay].get(other, (0, 0.0))
-            # jump is other minus go; go has moved up by its shift
-            new = (old[0] + count, old[1] + jump - shift * period * count)
-            links[stay][other], links[other][stay] = new, (new[0], -new[1])
-            heapq.heappush(heap, (-new[0], min(stay, other), max(stay, other)))
-    folds = fold[region]
-    unfolded = np.where(valid, v + folds * period, np.nan)
-    for root in members:
-        inside = np.isin(region, members[root])
-        shift = None
-        for grid, share, least in [(reference, 0.0, 20)] * (reference is not None) + [(f, 0.7, 20) for f in fallbacks]:
-            both = inside & np.isfinite(grid)
-            if both.sum() >= least:
-                steps, votes = np.unique(np.round((grid[both] - unfolded[both]) / period).astype(int), return_counts=True)
-                if votes.max() >= share * votes.sum():
-                    shift = int(steps[np.argmax(votes)])
-                    break
-        if shift is None:
-            steps, place = np.unique(folds[inside], return_inverse=True)
-            shift = -int(steps[np.argmax(np.bincount(place))])
-        unfolded[inside] += shift * period
-        folds[inside] += shift
-    if reference is not None:
-        _follow_reference(unfolded, region, reference, period)
-    return _islands(unfolded, region, size, period).astype(np.float32)
+            old = of_stay.get(other, (0, 0.0))
+            # the jump is other minus go; go has moved up by its shift
+            total = old[0] + count_
+            sums = old[1] + jump_ - shift * period * count_
+            of_stay[other], of_other[stay] = (total, sums), (total, -sums)
+            heapq.heappush(heap, (-total, stay, other) if stay < other else (-total, other, stay))
+    return np.array(owner), np.array(fold)
 
 
 def _follow_reference(v: np.ndarray, region: np.ndarray, reference: np.ndarray, period: float, least: int = 100, share: float = 0.8) -> None:
     """Move single regions with many reference gates of which most lie on another fold, in place."""
-    both = np.isfinite(v) & np.isfinite(reference)
-    count = np.bincount(region[both], minlength=1)
-    for k in np.flatnonzero(count >= least):
-        inside = region == k
-        steps, votes = np.unique(np.round((reference - v)[inside & both] / period).astype(int), return_counts=True)
-        best = int(np.argmax(votes))
-        if k and steps[best] and votes[best] >= share * votes.sum():
-            v[inside] += steps[best] * period
+    both = np.isfinite(v) & np.isfinite(reference) & (region > 0)
+    names, total, step, best = _votes(region[both], np.round((reference - v)[both] / period).astype(np.int64))
+    move = np.zeros(int(region.max()) + 1)
+    good = (total >= least) & (best >= share * total)
+    move[names[good]] = step[good]
+    v += move[region] * period
 
 
 def _islands(v: np.ndarray, region: np.ndarray, size: np.ndarray, period: float, passes: int = 3) -> np.ndarray:
     """Move regions that are a whole fold off most of their boundary, all of a pass at once."""
     n = len(size)
     for _ in range(passes):
-        votes: dict[int, dict[int, int]] = {}
-        around: dict[int, set[int]] = {}
-        for a, b, va, vb in ((region, np.roll(region, -1, axis=0), v, np.roll(v, -1, axis=0)), (region[:, :-1], region[:, 1:], v[:, :-1], v[:, 1:])):
-            m = (a > 0) & (b > 0) & (a != b)
-            for x, y, d in ((a[m], b[m], (vb - va)[m] / period), (b[m], a[m], (va - vb)[m] / period)):
-                k = np.floor(np.abs(d) + 0.5) * np.sign(d)
-                good = np.abs(d - k) * period <= 0.3 * period
-                key, count = np.unique(np.stack([x[good], y[good], k[good].astype(np.int64)]), axis=1, return_counts=True)
-                for (i, j, step), c in zip(key.T, count, strict=True):
-                    votes.setdefault(int(i), {}).setdefault(int(step), 0)
-                    votes[int(i)][int(step)] += int(c)
-                    around.setdefault(int(i), set()).add(int(j))
-        moves = np.zeros(n)
-        for i, found in votes.items():
-            total, (step, best) = sum(found.values()), max(found.items(), key=lambda x: (x[1], -x[0]))
-            if step and total >= 8 and best >= 0.8 * total and size[i] < size[list(around[i])].sum():
-                moves[i] = step
-        if not moves.any():
+        a, b, step = _boundaries(region, v)
+        d = step / period
+        k = np.floor(np.abs(d) + 0.5) * np.sign(d)
+        near = np.abs(d - k) * period <= 0.3 * period
+        a, b, k = a[near], b[near], k[near].astype(np.int64)
+        names, total, k, best = _votes(a, k)
+        pairs = np.unique(a * n + b)
+        around = np.bincount(pairs // n, weights=size[pairs % n], minlength=n)
+        move = np.zeros(n)
+        good = (k != 0) & (total >= 8) & (best >= 0.8 * total) & (size[names] < around[names])
+        move[names[good]] = k[good]
+        if not move.any():
             break
-        v = v + moves[region] * period
+        v = v + move[region] * period
     return v
 
 
@@ -307,8 +310,8 @@ def find_cells(cref: np.ndarray, first_km: float, spacing_km: float, extra: dict
 
     def parts(inside: np.ndarray, level: float) -> list[np.ndarray]:
         label = components(inside & (ref >= level))
-        found = [label == k for k in range(1, int(label.max(initial=0)) + 1)]
-        return [m for m in found if area[m].sum() >= C.CELL_MIN_AREA_KM2]
+        large = np.bincount(label.ravel(), weights=area.ravel()) >= C.CELL_MIN_AREA_KM2
+        return [label == k for k in np.flatnonzero(large) if k]
 
     def split(mask: np.ndarray, levels: tuple[float, ...]) -> list[np.ndarray]:
         inner = parts(mask, levels[0]) if levels else []

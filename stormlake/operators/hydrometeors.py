@@ -25,43 +25,42 @@ WEIGHTS = {
     "GR": (0.8, 1, 0.4, 0, 0.2, 0.2), "BD": (0.8, 1, 0.6, 0, 0.2, 0.2), "RA": (1, 0.8, 0.6, 0, 0.2, 0.2), "HR": (1, 0.8, 0.6, 1, 0.2, 0.2), "RH": (1, 0.8, 0.6, 1, 0.2, 0.2),
 }
 
-#: Trapezoids of each class and variable; f1, f2, f3, g1 and g2 depend on z.
+#: Curves over z, as factors of 1, z and z squared.
+CURVES = {"f1": (-0.50, 2.50e-3, 7.50e-4), "f2": (0.68, -4.81e-2, 2.92e-3), "f3": (1.42, 6.67e-2, 4.85e-4), "g1": (-44.0, 0.8, 0.0), "g2": (-22.0, 0.5, 0.0)}
+
+#: Trapezoids of each class and variable; a bound is a number, or a curve over z and what is added to it.
 BOUNDS = {
-    "GC": ("15 20 70 80", "-4 -2 1 2", ".5 .6 .9 .95", "-30 -25 10 20", "2 4 10 15", "30 40 50 60"),
-    "BS": ("5 10 20 30", "0 2 10 12", ".3 .5 .8 .83", "-30 -25 10 10", "1 2 4 7", "8 10 40 60"),
-    "DS": ("5 10 35 40", "-.3 0 .3 .6", ".95 .98 1 1.01", "-30 -25 10 20", "0 .5 3 6", "0 1 15 30"),
-    "WS": ("25 30 40 50", ".5 1 2 3", ".88 .92 .95 .985", "-30 -25 10 20", "0 .5 3 6", "0 1 15 30"),
-    "CR": ("0 5 20 25", ".1 .4 3 3.3", ".95 .98 1 1.01", "-5 0 10 15", "0 .5 3 6", "0 1 15 30"),
-    "GR": ("25 35 50 55", "-.3 0 f1 f1+.3", ".90 .97 1 1.01", "-30 -25 10 20", "0 .5 3 6", "0 1 15 30"),
-    "BD": ("20 25 45 50", "f2-.3 f2 f3 f3+1", ".92 .95 1 1.01", "g1-1 g1 g2 g2+1", "0 .5 3 6", "0 1 15 30"),
-    "RA": ("5 10 45 50", "f1-.3 f1 f2 f2+.5", ".95 .98 1 1.01", "g1-1 g1 g2 g2+1", "0 .5 3 6", "0 1 15 30"),
-    "HR": ("40 45 55 60", "f1-.3 f1 f2 f2+.5", ".92 .95 1 1.01", "g1-1 g1 g2 g2+1", "0 .5 3 6", "0 1 15 30"),
-    "RH": ("45 50 75 80", "-.3 0 f1 f1+.5", ".85 .90 1 1.01", "-10 -4 g1 g1+1", "0 .5 3 6", "0 1 15 30"),
-}
+    "GC": ((15, 20, 70, 80), (-4, -2, 1, 2), (0.5, 0.6, 0.9, 0.95), (-30, -25, 10, 20), (2, 4, 10, 15), (30, 40, 50, 60)),
+    "BS": ((5, 10, 20, 30), (0, 2, 10, 12), (0.3, 0.5, 0.8, 0.83), (-30, -25, 10, 10), (1, 2, 4, 7), (8, 10, 40, 60)),
+    "DS": ((5, 10, 35, 40), (-0.3, 0, 0.3, 0.6), (0.95, 0.98, 1, 1.01), (-30, -25, 10, 20), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "WS": ((25, 30, 40, 50), (0.5, 1, 2, 3), (0.88, 0.92, 0.95, 0.985), (-30, -25, 10, 20), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "CR": ((0, 5, 20, 25), (0.1, 0.4, 3, 3.3), (0.95, 0.98, 1, 1.01), (-5, 0, 10, 15), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "GR": ((25, 35, 50, 55), (-0.3, 0, ("f1", 0), ("f1", 0.3)), (0.90, 0.97, 1, 1.01), (-30, -25, 10, 20), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "BD": ((20, 25, 45, 50), (("f2", -0.3), ("f2", 0), ("f3", 0), ("f3", 1)), (0.92, 0.95, 1, 1.01), (("g1", -1), ("g1", 0), ("g2", 0), ("g2", 1)), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "RA": ((5, 10, 45, 50), (("f1", -0.3), ("f1", 0), ("f2", 0), ("f2", 0.5)), (0.95, 0.98, 1, 1.01), (("g1", -1), ("g1", 0), ("g2", 0), ("g2", 1)), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "HR": ((40, 45, 55, 60), (("f1", -0.3), ("f1", 0), ("f2", 0), ("f2", 0.5)), (0.92, 0.95, 1, 1.01), (("g1", -1), ("g1", 0), ("g2", 0), ("g2", 1)), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+    "RH": ((45, 50, 75, 80), (-0.3, 0, ("f1", 0), ("f1", 0.5)), (0.85, 0.90, 1, 1.01), (-10, -4, ("g1", 0), ("g1", 1)), (0, 0.5, 3, 6), (0, 1, 15, 30)),
+}
 
 #: Classes that each layer allows; clutter only on low tilts and never above.
 ALLOWED = {"below": ("BS", "BD", "RA", "HR", "RH"), "within": ("BS", "DS", "WS", "GR", "BD", "RA", "HR", "RH"), "above": ("DS", "CR", "GR", "RH")}
 
-CURVES = {
-    "f1": "(-0.5e0 + 2.5e-3 * z + 7.5e-4 * z * z)",
-    "f2": "(0.68e0 - 4.81e-2 * z + 2.92e-3 * z * z)",
-    "f3": "(1.42e0 + 6.67e-2 * z + 4.85e-4 * z * z)",
-    "g1": "(-44e0 + 0.8e0 * z)",
-    "g2": "(-22e0 + 0.5e0 * z)",
-}
+LAYERS = tuple(ALLOWED)
+#: Half the width of the beam in degrees.
+HALF_BEAM = 0.475
+
 
+def _sql(x: float) -> str:
+    return f"({float(x)!r}e0)" if "e" not in repr(float(x)) else f"({float(x)!r})"
 
-def _bound(text: str) -> str:
-    for sign in ("+", "-"):
-        name, found, shift = text.partition(sign)
-        if found and name in CURVES:
-            return f"({name} {sign} {float(shift)}e0)"
-    return text if text in CURVES else f"({float(text)}e0)"
 
+def _bound(bound: float | tuple[str, float]) -> str:
+    return f"({bound[0]} + {_sql(bound[1])})" if isinstance(bound, tuple) else _sql(bound)
 
-def membership(variable: str, bounds: str) -> str:
+
+def membership(variable: str, bounds: tuple) -> str:
     """Outside 0, a ramp up, 1, a ramp down, tested in this order as bounds may cross."""
-    a, b, c, d = map(_bound, bounds.split())
+    a, b, c, d = map(_bound, bounds)
     x = variable
     return f"(CASE WHEN {x} < {a} OR {x} > {d} THEN 0e0 WHEN {x} < {b} THEN ({x} - {a}) / ({b} - {a}) WHEN {x} <= {c} THEN 1e0 ELSE ({d} - {x}) / ({d} - {c}) END)"
 
@@ -82,46 +81,53 @@ def classify() -> str:
     best = "greatest(" + ", ".join(f"coalesce(s{i}, 0e0)" for i in range(1, 11)) + ")"
     code = "CASE " + " ".join(f"WHEN s{i} = best THEN {i}" for i in range(1, 11)) + f" ELSE {UNKNOWN} END"
     return f"""
-    WITH curved AS (SELECT *, {", ".join(f"{v} AS {k}" for k, v in CURVES.items())} FROM {{gates}}),
+    WITH curved AS (SELECT *, {", ".join(f"({_sql(p)} + {_sql(q)} * z + {_sql(r)} * z * z) AS {k}" for k, (p, q, r) in CURVES.items())} FROM {{gates}}),
     scored AS (SELECT gate_id, {", ".join(scores)} FROM curved),
     ranked AS (SELECT *, {best} AS best FROM scored)
     SELECT gate_id, CASE WHEN best > {MIN_SCORE}e0 THEN {code} ELSE {UNKNOWN} END AS code, round(best, 6) AS score FROM ranked"""
 
 
-def _numeric(bound: str, curves: dict[str, np.ndarray]) -> np.ndarray | float:
-    for sign in ("+", "-"):
-        name, found, shift = bound.partition(sign)
-        if found and name in curves:
-            return curves[name] + (float(shift) if sign == "+" else -float(shift))
-    return curves[bound] if bound in curves else float(bound)
+def _member(v: np.ndarray, bounds: tuple, curves: dict[str, np.ndarray]) -> np.ndarray:
+    """Membership of each value, tested in the order of ``membership``."""
+    if not any(isinstance(t, tuple) for t in bounds) and bounds[2] < bounds[3]:
+        return np.interp(v, bounds, (0.0, 1.0, 1.0, 0.0))
+    a, b, c, d = (curves[t[0]] + t[1] if isinstance(t, tuple) else float(t) for t in bounds)
+    with np.errstate(all="ignore"):
+        return np.where((v < a) | (v > d), 0.0, np.where(v < b, (v - a) / (np.asarray(b) - a), np.where(v <= c, 1.0, (d - v) / (np.asarray(d) - c))))
 
 
 def scores(x: dict[str, np.ndarray], layer: np.ndarray, elev: np.ndarray) -> np.ndarray:
-    """(gates, classes): scores of allowed classes, 0 for others. x: the six variables, NaN where missing."""
-    z = x["z"]
-    curves = {"f1": -0.5 + 2.5e-3 * z + 7.5e-4 * z * z, "f2": 0.68 - 4.81e-2 * z + 2.92e-3 * z * z, "f3": 1.42 + 6.67e-2 * z + 4.85e-4 * z * z, "g1": -44 + 0.8 * z, "g2": -22 + 0.5 * z}
-    out = np.zeros((len(z), len(CLASSES)))
-    for k, name in enumerate(CLASSES):
-        top, bottom = np.zeros(len(z)), np.zeros(len(z))
-        for variable, weight, bounds in zip(VARIABLES, WEIGHTS[name], BOUNDS[name], strict=True):
-            if not weight:
+    """(gates, classes): scores of allowed classes, 0 for others. x: the six variables, NaN where missing; layer: index into
+    LAYERS."""
+    out = np.zeros((len(layer), len(CLASSES)))
+    for index, allowed in enumerate(ALLOWED.values()):
+        some = np.flatnonzero((layer == index) & np.isfinite(x["z"]))
+        if not len(some):
+            continue
+        held = {k: v[some] for k, v in x.items()}
+        z = held["z"]
+        curves = {k: p + q * z + r * z * z for k, (p, q, r) in CURVES.items()}
+        have = {k: np.isfinite(v) for k, v in held.items()}
+        low = elev[some] <= CLUTTER_ELEV
+        for k, name in enumerate(CLASSES):
+            if name not in allowed and (name != "GC" or index == 2 or not low.any()):
                 continue
-            v = x[variable]
-            a, b, c, d = (_numeric(t, curves) for t in bounds.split())
+            top, bottom = np.zeros(len(some)), np.zeros(len(some))
+            for variable, weight, bounds in zip(VARIABLES, WEIGHTS[name], BOUNDS[name], strict=True):
+                if weight:
+                    top += np.where(have[variable], weight * _member(held[variable], bounds, curves), 0.0)
+                    bottom += np.where(have[variable], float(weight), 0.0)
             with np.errstate(all="ignore"):
-                m = np.where((v < a) | (v > d), 0.0, np.where(v < b, (v - a) / (np.asarray(b) - a), np.where(v <= c, 1.0, (d - v) / (np.asarray(d) - c))))
-            have = np.isfinite(v)
-            top += np.where(have, weight * m, 0.0)
-            bottom += np.where(have, float(weight), 0.0)
-        if name == "GC":
-            allowed = ((layer == "below") | (layer == "within")) & (elev <= CLUTTER_ELEV)
-        else:
-            allowed = np.isin(layer, [n for n, names in ALLOWED.items() if name in names])
-        with np.errstate(all="ignore"):
-            out[:, k] = np.where(allowed & np.isfinite(z) & (bottom > 0), top / bottom, 0.0)
+                out[some, k] = np.where((bottom > 0) & (low if name == "GC" else True), top / bottom, 0.0)
     return out
 
 
+def codes(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code, score) of the best class, the lowest code on ties; unknown up to the least score."""
+    best = found.max(axis=1) if len(found) else np.zeros(0)
+    return np.where(best > MIN_SCORE, found.argmax(axis=1) + 1 if len(found) else 0, UNKNOWN).astype(np.int32), best
+
+
 CODED = "gate_id long, code int, score double"
 
 
@@ -131,9 +137,8 @@ def classify_gates(gates: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = {v: batch.column(k + 1).to_numpy(zero_copy_only=False).astype(float) for k, v in enumerate(VARIABLES)}
-            found = scores(x, batch.column(7).to_numpy(zero_copy_only=False), batch.column(8).to_numpy(zero_copy_only=False).astype(float))
-            best = found.max(axis=1)
-            code = np.where(best > MIN_SCORE, found.argmax(axis=1) + 1, UNKNOWN).astype(np.int32)
+            layer = np.array([{name: i for i, name in enumerate(LAYERS)}.get(n, -1) for n in batch.column(7).to_pylist()], np.int64)
+            code, best = codes(scores(x, layer, batch.column(8).to_numpy(zero_copy_only=False).astype(float)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(code), pa.array(np.round(best, 6))], names=["gate_id", "code", "score"])
 
     return gates.select("gate_id", *VARIABLES, "layer", "elev").mapInArrow(each, CODED)

@@ -2,46 +2,101 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlake.functions import constants as C
 from stormlake.operators import volumes
 from stormlake.sources import bucket, store
 
 
-def process(radials: DataFrame, root: str, provisional: bool = False) -> None:
-    """Everything of a volume: radials, products, cells, tracks, winds, motions, hydrometeors, and last the catalogue. Each
-    table is overwritten by site and day partition, so that a rerun leaves the same."""
-    held = radials.persist()
-    found = volumes.cells(held)
-    tables = {"product": volumes.products(held), "cell": found, "cell_track": volumes.cell_tracks(found), "wind_profile": volumes.wind_profiles(held), "storm_motion": volumes.storm_motions(held), "melting_layer": volumes.melting_layer(held), "hydrometeor": volumes.hydrometeor_counts(held)}
-    for name, frame in tables.items():
-        frame.withColumn("day", F.to_date("scan_time")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("icao", "day").parquet(f"{root}/{name}")
-    store.write_volumes(held, root, provisional)
-    held.unpersist()
+def process(radials: DataFrame, root: str, provisional: bool = False, own: DataFrame | None = None, block_s: int = volumes.BLOCK_S, raw: bool = True) -> None:
+    """Everything of a volume: radials, derived fields, products, cells, tracks, winds, motions, melting layers, hydrometeors,
+    and last the catalogue.
+
+    Volumes are analysed once, into a table apart that all others are taken from. Each volume's rows replace those of the same
+    volume; a rerun leaves the same. own: (icao, scan_time) of the volumes to write, where ``radials`` also holds some that
+    only lead into them. raw: whether to write the radials and the catalogue, which aren't new where radials come from the
+    store itself.
+    """
+    spark = radials.sparkSession
+    rows = radials if own is None else radials.join(own, ["icao", "scan_time"], "left_semi")
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    try:
+        store.scan_rows(rows, provisional).write.parquet(f"{staged}/scans")
+        scans = spark.read.parquet(f"{staged}/scans")
+        volumes.analysed(radials, block_s=block_s).write.partitionBy("kind").parquet(f"{staged}/analysed")
+        found = spark.read.schema(volumes.ANALYSED).parquet(f"{staged}/analysed")
+        if own is not None:
+            found = found.join(own, ["icao", "scan_time"], "left_semi")
+        for kind in volumes.KINDS:
+            store.replace(volumes.of_kind(found, kind), scans, root, kind)
+        # ids count up through all frames of a site, so its tracks are made anew
+        cells = store.table(spark, f"{root}/cell")
+        cells = volumes.of_kind(found, "cell") if cells is None else cells
+        tracks = volumes.cell_tracks(cells.join(F.broadcast(scans.select("icao").distinct()), "icao", "left_semi"))
+        store.overwrite(tracks.withColumn("day", F.to_date("scan_time")), root, "cell_track")
+        if raw:
+            store.write_volumes(rows, scans, root)
+    finally:
+        store.delete(spark, staged)
 
 
 def backfill(spark: SparkSession, source: bucket.Bucket, site: str, start: datetime, end: datetime, folder: str, root: str) -> list[str]:
-    """First the newest volume alone as a provisional preview, then all of the range in time order as final, each against the
-    one before. Scans that can't be fetched are skipped; a provisional one never serves as the one before."""
+    """First each scan alone, newest first, as a provisional preview; then all of the range in time order as final, each against
+    the one before. The archive's scan just before the range, if it is complete and at most 15 minutes older, is the first
+    one's prior and isn't written. Scans that can't be fetched are skipped; a provisional one never serves as the one before."""
     paths = []
-    for key in reversed(bucket.keys_between(source, site, start, end)):
+    keys = bucket.keys_between(source, site, start, end)
+    for key in reversed(keys):
         try:
             paths.append(str(bucket.download(source, key, folder)))
         except OSError:
             continue
-        if len(paths) == 1:
-            process(volumes.read_archive(spark, paths[0]), root, provisional=True)
-    if paths:
-        files = spark.read.format("binaryFile").load(paths).select("path", "content")
-        process(volumes.decode(files), root)
+        # a scan that can't be read gives no rows
+        process(volumes.read_archive(spark, paths[-1]), root, provisional=True)
+    if not paths:
+        return []
+    final = volumes.decode(spark.read.format("binaryFile").load(paths).select("path", "content"))
+    lead = _predecessor(spark, source, site, keys[0], folder)
+    if lead is None:
+        process(final, root)
+    else:
+        process(final.unionByName(lead), root, own=final.select("icao", "scan_time").distinct())
     return paths[::-1]
 
 
+def _predecessor(spark: SparkSession, source: bucket.Bucket, site: str, first: str, folder: str) -> DataFrame | None:
+    at = bucket.key_time(first)
+    try:
+        key = bucket.key_at(source, site, at - timedelta(milliseconds=1))
+        if key is None or not 0 < (at - bucket.key_time(key)).total_seconds() <= C.PRIOR_MAX_AGE_S:
+            return None
+        path = str(bucket.download(source, key, folder))
+    except (OSError, ValueError):
+        return None
+    return volumes.read_archive(spark, path).filter("complete")
+
+
 def changed_volumes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Names whose unfolded velocity differs between two radial tables: only these need products, cells and winds again."""
-    mark = lambda d: d.filter("field = 'DVEL'").groupBy("name").agg(F.sum(F.xxhash64("elevation_number", "azimuth", F.col("v").cast("array<float>")).cast("decimal(38,0)")).alias("mark"))
+    """Volumes (icao, scan_time) whose unfolded velocity differs between two tables of derived fields: only these need products,
+    cells and winds again."""
+    mark = lambda d: d.filter("field = 'DVEL'").groupBy("icao", "scan_time").agg(F.sum(F.xxhash64("elevation_number", "az_bin", F.col("v").cast("array<float>")).cast("decimal(38,0)")).alias("mark"))
     old, new = mark(before), mark(after).withColumnRenamed("mark", "new_mark")
-    return new.join(old, "name", "left").filter(~F.col("mark").eqNullSafe(F.col("new_mark"))).select("name")
+    return new.join(old, ["icao", "scan_time"], "left").filter(~F.col("mark").eqNullSafe(F.col("new_mark"))).select("icao", "scan_time")
+
+
+def unfold_again(radials: DataFrame, root: str) -> DataFrame:
+    """Unfold stored volumes (radials) against their priors anew and process those whose velocity has changed: (icao, scan_time)
+    of them."""
+    spark = radials.sparkSession
+    stored = spark.read.parquet(f"{root}/field").select("icao", "scan_time", "field", "elevation_number", "az_bin", "v")
+    changed = changed_volumes(stored, volumes.derived_fields(radials))
+    rows = [tuple(r) for r in changed.collect()]
+    own = spark.createDataFrame(rows, "icao string, scan_time timestamp")
+    if rows:
+        process(radials, root, own=own, raw=False)
+    return own

@@ -1,13 +1,15 @@
 """Buckets of raw files: listings, key selection, downloads, the real-time ring, and Spark data sources over them.
 
-A bucket has ``list(prefix)``, sorted keys of one page at least, and ``get(key)``. ``FolderBucket`` serves a mounted
-folder; another store needs only these two methods.
+A bucket has ``list(prefix)``, sorted keys, and ``get(key)``. ``FolderBucket`` serves a mounted folder, ``HttpBucket`` an
+object store over HTTP; another store needs only these two methods.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import urllib.parse
+import urllib.request
 import uuid
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
@@ -40,6 +42,31 @@ class FolderBucket:
         return (self.root / key).read_bytes()
 
 
+class HttpBucket:
+    """An object store that lists by XML and serves keys by name over HTTP."""
+
+    def __init__(self, url: str, timeout_s: float = 30.0):
+        self.url, self.timeout_s = url.rstrip("/"), timeout_s
+
+    def _fetch(self, path: str) -> bytes:
+        with urllib.request.urlopen(f"{self.url}/{path}", timeout=self.timeout_s) as answer:
+            return answer.read()
+
+    def list(self, prefix: str) -> list[str]:
+        found: list[str] = []
+        more: dict[str, str] = {}
+        while True:
+            text = self._fetch("?" + urllib.parse.urlencode({"list-type": "2", "prefix": prefix, **more})).decode()
+            found += parse_listing(text)
+            token = [e.text for e in ET.fromstring(text).iter() if e.tag.rpartition("}")[2] == "NextContinuationToken"]
+            if not token or not token[0]:
+                return sorted(found)
+            more = {"continuation-token": token[0]}
+
+    def get(self, key: str) -> bytes:
+        return self._fetch(urllib.parse.quote(key))
+
+
 def parse_listing(text: str) -> list[str]:
     """Keys of an XML listing, entities decoded; namespaces don't matter."""
     return [e.text for e in ET.fromstring(text).iter() if e.tag.rpartition("}")[2] == "Key" and e.text]

@@ -202,15 +202,16 @@ def write_volume(volume: Volume, layout: str = "bzip2", record: int = 120) -> by
     return b"".join(out)
 
 
-def storm_scene(icao: str = "KTST", time_ms: int = 1_714_600_800_000, sweeps: tuple[float, ...] = (0.5, 0.5, 1.5, 3.0, 5.0, 7.5, 11.0), gates: int = 48, nyquist: float = 20.0, seed: int = 7) -> Volume:
-    """A deterministic volume: one core with a rotating couplet in a wind that veers with height, velocities folded."""
+def storm_scene(icao: str = "KTST", time_ms: int = 1_714_600_800_000, sweeps: tuple[float, ...] = (0.5, 0.5, 1.5, 3.0, 5.0, 7.5, 11.0), gates: int = 48, nyquist: float = 20.0, seed: int = 7, spacing_m: float = 1000.0, dual_gates: int | None = None) -> Volume:
+    """A deterministic volume: one core with a rotating couplet in a wind that veers with height, velocities folded. All but
+    reflectivity may have fewer gates."""
     rng = np.random.default_rng([seed, time_ms // 1000, sum(icao.encode())])
     minutes = (time_ms - 1_714_600_800_000) / 60_000
     cx, cy = 18 + 0.6 * minutes, 14 + 0.36 * minutes
     radials = []
     for number, elev in enumerate(sweeps, 1):
         n = 720 if elev < 1 else 360
-        r = np.arange(1, gates + 1, dtype=float)
+        r = 1 + np.arange(gates) * spacing_m / 1000
         for i in range(n):
             az = (i + 0.5) * 360 / n
             s, c = np.sin(np.radians(az)), np.cos(np.radians(az))
@@ -228,6 +229,7 @@ def storm_scene(icao: str = "KTST", time_ms: int = 1_714_600_800_000, sweeps: tu
             vel = (u * s + v * c) * np.cos(np.radians(elev)) + rng.normal(0, 0.2, gates)
             vel = np.mod(vel + nyquist, 2 * nyquist) - nyquist
             rho = np.where(ref > 20, 0.985, 0.97).astype(np.float32)
-            moments = [Moment("REF", 1000.0, 1000.0, ref), Moment("VEL", 1000.0, 1000.0, vel.astype(np.float32)), Moment("ZDR", 1000.0, 1000.0, (0.02 * ref).astype(np.float32)), Moment("PHI", 1000.0, 1000.0, (60 + np.cumsum(np.where(ref > 45, 3.0, 0.05))).astype(np.float32)), Moment("RHO", 1000.0, 1000.0, rho)]
+            phase = 60 + np.cumsum(np.where(ref > 45, 3.0, 0.05) * spacing_m / 1000)
+            moments = [Moment(name, 1000.0, spacing_m, x[: gates if name == "REF" else dual_gates].astype(np.float32)) for name, x in (("REF", ref), ("VEL", vel), ("ZDR", 0.02 * ref), ("PHI", phase), ("RHO", rho))]
             radials.append(Radial(az, elev, number, 360 / n, time_ms + number * 15_000 + i * 20, nyquist, 466.0, tuple(moments)))
     return Volume(icao, time_ms, 35.3331, -97.2778, 370.0, 212, tuple(radials), True)

@@ -7,20 +7,64 @@ import zipfile
 from io import BytesIO
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_volumes(radials: DataFrame, root: str, provisional: bool = False) -> None:
-    """Write radials by site and day, then one catalogue row for each volume. A final volume replaces a provisional one of
-    the same name, as its partition is overwritten."""
+def table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table, or None while nothing is in it."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as none:
+        if none.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def overwrite(rows: DataFrame, root: str, name: str) -> None:
+    """Write rows with icao and day over the partitions that they are in."""
+    rows.repartition("icao", "day", F.hour("scan_time")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("icao", "day").parquet(f"{root}/{name}")
+
+
+def scan_rows(radials: DataFrame, provisional: bool = False) -> DataFrame:
+    """The catalogue's row of each volume."""
     rows = radials.withColumns({"name": F.concat_ws("_", "icao", F.date_format("scan_time", "yyyyMMdd_HHmmss")), "day": F.to_date("scan_time")})
-    index = rows.groupBy("icao", "day", "name", "scan_time").agg(
+    return rows.groupBy("icao", "day", "name", "scan_time").agg(
         F.first("complete").alias("complete"), F.lit(provisional).alias("provisional"), F.first("vcp").alias("vcp"), F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("height_m").alias("height_m"),
         F.countDistinct("elevation_number").alias("n_sweeps"), F.sort_array(F.collect_set("field")).alias("fields"),
     )
-    for table, frame in (("radial", rows), ("scan_index", index)):
-        frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("icao", "day", "name").parquet(f"{root}/{table}")
+
+
+def replace(rows: DataFrame, scans: DataFrame, root: str, name: str) -> None:
+    """Write the rows of some scans (icao, scan_time) in place of what a table has of them; other scans of the same sites and
+    days stay. A table's partition is a site's day, so the number of folders doesn't grow with the scans."""
+    spark, path = rows.sparkSession, f"{root}/{name}"
+    new = rows.withColumn("day", F.to_date("scan_time"))
+    touched = scans.select("icao", F.to_date("scan_time").alias("day")).distinct()
+    if (old := table(spark, path)) is not None:
+        kept = old.join(F.broadcast(touched), ["icao", "day"], "left_semi").join(scans.select("icao", "scan_time"), ["icao", "scan_time"], "left_anti")
+        new = new.unionByName(kept, allowMissingColumns=True)
+        left = touched.join(new.select("icao", "day").distinct(), ["icao", "day"], "left_anti").collect()
+        for row in left:
+            delete(spark, f"{path}/icao={row['icao']}/day={row['day']}")
+    overwrite(new, root, name)
+
+
+def write_volumes(radials: DataFrame, scans: DataFrame, root: str) -> None:
+    """Write radials and, from ``scan_rows``, one catalogue row for each volume, the row last. A volume that is being written
+    again is marked provisional first, so that readers don't take old metadata for new rays. A final volume replaces a
+    provisional one of the same name."""
+    if (held := table(radials.sparkSession, f"{root}/scan_index")) is not None:
+        again = held.join(scans.select("icao", "scan_time"), ["icao", "scan_time"], "left_semi").withColumn("provisional", F.lit(True)).drop("day")
+        replace(again, scans, root, "scan_index")
+    replace(radials.withColumn("name", F.concat_ws("_", "icao", F.date_format("scan_time", "yyyyMMdd_HHmmss"))), scans, root, "radial")
+    replace(scans.drop("day"), scans, root, "scan_index")
 
 
 def read_field(spark: SparkSession, root: str, field: str, icao: str | None = None) -> DataFrame:

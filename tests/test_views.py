@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from stormlake.operators import views
+from stormlake.operators import views, volumes
 from stormlake.plans import jobs
 from stormlake.sources import bucket, level2
 
@@ -65,18 +65,34 @@ def test_pick_hits_the_first_surface(spark):
     assert row["tilt"] == 1 and abs(row["t"] - (20 - 4.52)) < 0.05
 
 
-def test_backfill_writes_every_table_twice_alike(spark, tmp_path):
-    for k in range(2):
-        path = tmp_path / f"bucket/2024/05/01/KTST/KTST20240501_22{k * 5:02d}00_V06"
+def _archive(tmp_path, times_ms, broken=()):
+    for at in times_ms:
+        stamp = datetime.fromtimestamp(at / 1000, UTC)
+        path = tmp_path / f"bucket/{stamp:%Y/%m/%d}/KTST/KTST{stamp:%Y%m%d_%H%M%S}_V06"
         path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_bytes(level2.write_volume(level2.storm_scene(time_ms=1_714_600_800_000 + k * 300_000, sweeps=(1.5, 3.0))))
-    run = lambda: jobs.backfill(spark, bucket.FolderBucket(str(tmp_path / "bucket")), "KTST", datetime(2024, 5, 1, tzinfo=UTC), datetime(2024, 5, 2, tzinfo=UTC), str(tmp_path / "raw"), str(tmp_path / "out"))
-    assert len(run()) == 2
+        path.write_bytes(b"torn" if at in broken else level2.write_volume(level2.storm_scene(time_ms=at, sweeps=(1.5, 3.0))))
+    return bucket.FolderBucket(str(tmp_path / "bucket"))
+
+
+def test_backfill_writes_every_table_twice_alike(spark, tmp_path):
+    t0 = 1_714_600_800_000
+    source = _archive(tmp_path, [t0 - 300_000, t0, t0 + 300_000, t0 + 400_000], broken=[t0 + 400_000])
+    run = lambda: jobs.backfill(spark, source, "KTST", datetime(2024, 5, 1, 22, tzinfo=UTC), datetime(2024, 5, 2, tzinfo=UTC), str(tmp_path / "raw"), str(tmp_path / "out"))
+    assert len(run()) == 3
     read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
-    first = {n: read(n).count() for n in ("product", "cell", "cell_track", "hydrometeor", "scan_index", "radial")}
+    tables = ("product", "field", "cell", "cell_track", "hydrometeor", "melting_layer", "scan_index", "radial")
+    first = {n: read(n).count() for n in tables}
+    # the scan before the range leads into it and isn't written
     assert first["scan_index"] == 2 and first["cell"] == 2 and read("scan_index").filter("provisional").count() == 0
+    assert {r["field"] for r in read("field").select("field").distinct().collect()} == {"DVEL", "AZSHR", "KDP", "HCA"}
     run()
     assert first == {n: read(n).count() for n in first}
-    radial = read("radial").withColumn("field", F.when(F.col("field") == "VEL", "DVEL").otherwise(F.col("field")))
-    other = radial.withColumn("v", F.when(F.col("name").endswith("220500"), F.transform("v", lambda x: x + 1)).otherwise(F.col("v")))
-    assert [r["name"] for r in jobs.changed_volumes(radial, other).collect()] == ["KTST_20240501_220500"]
+    radials = read("radial").drop("name", "day")
+    assert jobs.unfold_again(radials, str(tmp_path / "out")).count() == 0
+    field = read("field")
+    later = field.withColumn("v", F.when(F.col("scan_time") > F.timestamp_millis(F.lit(t0)), F.transform("v", lambda x: x + 1)).otherwise(F.col("v")))
+    assert [r["scan_time"].timestamp() * 1000 for r in jobs.changed_volumes(field, later).collect()] == [t0 + 300_000]
+    # a job over one scan leaves the other scans of its day
+    one = volumes.read_archive(spark, str(tmp_path / "raw/KTST20240501_220000_V06"))
+    jobs.process(one, str(tmp_path / "out"), provisional=True)
+    assert first == {n: read(n).count() for n in first} and read("scan_index").filter("provisional").count() == 1
