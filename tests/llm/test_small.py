@@ -93,13 +93,55 @@ def test_quality_counts(docs, rows):
     assert got == want
 
 
-def test_quality_learns_faults_without_labels():
-    m = 8
-    patterns = {(0, 1, 0, 0, 0, 0, 1, 0): 900, (0, -1, -1, 0, 0, 0, 1, 0): 40, (0, 0, 0, -1, -1, 0, 1, 0): 60}
-    shares, rates = quality.estimate(patterns)
-    good = [quality.kinds(p, shares, rates)[0] for p in patterns]
-    assert len(rates) == m + 1 and good[0] > 0.99 and max(good[1:]) < 0.05 and abs(sum(shares) - 1) < 1e-6
-    assert quality.estimate({})[0][0] == quality.PRIOR_SHARE
+def brute_em(patterns, m):
+    """The same estimate by arrays over single documents."""
+    said = np.repeat(np.array(list(patterns)), list(patterns.values()), axis=0)
+    share, rates = quality.PRIOR_SHARE, np.array([[r] * m for r in quality.PRIOR_RATES])
+    weight = quality.PRIOR_WEIGHT * len(said)
+    for _ in range(200):
+        like = np.stack([np.prod([rates[k, j][said[:, j] + 1] for j in range(m)], axis=0) for k in range(2)])
+        q = share * like[1] / (share * like[1] + (1 - share) * like[0])
+        for k, w in enumerate((1 - q, q)):
+            for j in range(m):
+                for v in range(3):
+                    rates[k, j, v] = (w[said[:, j] + 1 == v].sum() + quality.PRIOR_RATES[k][v] * weight) / (w.sum() + weight)
+        share = (q.sum() + quality.PRIOR_SHARE * weight) / (len(said) + weight)
+    return share, rates
+
+
+def test_accuracies_against_brute_force():
+    rng = np.random.default_rng(6)
+    ill = rng.random(1500) < 0.15
+    rows = np.where(ill[:, None], rng.choice([-1, 0, 1], (1500, 3), p=[0.7, 0.2, 0.1]), rng.choice([-1, 0, 1], (1500, 3), p=[0.05, 0.1, 0.85]))
+    patterns = collections.Counter(map(tuple, rows.tolist()))
+    share, rates = quality.estimate(patterns)
+    want_share, want = brute_em(patterns, 3)
+    assert abs(share - want_share) < 1e-6 and np.abs(np.array(rates) - want).max() < 1e-6 and abs(share - ill.mean()) < 0.03
+    again, same = quality.estimate({p: 7 * n for p, n in patterns.items()})
+    assert abs(again - share) < 1e-9 and np.abs(np.array(same) - np.array(rates)).max() < 1e-9
+    assert quality.estimate({}, 3) == (quality.PRIOR_SHARE, [[r] * 3 for r in quality.PRIOR_RATES])
+
+
+def test_rules_outvote_a_loose_one_and_constant_votes_weigh_little():
+    # the first rule also votes bad on a tenth of the clean documents, the third always votes good
+    patterns = {(1, 1, 1): 800, (-1, 1, 1): 90, (-1, -1, 1): 60, (1, -1, 1): 10}
+    share, rates = quality.estimate(patterns)
+    assert quality.fault((-1, 1, 1), share, rates) < 0.5 < quality.fault((-1, -1, 1), share, rates)
+    assert abs(math.log(rates[1][2][2] / rates[0][2][2])) < abs(math.log(rates[1][1][2] / rates[0][1][2]))
+
+
+def test_verdicts_against_brute_force(docs, rows):
+    said = quality.with_features(docs.select("doc_id", "text")).select("doc_id", *[v.alias(f"{f}/{k}") for f, of in quality.votes().items() for k, v in of.items()]).collect()
+    kept = collections.Counter((r["doc_id"], round(r["quality"], 9), r["kept"] or r["base_failed"]) for r in quality.report(docs).collect())
+    want, good = collections.Counter(), {}
+    for f, of in quality.votes().items():
+        patterns = collections.Counter(tuple(r[f"{f}/{k}"] for k in of) for r in said)
+        share, rates = brute_em(patterns, len(of))
+        for i, r in enumerate(said):
+            like = [np.prod([rates[c, j][r[f"{f}/{k}"] + 1] for j, k in enumerate(of)]) for c in range(2)]
+            good[i] = good.get(i, 1) * (1 - share) * like[0] / (share * like[1] + (1 - share) * like[0])
+    assert sorted((str(i), round(q, 6)) for i, q, _ in kept.elements()) == sorted((str(r["doc_id"]), round(good[i], 6)) for i, r in enumerate(said))
+    assert all(ok == (q >= quality.KEEP_FROM) or ok for _, q, ok in kept)
 
 
 # 2
