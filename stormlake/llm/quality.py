@@ -104,7 +104,7 @@ def votes() -> dict[str, dict[str, Column]]:
     low = lambda x, good, bad: _vote(x, x >= good, x < bad)
     return {
         "noise": {"symbols": high(per_word["n_symbols"], 0.02, 0.1), "bare_words": high(per_word["n_bare"], 0.1, 0.2), "marks": high(per_char["n_marks"], 0.1, 0.25)},
-        "repetition": {"repeated_lines": high(per_line["n_dup_lines"], 0.0, 0.3), "repeated_words": high(per_word["n_repeat_words"], 0.05, 0.2), "distinct_words": low(per_word["n_distinct"], 0.4, 0.2)},
+        "repetition": {"repeated_lines": high(per_line["n_dup_lines"], 0.0, 0.3), "repeated_words": high(per_word["n_repeat_words"], 0.05, MOST_REPEAT_PERCENT / 100), "distinct_words": low(per_word["n_distinct"], 0.4, 0.2)},
         "shouting": {"upper_case": high(per_char["n_upper"], 0.1, 0.3), "shouted_words": high(per_word["n_shouted"], 0.1, 0.3), "cries": high(per_word["n_cries"], 0.02, 0.1)},
         "fragments": {
             "length": low(words, 100, 50), "line_ends": low(per_line["n_ended"], 0.5, 0.12), "short_lines": high(per_line["n_short"], 0.3, 0.67),
