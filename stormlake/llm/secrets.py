@@ -3,11 +3,15 @@
 A candidate is a run of at least 12 letters, digits, ``+/_-`` with a digit, or of 16 capitals and digits; besides,
 whatever its length and symbols, the run of non-blanks that a key word with = or : assigns, and the password part of
 a url. Its features are length, character classes and their transitions, entropy, coverage by dictionary words, whether
-it lies in a path, and the words next to it. The forest (JVM, fitted by Spark's own library) is trained from
-labelled findings (candidate, before, after, label); ``seed_findings`` makes a bounded set of them by rule, and
-reviewed findings of one's own can be added or given instead.
+it lies in a path, and the words next to it. The dictionary is the corpus's own: its DICTIONARY_WORDS most frequent
+words of letters, counted over all documents, together with words that placeholders are made of; coverage is the share of a
+candidate's runs of four characters that occur in them. The forest (JVM, fitted by Spark's own library) is trained from
+labelled findings (candidate, before, after, label); ``seed_findings`` makes a bounded set of them by rule and of the
+dictionary's words, and reviewed findings of one's own can be added or given instead.
 
-Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; places are code
+Defined cases: null and empty texts have no candidates; repeated rows give repeated findings; a very long text or
+candidate takes time in proportion to its length, and memory of one task; without documents the dictionary is that of
+placeholders; places are code
 points from 0; ``redact`` keeps every row, the columns and their order, and sets n_chars, where there is such
 a column, to the new length of texts that it changed. Extra columns keep names and values unless they begin
 with ``__s_``.
@@ -15,6 +19,9 @@ with ``__s_``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -37,20 +44,25 @@ CONTEXT = 48
 #: Labelled findings made by rule, trees and their depth.
 SEED_FINDINGS, TREES, DEPTH = 14_000, 24, 8
 SECRET_FROM = 0.5
+#: Words of the corpus that the driver holds as a dictionary, and words that findings made by rule are of.
+DICTIONARY_WORDS, SEED_WORDS = 2000, 200
+#: Candidates of a block whose lengths are summed together.
+BLOCK = 256
 MASK = "[SECRET]"
 
 #: Frequent letter pairs of English prose.
 PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
-#: Dictionary words that placeholders and identifiers are made of.
-DICTIONARY = "example sample dummy test demo change default placeholder password secret token value your user name admin login hello world chapter section version release build file image page index main data table column report order invoice number group project module service client server config param index item part the and for with from this that have not are was will".split()
+#: Words that placeholders and identifiers are made of.
+PLACEHOLDERS = "example sample dummy test demo change default placeholder password secret token value your user name admin login hello world chapter section version release build file image page index main data table column report order invoice number group project module service client server config param index item part the and for with from this that have not are was will".split()
+#: Words that findings are made of where the corpus has too few.
+PROSE = "the of and to in there stone river letter early thorough inner meaning later wonder nation other state thing those heard under theory history".split()
 OTHER_NAMES = r"passages?|passengers?|passive|secretary|authors?|authority|authentic|tokens|\w+_(?:count|length|len|size|limit|type|name|url|uri|path|file|expiry|expires|expires_in)"
 OTHER_WORDS = "commit|sha|revision|uuid|guid|card|phone|call|order|invoice|isbn|serial|ticket|version|released?|file|page|image|checksum|digest|example|sample|placeholder"
 
 
 def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, idx, start, end, candidate, before, after): one row for each candidate."""
-    rows = docs.select(docs[key].alias(key), _parts(F.col("text")).alias("__s_parts"), _matches(F.col("text")).alias("__s_found")).filter(F.size("__s_found") > 0)
-    return _exploded(rows, key)
+    return _exploded(docs, key, _parts(docs["text"]), _matches(docs["text"]))
 
 
 def _matches(text: Column) -> Column:
@@ -61,26 +73,69 @@ def _parts(text: Column) -> Column:
     return F.split(text, CANDIDATE)
 
 
-def _exploded(rows: DataFrame, key: str) -> DataFrame:
-    ends = F.expr("transform(__s_found, (m, i) -> aggregate(slice(__s_parts, 1, i + 1), 0, (a, p) -> a + length(p)) + aggregate(slice(__s_found, 1, i), 0, (a, p) -> a + length(p)))")
-    rows = rows.withColumn("__s_starts", ends)
-    rows = rows.select(key, "__s_parts", "__s_found", "__s_starts", F.posexplode("__s_found").alias("idx", "candidate"))
-    start = F.get(F.col("__s_starts"), F.col("idx"))
-    return rows.select(
-        key, "idx", start.alias("start"), (start + F.length("candidate")).alias("end"), "candidate",
-        F.right(F.concat(F.when(F.col("idx") > 0, F.concat(F.get(F.col("__s_parts"), F.col("idx") - 1), F.get(F.col("__s_found"), F.col("idx") - 1))).otherwise(""), F.get(F.col("__s_parts"), F.col("idx"))), F.lit(CONTEXT)).alias("before"), F.left(F.get(F.col("__s_parts"), F.col("idx") + 1), F.lit(CONTEXT)).alias("after"),
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, wherever the optimiser moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+
+
+def _exploded(rows: DataFrame, key: str, parts: Column, found: Column) -> DataFrame:
+    """Each candidate with its place and context, from the texts before, between and after candidates and the candidates. Lengths
+    are summed by blocks, and within a block, so that a text of many candidates isn't summed anew for each."""
+
+    def whole(p: Column, f: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(f) - 1) / BLOCK).cast("int"))
+        lengths = F.transform(f, lambda m, i: (F.length(F.get(p, i)) + F.length(m)).cast("long"))
+
+        def place(n: Column, before: Column, i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            return (F.get(before, block) + _sum(F.slice(n, block * BLOCK + 1, i % BLOCK)) + F.length(F.get(p, i))).cast("int")
+
+        def one(n: Column, before: Column) -> Callable[[Column, Column], Column]:
+            def made(m: Column, i: Column) -> Column:
+                earlier = F.when(i > 0, F.concat(F.get(p, i - 1), F.get(f, i - 1))).otherwise("")
+                return F.struct(i.alias("idx"), place(n, before, i).alias("start"), m.alias("candidate"), F.right(F.concat(earlier, F.get(p, i)), F.lit(CONTEXT)).alias("before"), F.left(F.get(p, i + 1), F.lit(CONTEXT)).alias("after"))
+
+            return made
+
+        def by_blocks(n: Column) -> Column:
+            return _let(F.transform(blocks, lambda b: _sum(F.slice(n, b * BLOCK + 1, F.lit(BLOCK)))), lambda t: _let(F.transform(blocks, lambda b: _sum(F.slice(t, F.lit(1), b))), lambda before: F.transform(f, one(n, before))))
 
+        return F.when(F.size(f) > 0, _let(lengths, by_blocks))
 
-def features() -> dict[str, Column]:
-    """Each feature from candidate, before and after."""
+    # an outer explode, as of another one a filter is inferred that works the expression out again
+    every = rows.select(rows[key].alias(key), F.explode_outer(_let(parts, lambda p: _let(found, lambda f: whole(p, f)))).alias("c")).filter("c IS NOT NULL")
+    return every.select(key, "c.idx", "c.start", (F.col("c.start") + F.length("c.candidate")).alias("end"), "c.candidate", "c.before", "c.after")
+
+
+def dictionary(docs: DataFrame, n: int = DICTIONARY_WORDS) -> list[str]:
+    """The n most frequent words of 4 to 12 letters a-z in the texts, ties by word; counted over all documents."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<![\p{L}\p{N}_])[a-z]{4,12}(?![\p{L}\p{N}_])"), F.lit(0))).alias("word"))
+    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(n).collect()]
+
+
+def _runs(words: list[str], size: int = 4) -> list[str]:
+    return sorted({w[i : i + size] for w in words for i in range(len(w) - size + 1)})
+
+
+def features(words: list[str]) -> dict[str, Column]:
+    """Each feature from candidate, before and after, given the dictionary's words."""
     c, before, after = F.col("candidate"), F.col("before"), F.col("after")
     n = F.length(c).cast("double")
     count = lambda pattern: F.regexp_count(c, F.lit(pattern)).cast("double")
     low = F.lower(c)
     flag = lambda x: x.cast("double")
     letters = F.greatest(count("[A-Za-z]"), F.lit(1.0))
-    entropy = F.expr("aggregate(transform(array_distinct(split(candidate, '')), x -> size(filter(split(candidate, ''), y -> y = x)) / length(candidate)), 0D, (a, p) -> a - CASE WHEN p > 0 THEN p * log2(p) ELSE 0D END)")
+    # of sorted characters: log2 n less the mean of log2 of the runs' lengths
+    shares = "a.s + if(a.r > 0, a.r * log2(a.r), 0D)"
+    entropy = F.expr(f"""aggregate(array_sort(filter(split(candidate, ''), x -> x <> '')), named_struct('c', '', 'r', 0D, 's', 0D),
+        (a, x) -> if(x = a.c, named_struct('c', a.c, 'r', a.r + 1D, 's', a.s), named_struct('c', x, 'r', 1D, 's', {shares})), a -> {shares})""")
+    known = ", ".join(f"'{x}'" for x in _runs(words + PLACEHOLDERS))
+    covered = F.expr(f"""aggregate(filter(split(lower(candidate), ''), x -> x <> ''), named_struct('x', '', 'n', 0D),
+        (a, c) -> named_struct('x', concat(right(a.x, 3), c), 'n', a.n + if(concat(right(a.x, 3), c) IN ({known}), 1D, 0D)), a -> a.n)""")
     return {
         "length": n,
         "digits": count("[0-9]") / n,
@@ -94,8 +149,8 @@ def features() -> dict[str, Column]:
         "transitions": count("(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[a-z])(?=[A-Z])") / n,
         "common_pairs": F.regexp_count(low, F.lit(f"(?={'|'.join(PAIRS)})")).cast("double") / n,
         "vowels": F.regexp_count(low, F.lit("[aeiou]")).cast("double") / letters,
-        "entropy": entropy,
-        "dictionary": 1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
+        "entropy": F.log2(n) - entropy / n,
+        "dictionary": covered / F.greatest(n - 3, F.lit(1.0)),
         "uuid": flag(low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")),
         "in_path": flag(c.rlike("/.*/") | before.rlike(r"[/\\.@]$") | after.rlike(r"^[/@]|^\.[A-Za-z]")),
         "assigned": flag(before.rlike("[=:]\\s*[\"']?$")),
@@ -113,8 +168,10 @@ def features() -> dict[str, Column]:
     }
 
 
-def seed_findings(spark: SparkSession, n: int = SEED_FINDINGS, seed: int = 20240501) -> DataFrame:
-    """n labelled findings (candidate, before, after, label) made by rule: 18 kinds of secrets, 17 of others."""
+def seed_findings(spark: SparkSession, words: list[str] | None = None, n: int = SEED_FINDINGS, seed: int = 20240501) -> DataFrame:
+    """n labelled findings (candidate, before, after, label) made by rule: 18 kinds of secrets, 17 of others; of the words given
+    where these are enough."""
+    pool = words[:SEED_WORDS] if words and len(words) >= len(PROSE) else PROSE
     kinds = [
         # candidate, end of what stands before, start of what stands after, label
         ("concat('AKIA', left(capitals, 16))", "' '", "' '", 1),
@@ -159,7 +216,7 @@ def seed_findings(spark: SparkSession, n: int = SEED_FINDINGS, seed: int = 20240
         "kind": (F.col("id") % len(kinds)).cast("int"),
         "size": F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(24)).cast("int"),
         "b64": F.base64(F.unhex("h")),
-        "words": F.expr("transform(sequence(0, 11), i -> element_at(split('the of and to in there stone river letter early thorough inner meaning later wonder nation other state thing those heard under theory history', ' '), cast(pmod(xxhash64(h, i), 24) as int) + 1))"),
+        "words": F.expr("transform(sequence(0, 11), i -> element_at(split('" + " ".join(pool) + "', ' '), " + f"cast(pmod(xxhash64(h, i), {len(pool)}) as int) + 1))"),
     })
     rows = rows.withColumns({
         "capitals": F.upper(F.regexp_replace("b64", "[^A-Za-z2-7]", "")),
@@ -175,39 +232,50 @@ def seed_findings(spark: SparkSession, n: int = SEED_FINDINGS, seed: int = 20240
     return rows.select(pick(0).alias("candidate"), F.right(F.concat("pre", pick(1)), F.lit(CONTEXT)).alias("before"), F.left(F.concat(pick(2), "post"), F.lit(CONTEXT)).alias("after"), pick(3).cast("double").alias("label"))
 
 
-def _assembled(findings: DataFrame) -> DataFrame:
-    made = features()
+def _assembled(findings: DataFrame, words: list[str]) -> DataFrame:
+    made = features(words)
     rows = findings.withColumns({f"__s_{k}": F.coalesce(v.cast("double"), F.lit(0.0)) for k, v in made.items()})
     return VectorAssembler(inputCols=[f"__s_{k}" for k in made], outputCol="__s_features").transform(rows).drop(*[f"__s_{k}" for k in made])
 
 
-def train(findings: DataFrame, trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> RandomForestClassificationModel:
-    """Fit the forest to labelled findings."""
+class Model(NamedTuple):
+    forest: RandomForestClassificationModel
+    words: list[str]
+
+
+def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 7) -> Model:
+    """Fit the forest to labelled findings, given the dictionary's words."""
     forest = RandomForestClassifier(featuresCol="__s_features", labelCol="label", predictionCol="__s_prediction", probabilityCol="__s_probability", rawPredictionCol="__s_raw", numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt")
-    return forest.fit(_assembled(findings).select("__s_features", "label"))
+    return Model(forest.fit(_assembled(findings, words).select("__s_features", "label")), words)
+
+
+def model_of(docs: DataFrame, labelled: DataFrame | None = None) -> Model:
+    """The model for a corpus: its dictionary, and the findings given or made by rule."""
+    words = dictionary(docs.select("text"))
+    return train(seed_findings(docs.sparkSession, words) if labelled is None else labelled, words)
 
 
-def scored(findings: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+def scored(findings: DataFrame, model: Model) -> DataFrame:
     """Add score, the forest's probability of a secret, and is_secret."""
-    rows = model.transform(_assembled(findings))
+    rows = model.forest.transform(_assembled(findings, model.words))
     score = F.get(vector_to_array("__s_probability"), F.lit(1))
     return rows.withColumns({"score": score, "is_secret": score >= SECRET_FROM}).drop("__s_features", "__s_raw", "__s_probability", "__s_prediction")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, start, end, candidate_sha256, score, is_secret) of every candidate; the secret itself isn't repeated."""
-    model = train(seed_findings(docs.sparkSession) if labelled is None else labelled)
+    model = model_of(docs, labelled)
     return scored(candidates(docs), model).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.sha2("candidate", 256).alias("candidate_sha256"), "score", "is_secret")
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The documents with each secret replaced by a mask. Only texts with candidates are shuffled."""
-    model = train(seed_findings(docs.sparkSession) if labelled is None else labelled)
+    model = model_of(docs, labelled)
     hit = F.coalesce(docs["text"].rlike(CANDIDATE), F.lit(False))
     clean = docs.filter(~hit)
     some = docs.filter(hit).withColumns({"__s_id": F.monotonically_increasing_id(), "__s_parts": _parts(docs["text"]), "__s_found": _matches(docs["text"])})
     some = stored(some, "candidates")
-    verdicts = scored(_exploded(some.select("__s_id", "__s_parts", "__s_found"), "__s_id"), model).groupBy("__s_id").agg(F.sort_array(F.collect_list(F.struct("idx", "is_secret"))).alias("__s_verdicts"))
+    verdicts = scored(_exploded(some, "__s_id", some["__s_parts"], some["__s_found"]), model).groupBy("__s_id").agg(F.sort_array(F.collect_list(F.struct("idx", "is_secret"))).alias("__s_verdicts"))
     changed = F.expr(f"array_join(zip_with(__s_parts, transform(__s_found, (m, i) -> if(__s_verdicts[i].is_secret, '{MASK}', m)), (p, m) -> concat(p, coalesce(m, ''))), '')")
     some = some.join(verdicts, "__s_id").withColumn("__s_text", changed)
     out = {"text": F.col("__s_text")}
