@@ -46,6 +46,12 @@ def slant_km(ground_km: Value, elev: Value) -> Column:
     return F.lit(KE_A_KM) * F.sin(phi) / F.cos(F.radians(_c(elev)) + phi)
 
 
+def height_of_slant_km(r_km: Value, elev: Value) -> Column:
+    """Height of the beam above the radar at a slant range."""
+    r, k = _c(r_km), F.lit(KE_A_KM)
+    return F.sqrt(r * r + k * k + 2.0 * r * k * F.sin(F.radians(_c(elev)))) - k
+
+
 def height_km(ground_km: Value, elev: Value) -> Column:
     """Height of a beam over a point of the ground."""
     r, k = slant_km(ground_km, elev), F.lit(KE_A_KM)

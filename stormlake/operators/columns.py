@@ -6,7 +6,7 @@ from 1 km. A table of the beam over each ground bin is shared by all rays.
 
 from __future__ import annotations
 
-from stormlake.functions.constants import EARTH_43_M, ECHO_TOP_DBZ, KE_A_KM, ROT_TOP_KM, VIL_CAP_DBZ, VIL_MIN
+from stormlake.functions.constants import EARTH_43_M, ECHO_TOP_DBZ, KE_A_KM, ROT_MIN_CREF, ROT_TOP_KM, TRACK_MIN_ROT, VIL_CAP_DBZ, VIL_MIN
 
 K = f"{KE_A_KM}e0"
 
@@ -40,18 +40,31 @@ def column_products() -> str:
 
 
 def low_level_rotation() -> str:
-    """(vol, az, bin, rot): largest value of the beams that are at most 2 km above the radar."""
+    """(vol, az, bin, rot): largest shear of the beams that are at most 2 km above the radar, where the column has an echo. Shears
+    are a table like radials."""
     return f"""
-    WITH lut AS ({beams()})
-    SELECT r.vol, r.az, l.bin, max({{gate:r.v:l.gate}}) AS rot FROM {{radials}} r JOIN lut l ON l.tilt = r.tilt WHERE l.h_km <= {ROT_TOP_KM}e0
-    GROUP BY r.vol, r.az, l.bin HAVING max({{gate:r.v:l.gate}}) IS NOT NULL"""
+    WITH lut AS ({beams()}),
+    echo AS (SELECT r.vol, r.az, l.bin, max({{gate:r.v:l.gate}}) AS cref FROM {{radials}} r JOIN lut l ON l.tilt = r.tilt GROUP BY r.vol, r.az, l.bin HAVING max({{gate:r.v:l.gate}}) >= {ROT_MIN_CREF}e0),
+    low AS (SELECT r.vol, r.az, l.bin, max({{gate:r.v:l.gate}}) AS rot FROM {{shears}} r JOIN lut l ON l.tilt = r.tilt WHERE l.h_km <= {ROT_TOP_KM}e0 GROUP BY r.vol, r.az, l.bin)
+    SELECT low.vol, low.az, low.bin, low.rot FROM low JOIN echo ON echo.vol = low.vol AND echo.az = low.az AND echo.bin = low.bin WHERE low.rot IS NOT NULL"""
+
+
+def rotation_tracks() -> str:
+    """(vol, az, bin, track): largest low-level shear of the frames up to each, where it reaches the least that is drawn."""
+    return f"""
+    WITH low AS ({low_level_rotation()}),
+    places AS (SELECT v.vol, p.az, p.bin FROM (SELECT DISTINCT az, bin FROM low) p CROSS JOIN (SELECT DISTINCT vol FROM {{radials}}) v),
+    tracks AS (SELECT p.vol, p.az, p.bin, max(l.rot) OVER (PARTITION BY p.az, p.bin ORDER BY p.vol ROWS UNBOUNDED PRECEDING) AS track FROM places p LEFT JOIN low l ON l.vol = p.vol AND l.az = p.az AND l.bin = p.bin)
+    SELECT vol, az, bin, track FROM tracks WHERE track >= {TRACK_MIN_ROT}e0"""
 
 
 def sweep_statistics() -> str:
-    """(vol, tilt, elev, n_rays, n_valid, mean, top) of each sweep."""
+    """(vol, tilt, elev, n_rays, first_dbz, n_valid, mean, top) of each sweep; first_dbz is of the first ray's tenth gate."""
     return """
-    WITH gates AS (SELECT vol, tilt, elev, az, {explode:v} AS dbz FROM {radials})
-    SELECT vol, tilt, round(avg(elev), 3) AS elev, count(DISTINCT az) AS n_rays, count(dbz) AS n_valid, round(avg(dbz), 4) AS mean_dbz, max(dbz) AS top_dbz FROM gates GROUP BY vol, tilt"""
+    WITH gates AS (SELECT vol, tilt, {explode:v} AS dbz FROM {radials}),
+    valued AS (SELECT vol, tilt, count(dbz) AS n_valid, round(avg(dbz), 4) AS mean_dbz, max(dbz) AS top_dbz FROM gates GROUP BY vol, tilt),
+    rays AS (SELECT vol, tilt, round(avg(elev), 3) AS elev, count(DISTINCT az) AS n_rays, min(az) AS first_az FROM {radials} GROUP BY vol, tilt)
+    SELECT y.vol, y.tilt, y.elev, y.n_rays, {gate:r.v:9} AS first_dbz, d.n_valid, d.mean_dbz, d.top_dbz FROM rays y JOIN valued d ON d.vol = y.vol AND d.tilt = y.tilt JOIN {radials} r ON r.vol = y.vol AND r.tilt = y.tilt AND r.az = y.first_az"""
 
 
 def point_samples() -> str:
@@ -61,10 +74,13 @@ def point_samples() -> str:
     WHERE p.range_km - 1e0 >= -0.5e0 AND p.range_km - 1e0 < 63.5e0"""
 
 
-def storm_relative(u: float = 10.0, v: float = 6.0) -> str:
-    """Radial velocity of one gate less the storm's motion along the beam."""
-    return f"""
-    SELECT vol, tilt, az, round({{gate:v:20}} - ({u}e0 * sin(radians(az * 7.2e0)) + {v}e0 * cos(radians(az * 7.2e0))) * cos(radians(elev)), 4) AS srv FROM {{radials}} WHERE {{gate:v:20}} IS NOT NULL"""
+def storm_relative() -> str:
+    """Radial velocity of every gate less the storm's motion along the beam. Storms are storms(vol, u, v); without one the
+    velocity stays as it is."""
+    return """
+    WITH gates AS (SELECT r.vol, r.tilt, r.az, r.elev, b.bin, {gate:r.v:b.bin} AS x FROM {radials} r CROSS JOIN {bins} b)
+    SELECT g.vol, g.tilt, g.az, g.bin, round(g.x - coalesce((s.u * sin(radians(g.az * 7.2e0)) + s.v * cos(radians(g.az * 7.2e0))) * cos(radians(g.elev)), 0e0), 4) AS srv
+    FROM gates g LEFT JOIN {storms} s ON s.vol = g.vol WHERE g.x IS NOT NULL"""
 
 
 def ring_fits() -> str:
@@ -95,18 +111,34 @@ def wind_profile() -> str:
     return f"""
     WITH rings AS ({ring_fits()}),
     placed AS (SELECT f.vol, f.u, f.v, {beam_height(slant.replace("ring", "f.ring"), "t.elev")} AS h FROM rings f JOIN (SELECT tilt, min(elev) AS elev FROM {{radials}} GROUP BY tilt) t ON t.tilt = f.tilt)
-    SELECT vol, cast(floor(h / 250e0) AS bigint) * 250 AS height_m, round({{median:u}}, 4) AS u, round({{median:v}}, 4) AS v, count(*) AS n FROM placed WHERE h < 12e3 GROUP BY vol, cast(floor(h / 250e0) AS bigint) HAVING count(*) >= 2"""
+    SELECT vol, cast(floor(h / 250e0) AS bigint) * 250 + 125 AS height_m, round({{median:u}}, 4) AS u, round({{median:v}}, 4) AS v, count(*) AS n FROM placed WHERE h < 12e3 GROUP BY vol, cast(floor(h / 250e0) AS bigint) HAVING count(*) >= 2"""
 
 
-def helicity() -> str:
-    """Shear and storm-relative helicity of each profile, the storm moving with the mean wind: sum of cross products of
-    neighbouring levels, up to 3 km."""
+def storm_motions() -> str:
+    """Movers of each volume whose profile reaches from 1 to 5 km: mean wind and shear of 0 to 6 km in steps of 250 m, the right
+    mover 7.5 m/s to the right of the shear, and helicity relative to it up to 1 and 3 km."""
+    z = "(CASE WHEN {0} IS NULL THEN {1} WHEN {1} IS NULL THEN {0} WHEN h1 = h0 THEN {0} ELSE {0} + ({1} - {0}) * (z - h0) / (h1 - h0) END)"
     return f"""
     WITH profile AS ({wind_profile()}),
-    mean AS (SELECT vol, avg(u) AS um, avg(v) AS vm FROM profile WHERE height_m <= 6000 GROUP BY vol),
-    rel AS (SELECT p.vol, p.height_m, p.u - m.um AS su, p.v - m.vm AS sv FROM profile p JOIN mean m ON m.vol = p.vol WHERE p.height_m <= 3000),
-    steps AS (SELECT vol, su, sv, lag(su) OVER (PARTITION BY vol ORDER BY height_m) AS su0, lag(sv) OVER (PARTITION BY vol ORDER BY height_m) AS sv0 FROM rel)
-    SELECT s.vol, round(min(m.um), 2) AS u_mean, round(min(m.vm), 2) AS v_mean, round(sum(su * sv0 - su0 * sv), 1) AS srh FROM steps s JOIN mean m ON m.vol = s.vol GROUP BY s.vol"""
+    reach AS (SELECT vol FROM profile GROUP BY vol HAVING min(height_m) <= 1000 AND max(height_m) >= 5000),
+    levels AS (SELECT r.vol, b.bin * 250e0 AS z FROM reach r CROSS JOIN {{bins}} b WHERE b.bin <= 24),
+    around AS (SELECT l.vol, l.z, max(CASE WHEN p.height_m <= l.z THEN cast(p.height_m AS double) END) AS h0, min(CASE WHEN p.height_m >= l.z THEN cast(p.height_m AS double) END) AS h1 FROM levels l JOIN profile p ON p.vol = l.vol GROUP BY l.vol, l.z),
+    met AS (SELECT a.vol, a.z, a.h0, a.h1, p.u AS u0, p.v AS v0, q.u AS u1, q.v AS v1 FROM around a LEFT JOIN profile p ON p.vol = a.vol AND p.height_m = a.h0 LEFT JOIN profile q ON q.vol = a.vol AND q.height_m = a.h1),
+    winds AS (SELECT vol, z, {z.format("u0", "u1")} AS u, {z.format("v0", "v1")} AS v FROM met),
+    sums AS (SELECT vol, avg(u) AS um, avg(v) AS vm, avg(CASE WHEN z >= 55e2 THEN u END) - avg(CASE WHEN z <= 5e2 THEN u END) AS su, avg(CASE WHEN z >= 55e2 THEN v END) - avg(CASE WHEN z <= 5e2 THEN v END) AS sv FROM winds GROUP BY vol),
+    movers AS (SELECT *, um + 75e-1 * sv / sqrt(su * su + sv * sv) AS ru, vm - 75e-1 * su / sqrt(su * su + sv * sv) AS rv FROM sums WHERE sqrt(su * su + sv * sv) >= 1e-3),
+    steps AS (SELECT w.vol, w.z, w.u - m.ru AS u, w.v - m.rv AS v, lag(w.u - m.ru) OVER (PARTITION BY w.vol ORDER BY w.z) AS pu, lag(w.v - m.rv) OVER (PARTITION BY w.vol ORDER BY w.z) AS pv FROM winds w JOIN movers m ON m.vol = w.vol),
+    turned AS (SELECT vol, sum(CASE WHEN z <= 1e3 THEN u * pv - pu * v END) AS srh1, sum(CASE WHEN z <= 3e3 THEN u * pv - pu * v END) AS srh3 FROM steps GROUP BY vol)
+    SELECT m.vol, round(m.ru, 2) AS right_u, round(m.rv, 2) AS right_v, round(2e0 * m.um - m.ru, 2) AS left_u, round(2e0 * m.vm - m.rv, 2) AS left_v, round(m.um, 2) AS mean_u, round(m.vm, 2) AS mean_v, round(t.srh1, 1) AS srh1, round(t.srh3, 1) AS srh3
+    FROM movers m JOIN turned t ON t.vol = m.vol"""
+
+
+def wind_levels() -> str:
+    """Columns of a profile view: each volume's wind in rows of 250 m, null where no level lies within half a row."""
+    return f"""
+    WITH profile AS ({wind_profile()})
+    SELECT v.vol, b.bin * 250 + 125 AS row_m, p.u, p.v FROM (SELECT DISTINCT vol FROM {{radials}}) v CROSS JOIN {{bins}} b
+    LEFT JOIN profile p ON p.vol = v.vol AND cast(floor(p.height_m / 250e0) AS bigint) = b.bin WHERE b.bin < 48"""
 
 
 def ring_windows(half: int = 2) -> str:

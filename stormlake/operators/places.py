@@ -15,11 +15,14 @@ def _distance(a: str, b: str) -> str:
 
 
 def neighbours(km: float = MOSAIC_KM) -> str:
-    """Pairs of sites within a distance, by cells of ten degrees: a site meets those of its and the eight cells around."""
+    """Pairs of sites within a distance. Sites meet by cubes of that edge around the earth's centre: a chord is shorter than its
+    arc, so partners lie in the same cube or one next to it, at the poles and the date line too."""
+    step = "(SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d)"
+    cube = lambda x: f"cast(floor({EARTH_KM}e0 * {x} / {km:.1f}e0) AS bigint)"
     return f"""
-    WITH cells AS (SELECT site, lat, lon, cast(floor(lat / 10e0) AS bigint) AS i, cast(floor(lon / 20e0) AS bigint) AS j FROM {{sites}}),
-    looking AS (SELECT c.site, c.lat, c.lon, c.i + a.d AS i, c.j + b.d AS j FROM cells c CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d) a CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d) b),
-    met AS (SELECT l.site AS site, o.site AS other, {_distance("l", "o")} AS km FROM looking l JOIN cells o ON o.i = l.i AND o.j = l.j AND o.site <> l.site)
+    WITH cells AS (SELECT site, lat, lon, {cube("cos(radians(lat)) * cos(radians(lon))")} AS i, {cube("cos(radians(lat)) * sin(radians(lon))")} AS j, {cube("sin(radians(lat))")} AS k FROM {{sites}}),
+    looking AS (SELECT c.site, c.lat, c.lon, c.i + a.d AS i, c.j + b.d AS j, c.k + e.d AS k FROM cells c CROSS JOIN {step} a CROSS JOIN {step} b CROSS JOIN {step} e),
+    met AS (SELECT l.site AS site, o.site AS other, {_distance("l", "o")} AS km FROM looking l JOIN cells o ON o.i = l.i AND o.j = l.j AND o.k = l.k AND o.site <> l.site)
     SELECT site, other, round(km, 4) AS km FROM met WHERE km <= {km:.1f}e0"""
 
 
@@ -50,11 +53,11 @@ def offsets(km: float = MOSAIC_KM) -> str:
 
 
 def nearest_radar() -> str:
-    """The nearest site of each point; the first wins ties. Sites are a small dimension that is broadcast."""
+    """The nearest site of each point; the first wins ties. Sites are a small dimension that is broadcast, and each point's pairs
+    are reduced where they are made."""
     return f"""
-    WITH met AS (SELECT p.point_id, s.site, {_distance("p", "s")} AS km FROM {{points}} p CROSS JOIN {{sites}} s),
-    ranked AS (SELECT point_id, site, km, row_number() OVER (PARTITION BY point_id ORDER BY km, site) AS k FROM met)
-    SELECT point_id, site, round(km, 4) AS km FROM ranked WHERE k = 1"""
+    WITH met AS (SELECT p.point_id, s.site, {_distance("p", "s")} AS km FROM {{points}} p CROSS JOIN {{sites}} s)
+    SELECT point_id, min_by(site, {{pair:km:site}}) AS site, round(min(km), 4) AS km FROM met GROUP BY point_id"""
 
 
 def active_at() -> str:
@@ -71,12 +74,26 @@ def active_sweep() -> str:
     SELECT kind, at_us, cast(sum(d) OVER (PARTITION BY kind ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS bigint) AS n_active FROM summed"""
 
 
-def in_effect() -> str:
-    """The latest issue at or before each request of its kind, of the same day or the one before: cycles as an as-of join."""
+def latest_issue() -> str:
+    """The latest issue at or before each request of its kind, of the same day or the one before: an as-of join."""
     text = last_before("SELECT kind, begin_us AS at_us, id FROM {intervals}", "SELECT site AS kind, at_us, req_id FROM {requests}", "kind")
     return f"SELECT req_id, event_us AS begin_us, id FROM ({text}) q"
 
 
+#: Hour, minute of issue and order of the day's outlook cycles; that of 1 comes out on the next calendar day.
+CYCLES = ((6, 6, 0), (13, 13, 0), (16, 16, 30), (20, 20, 0), (1, 25, 0))
+
+
+def in_effect() -> str:
+    """The outlook in effect at each request: of the convective day, which begins at 12 UTC, the cycle issued last that has
+    areas. Tables: outlooks(day, cycle, n_areas), requests(req_id, at_us)."""
+    cycles = " UNION ALL ".join(f"SELECT {c} AS cycle, {h * 3600 + m * 60} AS issued_s, {k} AS place" for k, (c, h, m) in enumerate(CYCLES))
+    return f"""
+    WITH asked AS (SELECT req_id, at_us, cast(floor((at_us - 43200e6) / 86400e6) AS bigint) AS day FROM {{requests}}),
+    issued AS (SELECT o.day, o.cycle, c.place, o.day * 86400000000 + c.issued_s * 1000000 AS issued_us FROM {{outlooks}} o JOIN ({cycles}) c ON c.cycle = o.cycle WHERE o.n_areas > 0)
+    SELECT a.req_id, a.day, max_by(i.cycle, i.place) AS cycle, max(i.issued_us) AS issued_us FROM asked a JOIN issued i ON i.day = a.day AND i.issued_us <= a.at_us GROUP BY a.req_id, a.day"""
+
+
 def in_polygon() -> str:
     """Points inside rings (ring_id, seq, x0, y0, x1, y1 edges): ray casting, odd crossings. Rings are broadcast edges."""
     return """

@@ -49,15 +49,15 @@ def scan_at() -> str:
 
 def scans_between(start_us: int, end_us: int) -> str:
     """Scans of a closed range, in order of site and time."""
-    return f"SELECT site, ts_us, event_id FROM {{scans}} WHERE ts_us BETWEEN {start_us} AND {end_us}"
+    return f"SELECT site, ts_us, event_id FROM {{scans}} WHERE ts_us BETWEEN {start_us} AND {end_us} ORDER BY site, ts_us, event_id"
 
 
 def prior_scans(max_age_s: int = PRIOR_MAX_AGE_S) -> str:
-    """Each scan's previous scan of its site if that is younger than ``max_age_s`` and not of the same instant."""
+    """Each scan's latest earlier scan of its site if that is at most ``max_age_s`` older."""
     return f"""
-    WITH before AS (SELECT site, ts_us, event_id, lag(ts_us) OVER (PARTITION BY site ORDER BY ts_us, event_id) AS prior_us,
-        lag(event_id) OVER (PARTITION BY site ORDER BY ts_us, event_id) AS prior_id FROM {{scans}})
-    SELECT event_id, prior_id, ts_us - prior_us AS age_us FROM before WHERE ts_us - prior_us > 0 AND ts_us - prior_us <= {max_age_s * 1_000_000}"""
+    WITH instants AS (SELECT site, ts_us, max(event_id) AS id FROM {{scans}} GROUP BY site, ts_us),
+    before AS (SELECT site, ts_us, lag(ts_us) OVER (PARTITION BY site ORDER BY ts_us) AS prior_us, lag(id) OVER (PARTITION BY site ORDER BY ts_us) AS prior_id FROM instants)
+    SELECT s.event_id, b.prior_id, s.ts_us - b.prior_us AS age_us FROM {{scans}} s JOIN before b ON b.site = s.site AND b.ts_us = s.ts_us WHERE s.ts_us - b.prior_us <= {max_age_s * 1_000_000}"""
 
 
 def mosaic_partners(skew_s: int = MOSAIC_SKEW_S) -> str:
@@ -69,9 +69,8 @@ def mosaic_partners(skew_s: int = MOSAIC_SKEW_S) -> str:
     return f"""
     WITH buckets AS (SELECT site, ts_us, event_id, cast(floor(ts_us / {width}e0) AS bigint) AS b FROM {{scans}}),
     looking AS (SELECT s.site, s.ts_us, s.event_id, s.b + d.step AS b FROM buckets s CROSS JOIN (SELECT -1 AS step UNION ALL SELECT 0 AS step UNION ALL SELECT 1 AS step) d),
-    met AS (SELECT l.event_id, l.ts_us, o.site AS other_site, o.ts_us AS other_us, o.event_id AS other_id FROM looking l JOIN buckets o ON o.b = l.b AND o.site <> l.site AND abs(o.ts_us - l.ts_us) <= {width}),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY event_id, other_site ORDER BY abs(other_us - ts_us), other_us, other_id) AS k FROM met)
-    SELECT event_id, other_site, other_id, other_us - ts_us AS offset_us FROM ranked WHERE k = 1"""
+    met AS (SELECT l.event_id, l.ts_us, o.site AS other_site, o.ts_us AS other_us, o.event_id AS other_id FROM looking l JOIN buckets o ON o.b = l.b AND o.site <> l.site AND abs(o.ts_us - l.ts_us) <= {width})
+    SELECT event_id, other_site, min_by(other_id, {{triple:abs(other_us - ts_us):other_us:other_id}}) AS other_id, min_by(other_us - ts_us, {{triple:abs(other_us - ts_us):other_us:other_id}}) AS offset_us FROM met GROUP BY event_id, other_site"""
 
 
 def storm_motion_near(max_age_s: int = STORM_MOTION_AGE_S) -> str:
@@ -80,9 +79,8 @@ def storm_motion_near(max_age_s: int = STORM_MOTION_AGE_S) -> str:
     return f"""
     WITH withmotion AS (SELECT site, ts_us, event_id, cast(floor(ts_us / {width}e0) AS bigint) AS b FROM {{scans}} WHERE size >= 2000),
     looking AS (SELECT s.site, s.ts_us, s.event_id, cast(floor(s.ts_us / {width}e0) AS bigint) + d.step AS b FROM {{scans}} s CROSS JOIN (SELECT -1 AS step UNION ALL SELECT 0 AS step UNION ALL SELECT 1 AS step) d),
-    ranked AS (SELECT l.event_id, m.event_id AS motion_id, row_number() OVER (PARTITION BY l.event_id ORDER BY CASE WHEN m.site = l.site THEN 0 ELSE 1 END, abs(m.ts_us - l.ts_us), m.event_id) AS k
-        FROM looking l JOIN withmotion m ON m.b = l.b AND abs(m.ts_us - l.ts_us) <= {width})
-    SELECT event_id, motion_id FROM ranked WHERE k = 1"""
+    met AS (SELECT l.event_id, m.event_id AS motion_id, CASE WHEN m.site = l.site THEN 0 ELSE 1 END AS other, abs(m.ts_us - l.ts_us) AS away FROM looking l JOIN withmotion m ON m.b = l.b AND abs(m.ts_us - l.ts_us) <= {width})
+    SELECT event_id, min_by(motion_id, {{triple:other:away:motion_id}}) AS motion_id FROM met GROUP BY event_id"""
 
 
 def quota_prune(budget: int, keep_from_us: int, keep_to_us: int) -> str:
@@ -109,19 +107,17 @@ def eviction_order(window_from_us: int, window_to_us: int, budget: int) -> str:
     SELECT site, event_id, cast(before AS bigint) AS before FROM ranked WHERE total - before > {budget}"""
 
 
-def next_frames(gap_s: int = SEQUENCE_GAP_S) -> str:
-    """Playback: each frame's next one in its site, wrapping at the end, and whether the step jumps over a gap."""
+def next_frames(gap_s: int = SEQUENCE_GAP_S, fps: float = 8.0, dwell_s: float = 1.0) -> str:
+    """Playback of sequences: each frame's next one, wrapping to the sequence's start, how long that is shown (longer for the
+    sequence's last), and the first frame of the next sequence."""
     return f"""
-    WITH w AS (SELECT site, ts_us, event_id, lead(event_id) OVER (PARTITION BY site ORDER BY ts_us, event_id) AS nxt, lead(ts_us) OVER (PARTITION BY site ORDER BY ts_us, event_id) AS nxt_us,
-        first_value(event_id) OVER (PARTITION BY site ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS head FROM {{scans}})
-    SELECT event_id, coalesce(nxt, head) AS next_id, nxt IS NULL AS wraps, coalesce(nxt_us - ts_us > {gap_s * 1_000_000}, true) AS jumps FROM w"""
-
-
-def rotation_tracks(least: int = 500) -> str:
-    """Running maximum of a value over a site's frames so far, where it reaches ``least``."""
-    return f"""
-    WITH t AS (SELECT site, event_id, max(size) OVER (PARTITION BY site ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS top FROM {{scans}})
-    SELECT site, event_id, cast(top AS bigint) AS top FROM t WHERE top >= {least}"""
+    WITH marked AS (SELECT site, ts_us, event_id, CASE WHEN ts_us - lag(ts_us) OVER (PARTITION BY site ORDER BY ts_us, event_id) <= {gap_s * 1_000_000} THEN 0 ELSE 1 END AS new FROM {{scans}}),
+    numbered AS (SELECT *, sum(new) OVER (PARTITION BY site ORDER BY ts_us, event_id ROWS UNBOUNDED PRECEDING) AS seq FROM marked),
+    w AS (SELECT site, event_id, seq, lead(event_id) OVER s AS nxt, lead(event_id, 2) OVER s AS after, first_value(event_id) OVER s AS head, last_value(event_id) OVER (PARTITION BY site, seq ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS tail
+        FROM numbered WINDOW s AS (PARTITION BY site, seq ORDER BY ts_us, event_id)),
+    heads AS (SELECT site, seq, min(head) AS head FROM w GROUP BY site, seq)
+    SELECT w.event_id, coalesce(w.nxt, w.head) AS next_id, w.nxt IS NULL AS wraps, CASE WHEN coalesce(w.nxt, w.head) = w.tail THEN {1 / fps + dwell_s!r}e0 ELSE {1 / fps!r}e0 END AS wait_s, h.head AS jump_id
+    FROM w LEFT JOIN heads h ON h.site = w.site AND h.seq = w.seq + 1"""
 
 
 def hourly_counts() -> str:

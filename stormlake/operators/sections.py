@@ -56,15 +56,18 @@ def phase_unwrap(jump: int = 270) -> str:
 
 
 def neighbour_cells(twin_km: float = 6.0) -> str:
-    """Cells seen by several radars once: each where its own radar is the nearest, and of two within 6 km that of the radar
-    nearer to it. Cells are points(point_id, lat, lon) of the site point_id modulo 25, compared within cells of a grid."""
-    near = "111.195e0 * sqrt(power(a.lat - b.lat, 2) + power((a.lon - b.lon) * cos(radians(a.lat)), 2))"
+    """Cells seen by several radars once: each where the radar that saw it is the nearest, and of two within 6 km that of the
+    radar nearer to it. Cells are points(point_id, lat, lon) seen by site point_id modulo the number of sites, plus 1; they
+    meet within cells of a grid. Sites are few, and broadcast."""
+    away = lambda a, b: f"111.195e0 * sqrt(power({a}.lat - {b}.lat, 2) + power(({a}.lon - {b}.lon) * cos(radians({a}.lat)), 2))"
+    step = "(SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d)"
     return f"""
-    WITH seen AS (SELECT p.point_id, p.point_id % 25 AS site, p.lat, p.lon, 111.195e0 * sqrt(power(p.lat - s.lat, 2) + power((p.lon - s.lon) * cos(radians(p.lat)), 2)) AS radar_km, cast(floor(p.lat * 1e1) AS bigint) AS i, cast(floor(p.lon * 1e1) AS bigint) AS j
-        FROM {{points}} p JOIN {{sites}} s ON s.site = p.point_id % 25 + 1),
-    around AS (SELECT s.*, s.i + a.d AS ni, s.j + b.d AS nj FROM seen s CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d) a CROSS JOIN (SELECT -1 AS d UNION ALL SELECT 0 AS d UNION ALL SELECT 1 AS d) b),
-    twins AS (SELECT DISTINCT a.point_id FROM around a JOIN seen b ON b.i = a.ni AND b.j = a.nj AND b.site <> a.site AND {near} < {twin_km}e0 AND (b.radar_km < a.radar_km OR (b.radar_km = a.radar_km AND b.point_id < a.point_id)))
-    SELECT s.point_id, round(s.radar_km, 4) AS radar_km FROM seen s LEFT JOIN twins t ON t.point_id = s.point_id WHERE t.point_id IS NULL"""
+    WITH placed AS (SELECT p.point_id, p.point_id % n.n + 1 AS site, p.lat, p.lon FROM {{points}} p CROSS JOIN (SELECT count(*) AS n FROM {{sites}}) n),
+    nearest AS (SELECT p.point_id, min_by(s.site, {{pair:{away("p", "s")}:s.site}}) AS nearest, min({away("p", "s")}) AS radar_km FROM placed p CROSS JOIN {{sites}} s GROUP BY p.point_id),
+    seen AS (SELECT p.point_id, p.site, p.lat, p.lon, q.radar_km, cast(floor(p.lat * 1e1) AS bigint) AS i, cast(floor(p.lon * 1e1) AS bigint) AS j FROM placed p JOIN nearest q ON q.point_id = p.point_id WHERE q.nearest = p.site),
+    around AS (SELECT s.*, s.i + a.d AS ni, s.j + b.d AS nj FROM seen s CROSS JOIN {step} a CROSS JOIN {step} b),
+    twins AS (SELECT DISTINCT a.point_id FROM around a JOIN seen b ON b.i = a.ni AND b.j = a.nj AND b.site <> a.site AND {away("a", "b")} < {twin_km}e0 AND (b.radar_km < a.radar_km OR (b.radar_km = a.radar_km AND b.point_id < a.point_id)))
+    SELECT s.point_id, s.site, round(s.radar_km, 4) AS radar_km FROM seen s LEFT JOIN twins t ON t.point_id = s.point_id WHERE t.point_id IS NULL"""
 
 
 def hodograph_layers(profile: str, gap_m: int = 600) -> str:

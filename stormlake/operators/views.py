@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlake.functions import geometry
-from stormlake.functions.constants import FORECAST_MIN, VALID_ABOVE
+from stormlake.functions.constants import FORECAST_MIN, MISSING, VALID_ABOVE
 
 #: Fields whose threshold is on the absolute value.
 SIGNED = ("VEL", "DVEL", "AZSHR", "ROT", "KDP")
@@ -159,3 +159,17 @@ def pick(rays: DataFrame, tilts: DataFrame, steps: int = 400, reach_km: float =
     return hit.groupBy("ray_id").agg(F.min(F.struct("t", "tilt")).alias("m")).select("ray_id", "m.tilt", "m.t")
 
 
+def tilt_stack(rays: DataFrame) -> DataFrame:
+    """(vol, az, layers): the tilts of each ray (vol, tilt, elev, az, v), lowest first, padded with the sentinel to the widest of
+    the volume. A volume has a few dozen tilts."""
+    width = rays.groupBy("vol").agg(F.max(F.size("v")).alias("width"))
+    filled = F.transform("v", lambda x: F.coalesce(x, F.lit(MISSING)))
+    padded = rays.join(F.broadcast(width), "vol").withColumn("v", F.concat(filled, F.array_repeat(F.lit(MISSING), F.col("width") - F.size("v"))))
+    return padded.groupBy("vol", "az").agg(F.array_sort(F.collect_list(F.struct("tilt", "elev", "v"))).alias("layers"))
+
+
+def storm_vectors(vols: DataFrame, own: DataFrame, by_hand: DataFrame) -> DataFrame:
+    """Storm motion (u, v) of each volume: one set by hand, else its own, else none."""
+    named = lambda d, n: d.select("vol", F.col("u").alias(f"{n}_u"), F.col("v").alias(f"{n}_v"))
+    met = vols.join(named(own, "own"), "vol", "left").join(F.broadcast(named(by_hand, "set")), "vol", "left")
+    return met.select(*vols.columns, F.coalesce("set_u", "own_u", F.lit(0.0)).alias("u"), F.coalesce("set_v", "own_v", F.lit(0.0)).alias("v"))

@@ -135,13 +135,42 @@ def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 KEYS = """SELECT event_id, strftime(ts, '%Y/%m/%d/') || 'K' || upper(substr(event_type, 1, 3)) || '/K' || upper(substr(event_type, 1, 3)) || strftime(ts, '%Y%m%d_%H%M%S') || CASE WHEN event_id % 7 = 0 THEN '_MDM' ELSE '_V06' END AS key, props FROM events"""
 
-def cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), _micros("ts").alias("begin_us"), (_micros("ts") + 3_600_000_000).alias("end_us"))
 
 
-CYCLES = "SELECT event_id AS id, event_type AS kind, epoch_us(ts) AS begin_us, epoch_us(ts) + 3600000000 AS end_us FROM events WHERE event_id % 5 = 0"
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), _micros("ts").alias("begin_us"), (_micros("ts") + 3_600_000_000).alias("end_us"))
+
+
+ISSUES = "SELECT event_id AS id, event_type AS kind, epoch_us(ts) AS begin_us, epoch_us(ts) + 3600000000 AS end_us FROM events"
+
+
+def outlooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a convective day's cycles, one of three without areas."""
+    cycle = F.element_at(F.array(*[F.lit(x) for x in (6, 13, 16, 20, 1)]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = _read(spark, sf_dir, "events").select(F.floor(_micros("ts") / 86_400_000_000).cast("bigint").alias("day"), cycle.alias("cycle"), F.when(F.col("user_id") % 997 > 900, F.col("user_id") % 3).otherwise(0).alias("n"))
+    return rows.groupBy("day", "cycle").agg(F.sum("n").cast("bigint").alias("n_areas"))
+
+
+OUTLOOKS = "SELECT epoch_us(ts) // 86400000000 AS day, [6, 13, 16, 20, 1][cast(event_id % 5 + 1 AS int)] AS cycle, cast(sum(CASE WHEN user_id % 997 > 900 THEN user_id % 3 ELSE 0 END) AS bigint) AS n_areas FROM events GROUP BY 1, 2"
+
+
+def shears(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays of a shear, one for each of radials."""
+    return radials(spark, sf_dir).select("vol", "tilt", "elev", "az", F.transform(F.reverse("v"), lambda x: (x - 10) / 2).alias("v"))
+
+
+SHEARS = f"SELECT vol, tilt, elev, az, list_transform(list_reverse(v), lambda x: (x - 10) / 2) AS v FROM ({RADIALS}) q"
+
+
+def storms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion of two volumes of three."""
+    vols = radials(spark, sf_dir).select("vol").distinct().filter("vol % 3 < 2")
+    return vols.select("vol", (10 + F.col("vol").cast("double")).alias("u"), (6 - F.col("vol") / 2).alias("v"))
+
+
+STORMS = f"SELECT DISTINCT vol, 1e1 + vol AS u, 6e0 - vol / 2e0 AS v FROM ({RADIALS}) q WHERE vol % 3 < 2"
 
 BINDINGS: dict[str, Binding] = {
     "radials": (radials, RADIALS), "bins": (bins, BINS), "scans": (scans, SCANS), "requests": (requests, REQUESTS), "sites": (sites, SITES), "points": (points, POINTS),
-    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "cycles": (cycles, CYCLES),
+    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS),
 }

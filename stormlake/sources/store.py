@@ -134,3 +134,25 @@ def polygons(documents: DataFrame) -> DataFrame:
     ring = "array<array<array<double>>>"
     many = F.when(F.col("f.geometry.type") == "MultiPolygon", F.from_json("f.geometry.coordinates", f"array<{ring}>")).when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", ring)))
     return rows.select("doc_id", "feature", F.col("f.properties").alias("properties"), F.explode(many).alias("p")).select("doc_id", "feature", "properties", F.get("p", F.lit(0)).alias("outer"), F.slice("p", 2, 1_000_000).alias("holes"))
+
+
+def line_tables(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(vertex, x, y) and (a, b): points numbered in order, and undirected segments (a, b as structs x, y) by their numbers, each
+    once. Numbers run through one partition: borders of a map are a table of a bounded size."""
+    from pyspark.sql import Window
+
+    once = segments.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    points = once.select(F.explode(F.array("a", "b")).alias("p")).distinct()
+    vertices = points.select((F.row_number().over(Window.orderBy("p")) - 1).cast("long").alias("vertex"), "p.x", "p.y")
+    at = vertices.select("vertex", F.struct("x", "y").alias("p"))
+    first, second = at.select(F.col("vertex").alias("i"), F.col("p").alias("a")), at.select(F.col("vertex").alias("j"), F.col("p").alias("b"))
+    return vertices, once.join(first, "a").join(second, "b").select(F.col("i").alias("a"), F.col("j").alias("b"))
+
+
+def cities(documents: DataFrame, least: int = 0) -> DataFrame:
+    """(name, lat, lon, population) from GeoJSON documents (text) of points, largest first."""
+    shape = "features array<struct<properties: struct<name: string, NAME: string, pop_max: bigint, population: bigint>, geometry: struct<type: string, coordinates: array<double>>>>"
+    rows = documents.select(F.explode(F.from_json("text", shape)["features"]).alias("f")).filter("f.geometry.type = 'Point'")
+    size = F.coalesce("f.properties.population", "f.properties.pop_max", F.lit(0).cast("long"))
+    found = rows.select(F.coalesce("f.properties.name", "f.properties.NAME").alias("name"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), size.alias("population"))
+    return found.filter(F.col("population") >= least).orderBy(F.desc("population"), "name")
