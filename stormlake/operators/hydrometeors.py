@@ -89,8 +89,9 @@ def classify() -> str:
 
 def _member(v: np.ndarray, bounds: tuple, curves: dict[str, np.ndarray]) -> np.ndarray:
     """Membership of each value, tested in the order of ``membership``."""
-    if not any(isinstance(t, tuple) for t in bounds) and bounds[2] < bounds[3]:
-        return np.interp(v, bounds, (0.0, 1.0, 1.0, 0.0))
+    if not any(isinstance(t, tuple) for t in bounds) and bounds[0] < bounds[1] and bounds[2] < bounds[3]:
+        a, b, c, d = map(float, bounds)
+        return np.clip(np.minimum((v - a) / (b - a), (d - v) / (d - c)), 0.0, 1.0)
     a, b, c, d = (curves[t[0]] + t[1] if isinstance(t, tuple) else float(t) for t in bounds)
     with np.errstate(all="ignore"):
         return np.where((v < a) | (v > d), 0.0, np.where(v < b, (v - a) / (np.asarray(b) - a), np.where(v <= c, 1.0, (d - v) / (np.asarray(d) - c))))

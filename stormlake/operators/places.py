@@ -90,7 +90,7 @@ def in_effect() -> str:
     cycles = " UNION ALL ".join(f"SELECT {c} AS cycle, {h * 3600 + m * 60} AS issued_s, {k} AS place" for k, (c, h, m) in enumerate(CYCLES))
     return f"""
     WITH asked AS (SELECT req_id, at_us, cast(floor((at_us - 43200e6) / 86400e6) AS bigint) AS day FROM {{requests}}),
-    issued AS (SELECT o.day, o.cycle, c.place, o.day * 86400000000 + c.issued_s * 1000000 AS issued_us FROM {{outlooks}} o JOIN ({cycles}) c ON c.cycle = o.cycle WHERE o.n_areas > 0)
+    issued AS (SELECT o.day, o.cycle, c.place, o.day * 86400000000 + cast(c.issued_s AS bigint) * 1000000 AS issued_us FROM {{outlooks}} o JOIN ({cycles}) c ON c.cycle = o.cycle WHERE o.n_areas > 0)
     SELECT a.req_id, a.day, max_by(i.cycle, i.place) AS cycle, max(i.issued_us) AS issued_us FROM asked a JOIN issued i ON i.day = a.day AND i.issued_us <= a.at_us GROUP BY a.req_id, a.day"""
 
 

@@ -147,11 +147,11 @@ ISSUES = "SELECT event_id AS id, event_type AS kind, epoch_us(ts) AS begin_us, e
 def outlooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a convective day's cycles, one of three without areas."""
     cycle = F.element_at(F.array(*[F.lit(x) for x in (6, 13, 16, 20, 1)]), (F.col("event_id") % 5 + 1).cast("int"))
-    rows = _read(spark, sf_dir, "events").select(F.floor(_micros("ts") / 86_400_000_000).cast("bigint").alias("day"), cycle.alias("cycle"), F.when(F.col("user_id") % 997 > 900, F.col("user_id") % 3).otherwise(0).alias("n"))
-    return rows.groupBy("day", "cycle").agg(F.sum("n").cast("bigint").alias("n_areas"))
+    rows = _read(spark, sf_dir, "events").select(F.floor(_micros("ts") / 86_400_000_000).cast("bigint").alias("day"), cycle.alias("cycle")).distinct()
+    return rows.withColumn("n_areas", (F.col("day") * 7 + F.col("cycle")) % 3)
 
 
-OUTLOOKS = "SELECT epoch_us(ts) // 86400000000 AS day, [6, 13, 16, 20, 1][cast(event_id % 5 + 1 AS int)] AS cycle, cast(sum(CASE WHEN user_id % 997 > 900 THEN user_id % 3 ELSE 0 END) AS bigint) AS n_areas FROM events GROUP BY 1, 2"
+OUTLOOKS = "SELECT DISTINCT day, cycle, (day * 7 + cycle) % 3 AS n_areas FROM (SELECT epoch_us(ts) // 86400000000 AS day, [6, 13, 16, 20, 1][cast(event_id % 5 + 1 AS int)] AS cycle FROM events) q"
 
 
 def shears(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 import bz2
 import gzip
 import struct
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -233,3 +234,17 @@ def storm_scene(icao: str = "KTST", time_ms: int = 1_714_600_800_000, sweeps: tu
             moments = [Moment(name, 1000.0, spacing_m, x[: gates if name == "REF" else dual_gates].astype(np.float32)) for name, x in (("REF", ref), ("VEL", vel), ("ZDR", 0.02 * ref), ("PHI", phase), ("RHO", rho))]
             radials.append(Radial(az, elev, number, 360 / n, time_ms + number * 15_000 + i * 20, nyquist, 466.0, tuple(moments)))
     return Volume(icao, time_ms, 35.3331, -97.2778, 370.0, 212, tuple(radials), True)
+
+
+def plain_scene(icao: str, time_ms: int, sweeps: tuple[float, ...], gates: int, spacing_m: float, fields: dict[str, Callable[[np.ndarray, np.ndarray, float], np.ndarray]], nyquist: float = 20.0, rays: int = 360) -> Volume:
+    """A volume whose gates are given by functions of azimuth (degrees), range (km) and elevation; velocities are folded."""
+    r = 1 + np.arange(gates) * spacing_m / 1000
+    out = []
+    for number, elev in enumerate(sweeps, 1):
+        for i in range(rays):
+            az = (i + 0.5) * 360 / rays
+            held = {k: np.broadcast_to(f(np.float64(az), r, elev), r.shape) for k, f in fields.items()}
+            if "VEL" in held:
+                held["VEL"] = np.mod(held["VEL"] + nyquist, 2 * nyquist) - nyquist
+            out.append(Radial(az, elev, number, 360 / rays, time_ms + number * 15_000 + i * 20, nyquist, 466.0, tuple(Moment(k, 1000.0, spacing_m, v.astype(np.float32)) for k, v in held.items())))
+    return Volume(icao, time_ms, 35.3331, -97.2778, 370.0, 212, tuple(out), True)
