@@ -1,12 +1,18 @@
 """Byte-level BPE encoding and decoding.
 
-Workers encode whole texts with the vocabulary's ranks and decode by concatenating the binary pieces of the ids.
-``fold_words`` is the same merge as a fold of Spark's higher-order functions over the bytes of distinct words with a
-literal rank table; it gives equal ids, but costs some 50 us a distinct word, and the words must be made distinct and
-mapped back (README), so corpora don't take it.
+A corpus has far fewer distinct words than words, so each distinct word is merged once: tasks split texts into words and
+send on those that they haven't sent, Spark makes them distinct, and a fold of higher-order functions merges the bytes of
+each by a literal table of ranks. Words and their ids are written as sorted hash arrays into the shared folder. A second pass
+splits the texts again, looks the ids of a batch's distinct words up in the mapped arrays and puts them in a row; decoding
+concatenates the binary pieces of the ids. A word that is itself a piece is its id and isn't folded, as the library does it.
+
+To split less often, texts are cut into units of white space and what follows it, which numpy finds, and the pattern runs on a
+batch's distinct units. A text with white space beyond ASCII is split as a whole, as such space may join with that of the next unit.
+Units and words are told apart by hashes of 64 bits.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; strings that look like special
-tokens are ordinary text; very long words are merged by the library's own heap. Other columns are never read.
+tokens are ordinary text; a very long text is a batch of its own, in memory in proportion to its length, and a very long
+word takes steps in proportion to the square of its length; empty tables give none; other columns are never read.
 """
 
 from __future__ import annotations
@@ -14,17 +20,29 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
+import tiktoken
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormlake.llm.vocabulary import encoding, ranks
+from stormlake.llm.arrays import Sorted, _read, _write, save
+from stormlake.llm.base import mounted_dir, stored
+from stormlake.llm.bytesof import VALUES, _powers, chunks, mix
+from stormlake.llm.vocabulary import ranks
 
-#: White space as the ranks' pattern means it: Unicode's, which Java's \s isn't.
+#: White space as the ranks' pattern means it, which is Unicode's, in Java's notation and as characters.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Bytes of text cut into units at once; units and hashes that a worker remembers; distinct words of a range of the arrays.
+CUT_BYTES, REMEMBERED, RANGE_WORDS = 1 << 22, 200_000, 100_000
+#: Columns of a stored word's arrays are looked up by its hash: of 64 bits, with the seed of Spark's own.
+_SEED = 42
 
 
 def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
@@ -37,6 +55,80 @@ def split_words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(java_pattern()), F.lit(0)), F.array().cast("array<string>"))
 
 
+class Splitter(NamedTuple):
+    """Splits texts into words as the library does: characters that this process's tables class otherwise than the library's, which
+    may know an older Unicode, by class."""
+
+    letters: str = ""
+    digits: str = ""
+
+    def __call__(self, text: str) -> list[str]:
+        plain, odd, exact = _patterns(self.letters, self.digits)
+        return (exact if odd is not None and not text.isascii() and odd.search(text) else plain).findall(text)
+
+
+@lru_cache(maxsize=1)
+def splitter() -> Splitter:
+    """What the library's classes leave out, found by asking it for every code point. Newer tables only add characters."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    single = {bytes([b]): b for b in range(256)}
+    out = []
+    for name in "LN":
+        pattern = rf"\p{{{name}}}"
+        known = set(bytes(tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=single, special_tokens={}).encode_ordinary(every)).decode())
+        own = regex.findall(pattern, every)
+        if len(known - set(own)):
+            raise RuntimeError("the library classes characters that aren't known here")
+        out.append("".join(c for c in own if c not in known))
+    return Splitter(*out)
+
+
+@lru_cache(maxsize=2)
+def _patterns(letters: str, digits: str) -> tuple[regex.Pattern, regex.Pattern | None, regex.Pattern | None]:
+    space = "".join(map(regex.escape, _SPACES))
+    plain = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
+    odd = letters + digits
+    if not odd:
+        return regex.compile(plain), None, None
+    less = lambda name, some: rf"[\p{{{name}}}--[{some}]]" if some else rf"\p{{{name}}}"
+    exact = plain.replace(r"\p{L}", less("L", letters)).replace(r"\p{N}", less("N", digits))
+    return regex.compile(plain), regex.compile(f"[{odd}]"), regex.compile("(?V1)" + exact)
+
+
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_HIGH = np.zeros(256, bool)
+_HIGH[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def _wide(data: np.ndarray) -> np.ndarray:
+    """Places of bytes that may begin white space beyond ASCII."""
+    at = np.flatnonzero(_HIGH[data[:-1]]) if len(data) > 1 else np.zeros(0, np.int64)
+    a, b = data[at], data[at + 1]
+    return at[((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & ((b == 0x80) | (b == 0x81))) | ((a == 0xE3) & (b == 0x80))]
+
+
+def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, end, hash) of the units of all texts of a group, in order; a text with wide space is one unit."""
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0, np.uint64)
+    space = _ASCII_SPACE[data]
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    if len(wide := _wide(data)):
+        for doc in np.unique(np.searchsorted(offsets, wide, "right") - 1):
+            first[offsets[doc] : offsets[doc + 1]] = False
+    first[offsets[:-1][offsets[:-1] < n]] = True
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    up, down = _powers(n + 1)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(VALUES[data] * up[:n], out=sums[1:])
+    return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
 @lru_cache(maxsize=4)
 def _pieces(path: str) -> list[bytes]:
     """Pieces by id."""
@@ -52,18 +144,126 @@ def decode(ids: list[int], path: str) -> bytes:
     return b"".join([pieces[i] for i in ids])
 
 
+def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(word): the distinct words of the texts that aren't pieces themselves."""
+    split = splitter()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks(path)
+        seen: set[int] = set()
+        said: set[str] = set()
+        for batch in batches:
+            for _, _, data, offsets in chunks(batch.column(0), CUT_BYTES):
+                starts, ends, name = units(data, offsets)
+                body = data.tobytes()
+                names, once = np.unique(name, return_index=True)
+                new: set[str] = set()
+                for h, i in zip(names.tolist(), once.tolist(), strict=True):
+                    if h not in seen:
+                        seen.add(h)
+                        new.update(split(body[starts[i] : ends[i]].decode()))
+                new = {w for w in new if w not in said and w.encode() not in table}
+                said |= new
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], names=["word"])
+                if len(seen) > REMEMBERED:
+                    seen = set()
+                if len(said) > REMEMBERED:
+                    said = set()
+
+    return docs.select(docs[text]).mapInArrow(each, "word string").distinct()
+
+
+def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
+    return ((name >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def build(docs: DataFrame, path: str) -> tuple[str, int]:
+    """Merge the distinct words of (text) and write them with their ids: (folder, ranges)."""
+    words = stored(distinct_words(docs, path), "words")
+    buckets = max(12, -(-words.count() // RANGE_WORDS))
+    folder = mounted_dir(docs.sparkSession, "bpe")
+
+    def write(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = key[0].as_py()
+        ids = table.column("ids").combine_chunks()
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        name = table.column("name").to_numpy().view(np.uint64)
+        order = np.argsort(name)
+        offsets = ids.offsets.to_numpy()
+        save(folder, bucket, name[order], np.diff(offsets)[order], offsets[:-1][order].astype(np.uint64))
+        _write(f"{folder}/{bucket}-ids", [ids.values.to_numpy(zero_copy_only=False).astype(np.uint32)])
+        return pa.table({"n": [len(name)]})
+
+    named = words.withColumn("name", F.xxhash64("word")).withColumn("bucket", F.expr(f"cast(shiftrightunsigned(name, 33) % {buckets} AS int)"))
+    merged = fold_words(named.repartition("bucket"), path).select("bucket", "name", "ids")
+    merged.groupBy("bucket").applyInArrow(write, "n long").agg(F.sum("n")).collect()
+    return folder, buckets
+
+
+class _Coder:
+    """Ids of units from the arrays."""
+
+    def __init__(self, folder: str, buckets: int, path: str, split: Splitter):
+        self.split = split
+        self.folder, self.buckets, self.table, self.ranks = folder, buckets, Sorted(folder), ranks(path)
+        self.bodies: dict[int, np.ndarray] = {}
+
+    def words(self, words: list[str]) -> dict[str, list[int]]:
+        out, ask = {}, []
+        for w in words:
+            raw = w.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                out[w] = [rank]
+            else:
+                ask.append((w, xxhash.xxh64_intdigest(raw, _SEED)))
+        if not ask:
+            return out
+        name = np.array([h for _, h in ask], np.uint64)
+        bucket = _bucket(name, self.buckets)
+        count, start = self.table.find(bucket, name, 0)
+        if not count.all():
+            raise RuntimeError(f"no ids for {int((count == 0).sum())} words")
+        for (w, _), b, n, i in zip(ask, bucket.tolist(), count.tolist(), start.astype(np.int64).tolist(), strict=True):
+            if b not in self.bodies:
+                if len(self.bodies) > 4096:
+                    self.bodies.clear()
+                self.bodies[b] = _read(f"{self.folder}/{b}-ids")[0]
+            out[w] = self.bodies[b][i : i + n].tolist()
+        return out
+
+    def units(self, texts: list[str]) -> list[list[int]]:
+        split = [self.split(t) for t in texts]
+        known = self.words(list({w for some in split for w in some}))
+        return [[i for w in some for i in known[w]] for some in split]
+
+
+def _coded(batch: pa.RecordBatch, coder: _Coder) -> Iterator[tuple[int, int, list[list[int]], np.ndarray, np.ndarray]]:
+    """(first row, end row, ids of distinct units, unit of each place, first place of each text and the end) of a batch's texts."""
+    for lo, hi, data, offsets in chunks(batch.column(1), CUT_BYTES):
+        starts, ends, name = units(data, offsets)
+        _, once, place = np.unique(name, return_index=True, return_inverse=True)
+        body = data.tobytes()
+        ids = coder.units([body[starts[i] : ends[i]].decode() for i in once.tolist()])
+        yield lo, hi, ids, place, np.searchsorted(starts, offsets)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): the ids of each whole text."""
+    folder, buckets = build(docs, path)
+    split = splitter()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoding(path)
+        coder = _Coder(folder, buckets, path, split)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = pa.array([coder.encode_ordinary(x.as_py() or "") for x in part.column(1)], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+            for lo, hi, ids, place, cuts in _coded(batch, coder):
+                said = [[i for u in place[a:b].tolist() for i in ids[u]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(said, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, "doc_id long, ids array<int>")
+    return _texts(docs).mapInArrow(each, "doc_id long, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -81,62 +281,79 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def report(docs: DataFrame, path: str) -> DataFrame:
     """Digests of each text's ids and of the bytes that the ids decode to."""
+    folder, buckets = build(docs, path)
+    split = splitter()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, names = encoding(path), [str(i) for i in range(len(_pieces(path)))]
+        coder, pieces = _Coder(folder, buckets, path, split), _pieces(path)
+        digest = lambda parts, by: hashlib.sha256(by.join(parts)).hexdigest()
         for batch in batches:
-            held: list[list] = [[], [], []]
-            for text in batch.column(1):
-                ids = coder.encode_ordinary(text.as_py() or "")
-                held[0].append(len(ids))
-                held[1].append(hashlib.sha256(",".join([names[i] for i in ids]).encode()).hexdigest())
-                held[2].append(hashlib.sha256(decode(ids, path)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held[0], pa.int64()), pa.array(held[1], pa.string()), pa.array(held[2], pa.string())], names=[x.split()[0] for x in DIGEST.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(each, DIGEST)
-
-
-def _rank_table(path: str, slots: int = 1 << 17, groups: int = 1 << 15) -> tuple[list[str], list[int], list[int]]:
-    """A perfect hash of the pieces in hex: (piece of each slot, its rank, shift of each group)."""
-    grouped: dict[int, list[tuple[int, str, int]]] = {}
-    for piece, rank in ranks(path).items():
-        name = piece.hex().upper()
-        code = xxhash.xxh64(name.encode(), seed=42).intdigest()
-        grouped.setdefault(code % groups, []).append((code, name, rank))
-    keys, values, shifts = [""] * slots, [0] * slots, [0] * groups
-    for group, held in sorted(grouped.items(), key=lambda x: -len(x[1])):
+            for lo, hi, ids, place, cuts in _coded(batch, coder):
+                said = [",".join(map(str, some)).encode() for some in ids]
+                back = [b"".join([pieces[i] for i in some]) for some in ids]
+                size = np.append(0, np.cumsum(np.array([len(some) for some in ids], np.int64)[place]))
+                held: list[list] = [[], []]
+                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    own = place[a:b].tolist()
+                    held[0].append(digest([said[u] for u in own], b","))
+                    held[1].append(digest([back[u] for u in own], b""))
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(size[cuts[1:]] - size[cuts[:-1]], pa.int64()), *(pa.array(x, pa.string()) for x in held)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGEST.split(", ")])
+
+    return _texts(docs).mapInArrow(each, DIGEST)
+
+
+def _pair_table(path: str, slots: int = 1 << 18, groups: int = 1 << 15) -> tuple[list[int], list[int], list[int]]:
+    """A perfect hash of the pairs of pieces that make a piece: (pair of each slot, -1 if none, its rank, shift of each group). A
+    pair is left * 2^32 + right, and a piece's id is its rank."""
+    table = ranks(path)
+    grouped: dict[int, list[tuple[int, int, int]]] = {}
+    for piece, rank in table.items():
+        for cut in range(1, len(piece)):
+            left, right = table.get(piece[:cut]), table.get(piece[cut:])
+            if left is not None and right is not None:
+                pair = left << 32 | right
+                code = xxhash.xxh64(pair.to_bytes(8, "little"), seed=42).intdigest()
+                grouped.setdefault(code % groups, []).append((code, pair, rank))
+    keys, values, shifts = [-1] * slots, [0] * slots, [0] * groups
+    for group, held in sorted(grouped.items(), key=lambda x: (-len(x[1]), x[0])):
         for shift in range(1, 47):
             places = [(code >> shift) % slots for code, _, _ in held]
-            if len(set(places)) == len(places) and not any(keys[p] for p in places):
+            if len(set(places)) == len(places) and all(keys[p] < 0 for p in places):
                 break
         else:
-            raise ValueError("no shift is free for a group of pieces")
+            raise ValueError("no shift is free for a group of pairs")
         shifts[group] = shift
-        for p, (_, name, rank) in zip(places, held, strict=True):
-            keys[p], values[p] = name, rank
+        for p, (_, pair, rank) in zip(places, held, strict=True):
+            keys[p], values[p] = pair, rank
     return keys, values, shifts
 
 
 def fold_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
-    """Add ids to distinct words: their bytes, as hex pieces, are merged by rank in a fold of higher-order functions."""
-    keys, values, shifts = _rank_table(path)
-    k = f"split('{','.join(keys)}', ',')"
-    v, d = (f"cast(split('{','.join(map(str, x))}', ',') as array<int>)" for x in (values, shifts))
-
-    def ranked(pieces: str) -> str:
-        slot = f"cast(pmod(shiftrightunsigned(xxhash64(k), get({d}, cast(pmod(xxhash64(k), {len(shifts)}) as int))), {len(keys)}) as int)"
-        return f"transform(transform({pieces}, k -> {slot}), (s, i) -> CASE WHEN get({k}, s) = get({pieces}, i) THEN get({v}, s) END)"
-
-    none = "cast(array() AS array<string>)"
-    pairs = f"CASE WHEN size(p) < 2 THEN {none} ELSE transform(sequence(1, size(p) - 1), i -> concat(get(p, i - 1), get(p, i))) END"
-    beside = f"concat(CASE WHEN j > 1 THEN array(concat(get(a.p, j - 2), x)) ELSE {none} END, CASE WHEN j + 1 < size(a.p) THEN array(concat(x, get(a.p, j + 1))) ELSE {none} END)"
-    # a holds the pieces p and the ranks r of neighbouring pairs; the inner aggregates over one value name it: j the place of
-    # the first least rank, x the merged piece, q the two new pairs
-    step = f"""aggregate(array(cast(array_position(a.r, array_min(a.r)) AS int)), a, (a, j) -> CASE WHEN j IS NULL OR j = 0 THEN a ELSE
-        aggregate(array(concat(get(a.p, j - 1), get(a.p, j))), a, (a, x) -> aggregate(array({beside}), a, (a, q) -> named_struct(
-            'p', concat(slice(a.p, 1, j - 1), array(x), slice(a.p, j + 2, size(a.p))),
-            'r', concat(slice(a.r, 1, greatest(j - 2, 0)), {ranked("q")}, slice(a.r, j + 2, size(a.r)))))) END)"""
-    steps = "CASE WHEN size(p) > 1 THEN sequence(2, size(p)) ELSE cast(array() AS array<int>) END"
-    fold = f"aggregate({steps}, named_struct('p', p, 'r', {ranked('__pairs')}), (a, i) -> {step}, a -> {ranked('a.p')})"
-    rows = words.withColumn("p", F.regexp_extract_all(F.hex(F.encode(F.col(column), "UTF-8")), F.lit(".."), F.lit(0)))
-    return rows.withColumn("__pairs", F.expr(pairs)).withColumn("ids", F.expr(fold)).drop("p", "__pairs")
+    """Add ids to distinct words: the ids of their bytes are merged by rank in a fold of higher-order functions, with a literal
+    table of ranks. Each step merges the first of the pairs of least rank, whose rank is the merged piece's id."""
+    keys, values, shifts = _pair_table(path)
+    literal = lambda x, kind: f"cast(split('{','.join(map(str, x))}', ',') AS array<{kind}>)"
+    k, v, d = literal(keys, "bigint"), literal(values, "int"), literal(shifts, "int")
+    table = ranks(path)
+    single = literal([table[bytes([b])] for b in range(256)], "int")
+
+    def ranked(left: str, right: str) -> str:
+        """Rank of a pair, null if it makes no piece. Inner arrays of one name what is worked out once."""
+        slot = f"cast(pmod(shiftrightunsigned(h, get({d}, cast(pmod(h, {len(shifts)}) AS int))), {len(keys)}) AS int)"
+        pair = f"shiftleft(cast({left} AS bigint), 32) + {right}"
+        return f"aggregate(array({pair}), cast(NULL AS int), (o, q) -> aggregate(array(xxhash64(q)), o, (o, h) -> aggregate(array({slot}), o, (o, s) -> CASE WHEN get({k}, s) = q THEN get({v}, s) END)))"
+
+    # p: ids of pieces, r: ranks of neighbouring pairs, m: the least of them, j: where it is first
+    none = "cast(array() AS array<int>)"
+    left = f"CASE WHEN j > 1 THEN array({ranked('get(a.p, j - 2)', 'm')}) ELSE {none} END"
+    right = f"CASE WHEN j + 1 < size(a.p) THEN array({ranked('m', 'get(a.p, j + 1)')}) ELSE {none} END"
+    merged = f"named_struct('p', concat(slice(a.p, 1, j - 1), array(m), slice(a.p, j + 2, size(a.p))), 'r', concat(slice(a.r, 1, greatest(j - 2, 0)), {left}, {right}, slice(a.r, j + 2, size(a.r))))"
+    step = f"CASE WHEN a.m IS NULL THEN a ELSE aggregate(array(a.m), a, (a, m) -> aggregate(array(cast(array_position(a.r, m) AS int)), a, (a, j) -> aggregate(array({merged}), a, (a, n) -> named_struct('p', n.p, 'r', n.r, 'm', array_min(n.r))))) END"
+    steps = f"CASE WHEN size(p) > 1 THEN sequence(2, size(p)) ELSE {none} END"
+    fold = f"aggregate({steps}, named_struct('p', p, 'r', r, 'm', array_min(r)), (a, i) -> {step}, a -> a.p)"
+    first = f"CASE WHEN size(p) < 2 THEN {none} ELSE transform(sequence(1, size(p) - 1), i -> {ranked('get(p, i - 1)', 'get(p, i)')}) END"
+    byte = "cast(conv(x, 16, 10) AS int)"
+    pieces = f"transform(regexp_extract_all(hex(encode({column}, 'UTF-8')), '..', 0), x -> get({single}, {byte}))"
+    ids = f"element_at(transform(array({pieces}), p -> element_at(transform(array({first}), r -> {fold}), 1)), 1)"
+    return words.withColumn("ids", F.expr(ids))

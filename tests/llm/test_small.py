@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from stormlake.llm import bpe, fingerprints, lengths, mixing, neardup, ngrams, quality, secrets, toxicity, urls
@@ -408,12 +409,28 @@ def test_bpe(docs, rows):
 
 
 def test_fold_of_distinct_words(spark, rows):
-    texts = [t for _, t, *_ in rows if t][:12]
+    texts = [t for _, t, *_ in rows if t][:12] + ["é" * 40, "\U0001f300x", "a" * 70]
     short = spark.createDataFrame([(t[:3000],) for t in texts], "text string")
-    words = short.select(F.explode(bpe.split_words(F.col("text"))).alias("word")).distinct().limit(300)
+    words = short.select(F.explode(bpe.split_words(F.col("text"))).alias("word")).distinct()
     for r in bpe.fold_words(words, MULTI).collect():
-        assert r["ids"] == encoding(MULTI).encode_ordinary(r["word"])
+        assert r["ids"] == encoding(MULTI).encode_ordinary(r["word"]) or r["word"].encode() in bpe.ranks(MULTI)
     split = short.select("text", bpe.split_words(F.col("text")).alias("w")).collect()
-    import regex
-
     assert all(r["w"] == regex.findall(public_tokenizers.PATTERN, r["text"]) for r in split)
+
+
+def test_white_space_of_all_kinds_against_the_library(spark):
+    rng = random.Random(7)
+    space = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u202f", "\u205f", "\u3000", "\x1c", "\x1f", "\u200b", "\ufeff", ""]
+    said = ["word", "it's", "I'LL", "12", "3x", "--", "é", "ñandú", "\u4e2d\u6587", "\U0001f600", "²", "_", "'", "Ǆ", "½", "\u0301"]
+    texts = ["".join(rng.choice(space) + rng.choice(said) + rng.choice(space) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["ids"] for r in bpe.encoded(docs, MULTI).collect()}
+    assert got == {i: encoding(MULTI).encode_ordinary(t) for i, t in enumerate(texts)}
+
+
+def test_letters_and_digits_are_the_librarys(spark):
+    every = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["a1".join(every[i : i + 200]) for i in range(0, len(every), 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    wrong = [r["doc_id"] for r in bpe.encoded(docs, MULTI).collect() if r["ids"] != encoding(MULTI).encode_ordinary(texts[r["doc_id"]])]
+    assert not wrong
