@@ -18,9 +18,10 @@ word takes steps in proportion to the square of its length; empty tables give no
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from typing import NamedTuple
+from itertools import islice, pairwise
+from typing import Generic, NamedTuple, TypeVar
 
 import numpy as np
 import public_tokenizers
@@ -39,8 +40,8 @@ from stormlake.llm.vocabulary import ranks
 #: White space as the ranks' pattern means it, which is Unicode's, in Java's notation and as characters.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Bytes of text cut into units at once; units and hashes that a worker remembers; distinct words of a range of the arrays.
-CUT_BYTES, REMEMBERED, RANGE_WORDS = 1 << 22, 200_000, 100_000
+#: Bytes of text cut into units at once, and of those whose distinct units are looked up together; units and hashes that a worker remembers; distinct words of a range of the arrays.
+CUT_BYTES, GROUP_BYTES, REMEMBERED, RANGE_WORDS = 1 << 20, 1 << 24, 300_000, 100_000
 #: Columns of a stored word's arrays are looked up by its hash: of 64 bits, with the seed of Spark's own.
 _SEED = 42
 
@@ -64,7 +65,7 @@ class Splitter(NamedTuple):
 
     def __call__(self, text: str) -> list[str]:
         plain, odd, exact = _patterns(self.letters, self.digits)
-        return (exact if odd is not None and not text.isascii() and odd.search(text) else plain).findall(text)
+        return (plain if text.isascii() or odd.isdisjoint(text) else exact).findall(text)
 
 
 @lru_cache(maxsize=1)
@@ -84,15 +85,12 @@ def splitter() -> Splitter:
 
 
 @lru_cache(maxsize=2)
-def _patterns(letters: str, digits: str) -> tuple[regex.Pattern, regex.Pattern | None, regex.Pattern | None]:
+def _patterns(letters: str, digits: str) -> tuple[regex.Pattern, frozenset[str], regex.Pattern]:
     space = "".join(map(regex.escape, _SPACES))
     plain = public_tokenizers.PATTERN.replace(r"[^\s", f"[^{space}").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]")
-    odd = letters + digits
-    if not odd:
-        return regex.compile(plain), None, None
     less = lambda name, some: rf"[\p{{{name}}}--[{some}]]" if some else rf"\p{{{name}}}"
     exact = plain.replace(r"\p{L}", less("L", letters)).replace(r"\p{N}", less("N", digits))
-    return regex.compile(plain), regex.compile(f"[{odd}]"), regex.compile("(?V1)" + exact)
+    return regex.compile(plain), frozenset(letters + digits), regex.compile("(?V1)" + exact)
 
 
 _ASCII_SPACE = np.zeros(256, bool)
@@ -129,6 +127,43 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+class Group(NamedTuple):
+    """Some texts: their rows, the hashes of their distinct units, a text for each by its number, which unit stands at each
+    place, and the first place of each text and the end."""
+
+    lo: int
+    hi: int
+    names: list[int]
+    text: Callable[[int], str]
+    place: np.ndarray
+    cuts: np.ndarray
+
+
+def groups(column: pa.Array) -> Iterator[Group]:
+    held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, bytes, np.ndarray]] = []
+
+    def made() -> Group:
+        sizes = np.cumsum([0, *(len(x[2]) for x in held)])
+        names, once, place = np.unique(np.concatenate([x[4] for x in held]), return_index=True, return_inverse=True)
+        part = np.searchsorted(sizes, once, "right") - 1
+        first = np.concatenate([x[2] for x in held])[once].tolist()
+        end = np.concatenate([x[3] for x in held])[once].tolist()
+        bodies, part = [x[5] for x in held], part.tolist()
+        cuts = np.concatenate([*(n + x[6][:-1] for n, x in zip(sizes, held, strict=False)), sizes[-1:]])
+        return Group(held[0][0], held[-1][1], names.tolist(), lambda i: bodies[part[i]][first[i] : end[i]].decode(), place, cuts)
+
+    size = 0
+    for lo, hi, data, offsets in chunks(column, CUT_BYTES):
+        starts, ends, name = units(data, offsets)
+        held.append((lo, hi, starts, ends, name, data.tobytes(), np.searchsorted(starts, offsets)))
+        size += len(data)
+        if size >= GROUP_BYTES:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 @lru_cache(maxsize=4)
 def _pieces(path: str) -> list[bytes]:
     """Pieces by id."""
@@ -153,15 +188,12 @@ def distinct_words(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         seen: set[int] = set()
         said: set[str] = set()
         for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0), CUT_BYTES):
-                starts, ends, name = units(data, offsets)
-                body = data.tobytes()
-                names, once = np.unique(name, return_index=True)
+            for group in groups(batch.column(0)):
                 new: set[str] = set()
-                for h, i in zip(names.tolist(), once.tolist(), strict=True):
+                for i, h in enumerate(group.names):
                     if h not in seen:
                         seen.add(h)
-                        new.update(split(body[starts[i] : ends[i]].decode()))
+                        new.update(split(group.text(i)))
                 new = {w for w in new if w not in said and w.encode() not in table}
                 said |= new
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string())], names=["word"])
@@ -200,13 +232,16 @@ def build(docs: DataFrame, path: str) -> tuple[str, int]:
     return folder, buckets
 
 
-class _Coder:
-    """Ids of units from the arrays."""
+Made = TypeVar("Made")
 
-    def __init__(self, folder: str, buckets: int, path: str, split: Splitter):
-        self.split = split
-        self.folder, self.buckets, self.table, self.ranks = folder, buckets, Sorted(folder), ranks(path)
+
+class _Coder(Generic[Made]):
+    """What ``make`` makes of the ids of units, from the arrays; remembers the units met last."""
+
+    def __init__(self, folder: str, path: str, buckets: int, split: Splitter, make: Callable[[list[int]], Made]):
+        self.folder, self.buckets, self.table, self.ranks, self.split, self.make = folder, buckets, Sorted(folder), ranks(path), split, make
         self.bodies: dict[int, np.ndarray] = {}
+        self.known: dict[int, Made] = {}
 
     def words(self, words: list[str]) -> dict[str, list[int]]:
         out, ask = {}, []
@@ -223,7 +258,7 @@ class _Coder:
         count, start = self.table.find(bucket, name, 0)
         if not count.all():
             raise RuntimeError(f"no ids for {int((count == 0).sum())} words")
-        for (w, _), b, n, i in zip(ask, bucket.tolist(), count.tolist(), start.astype(np.int64).tolist(), strict=True):
+        for (w, _), b, n, i in zip(ask, bucket.tolist(), count.tolist(), start.tolist(), strict=True):
             if b not in self.bodies:
                 if len(self.bodies) > 4096:
                     self.bodies.clear()
@@ -231,20 +266,29 @@ class _Coder:
             out[w] = self.bodies[b][i : i + n].tolist()
         return out
 
-    def units(self, texts: list[str]) -> list[list[int]]:
-        split = [self.split(t) for t in texts]
-        known = self.words(list({w for some in split for w in some}))
-        return [[i for w in some for i in known[w]] for some in split]
+    def texts(self, column: pa.Array) -> Iterator[tuple[Group, list[Made]]]:
+        """Groups of texts, and what is made of each distinct unit."""
+        for group in groups(column):
+            new = [i for i, h in enumerate(group.names) if h not in self.known]
+            split = [self.split(group.text(i)) for i in new]
+            known = self.words(list({w for some in split for w in some}))
+            for i, some in zip(new, split, strict=True):
+                self.known[group.names[i]] = self.make(known[some[0]] if len(some) == 1 else [x for w in some for x in known[w]])
+            yield group, [self.known[h] for h in group.names]
+            if len(self.known) > REMEMBERED:
+                for h in list(islice(self.known, len(self.known) - REMEMBERED // 2)):
+                    del self.known[h]
 
 
-def _coded(batch: pa.RecordBatch, coder: _Coder) -> Iterator[tuple[int, int, list[list[int]], np.ndarray, np.ndarray]]:
-    """(first row, end row, ids of distinct units, unit of each place, first place of each text and the end) of a batch's texts."""
-    for lo, hi, data, offsets in chunks(batch.column(1), CUT_BYTES):
-        starts, ends, name = units(data, offsets)
-        _, once, place = np.unique(name, return_index=True, return_inverse=True)
-        body = data.tobytes()
-        ids = coder.units([body[starts[i] : ends[i]].decode() for i in once.tolist()])
-        yield lo, hi, ids, place, np.searchsorted(starts, offsets)
+#: Coders of this process by what they make; a worker keeps one for the tasks that it runs of a job.
+_CODERS: dict[str, _Coder] = {}
+
+
+def _coder(made: str, make: Callable[[str], Callable[[list[int]], Made]], folder: str, path: str, buckets: int, split: Splitter) -> _Coder[Made]:
+    if made not in _CODERS or _CODERS[made].folder != folder:
+        _CODERS.clear()
+        _CODERS[made] = _Coder(folder, path, buckets, split, make(path))
+    return _CODERS[made]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -257,11 +301,11 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     split = splitter()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _Coder(folder, buckets, path, split)
+        coder = _coder("ids", lambda _: list, folder, path, buckets, split)
         for batch in batches:
-            for lo, hi, ids, place, cuts in _coded(batch, coder):
-                said = [[i for u in place[a:b].tolist() for i in ids[u]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(said, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for group, ids in coder.texts(batch.column(1)):
+                said = [[i for u in group.place[a:b].tolist() for i in ids[u]] for a, b in pairwise(group.cuts)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(group.lo, group.hi - group.lo), pa.array(said, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return _texts(docs).mapInArrow(each, "doc_id long, ids array<int>")
 
@@ -279,25 +323,30 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def _shown(path: str) -> Callable[[list[int]], tuple[bytes, bytes, int]]:
+    """Ids in decimals joined by commas, the bytes that they decode to, and how many they are."""
+    pieces = _pieces(path)
+    names = [b"%d" % i for i in range(len(pieces))]
+    return lambda ids: (b",".join([names[i] for i in ids]), b"".join([pieces[i] for i in ids]), len(ids))
+
+
 def report(docs: DataFrame, path: str) -> DataFrame:
     """Digests of each text's ids and of the bytes that the ids decode to."""
     folder, buckets = build(docs, path)
     split = splitter()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, pieces = _Coder(folder, buckets, path, split), _pieces(path)
-        digest = lambda parts, by: hashlib.sha256(by.join(parts)).hexdigest()
+        coder = _coder("shown", _shown, folder, path, buckets, split)
         for batch in batches:
-            for lo, hi, ids, place, cuts in _coded(batch, coder):
-                said = [",".join(map(str, some)).encode() for some in ids]
-                back = [b"".join([pieces[i] for i in some]) for some in ids]
-                size = np.append(0, np.cumsum(np.array([len(some) for some in ids], np.int64)[place]))
+            for group, made in coder.texts(batch.column(1)):
+                said, back, size = (list(x) for x in zip(*made, strict=True)) if made else ([], [], [])
+                size = np.append(0, np.cumsum(np.array(size, np.int64)[group.place]))
                 held: list[list] = [[], []]
-                for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    own = place[a:b].tolist()
-                    held[0].append(digest([said[u] for u in own], b","))
-                    held[1].append(digest([back[u] for u in own], b""))
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array(size[cuts[1:]] - size[cuts[:-1]], pa.int64()), *(pa.array(x, pa.string()) for x in held)]
+                for a, b in pairwise(group.cuts.tolist()):
+                    own = group.place[a:b].tolist()
+                    held[0].append(hashlib.sha256(b",".join([said[u] for u in own])).hexdigest())
+                    held[1].append(hashlib.sha256(b"".join([back[u] for u in own])).hexdigest())
+                columns = [batch.column(0).slice(group.lo, group.hi - group.lo), pa.array(size[group.cuts[1:]] - size[group.cuts[:-1]], pa.int64()), *(pa.array(x, pa.string()) for x in held)]
                 yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGEST.split(", ")])
 
     return _texts(docs).mapInArrow(each, DIGEST)

@@ -6,7 +6,7 @@ and the number of distinct shingles are estimated from sketches alone, exactly w
 
 Defined cases: a null text counts as empty; a text of one to four words has one shingle of all its words;
 a text without words has an empty sketch. Two empty sketches resemble each other fully (1), an empty and
-another not at all (0). Repeated rows keep their rows. Other columns are never read, whatever their names.
+another not at all (0). Repeated rows keep their rows. A very long text is read whole, in memory in proportion to its length. Other columns are never read, whatever their names.
 """
 
 from __future__ import annotations

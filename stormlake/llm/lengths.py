@@ -3,8 +3,8 @@
 Tasks encode texts and add up a histogram of their own batch; only (length, documents) pairs are shuffled.
 Suffix sums over the histogram answer totals, quantiles and truncated totals for every context limit.
 
-Defined cases: null and empty texts have length 0; repeated rows count each; no rows give no lengths; only
-the text column is read.
+Defined cases: null and empty texts have length 0; repeated rows count each; a very long text is encoded alone, in memory
+in proportion to its length; no rows give no lengths; only the text column is read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -57,16 +57,20 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
-def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """Answers for any context limits: (limit, docs_over, total_tokens, truncated_tokens)."""
-    given = histogram.sparkSession.createDataFrame([(x,) for x in limits], "limit long")
-    rows = histogram.withColumn("limit", F.explode(F.array(*[F.lit(x).cast("long") for x in limits])))
-    sums = rows.groupBy("limit").agg(
-        F.sum(F.when(F.col("length") > F.col("limit"), F.col("n_docs")).otherwise(0)).alias("docs_over"),
-        F.sum(F.col("length") * F.col("n_docs")).alias("total_tokens"),
-        F.sum(F.least("length", "limit") * F.col("n_docs")).alias("truncated_tokens"),
-    )
-    return given.join(sums, "limit", "left").fillna(0)
+def at_limits(sums: DataFrame, limits: list[int]) -> DataFrame:
+    """Answers for any context limits from suffix sums: (limit, docs_over, total_tokens, truncated_tokens).
+
+    Documents over a limit are those from the next length on, and are cut to it; all others keep their tokens. Limits are a few:
+    one pass finds the next length of each.
+    """
+    spark = sums.sparkSession
+    if not limits:
+        return spark.createDataFrame([], "limit long, docs_over long, total_tokens long, truncated_tokens long")
+    beyond = [F.min(F.when(F.col("length") > x, F.struct("length", "docs_from", "tokens_from"))).alias(f"__l{i}") for i, x in enumerate(limits)]
+    found = sums.agg(F.coalesce(F.max("total_tokens"), F.lit(0)).alias("total_tokens"), *beyond)
+    each = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("limit"), F.col(f"__l{i}").alias("next")) for i, x in enumerate(limits)])).alias("a")
+    over, tokens = F.coalesce("a.next.docs_from", F.lit(0)), F.coalesce("a.next.tokens_from", F.lit(0))
+    return found.select("total_tokens", each).select("a.limit", over.alias("docs_over"), "total_tokens", (F.col("total_tokens") - tokens + F.col("a.limit") * over).alias("truncated_tokens"))
 
 
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:

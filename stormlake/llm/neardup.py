@@ -19,7 +19,8 @@ similarity 0.8 shares a band with probability 0.9996, one of 0.85 with 0.99998.
 
 Defined cases: null texts count as empty; a text of one to four words is one shingle; texts without words are
 alike only if equal; null ids are a value of their own and order first; repeated rows are copies of one another,
-and of rows that are equal in id and text ``keep_one`` keeps one; texts of equal 64-bit hash count as equal.
+and of rows that are equal in id and text ``keep_one`` keeps one; texts of equal 64-bit hash count as equal; a very long
+text is one weighted set like others, in memory in proportion to its length.
 Extra columns pass through unless they begin with ``__d_``.
 """
 
@@ -40,6 +41,8 @@ BANDS, ROWS = 15, 4
 SAMPLES = BANDS * ROWS
 #: Characters of a block and of what a bucket counts; members of a verified group and of a compared part.
 BLOCK_CHARS, BUCKET_CHARS, GROUP, COMPARED = 4_000_000, 8_000_000, 64, 1024
+#: Shingles whose samples are drawn at once, about.
+DRAWN = 200_000
 #: Copies of one text beyond this share of all rows are dropped before texts are dealt out; such texts are fewer than 10,000.
 HOT_SHARE = 1e-4
 _U = np.uint64
@@ -227,8 +230,10 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
                 weight = (1 + np.log(tf)).astype(np.float32) * np.where(shared, idf[place], alone)
                 if weight[shared].sum(dtype=np.float64) >= SIMILARITY * weight.sum(dtype=np.float64) * (1 - 1e-6):
                     chosen.append((int(n), hashes, weight))
-            for lo in range(0, len(chosen), 256):
-                some = chosen[lo : lo + 256]
+            # so many sets at once that their samples take some 20 MB
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(x[1]) for x in chosen]) // DRAWN, prepend=-1)) if chosen else []
+            for lo, hi in zip(cuts, [*cuts[1:], len(chosen)], strict=True):
+                some = chosen[lo:hi]
                 lengths = np.array([len(x[1]) for x in some])
                 drawn = samples(np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some]), np.cumsum(lengths) - lengths)
                 out["node"] += [x[0] for x in some]

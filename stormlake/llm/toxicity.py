@@ -5,13 +5,13 @@ bytes, which stand for stems; a document's is the noisy-or
 of its sentences, 1 - prod(1 - p). Weights are fitted to document labels alone by gradient ascent on that
 likelihood, and the fitted sentence scores then locate the offending sentences.
 
-Training reads a bounded sample of labelled documents: of each label the LABELLED_PER_CLASS rows of least
-hash, texts up to LONGEST_LABELLED characters. Scoring reads every whole text. Words are runs of ASCII
+Training reads a bounded sample of labelled documents: of each label the LABELLED_PER_CLASS ids of least hash among those
+with texts of up to LONGEST_LABELLED characters, one row for each id. Scoring reads every whole text. Words are runs of ASCII
 letters, digits and non-ASCII bytes, A-Z taken as a-z; sentences end at ``.``, ``!``, ``?`` and line ends.
 
 Defined cases: null texts count as empty; a text without words scores 0; null labels are no labels, of
 several labels of one document the highest counts; without labelled documents of both kinds every score is
-0; repeated rows are scored each; only doc_id, text and (of labels) doc_id, toxic are read.
+0; repeated rows are scored each; a very long text is scored whole, in memory in proportion to its length; only doc_id, text and (of labels) doc_id, toxic are read.
 """
 
 from __future__ import annotations
@@ -111,10 +111,14 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None) -> M
     marked = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     if usable is not None:
         marked = marked.filter(usable)
-    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("draw", F.xxhash64("doc_id"))
+    # only ids with a text that is read can be drawn
+    there = docs.filter(F.length(F.coalesce("text", F.lit(""))) <= LONGEST_LABELLED).select("doc_id")
+    marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).join(there, "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id"))
     sample = marked.filter("toxic = 1").orderBy("draw", "doc_id").limit(LABELLED_PER_CLASS).unionByName(marked.filter("toxic = 0").orderBy("draw", "doc_id").limit(LABELLED_PER_CLASS))
     ids = {r["doc_id"]: r["toxic"] for r in sample.select("doc_id", "toxic").collect()}
-    chosen = docs.select("doc_id", "text").filter(F.col("doc_id").isin(list(ids)) & (F.length("text") <= LONGEST_LABELLED))
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.col("doc_id").isin(list(ids)) & (F.length("text") <= LONGEST_LABELLED))
+    # rows of one id: the text of least hash
+    chosen = chosen.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     if not ids:
         return fit(*[np.zeros(0, np.int64)] * 2, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0))
     shape = "doc_id long, n_sentences long, sentence array<int>, word array<long>"

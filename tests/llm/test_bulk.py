@@ -13,7 +13,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from stormlake.llm import arrays, base, mixing, ngrams, secrets, urls
+from stormlake.llm import arrays, base, fingerprints, mixing, ngrams, secrets, toxicity, urls
+from stormlake.llm.bytesof import letter_table, words
 from tests.llm.brute import brute_model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -119,6 +120,45 @@ def test_starts_of_large_sources_do_not_overflow(spark):
         assert r["got"] == (r["before"] * r["each"] + r["offset"]) % mixing.UNIT
 
 
+# 7
+
+
+def test_noisy_or_of_sentences_against_brute_force(spark):
+    rng = random.Random(21)
+    said = ["Vile", "rotten", "the", "river", "stone", "good", "café"]
+    weight = {"vile": 3.0, "rotten": 2.0, "good": -1.5, "rott": 0.7, "rotte": 0.2, "stone": 0.4}
+    texts = ["".join(rng.choice(said) + rng.choice([" ", ". ", "! ", "\n", ", "]) for _ in range(rng.randint(0, 30))) for _ in range(200)] + [None, "", "..."]
+
+    def hashed(w, size=0):
+        found = words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]), letter_table(), (4, 5, 6))
+        return found.prefixes[size - 4][0] if size else found.hash[0]
+
+    names = {hashed("vile"): 3.0, hashed("rotten"): 2.0, hashed("good"): -1.5, hashed("rotten", 4): 0.7, hashed("rotten", 5): 0.2, hashed("stone"): 0.4}
+    model = toxicity.Model(np.array(sorted(names), np.uint64), np.array([names[k] for k in sorted(names)]), -2.5)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in toxicity.score(docs, model).collect():
+        none = 1.0
+        for sentence in re.split(r"[.!?\n]", texts[r["doc_id"]] or ""):
+            own = re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", sentence)
+            if own:
+                z = -2.5 + sum(weight.get(w.lower(), 0) + sum(weight.get(w.lower()[:n], 0) for n in (4, 5, 6) if len(w.encode()) > n) for w in own)
+                none *= 1 - 1 / (1 + math.exp(-z))
+        assert abs(r["score"] - (1 - none)) < 1e-9
+
+
+def test_training_draws_one_row_for_each_id_and_no_long_text(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LONGEST_LABELLED", 100)
+    monkeypatch.setattr(toxicity, "LABELLED_PER_CLASS", 30)
+    rows = [(i, ("vile " if i % 2 else "fine ") * 10 + str(i)) for i in range(200)] + [(1, "vile again")] * 5 + [(i, "vile " * 100) for i in range(1000, 1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(200), *range(1000, 1200)]], "doc_id long, toxic int")
+    seen = {}
+    taken = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: seen.update(n=len(a[4]), bad=int(a[4].sum())) or taken(*a))
+    toxicity.train(docs, labels)
+    assert seen == {"n": 60, "bad": 30}
+
+
 # 8
 
 
@@ -150,6 +190,28 @@ def test_runs_dealt_in_two_steps_give_the_same_model(spark, monkeypatch, fanout)
         assert abs(r["score"] - score(texts[r["doc_id"]])) < 1e-9
 
 
+# 9
+
+
+def test_likeness_of_short_texts_is_exact(spark):
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randint(0, 40)}" for _ in range(rng.randint(0, 80))) for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+
+    def grams(t):
+        w = WORD.findall(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    for r in fingerprints.compare_with_next(docs).collect():
+        t, n = texts[r["doc_id"]], texts[(r["doc_id"] + 1) % len(texts)]
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + n[:cut]
+        assert abs(r["near_next"] - like(grams(t), grams(n))) < 1e-9 and abs(r["near_edited"] - like(grams(t), grams(edited))) < 1e-9 and r["n_shingles"] == len(grams(t))
+
+
 # shared folder
 
 

@@ -156,7 +156,7 @@ def test_lengths(docs, rows):
         n = r["length"]
         assert (r["n_docs"], r["docs_from"], r["total_tokens"]) == (count[n], sum(k for x, k in count.items() if x >= n), total)
         assert r["truncated_tokens"] == sum(min(x, n) * k for x, k in count.items())
-    got = {r["limit"]: tuple(r)[1:] for r in lengths.at_limits(histogram, [0, 7, 10**6]).collect()}
+    got = {r["limit"]: tuple(r)[1:] for r in lengths.at_limits(lengths.suffix_sums(histogram), [0, 7, 10**6]).collect()}
     assert got[7] == (sum(k for x, k in count.items() if x > 7), total, sum(min(x, 7) * k for x, k in count.items())) and got[0][2] == 0
     ordered = sorted(count.elements())
     assert lengths.quantiles(lengths.suffix_sums(histogram), [0.5]).first()["length"] == ordered[math.ceil(0.5 * len(ordered)) - 1]
