@@ -41,7 +41,7 @@ from stormlake.llm.vocabulary import ranks
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Bytes of text cut into units at once, and of those whose distinct units are looked up together; units and hashes that a worker remembers; distinct words of a range of the arrays.
-CUT_BYTES, GROUP_BYTES, REMEMBERED, RANGE_WORDS = 1 << 20, 1 << 24, 300_000, 100_000
+CUT_BYTES, GROUP_BYTES, REMEMBERED, RANGE_WORDS = 1 << 20, 1 << 23, 200_000, 100_000
 #: Columns of a stored word's arrays are looked up by its hash: of 64 bits, with the seed of Spark's own.
 _SEED = 42
 
@@ -352,57 +352,67 @@ def report(docs: DataFrame, path: str) -> DataFrame:
     return _texts(docs).mapInArrow(each, DIGEST)
 
 
-def _pair_table(path: str, slots: int = 1 << 18, groups: int = 1 << 15) -> tuple[list[int], list[int], list[int]]:
-    """A perfect hash of the pairs of pieces that make a piece: (pair of each slot, -1 if none, its rank, shift of each group). A
-    pair is left * 2^32 + right, and a piece's id is its rank."""
+#: Bits of an id in the table of pairs.
+_ID = 21
+
+
+def _pair_table(path: str, slots: int = 1 << 18, groups: int = 1 << 15) -> tuple[list[int], list[int]]:
+    """A perfect hash of the pairs of pieces that make a piece: (pair and rank of each slot, -1 if none; shift of each group). A
+    pair is its ids in 21 bits each, and a piece's id is its rank."""
     table = ranks(path)
     grouped: dict[int, list[tuple[int, int, int]]] = {}
     for piece, rank in table.items():
         for cut in range(1, len(piece)):
             left, right = table.get(piece[:cut]), table.get(piece[cut:])
             if left is not None and right is not None:
-                pair = left << 32 | right
-                code = xxhash.xxh64(pair.to_bytes(8, "little"), seed=42).intdigest()
+                pair = left << _ID | right
+                code = xxhash.xxh64(pair.to_bytes(8, "little"), seed=_SEED).intdigest()
                 grouped.setdefault(code % groups, []).append((code, pair, rank))
-    keys, values, shifts = [-1] * slots, [0] * slots, [0] * groups
+    entries, shifts = [-1] * slots, [0] * groups
     for group, held in sorted(grouped.items(), key=lambda x: (-len(x[1]), x[0])):
         for shift in range(1, 47):
             places = [(code >> shift) % slots for code, _, _ in held]
-            if len(set(places)) == len(places) and all(keys[p] < 0 for p in places):
+            if len(set(places)) == len(places) and all(entries[p] < 0 for p in places):
                 break
         else:
             raise ValueError("no shift is free for a group of pairs")
         shifts[group] = shift
         for p, (_, pair, rank) in zip(places, held, strict=True):
-            keys[p], values[p] = pair, rank
-    return keys, values, shifts
+            entries[p] = pair << _ID | rank
+    return entries, shifts
 
 
 def fold_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
     """Add ids to distinct words: the ids of their bytes are merged by rank in a fold of higher-order functions, with a literal
     table of ranks. Each step merges the first of the pairs of least rank, whose rank is the merged piece's id."""
-    keys, values, shifts = _pair_table(path)
+    entries, shifts = _pair_table(path)
     literal = lambda x, kind: f"cast(split('{','.join(map(str, x))}', ',') AS array<{kind}>)"
-    k, v, d = literal(keys, "bigint"), literal(values, "int"), literal(shifts, "int")
     table = ranks(path)
     single = literal([table[bytes([b])] for b in range(256)], "int")
+    # the tables are in the plan once, as values of names
+    tables = {"k": literal(entries, "bigint"), "d": literal(shifts, "int"), "b": single}
 
     def ranked(left: str, right: str) -> str:
-        """Rank of a pair, null if it makes no piece. Inner arrays of one name what is worked out once."""
-        slot = f"cast(pmod(shiftrightunsigned(h, get({d}, cast(pmod(h, {len(shifts)}) AS int))), {len(keys)}) AS int)"
-        pair = f"shiftleft(cast({left} AS bigint), 32) + {right}"
-        return f"aggregate(array({pair}), cast(NULL AS int), (o, q) -> aggregate(array(xxhash64(q)), o, (o, h) -> aggregate(array({slot}), o, (o, s) -> CASE WHEN get({k}, s) = q THEN get({v}, s) END)))"
+        """Rank of a pair, null if it makes no piece. The inner array of one names what is looked up once."""
+        pair = f"(shiftleft(cast({left} AS bigint), {_ID}) + {right})"
+        slot = f"cast(pmod(shiftrightunsigned(xxhash64({pair}), get(d, cast(pmod(xxhash64({pair}), {len(shifts)}) AS int))), {len(entries)}) AS int)"
+        return f"aggregate(array(get(k, {slot})), cast(NULL AS int), (o, e) -> CASE WHEN shiftright(e, {_ID}) = {pair} THEN cast(e & {(1 << _ID) - 1} AS int) END)"
 
-    # p: ids of pieces, r: ranks of neighbouring pairs, m: the least of them, j: where it is first
+    # a: the ids of n pieces and, after them, the ranks of their n - 1 neighbouring pairs; m: the least rank, j: where it is first
     none = "cast(array() AS array<int>)"
-    left = f"CASE WHEN j > 1 THEN array({ranked('get(a.p, j - 2)', 'm')}) ELSE {none} END"
-    right = f"CASE WHEN j + 1 < size(a.p) THEN array({ranked('m', 'get(a.p, j + 1)')}) ELSE {none} END"
-    merged = f"named_struct('p', concat(slice(a.p, 1, j - 1), array(m), slice(a.p, j + 2, size(a.p))), 'r', concat(slice(a.r, 1, greatest(j - 2, 0)), {left}, {right}, slice(a.r, j + 2, size(a.r))))"
-    step = f"CASE WHEN a.m IS NULL THEN a ELSE aggregate(array(a.m), a, (a, m) -> aggregate(array(cast(array_position(a.r, m) AS int)), a, (a, j) -> aggregate(array({merged}), a, (a, n) -> named_struct('p', n.p, 'r', n.r, 'm', array_min(n.r))))) END"
+    n = "cast((size(a) + 1) div 2 AS int)"
+    left = f"CASE WHEN j > 1 THEN array({ranked('get(a, j - 2)', 'm')}) ELSE {none} END"
+    right = f"CASE WHEN j + 1 < n THEN array({ranked('m', 'get(a, j + 1)')}) ELSE {none} END"
+    merged = f"concat(slice(a, 1, j - 1), array(m), slice(a, j + 2, n - j - 1), slice(a, n + 1, greatest(j - 2, 0)), {left}, {right}, slice(a, n + j + 2, size(a)))"
+    held = lambda name, value, body: f"aggregate(array({value}), a, (a, {name}) -> {body})"
+    step = held("n", n, f"CASE WHEN n < 2 THEN a ELSE {held('m', 'array_min(slice(a, n + 1, n))', 'CASE WHEN m IS NULL THEN a ELSE ' + held('j', 'cast(array_position(slice(a, n + 1, n), m) AS int)', merged) + ' END')} END")
     steps = f"CASE WHEN size(p) > 1 THEN sequence(2, size(p)) ELSE {none} END"
-    fold = f"aggregate({steps}, named_struct('p', p, 'r', r, 'm', array_min(r)), (a, i) -> {step}, a -> a.p)"
+    fold = f"aggregate({steps}, concat(p, r), (a, i) -> {step}, a -> slice(a, 1, {n}))"
     first = f"CASE WHEN size(p) < 2 THEN {none} ELSE transform(sequence(1, size(p) - 1), i -> {ranked('get(p, i - 1)', 'get(p, i)')}) END"
     byte = "cast(conv(x, 16, 10) AS int)"
-    pieces = f"transform(regexp_extract_all(hex(encode({column}, 'UTF-8')), '..', 0), x -> get({single}, {byte}))"
-    ids = f"element_at(transform(array({pieces}), p -> element_at(transform(array({first}), r -> {fold}), 1)), 1)"
+    pieces = f"transform(regexp_extract_all(hex(encode({column}, 'UTF-8')), '..', 0), x -> get(b, {byte}))"
+    let = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    ids = let("p", pieces, let("r", first, fold))
+    for name, table in tables.items():
+        ids = let(name, table, ids)
     return words.withColumn("ids", F.expr(ids))
