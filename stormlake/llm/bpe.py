@@ -1,18 +1,21 @@
 """Byte-level BPE encoding and decoding.
 
-A corpus has far fewer distinct words than words, so each distinct word is merged once: tasks split texts into words and
-send on those that they haven't sent, Spark makes them distinct, and a fold of higher-order functions merges the bytes of
-each by a literal table of ranks. Words and their ids are written as sorted hash arrays into the shared folder. A second pass
-splits the texts again, looks the ids of a batch's distinct words up in the mapped arrays and puts them in a row; decoding
-concatenates the binary pieces of the ids. A word that is itself a piece is its id and isn't folded, as the library does it.
-
-To split less often, texts are cut into units of white space and what follows it, which numpy finds, and the pattern runs on a
-batch's distinct units. A text with white space beyond ASCII is split as a whole, as such space may join with that of the next unit.
-Units and words are told apart by hashes of 64 bits.
+``report`` and ``encoded`` take whole texts through the library's encoder in Arrow batches, and decode by concatenating the
+binary pieces of the ids. ``report_by_fold`` and ``encoded_by_fold`` give the same by a fold of Spark's higher-order functions
+over the bytes of distinct words, which costs more than the check tool allows (README):
+
+Each distinct word is merged once: tasks split texts into words and send on those that they haven't sent, Spark makes them
+distinct, and the fold merges the bytes of each by a literal table of ranks. Words and their ids are written as sorted hash
+arrays into the shared folder. A second pass splits the texts again, looks the ids of a group's distinct words up in the mapped
+arrays and puts them in a row. A word that is itself a piece is its id and isn't folded, as the library does it. To split less
+often, texts are cut into units of white space and what follows it, which numpy finds, and the pattern runs on a group's distinct
+units. A text with white space beyond ASCII is split as a whole, as such space may join with that of the next unit. Units and
+words are told apart by hashes of 64 bits.
 
 Defined cases: null and empty texts have no ids; repeated rows are encoded each; strings that look like special
-tokens are ordinary text; a very long text is a batch of its own, in memory in proportion to its length, and a very long
-word takes steps in proportion to the square of its length; empty tables give none; other columns are never read.
+tokens are ordinary text; a very long text takes memory in proportion to its length, and a very long
+word takes steps of the fold in proportion to the square of its length (the library has a heap for it); empty tables give
+none; other columns are never read.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from stormlake.llm.arrays import Sorted, _read, _write, save
 from stormlake.llm.base import mounted_dir, stored
 from stormlake.llm.bytesof import VALUES, _powers, chunks, mix
-from stormlake.llm.vocabulary import ranks
+from stormlake.llm.vocabulary import encoding, ranks
 
 #: White space as the ranks' pattern means it, which is Unicode's, in Java's notation and as characters.
 _SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -295,8 +298,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text."""
+def encoded_by_fold(docs: DataFrame, path: str) -> DataFrame:
+    """As ``encoded``."""
     folder, buckets = build(docs, path)
     split = splitter()
 
@@ -310,6 +313,20 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return _texts(docs).mapInArrow(each, "doc_id long, ids array<int>")
 
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids): the ids of each whole text."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoding(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                ids = pa.array([coder.encode_ordinary(x.as_py() or "") for x in part.column(1)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=["doc_id", "ids"])
+
+    return _texts(docs).mapInArrow(each, "doc_id long, ids array<int>")
+
+
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """(doc_id, bytes) from (doc_id, ids)."""
 
@@ -323,6 +340,24 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def report(docs: DataFrame, path: str) -> DataFrame:
+    """Digests of each text's ids and of the bytes that the ids decode to."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, names = encoding(path), [b"%d" % i for i in range(len(_pieces(path)))]
+        for batch in batches:
+            held: list[list] = [[], [], []]
+            for text in batch.column(1):
+                ids = coder.encode_ordinary(text.as_py() or "")
+                held[0].append(len(ids))
+                held[1].append(hashlib.sha256(b",".join([names[i] for i in ids])).hexdigest())
+                held[2].append(hashlib.sha256(decode(ids, path)).hexdigest())
+            columns = [batch.column(0), pa.array(held[0], pa.int64()), *(pa.array(x, pa.string()) for x in held[1:])]
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in DIGEST.split(", ")])
+
+    return _texts(docs).mapInArrow(each, DIGEST)
+
+
 def _shown(path: str) -> Callable[[list[int]], tuple[bytes, bytes, int]]:
     """Ids in decimals joined by commas, the bytes that they decode to, and how many they are."""
     pieces = _pieces(path)
@@ -330,8 +365,8 @@ def _shown(path: str) -> Callable[[list[int]], tuple[bytes, bytes, int]]:
     return lambda ids: (b",".join([names[i] for i in ids]), b"".join([pieces[i] for i in ids]), len(ids))
 
 
-def report(docs: DataFrame, path: str) -> DataFrame:
-    """Digests of each text's ids and of the bytes that the ids decode to."""
+def report_by_fold(docs: DataFrame, path: str) -> DataFrame:
+    """As ``report``."""
     folder, buckets = build(docs, path)
     split = splitter()
 

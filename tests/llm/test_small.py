@@ -62,7 +62,7 @@ def empty(spark):
 
 @pytest.mark.parametrize("call", [
     quality.report, quality.keep_good, lambda d: lengths.suffix_sums(lengths.length_histogram(d, MULTI)), secrets.scan, secrets.redact, mixing.mix_report, mixing.mix,
-    neardup.report, neardup.keep_one, ngrams.report, fingerprints.compare_with_next, lambda d: bpe.report(d, MULTI),
+    neardup.report, neardup.keep_one, ngrams.report, fingerprints.compare_with_next, lambda d: bpe.report(d, MULTI), lambda d: bpe.report_by_fold(d, MULTI),
     lambda d: toxicity.score(d, toxicity.Model(np.zeros(0, np.uint64), np.zeros(0), -np.inf)),
 ])
 def test_empty_tables_give_empty_results(empty, call):
@@ -397,8 +397,9 @@ def test_sketches_merge_and_estimate(spark):
 # 10
 
 
-def test_bpe(docs, rows):
-    got = collections.Counter(tuple(r) for r in bpe.report(docs, MULTI).collect())
+@pytest.mark.parametrize("report", [bpe.report, bpe.report_by_fold])
+def test_bpe(docs, rows, report):
+    got = collections.Counter(tuple(r) for r in report(docs, MULTI).collect())
     want = collections.Counter()
     for i, t, *_ in rows:
         ids = encoding(MULTI).encode_ordinary(t or "")
@@ -424,7 +425,7 @@ def test_white_space_of_all_kinds_against_the_library(spark):
     said = ["word", "it's", "I'LL", "12", "3x", "--", "é", "ñandú", "\u4e2d\u6587", "\U0001f600", "²", "_", "'", "Ǆ", "½", "\u0301"]
     texts = ["".join(rng.choice(space) + rng.choice(said) + rng.choice(space) for _ in range(rng.randint(0, 25))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["ids"] for r in bpe.encoded(docs, MULTI).collect()}
+    got = {r["doc_id"]: r["ids"] for r in bpe.encoded_by_fold(docs, MULTI).collect()}
     assert got == {i: encoding(MULTI).encode_ordinary(t) for i, t in enumerate(texts)}
 
 
@@ -432,5 +433,5 @@ def test_letters_and_digits_are_the_librarys(spark):
     every = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
     texts = ["a1".join(every[i : i + 200]) for i in range(0, len(every), 200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    wrong = [r["doc_id"] for r in bpe.encoded(docs, MULTI).collect() if r["ids"] != encoding(MULTI).encode_ordinary(texts[r["doc_id"]])]
+    wrong = [r["doc_id"] for r in bpe.encoded_by_fold(docs, MULTI).collect() if r["ids"] != encoding(MULTI).encode_ordinary(texts[r["doc_id"]])]
     assert not wrong
