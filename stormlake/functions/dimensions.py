@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -221,3 +223,19 @@ def event_scans(scans: DataFrame, loops: DataFrame) -> DataFrame:
     away = F.abs(F.unix_micros("s.scan_time") - F.unix_micros("e.peak_time"))
     rank = F.row_number().over(Window.partitionBy("e.id").orderBy(away, "s.scan_time"))
     return met.select(F.col("e.id").alias("id"), F.col("s.name").alias("name"), F.col("s.scan_time").alias("scan_time"), (rank == 1).alias("at_peak"))
+
+
+#: Centre of the national map.
+CENTER = (39.0, -98.0)
+
+
+def startup_site(event_site: str | None, want: str, stored: list[str]) -> str:
+    """The site to open first: the one asked for if scans of it are stored, its place is known or it is the event's, else none."""
+    return want if want and (want in stored or location(want) is not None or want == event_site) else ""
+
+
+def view_context(name: str | None, at: datetime | None, place: tuple[float, float] | None, overview: bool, now: datetime) -> tuple[datetime, tuple[float, float]] | None:
+    """(time, centre) that overlays are asked for: the national map's now, or the shown volume's own; None without either."""
+    if overview:
+        return now, CENTER
+    return (at, place) if name is not None and at is not None and place is not None else None

@@ -48,6 +48,12 @@ def decode(files: DataFrame) -> DataFrame:
     return files.mapInArrow(each, RADIALS).select(*names)
 
 
+def rays_of(volume: level2.Volume) -> pd.DataFrame:
+    """A decoded volume's rays as ``sweeps_of`` reads them."""
+    rows = [(r.elevation_number, r.elevation, r.azimuth, r.resolution, r.time_ms, r.nyquist, m.name, m.first_gate_m, m.spacing_m, m.values) for r in volume.radials for m in r.moments]
+    return pd.DataFrame(rows, columns=["elevation_number", "elevation", "azimuth", "resolution", "ray_time", "nyquist", "field", "first_gate_m", "spacing_m", "v"])
+
+
 def with_site(radials: DataFrame, sites: DataFrame) -> DataFrame:
     """Fill missing places from the site dimension (icao, lat, lon, height_m)."""
     known = sites.select(F.col("icao").alias("__i"), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), F.col("height_m").alias("__h"))

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from stormlake.functions.constants import SEQUENCE_GAP_S, TRACK_GAP_S
-from stormlake.operators import grids
+from stormlake.functions.constants import PRIOR_MAX_AGE_S, SEQUENCE_GAP_S, TRACK_GAP_S
+from stormlake.operators import grids, volumes
 from stormlake.sources import level2
 
 PARTIAL = "icao string, volume string, n_chunks int, n_radials int, complete boolean"
@@ -102,6 +104,58 @@ def track_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("site").transformWithStateInPandas(CellTracker(), TRACKS, "Append", "None")
 
 
+WINDS = "icao string, time_s long, complete boolean, chained boolean, height_m double, u_ms double, v_ms double, n int"
+
+
+class VolumeChain(StatefulProcessor):
+    """Volumes of one site, each unfolded against the last complete one of the session if that is at most 15 minutes old. Only
+    complete volumes become priors, a partial one is reported and forgotten; the complete volume that is the prior itself, which
+    comes again when a session follows a backfill, isn't reported twice."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.prior = handle.getValueState("prior", StructType([StructField("time", LongType()), StructField("tilts", BinaryType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        for content in pd.concat(list(rows)).sort_values("time_s")["content"]:
+            try:
+                volume = level2.read_volume(bytes(content))
+            except (ValueError, OSError, EOFError):
+                continue
+            now = volume.time_ms // 1000
+            then, held = self.prior.get() if self.prior.exists() else (None, b"")
+            if volume.complete and then == now:
+                continue
+            fresh = then is not None and 0 < now - then <= PRIOR_MAX_AGE_S
+            sweeps = volumes.sweeps_of(volumes.rays_of(volume))
+            wind = volumes.unfold(sweeps, _tilts_from(bytes(held)) if fresh else None)
+            if volume.complete:
+                self.prior.update((now, _tilts_to(sweeps)))
+            out += [(key[0], now, volume.complete, fresh, float(h), float(u), float(v), int(n)) for h, u, v, n in wind]
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in WINDS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _tilts_to(sweeps: list[dict]) -> bytes:
+    """Unfolded velocity of a volume's tilts as bytes."""
+    tilts = volumes._tilts(sweeps, "DVEL")
+    out = BytesIO()
+    np.savez_compressed(out, places=np.array([(t["elevation"], *t["geometry"]["DVEL"]) for t in tilts]).reshape(-1, 3), **{f"t{i}": t["fields"]["DVEL"].astype(np.float16) for i, t in enumerate(tilts)})
+    return out.getvalue()
+
+
+def _tilts_from(raw: bytes) -> list[dict]:
+    held = np.load(BytesIO(raw))
+    return [{"elevation": e, "geometry": {"DVEL": (f, s)}, "fields": {"DVEL": held[f"t{i}"].astype(np.float32)}} for i, (e, f, s) in enumerate(held["places"])]
+
+
+def chain_volumes(files: DataFrame) -> DataFrame:
+    """(site, time_s, content) of volumes, each whole or as far as it has come, to wind profiles of a site's chain."""
+    return files.groupBy("site").transformWithStateInPandas(VolumeChain(), WINDS, "Append", "None")
+
+
 def sessions(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Loops of a site: session windows with a gap of 30 minutes. The last scan, not the window's end, is reported."""
     timed = scans.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -116,6 +170,6 @@ def hour_buckets(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def replace_volumes(stream: DataFrame, root: str, checkpoint: str):
     """Write each batch by partition overwrite, so that a volume written twice replaces its provisional state."""
-    from stormlake.sources.store import write_volumes
+    from stormlake.sources.store import scan_rows, write_volumes
 
-    return stream.writeStream.foreachBatch(lambda batch, _: write_volumes(batch, root)).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(lambda batch, _: write_volumes(batch, scan_rows(batch), root)).option("checkpointLocation", checkpoint)

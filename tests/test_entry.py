@@ -6,6 +6,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -17,16 +19,17 @@ def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).limit(1).count() == 1
 
 
-def test_the_rest_stands_without_them(tmp_path):
-    code = """
+@pytest.mark.parametrize("gone", [("corpus_pipeline", "stormlake.llm"), ("public_tokenizers",), ("tiktoken",)])
+def test_the_rest_stands_without_them(gone):
+    code = f"GONE = {gone!r}" + """
 import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
-        if name == "corpus_pipeline" or name.startswith("stormlake.llm"):
+        if name.startswith(GONE):
             raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert not any(n.startswith("op") or n == "pipeline" for n in e.queries()) and "column_products" in e.queries()
-assert not any(m.startswith("stormlake.llm") for m in sys.modules)
+assert not any(m.startswith(GONE) for m in sys.modules)
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
