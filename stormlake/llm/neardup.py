@@ -26,6 +26,8 @@ Extra columns pass through unless they begin with ``__d_``.
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -231,8 +233,9 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
                 if weight[shared].sum(dtype=np.float64) >= SIMILARITY * weight.sum(dtype=np.float64) * (1 - 1e-6):
                     chosen.append((int(n), hashes, weight))
             # so many sets at once that their samples take some 20 MB
-            cuts = np.flatnonzero(np.diff(np.cumsum([len(x[1]) for x in chosen]) // DRAWN, prepend=-1)) if chosen else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(chosen)], strict=True):
+            turn = np.cumsum([len(x[1]) for x in chosen]) // DRAWN
+            cuts = [*np.flatnonzero(np.diff(turn, prepend=-1)).tolist(), len(chosen)]
+            for lo, hi in pairwise(cuts):
                 some = chosen[lo:hi]
                 lengths = np.array([len(x[1]) for x in some])
                 drawn = samples(np.concatenate([x[1] for x in some]), np.concatenate([x[2] for x in some]), np.cumsum(lengths) - lengths)
@@ -292,21 +295,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Links (a, b) between members of one bucket that are in different components; of several links between the same
-    two components a task gives one, as it joins them at once."""
+    two components a task gives one, as it joins them at once.
+
+    A bucket's members outside its largest component are compared with all others; those inside aren't compared with each other.
+    So a large bucket is dealt into parts by the largest component's members, and only the rest is copied to each.
+    """
     rows = bands.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi")
-    mixed = mixed.select("key", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
-    rows = rows.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root")
-    rows = rows.join(sets.select("node", "hashes", "weights"), "node")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("largest")).filter("roots > 1")
+    mixed = mixed.select("key", "largest", F.ceil(F.col("n") / COMPARED).cast("int").alias("parts"))
+    rows = rows.join(mixed, "key").withColumns({"own": F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), "rest": F.col("root") != F.col("largest")})
+    rows = rows.withColumn("part", F.explode(F.when(F.col("rest"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))))
+    rows = rows.select("key", "part", "own", "rest", "node", "root").join(sets.select("node", "hashes", "weights"), "node")
 
     def each(table: pa.Table) -> pa.Table:
         out: dict[str, list] = {"a": [], "b": []}
-        order = np.argsort(table.column("node").to_numpy())
-        table = table.take(pa.array(order))
+        rest = table.column("rest").to_numpy(zero_copy_only=False)
+        table = table.take(pa.array(np.lexsort((table.column("node").to_numpy(), ~rest))))
         node, root, own = (table.column(c).to_numpy() for c in ("node", "root", "own"))
-        across = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        few, here = int(rest.sum()), table.column("part")[0].as_py()
         raw = table.column("hashes").to_pylist()
         starts = np.cumsum([0, *(len(x) // 8 for x in raw)])
         names, element = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
@@ -314,26 +321,28 @@ def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SI
         total = np.add.reduceat(weight, starts[:-1], dtype=np.float64)
         mine = np.zeros(len(names), np.float32)
         label = root.copy()
-        for x in range(len(node) - 1):
+        for x in range(min(few, len(node) - 1)):
+            # two of the rest meet in the part of the first
+            y = x + 1 if own[x] == here else few
+            if y == len(node):
+                continue
             a, b = starts[x], starts[x + 1]
-            fits = label[x + 1 :] != label[x]
+            fits = label[y:] != label[x]
             # a set of other weight can't be similar enough
-            fits &= np.minimum(total[x + 1 :], total[x]) >= least * (1 - 1e-6) * np.maximum(total[x + 1 :], total[x])
-            if across:
-                fits &= own[x + 1 :] != own[x]
+            fits &= np.minimum(total[y:], total[x]) >= least * (1 - 1e-6) * np.maximum(total[y:], total[x])
             if not fits.any():
                 continue
             mine[element[a:b]] = weight[a:b]
-            common = np.add.reduceat(np.minimum(mine[element[b:]], weight[b:]), starts[x + 1 : -1] - b, dtype=np.float64)
+            common = np.add.reduceat(np.minimum(mine[element[starts[y] :]], weight[starts[y] :]), starts[y:-1] - starts[y], dtype=np.float64)
             mine[element[a:b]] = 0
-            near = np.flatnonzero(fits & (common >= least * (total[x] + total[x + 1 :] - common))) + x + 1
+            near = np.flatnonzero(fits & (common >= least * (total[x] + total[y:] - common))) + y
             _, once = np.unique(label[near], return_index=True)
             out["a"] += [int(node[x])] * len(once)
             out["b"] += node[near[once]].tolist()
             label[np.isin(label, label[near])] = label[x]
         return _table("a long, b long", **out)
 
-    return rows.groupBy("key", "i", "j").applyInArrow(each, "a long, b long").distinct()
+    return rows.groupBy("key", "part").applyInArrow(each, "a long, b long").distinct()
 
 
 def _with_node(docs: DataFrame) -> DataFrame:

@@ -288,7 +288,9 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
 
 
-def test_every_link_of_a_family_of_edits(spark):
+@pytest.mark.parametrize("compared", [1024, 7])
+def test_every_link_of_a_family_of_edits(spark, monkeypatch, compared):
+    monkeypatch.setattr(neardup, "COMPARED", compared)
     rng = random.Random(11)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(120)]
     texts = []
@@ -312,6 +314,33 @@ def test_every_link_of_a_family_of_edits(spark):
     assert got == {i: find(i) for i in range(80)}
 
 
+@pytest.mark.parametrize("compared", [1024, 5])
+def test_links_across_components_of_a_bucket(spark, monkeypatch, compared):
+    """Every two members of a bucket in different components that are similar end in one component; no others do."""
+    monkeypatch.setattr(neardup, "COMPARED", compared)
+    rng = random.Random(17)
+    members = []
+    for _ in range(40):
+        base = rng.sample(range(1, 400), 30)
+        members.append(sorted({*(base if rng.random() < 0.5 or not members else rng.choice(members)), *rng.sample(range(1, 400), 2)})[: rng.randint(20, 34)])
+    sets = spark.createDataFrame([(i, np.array(m, np.uint64).tobytes(), np.ones(len(m), np.float32).tobytes()) for i, m in enumerate(members)], "node long, hashes binary, weights binary")
+    root = {i: 0 if i < 22 else 30 if i > 30 else i for i in range(40)}
+    bands = spark.createDataFrame([(i, k) for i in range(40) for k in (7, 8 + i % 2)], "node long, key long")
+    got = neardup.apart(bands, spark.createDataFrame(list(root.items()), "node long, root long"), sets).collect()
+
+    def joined(links):
+        mark = dict(root)
+        find = lambda i: i if mark[i] == i else find(mark[i])
+        for a, b in links:
+            x, y = sorted((find(mark[a]), find(mark[b])))
+            mark[y] = x
+        return [find(mark[i]) for i in range(40)]
+
+    like = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    near = [(i, j) for i in range(40) for j in range(i) if root[i] != root[j] and like(members[i], members[j]) >= 0.8]
+    assert near and joined([tuple(r) for r in got]) == joined(near) and all(like(members[r["a"]], members[r["b"]]) >= 0.8 for r in got)
+
+
 # 7
 
 
