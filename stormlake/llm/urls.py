@@ -35,7 +35,10 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    """(host, path, verdict) of rules that the driver knows, as literals."""
+    names = ("host", "path", "verdict")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(names, rule, strict=True)]) for rule in rules]).cast("array<struct<host: string, path: string, verdict: string>>")
+    return spark.range(1).select(F.inline(rows)) if rules else spark.range(0).select(*[F.lit("").alias(n) for n in names])
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
