@@ -115,6 +115,14 @@ TWINS: dict[str, str] = {
     "phase_unwrap": """WITH g AS (SELECT vol, tilt, az, unnest(range(64)) AS bin, unnest(v) AS x FROM {radials}), p AS (SELECT vol, tilt, az, bin, 20 * x - 360 * floor(x / 18) AS ph, row_number() OVER (PARTITION BY vol, tilt, az ORDER BY bin) AS k FROM g WHERE x IS NOT NULL),
         s AS (SELECT b.vol, b.tilt, b.az, b.k, CASE WHEN b.ph - a.ph < -270 THEN 1 WHEN b.ph - a.ph > 270 THEN -1 ELSE 0 END AS turn FROM p b JOIN p a ON a.vol = b.vol AND a.tilt = b.tilt AND a.az = b.az AND a.k = b.k - 1)
         SELECT p.vol, p.tilt, p.az, p.bin, round(any_value(p.ph) + 360 * coalesce(sum(s.turn), 0), 3) AS phase FROM p LEFT JOIN s ON s.vol = p.vol AND s.tilt = p.tilt AND s.az = p.az AND s.k <= p.k GROUP BY p.vol, p.tilt, p.az, p.bin""",
+    "scans_between": "SELECT site, ts_us, event_id FROM {scans} WHERE make_timestamp(ts_us) BETWEEN TIMESTAMP '2024-01-06 00:00:00' AND TIMESTAMP '2024-01-10 00:00:00'",
+    "cross_section": f"""WITH t AS (SELECT DISTINCT vol, tilt, elev FROM {{radials}}), ends AS (SELECT vol, min(elev) AS lo, max(elev) AS hi FROM t GROUP BY vol), rays AS (SELECT DISTINCT vol, az FROM {{radials}}),
+        p AS (SELECT bin, h_km, degrees(atan(z / x)) AS e, sqrt(x * x + z * z) AS s FROM (SELECT b.bin, h.bin AS h_km, ({_K} + h.bin) * sin((b.bin + 1) / {_K}) AS x, ({_K} + h.bin) * cos((b.bin + 1) / {_K}) - {_K} AS z FROM {{bins}} b, {{bins}} h WHERE h.bin <= 14) q),
+        q AS (SELECT n.vol, p.*, CASE WHEN s >= 0.5 AND s < 64.5 THEN cast(floor(s + 0.5) AS int) END AS i FROM p JOIN ends n ON p.e >= n.lo - 0.475e0 AND p.e < n.hi + 0.475e0),
+        a AS (SELECT q.*, t.tilt AS t0, t.elev AS e0 FROM q ASOF LEFT JOIN t ON t.vol = q.vol AND t.elev <= q.e),
+        u AS (SELECT a.*, t.tilt AS t1, t.elev AS e1 FROM a ASOF LEFT JOIN t ON t.vol = a.vol AND t.elev > a.e),
+        v AS (SELECT u.*, rays.az, below.v[i] AS v0, above.v[i] AS v1 FROM u JOIN rays ON rays.vol = u.vol LEFT JOIN {{radials}} below ON below.vol = u.vol AND below.tilt = u.t0 AND below.az = rays.az LEFT JOIN {{radials}} above ON above.vol = u.vol AND above.tilt = u.t1 AND above.az = rays.az)
+        SELECT vol, az, bin, h_km, round(CASE WHEN v0 IS NOT NULL AND v1 IS NOT NULL THEN v0 + (v1 - v0) * (e - e0) / (e1 - e0) WHEN v0 IS NOT NULL AND e - e0 < 0.475e0 THEN v0 WHEN v1 IS NOT NULL AND e1 - e < 0.475e0 THEN v1 END, 4) AS value FROM v""",
     "nearest_tilt": "SELECT s.point_id, first(t.tilt ORDER BY abs(t.elev - s.range_km / 10), t.elev) AS tilt FROM {samples} s, (SELECT DISTINCT tilt, elev FROM {radials}) t GROUP BY s.point_id",
     "quota_prune": """WITH p AS (SELECT * FROM {scans} s WHERE ts_us < (SELECT max(ts_us) FROM {scans} n WHERE n.site = s.site) AND NOT (ts_us >= 1704499200000000 AND ts_us <= 1704585600000000)),
         f AS (SELECT site, event_id, size, coalesce(sum(size) OVER (ORDER BY ts_us, site, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM p)

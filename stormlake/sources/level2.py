@@ -129,13 +129,14 @@ def _message_1(body: bytes) -> tuple[Radial, dict] | None:
 
 
 def read_volume(raw: bytes, name: str = "") -> Volume:
-    """Decode a file. A blank site is taken from the name; ValueError for what isn't an archive."""
+    """Decode a file. A blank site is taken from the name; ValueError for what isn't an archive. Archives count as complete: that a
+    volume is still growing is known to whoever puts its chunks together."""
     plain = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
     if len(plain) < 24 or plain[:4] not in (b"AR2V", b"ARCH"):
         raise ValueError("no archive header")
     days, ms = struct.unpack_from(">II", plain, 12)
     icao = plain[20:24].decode("ascii", "replace").strip("\x00 ") or name[:4].upper()
-    radials, about, last = [], {}, 0
+    radials, about = [], {}
     for record in _records(plain):
         at = 0
         while at + CTM + HEADER <= len(record):
@@ -150,10 +151,8 @@ def read_volume(raw: bytes, name: str = "") -> Volume:
             if found:
                 radials.append(found[0])
                 about |= {k: v for k, v in found[1].items() if v is not None}
-                if kind == 31 and len(body) > 17:
-                    last = body[17]
             at += length
-    return Volume(icao, _julian(days, ms), about.get("lat"), about.get("lon"), about.get("height_m"), about.get("vcp"), tuple(radials), last == 4 or (bool(radials) and last == 0))
+    return Volume(icao, _julian(days, ms), about.get("lat"), about.get("lon"), about.get("height_m"), about.get("vcp"), tuple(radials), True)
 
 
 #: Word width, scale and offset of each moment.

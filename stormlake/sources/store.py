@@ -151,8 +151,9 @@ def line_tables(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cities(documents: DataFrame, least: int = 0) -> DataFrame:
     """(name, lat, lon, population) from GeoJSON documents (text) of points, largest first."""
-    shape = "features array<struct<properties: struct<name: string, NAME: string, pop_max: bigint, population: bigint>, geometry: struct<type: string, coordinates: array<double>>>>"
+    shape = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: array<double>>>>"
     rows = documents.select(F.explode(F.from_json("text", shape)["features"]).alias("f")).filter("f.geometry.type = 'Point'")
-    size = F.coalesce("f.properties.population", "f.properties.pop_max", F.lit(0).cast("long"))
-    found = rows.select(F.coalesce("f.properties.name", "f.properties.NAME").alias("name"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), size.alias("population"))
+    said = lambda *names: F.coalesce(*[F.col("f.properties")[n] for n in names])
+    size = F.coalesce(F.floor(said("population", "pop_max", "POP_MAX").cast("double")).cast("long"), F.lit(0).cast("long"))
+    found = rows.select(said("name", "NAME").alias("name"), F.get("f.geometry.coordinates", F.lit(1)).alias("lat"), F.get("f.geometry.coordinates", F.lit(0)).alias("lon"), size.alias("population"))
     return found.filter(F.col("population") >= least).orderBy(F.desc("population"), "name")

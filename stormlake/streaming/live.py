@@ -117,9 +117,9 @@ class VolumeChain(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for content in pd.concat(list(rows)).sort_values("time_s")["content"]:
+        for row in pd.concat(list(rows)).sort_values("time_s").itertuples():
             try:
-                volume = level2.read_volume(bytes(content))
+                volume = level2.read_volume(bytes(row.content))._replace(complete=bool(row.complete))
             except (ValueError, OSError, EOFError):
                 continue
             now = volume.time_ms // 1000
@@ -152,7 +152,7 @@ def _tilts_from(raw: bytes) -> list[dict]:
 
 
 def chain_volumes(files: DataFrame) -> DataFrame:
-    """(site, time_s, content) of volumes, each whole or as far as it has come, to wind profiles of a site's chain."""
+    """(site, time_s, complete, content) of volumes, each whole or as far as it has come, to wind profiles of a site's chain."""
     return files.groupBy("site").transformWithStateInPandas(VolumeChain(), WINDS, "Append", "None")
 
 

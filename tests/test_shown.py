@@ -107,9 +107,9 @@ def test_cities(spark):
 
 def test_live_chain(spark, tmp_path):
     t0 = 1_714_600_800
-    made = lambda at, whole=True: level2.write_volume(level2.storm_scene(time_ms=at * 1000, sweeps=(1.5, 3.0, 5.0))._replace(complete=whole))
-    rows = [("KTST", t0, made(t0)), ("KTST", t0 + 300, made(t0 + 300, False)), ("KTST", t0 + 600, made(t0 + 600)), ("KTST", t0 + 600, made(t0 + 600)), ("KTST", t0 + 2000, made(t0 + 2000)), ("KTST", t0 + 2100, b"torn")]
-    shape = "site string, time_s long, content binary"
+    made = lambda dt: level2.write_volume(level2.storm_scene(time_ms=(t0 + dt) * 1000, sweeps=(1.5, 3.0, 5.0)))
+    rows = [("KTST", t0 + dt, dt != 300, made(dt)) for dt in (0, 300, 600, 600, 2000)] + [("KTST", t0 + 2100, True, b"torn")]
+    shape = "site string, time_s long, complete boolean, content binary"
     for k in range(2):
         spark.createDataFrame([r for r in rows if (r[1] > t0 + 300) == bool(k)], shape).coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
     stream = spark.readStream.schema(shape + ", part int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

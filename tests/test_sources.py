@@ -97,8 +97,9 @@ def test_store_replaces_a_provisional_volume(spark, tmp_path):
     (tmp_path / "raw").mkdir()
     (tmp_path / "raw/a").write_bytes(level2.write_volume(level2.storm_scene(sweeps=(1.5,), gates=10)))
     radials = volumes.read_archive(spark, path)
-    store.write_volumes(radials.filter("azimuth < 90"), str(tmp_path / "out"), provisional=True)
-    store.write_volumes(radials, str(tmp_path / "out"))
+    write = lambda rows, provisional: store.write_volumes(rows, store.scan_rows(rows, provisional), str(tmp_path / "out"))
+    write(radials.filter("azimuth < 90"), True)
+    write(radials, False)
     index = store.read_index(spark, str(tmp_path / "out"))
     row = index.first()
     assert index.count() == 1 and not row["provisional"] and row["n_sweeps"] == 1 and row["fields"] == ["PHI", "REF", "RHO", "VEL", "ZDR"]
