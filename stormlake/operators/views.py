@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlake.functions import geometry
-from stormlake.functions.constants import FORECAST_MIN, MISSING, VALID_ABOVE
+from stormlake.functions.constants import FORECAST_MIN, MISSING, RANGE_FOLDED, VALID_ABOVE
+from stormlake.operators.sections import HALF_BEAM
 
 #: Fields whose threshold is on the absolute value.
 SIGNED = ("VEL", "DVEL", "AZSHR", "ROT", "KDP")
@@ -42,6 +43,24 @@ def over_threshold(v: Column, field: str, threshold: float) -> Column:
     return (v > VALID_ABOVE) & ((F.abs(v) if field in SIGNED else v) >= threshold)
 
 
+def between_tilts(low: Column, high: Column, elev: Column, e0: Column, e1: Column, categorical: bool = False, folded: bool = True) -> Column:
+    """Value at an elevation from the gates of the tilts below (at e0) and above (at e1); null is no data.
+
+    Both valid: blended by elevation, or the nearer one of a ``categorical`` field (the higher on ties), as codes have no means.
+    One valid: it, less than half a beam from its tilt. Else range folding, if the nearer gate is folded and ``folded`` asks for
+    it (a section shows it, a volume doesn't). Without a second tilt (e1 null or e0) the first one's gate stands. Null gates are missing.
+    """
+    low, high, reach = F.coalesce(low, F.lit(MISSING)), F.coalesce(high, F.lit(MISSING)), float(HALF_BEAM)
+    share = F.coalesce(F.try_divide(elev - e0, e1 - e0), F.lit(0.0))
+    alone = e1.isNull() | (e1 == e0)
+    nearer = F.when(share < 0.5, low).otherwise(high)
+    has_low, has_high = low > VALID_ABOVE, ~alone & (high > VALID_ABOVE)
+    met = nearer if categorical else low + (high - low) * share
+    one = F.when(has_low & (alone | (elev - e0 < reach)), low).when(has_high & (e1 - elev < reach), high)
+    rest = F.when(nearer <= RANGE_FOLDED, F.lit(RANGE_FOLDED)) if folded else F.lit(None).cast("double")
+    return F.when(has_low & has_high, met).otherwise(F.coalesce(one, rest))
+
+
 def live_target(frames: DataFrame, shown: str, playing: bool) -> DataFrame:
     """The newest frame (name, scan_time) if it isn't shown and playback rests."""
     newest = frames.agg(F.max_by("name", F.struct("scan_time", "name")).alias("name"))

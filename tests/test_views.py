@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import UTC, datetime
 
 import pytest
@@ -96,3 +97,30 @@ def test_backfill_writes_every_table_twice_alike(spark, tmp_path):
     one = volumes.read_archive(spark, str(tmp_path / "raw/KTST20240501_220000_V06"))
     jobs.process(one, str(tmp_path / "out"), provisional=True)
     assert first == {n: read(n).count() for n in first} and read("scan_index").filter("provisional").count() == 1
+
+
+@pytest.mark.parametrize("categorical", [False, True])
+@pytest.mark.parametrize("folded", [False, True])
+def test_between_tilts_against_brute_force(spark, categorical, folded):
+    rng = random.Random(5)
+    gates = (None, -1000.0, -2000.0, 3.0, 8.0)
+    rows = [(k, rng.choice(gates), rng.choice(gates), *rng.choice([(1.0, 1.5), (1.0, 4.0), (1.0, None), (1.0, 1.0)]), rng.random()) for k in range(400)]
+    rows = [(k, a, b, e0, e1, e0 + t * ((e1 or e0) - e0)) for k, a, b, e0, e1, t in rows]
+
+    def expected(a, b, e0, e1, e):
+        a, b = -1000.0 if a is None else a, -1000.0 if b is None else b
+        if e1 is None or e1 == e0:
+            return a if a > -900 or (folded and a == -2000) else None
+        w = (e - e0) / (e1 - e0)
+        if a > -900 and b > -900:
+            return [a, b][w >= 0.5] if categorical else a + (b - a) * w
+        for v, d in ((a, e - e0), (b, e1 - e)):
+            if v > -900 and d < 0.475:
+                return v
+        return -2000.0 if folded and [a, b][w >= 0.5] == -2000 else None
+
+    made = spark.createDataFrame(rows, "k int, a double, b double, e0 double, e1 double, e double")
+    got = {r["k"]: r["v"] for r in made.select("k", views.between_tilts(*map(F.col, ("a", "b", "e", "e0", "e1")), categorical, folded).alias("v")).collect()}
+    want = {k: expected(a, b, e0, e1, e) for k, a, b, e0, e1, e in rows}
+    assert {k: v is None for k, v in got.items()} == {k: v is None for k, v in want.items()} and len(set(want.values())) >= 3
+    assert all(v is None or abs(v - want[k]) < 1e-9 for k, v in got.items())
