@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stormlake.llm import bpe, fingerprints, lengths, mixing, neardup, ngrams, quality, secrets, toxicity, urls
+from stormlake.llm import bpe, clusters, fingerprints, lengths, mixing, neardup, ngrams, quality, secrets, simhash, toxicity, urls
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(_read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_counts": op2_token_counts,
@@ -66,5 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
-ORACLES: dict[str, str] = {"op3_url_filters": urls.ORACLE}
+ORACLES: dict[str, str] = {"op3_url_filters": urls.ORACLE, "op12_centroid_clusters": clusters.ORACLE}
