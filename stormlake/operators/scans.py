@@ -83,20 +83,21 @@ def storm_motion_near(max_age_s: int = STORM_MOTION_AGE_S) -> str:
     SELECT event_id, min_by(motion_id, {{triple:other:away:motion_id}}) AS motion_id FROM met GROUP BY event_id"""
 
 
-def quota_prune(budget: int, keep_from_us: int, keep_to_us: int) -> str:
+def quota_prune(budget: int, keep_from_us: int, keep_to_us: int, also: tuple[str, ...] = ()) -> str:
     """Scans to delete, oldest first, until the rest fits the budget; never a site's newest nor one in the kept window.
 
     Protected scans free nothing; a scan goes while total minus what went before is above the budget. Running sums are
-    taken within days and carried over a table of days.
+    taken within days and carried over a table of days. also: further columns of scans that pass through and break ties after event_id.
     """
+    of = lambda t: "".join(f", {t}.{c}" for c in also)
     return f"""
     WITH newest AS (SELECT site, max(ts_us) AS newest_us FROM {{scans}} GROUP BY site),
     total AS (SELECT sum(size) AS bytes FROM {{scans}}),
-    open AS (SELECT s.site, s.ts_us, s.event_id, s.size, cast(floor(s.ts_us / 86400e6) AS bigint) AS day FROM {{scans}} s JOIN newest n ON n.site = s.site
+    open AS (SELECT s.site, s.ts_us, s.event_id, s.size{of("s")}, cast(floor(s.ts_us / 86400e6) AS bigint) AS day FROM {{scans}} s JOIN newest n ON n.site = s.site
         WHERE s.ts_us < n.newest_us AND NOT (s.ts_us BETWEEN {keep_from_us} AND {keep_to_us})),
     days AS (SELECT day, coalesce(sum(sum(size)) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM open GROUP BY day),
-    freed AS (SELECT o.site, o.ts_us, o.event_id, o.size, d.before + coalesce(sum(o.size) OVER (PARTITION BY o.day ORDER BY o.ts_us, o.site, o.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM open o JOIN days d ON d.day = o.day)
-    SELECT f.site, f.event_id, cast(f.freed_before AS bigint) AS freed_before, cast(f.size AS bigint) AS size FROM freed f CROSS JOIN total t WHERE t.bytes - f.freed_before > {budget}"""
+    freed AS (SELECT o.site, o.ts_us, o.event_id, o.size{of("o")}, d.before + coalesce(sum(o.size) OVER (PARTITION BY o.day ORDER BY o.ts_us, o.site, o.event_id{of("o")} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM open o JOIN days d ON d.day = o.day)
+    SELECT f.site, f.event_id, cast(f.freed_before AS bigint) AS freed_before, cast(f.size AS bigint) AS size{of("f")} FROM freed f CROSS JOIN total t WHERE t.bytes - f.freed_before > {budget}"""
 
 
 def eviction_order(window_from_us: int, window_to_us: int, budget: int) -> str:
@@ -125,6 +126,22 @@ def hourly_counts() -> str:
     return "SELECT site, cast(floor(ts_us / 3600e6) AS bigint) AS hour, count(*) AS n_scans, cast(sum(size) AS bigint) AS bytes FROM {scans} GROUP BY site, cast(floor(ts_us / 3600e6) AS bigint)"
 
 
+def hourly_inventory(gap_s: int = SEQUENCE_GAP_S) -> str:
+    """Tumbling hours with their pauses: scans, bytes, first and last scan, the longest gap of the hour's scans to the scan before
+    them (of the same day or the day before; null without one), and how many begin a loop: those over ``gap_s`` after the one before, or after none.
+
+    Gaps are taken within hours and carried over the table of hours, so that no task sees a site's whole history.
+    """
+    wide = gap_s * 1_000_000
+    return f"""
+    WITH timed AS (SELECT site, ts_us, size, cast(floor(ts_us / 3600e6) AS bigint) AS hour FROM {{scans}}),
+    stepped AS (SELECT site, hour, ts_us, size, ts_us - lag(ts_us) OVER (PARTITION BY site, hour ORDER BY ts_us) AS gap FROM timed),
+    hours AS (SELECT site, hour, count(*) AS n_scans, cast(sum(size) AS bigint) AS bytes, min(ts_us) AS first_us, max(ts_us) AS last_us, max(gap) AS inner_us, sum(CASE WHEN gap > {wide} THEN 1 ELSE 0 END) AS inner_loops FROM stepped GROUP BY site, hour),
+    carried AS (SELECT *, lag(last_us) OVER (PARTITION BY site ORDER BY hour) AS prior_us, lag(hour) OVER (PARTITION BY site ORDER BY hour) AS prior_hour FROM hours),
+    entered AS (SELECT *, CASE WHEN floor(prior_hour / 24e0) >= floor(hour / 24e0) - 1 THEN first_us - prior_us END AS entry_us FROM carried)
+    SELECT site, hour, n_scans, bytes, first_us, last_us, greatest(inner_us, entry_us) AS longest_gap_us, cast(inner_loops + CASE WHEN entry_us <= {wide} THEN 0 ELSE 1 END AS bigint) AS loops FROM entered"""
+
+
 def new_keys() -> str:
     """Set difference: listed scans that weren't seen (here: even ids are seen)."""
     return "SELECT site, event_id FROM {scans} EXCEPT SELECT site, event_id FROM {scans} WHERE event_id % 2 = 0"
