@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import json
 import logging
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import fields
@@ -13,19 +12,12 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-CHECKPOINT_DIR = "spark.checkpoint.dir"
+from stormlake.sources.shared import shared_dir
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder of the shared one; in local mode (tests) a temporary one where the session names none."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get(CHECKPOINT_DIR) or sc.getCheckpointDir()
-    if not shared:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that the executors share")
-        shared = tempfile.mkdtemp(prefix="stormlake-")
-        sc.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The path of a new folder of the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def config_of(kind: type, path: str | None, given: dict[str, object]) -> object:

@@ -17,3 +17,9 @@ LIVE_MIN, LIVE_MAX_MIN, AROUND_S = 60, 1440, 1800
 RING_SIZE, RING_SPACING_S = 999, 150
 QUOTA_BYTES, VOLUME_SHARE, WINDOW_STALE_MS = 20 * 1024**3, 0.85, 86_400_000
 KNOTS, TRACK_MIN_ROT = 1.94384, 5.0
+#: Azimuthal shear: arc to either side, m, most rays, least range, m, most scatter, m/s.
+SHEAR_HALF_M, SHEAR_RADIALS, SHEAR_MIN_M, SHEAR_RESIDUAL_MS = 750.0, 10, 2000.0, 6.0
+#: Specific phase: reach in heavy and light echo, m, heavy and least dBZ, least correlation, most scatter, degrees, its range.
+KDP_HALF_M, KDP_HEAVY_DBZ, KDP_MIN_DBZ, KDP_MIN_RHO, KDP_RESIDUAL_DEG, KDP_LEAST, KDP_MOST = (1000.0, 3000.0), 40.0, 20.0, 0.9, 6.0, -2.0, 10.0
+#: Bright band: elevations, degrees, ranges, m, correlation, dBZ, dB, least gates, most span of the middle half, m.
+ML_ELEVATIONS, ML_RANGE_M, ML_RHO, ML_DBZ, ML_ZDR, ML_GATES, ML_DEPTH_IQR_M = (3.5, 10.5), (5000.0, 80_000.0), (0.90, 0.97), (30.0, 47.0), (0.8, 2.5), 300, 1000.0

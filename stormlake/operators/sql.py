@@ -32,4 +32,7 @@ def oracle(text: str, **tables: str) -> str:
     body = re.sub(r"\{(\w+)\}", r"\1", _spell(text, _OTHER)).strip()
     if not tables:
         return body
-    return f"WITH {heads}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {heads} {body}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{heads}, {body[len(start):]}"
+    return f"WITH {heads} {body}"

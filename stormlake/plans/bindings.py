@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormlake.functions.constants import EARTH_43_M
+
 Binding = tuple[Callable[[SparkSession, str], DataFrame], str]
 
 
@@ -170,7 +172,33 @@ def storms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STORMS = f"SELECT DISTINCT vol, 1e1 + vol AS u, 6e0 - vol / 2e0 AS v FROM ({RADIALS}) q WHERE vol % 3 < 2"
 
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays of five moments, each from a vector read in another order: a phase that grows and wraps, a layer of low correlation around 2750 m, gates that are
+    missing alike in reflectivity and phase."""
+    at = F.col("vec_id")
+    tilt = F.floor((at % 500) / 50).cast("bigint")
+    rows = _read(spark, sf_dir, "embeddings").select(F.floor(at / 500).cast("bigint").alias("vol"), tilt.alias("tilt"), (0.5 + 1.2 * tilt).alias("elev"), (at % 50).alias("az"), F.col("embedding").cast("array<double>").alias("x"))
+    height = f"sqrt(power(1e3 * (i + 1), 2) + power({EARTH_43_M!r}D, 2) + 2 * {EARTH_43_M!r}D * 1e3 * (i + 1) * sin(radians(elev))) - {EARTH_43_M!r}D"
+    each = lambda text: F.expr(f"transform(x, (x0, i) -> {text})")
+    y, w = "get(x, 63 - i)", "get(x, (i + 32) % 64)"
+    return rows.select(
+        "vol", "tilt", "elev", "az", each("CASE WHEN x0 >= -18e-2 THEN round(4e1 + 15e1 * x0, 1) END").alias("z"), each(f"CASE WHEN x0 >= -18e-2 THEN round(4e1 * {y}, 1) END").alias("vel"), each(f"round(16e-1 + 6e0 * {w}, 1)").alias("zdr"),
+        each(f"CASE WHEN {y} >= -3e-1 THEN round(CASE WHEN abs({height} - 275e1) <= 5e2 THEN 935e-3 + 16e-2 * {y} ELSE 985e-3 + 5e-2 * {y} END, 3) END").alias("rho"),
+        each(f"CASE WHEN x0 >= -18e-2 THEN round((25e1 + 5e0 * i + 6e1 * {y}) - 36e1 * floor((25e1 + 5e0 * i + 6e1 * {y}) / 36e1), 1) END").alias("phi"),
+    )
+
+
+_MOMENT_HEIGHT = f"sqrt(power(1e3 * (i + 1), 2) + power({EARTH_43_M!r}e0, 2) + 2 * {EARTH_43_M!r}e0 * 1e3 * (i + 1) * sin(radians(elev))) - {EARTH_43_M!r}e0"
+#: One row a gate.
+MOMENTS = f"""SELECT vol, tilt, elev, az, i AS bin, CASE WHEN x >= -18e-2 THEN round(4e1 + 15e1 * x, 1) END AS z, CASE WHEN x >= -18e-2 THEN round(4e1 * y, 1) END AS vel, round(16e-1 + 6e0 * w, 1) AS zdr,
+    CASE WHEN y >= -3e-1 THEN round(CASE WHEN abs({_MOMENT_HEIGHT} - 275e1) <= 5e2 THEN 935e-3 + 16e-2 * y ELSE 985e-3 + 5e-2 * y END, 3) END AS rho,
+    CASE WHEN x >= -18e-2 THEN round((25e1 + 5e0 * i + 6e1 * y) - 36e1 * floor((25e1 + 5e0 * i + 6e1 * y) / 36e1), 1) END AS phi
+    FROM (SELECT vec_id // 500 AS vol, (vec_id % 500) // 50 AS tilt, 0.5e0 + 1.2e0 * ((vec_id % 500) // 50) AS elev, vec_id % 50 AS az, i, cast(embedding[i + 1] AS double) AS x, cast(embedding[64 - i] AS double) AS y, cast(embedding[(i + 32) % 64 + 1] AS double) AS w
+        FROM embeddings, (SELECT unnest(range(64)) AS i) g) q"""
+
+
 BINDINGS: dict[str, Binding] = {
     "radials": (radials, RADIALS), "bins": (bins, BINS), "scans": (scans, SCANS), "requests": (requests, REQUESTS), "sites": (sites, SITES), "points": (points, POINTS),
-    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS),
+    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS),
 }
