@@ -17,7 +17,7 @@ from datetime import UTC, datetime, timedelta
 from pathlib import Path
 from typing import Protocol
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from stormlake.functions.constants import LIVE_MIN, RING_SIZE, RING_SPACING_S
 
@@ -67,6 +67,11 @@ class HttpBucket:
         return self._fetch(urllib.parse.quote(key))
 
 
+def bucket_of(options: dict[str, str]) -> Bucket:
+    """The bucket that a source's options name: ``url`` of a store over HTTP, else ``path`` of a mounted folder."""
+    return HttpBucket(options["url"]) if options.get("url") else FolderBucket(options["path"])
+
+
 def parse_listing(text: str) -> list[str]:
     """Keys of an XML listing, entities decoded; namespaces don't matter."""
     return [e.text for e in ET.fromstring(text).iter() if e.tag.rpartition("}")[2] == "Key" and e.text]
@@ -221,49 +226,24 @@ class _Part(InputPartition):
 
 
 class _ArchiveReader(DataSourceReader):
+    """Volumes of a site's day, or of the whole bucket; executors fetch them, a few files a partition."""
+
     def __init__(self, options: dict[str, str]):
-        self.root, self.site = options["path"], options.get("site", "")
+        self.bucket, self.site = bucket_of(options), options.get("site", "")
         self.day = options.get("day", "")
         self.per_part = int(options.get("filesPerPartition", "4"))
 
     def partitions(self) -> list[InputPartition]:
-        bucket = FolderBucket(self.root)
-        keys = list_keys(bucket, self.site, datetime.strptime(self.day, "%Y-%m-%d")) if self.site and self.day else [k for k in bucket.list("") if not k.endswith("_MDM") and key_time(k)]
+        keys = list_keys(self.bucket, self.site, datetime.strptime(self.day, "%Y-%m-%d")) if self.site and self.day else [k for k in self.bucket.list("") if not k.endswith("_MDM") and key_time(k)]
         return [_Part(keys[i : i + self.per_part]) for i in range(0, len(keys), self.per_part)] or [_Part([])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        bucket = FolderBucket(self.root)
         for key in partition.keys:
-            yield key, _STAMP.search(key)[1], key_time(key), bucket.get(key)
-
-
-class _ChunkStream(SimpleDataSourceStreamReader):
-    """Offsets remember the last key given; keys sort by slot order of arrival within a stamp."""
-
-    def __init__(self, options: dict[str, str]):
-        self.root = options["path"]
-
-    def initialOffset(self) -> dict:
-        return {"seen": ""}
-
-    def _all(self) -> list[tuple[str, str]]:
-        bucket = FolderBucket(self.root)
-        return sorted((f"{chunk_stamp(k)}|{k.split('/')[0]}|{chunk_number(k):04d}", k) for k in bucket.list("") if chunk_time(k))
-
-    def _rows(self, keys: list[tuple[str, str]]) -> Iterator[tuple]:
-        bucket = FolderBucket(self.root)
-        return iter([(k, k.split("/")[0], chunk_time(k), bucket.get(k)) for _, k in keys])
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        new = [x for x in self._all() if x[0] > start["seen"]]
-        return self._rows(new), {"seen": new[-1][0]} if new else start
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows([x for x in self._all() if start["seen"] < x[0] <= end["seen"]])
+            yield key, _STAMP.search(key)[1], key_time(key), self.bucket.get(key)
 
 
 class RadarBucket(DataSource):
-    """``spark.read.format("radar_bucket").option("path", ...)``; as a stream, the chunks of a ring."""
+    """``spark.read.format("radar_bucket").option("path", ...)``, or ``url`` of a store over HTTP; as a stream, the chunks of a ring."""
 
     @classmethod
     def name(cls) -> str:
@@ -275,5 +255,7 @@ class RadarBucket(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _ArchiveReader(self.options)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _ChunkStream(self.options)
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        from stormlake.sources.ring import RingReader
+
+        return RingReader(self.options)

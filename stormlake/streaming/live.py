@@ -16,7 +16,7 @@ from stormlake.functions.constants import PRIOR_MAX_AGE_S, SEQUENCE_GAP_S, TRACK
 from stormlake.operators import grids, volumes
 from stormlake.sources import level2
 
-PARTIAL = "icao string, volume string, n_chunks int, n_radials int, complete boolean"
+PARTIAL = "icao string, volume string, n_chunks int, n_radials int, complete boolean, time_s long, content binary"
 
 
 class GrowingVolume(StatefulProcessor):
@@ -47,20 +47,27 @@ class GrowingVolume(StatefulProcessor):
             if 1 not in held:
                 continue
             run = [held[n] for n in range(1, len(held) + 1) if n in held]
+            content = b"".join(x[1] for x in run)
             try:
-                volume = level2.read_volume(b"".join(x[1] for x in run))
+                volume = level2.read_volume(content)
             except (ValueError, OSError):
                 continue
             whole = len(run) == max(held) and run[-1][0] == "E"
-            out.append((key[0], stamp, len(run), len(volume.radials), whole))
+            out.append((key[0], stamp, len(run), len(volume.radials), whole, volume.time_ms // 1000, content))
         yield pd.DataFrame(out, columns=[x.split()[0] for x in PARTIAL.split(", ")])
 
     def close(self) -> None:
         pass
 
 
+def chunk_rows(ring: DataFrame) -> DataFrame:
+    """(site, stamp, number, kind, content) from the ring's (key, site, scan_time, content)."""
+    part = F.split(F.element_at(F.split("key", "/"), -1), "-")
+    return ring.select("site", F.concat_ws("-", part[0], part[1]).alias("stamp"), part[2].cast("int").alias("number"), part[3].alias("kind"), "content")
+
+
 def growing_volumes(chunks: DataFrame) -> DataFrame:
-    """(site, stamp, number, kind, content) to one row for each new state of a volume."""
+    """(site, stamp, number, kind, content) to one row for each new state of a volume, with its content as far as it has come."""
     return chunks.groupBy("site").transformWithStateInPandas(GrowingVolume(), PARTIAL, "Append", "None")
 
 
