@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlake.functions import geometry
-from stormlake.functions.constants import FORECAST_MIN, MISSING, RANGE_FOLDED, VALID_ABOVE
+from stormlake.functions.constants import FORECAST_MIN, KE_A_KM, MISSING, RANGE_FOLDED, VALID_ABOVE
 from stormlake.operators.sections import HALF_BEAM
 
 #: Fields whose threshold is on the absolute value.
@@ -159,23 +159,60 @@ def section_pieces(lines: DataFrame, radars: DataFrame) -> DataFrame:
     return alone.filter(~F.coalesce("never", F.lit(False))).select("line_id", "radar", t0.alias("t0"), t1.alias("t1")).filter("t1 > t0")
 
 
-def pick(rays: DataFrame, tilts: DataFrame, steps: int = 400, reach_km: float = 200.0) -> DataFrame:
-    """First tilt surface that a ray (ray_id, x, y, z, dx, dy, dz; km) crosses from either side: (ray_id, tilt, t).
+def _bisected(lo: str, hi: str, rises: str, rounds: int = 60) -> str:
+    """SQL for where a function changes between lo and hi: ``rises`` says, of ``m``, whether the place lies beyond it."""
+    middle = "((w.a + w.b) / 2)"
+    return f"aggregate(sequence(1, {rounds}), named_struct('a', {lo}, 'b', {hi}), (w, i) -> CASE WHEN {rises.replace('$m', middle)} THEN named_struct('a', {middle}, 'b', w.b) ELSE named_struct('a', w.a, 'b', {middle}) END, w -> (w.a + w.b) / 2)"
 
-    The ray is walked in equal steps; a step whose ends lie on different sides of a tilt's beam height crosses it, and t is
-    interpolated. Tilts (tilt, elev) are a few, and broadcast.
-    """
-    step = reach_km / steps
-    walked = rays.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).join(F.broadcast(tilts))
 
-    def above(t: Column) -> Column:
-        ground = F.hypot(F.col("x") + F.col("dx") * t, F.col("y") + F.col("dy") * t)
-        return F.col("z") + F.col("dz") * t - geometry.height_km(ground, F.col("elev"))
+def crossings(rays: DataFrame, tilts: DataFrame, keys: list[str]) -> DataFrame:
+    """(rays' columns, tilt, elev, t) for each place where a ray (keys, ray_id, x, y, z, dx, dy, dz; km east, north, up) meets the surface of a tilt (keys, tilt, elev,
+    reach_km: slant range of its end), from either side, above the ground and within reach.
 
-    t0 = F.col("k") * step
-    at0, at1 = above(t0), above(t0 + step)
-    hit = walked.withColumns({"f0": at0, "f1": at1}).filter((F.col("f0") > 0) != (F.col("f1") > 0)).withColumn("t", t0 + step * F.col("f0") / (F.col("f0") - F.col("f1")))
-    return hit.groupBy("ray_id").agg(F.min(F.struct("t", "tilt")).alias("m")).select("ray_id", "m.tilt", "m.t")
+    Along a ray its height is linear and a tilt's height a convex function, so the difference is concave: it has one top, found where its slope changes sign,
+    and meets zero once before and once behind it at most. All three are bisected, so nothing depends on a step, and two crossings however near are two.
+    """
+    k = repr(KE_A_KM)
+    rows = rays.join(tilts.select(*keys, "tilt", "elev", "reach_km"), keys)
+    rows = rows.withColumns({"e": F.radians("elev"), "aa": F.col("dx") ** 2 + F.col("dy") ** 2, "bb": F.col("x") * F.col("dx") + F.col("y") * F.col("dy")})
+    rows = rows.withColumn("s1", F.expr(f"{k}D * atan2(reach_km * cos(e), {k}D + reach_km * sin(e))"))
+    rows = rows.withColumns({"root": F.expr("bb * bb - aa * (x * x + y * y - s1 * s1)"), "top": F.expr(f"{k}D * cos(e) / cos(e + s1 / {k}D) - {k}D")})
+    # where the ray is above ground, within reach, and not above all of the surface
+    low = "greatest(0D, CASE WHEN aa > 0 THEN (-bb - sqrt(greatest(root, 0D))) / aa ELSE 0D END, CASE WHEN dz > 0 THEN -z / dz WHEN dz < 0 THEN (top - z) / dz ELSE 0D END)"
+    high = "least(CASE WHEN aa > 0 THEN (-bb + sqrt(greatest(root, 0D))) / aa ELSE double('infinity') END, CASE WHEN dz < 0 THEN -z / dz WHEN dz > 0 THEN (top - z) / dz ELSE double('infinity') END)"
+    rows = rows.filter("root >= 0 AND (dz <> 0 OR z >= 0) AND (aa > 0 OR dz <> 0)").withColumns({"t0": F.expr(low), "t1": F.expr(high)}).filter("t0 <= t1")
+    ground = lambda t: f"sqrt((x + dx * {t}) * (x + dx * {t}) + (y + dy * {t}) * (y + dy * {t}))"
+    over = lambda t: f"(z + dz * {t} - {k}D * cos(e) / cos(e + {ground(t)} / {k}D) + {k}D)"
+    slope = lambda t: f"(dz - coalesce(cos(e) * sin(e + {ground(t)} / {k}D) / power(cos(e + {ground(t)} / {k}D), 2) * try_divide(bb + aa * {t}, {ground(t)}), 0D))"
+    rows = rows.withColumn("tm", F.expr(_bisected("t0", "t1", f"{slope('$m')} > 0")))
+    up = f"CASE WHEN {over('t0')} <= 0 AND {over('tm')} >= 0 THEN {_bisected('t0', 'tm', over('$m') + ' < 0')} END"
+    down = f"CASE WHEN {over('tm')} >= 0 AND {over('t1')} <= 0 THEN {_bisected('tm', 't1', over('$m') + ' > 0')} END"
+    rows = rows.withColumn("t", F.explode_outer(F.expr(f"array_distinct(filter(array({up}, {down}), t -> t IS NOT NULL))"))).filter("t IS NOT NULL")
+    return rows.select(*rays.columns, "tilt", "elev", "t")
+
+
+def pick(rays: DataFrame, sweeps: DataFrame, keys: list[str], n_az: int, others: DataFrame | None = None, least: float | None = None, signed: bool = False, first_km: float = 1.0, spacing_km: float = 1.0) -> DataFrame:
+    """The first gate that is drawn along each ray (keys, ray_id, x, y, z, dx, dy, dz): (keys, ray_id, tilt, t, az_deg, slant_km, ground_km, height_km, value).
+
+    A ray passes through a tilt's surface where the gate of the sweep (keys, tilt, elev, az, v) is missing, under ``least`` (in size if ``signed``) or nearer to another radar
+    (others: keys, x, y), and ends at the ground. Of crossings at one place the lower tilt counts. Rays without a hit give no row.
+    """
+    size = F.max(F.size("v"))
+    tilts = sweeps.groupBy(*keys, "tilt").agg(F.min("elev").alias("elev"), (F.lit(first_km) + (size - F.lit(0.5)) * spacing_km).alias("reach_km"))
+    hits = crossings(rays.select(*keys, "ray_id", "x", "y", "z", "dx", "dy", "dz"), tilts, keys)
+    hits = hits.withColumns({"px": F.col("x") + F.col("dx") * F.col("t"), "py": F.col("y") + F.col("dy") * F.col("t")}).withColumn("ground_km", F.hypot("px", "py"))
+    if others is not None:
+        # a radar has a few neighbours
+        near = others.groupBy(*keys).agg(F.collect_list(F.struct(F.col("x").alias("ox"), F.col("y").alias("oy"))).alias("near"))
+        hits = hits.join(near, keys, "left").filter("NOT coalesce(exists(near, o -> hypot(px - o.ox, py - o.oy) < ground_km), false)")
+    e, phi = F.radians("elev"), F.col("ground_km") / KE_A_KM
+    hits = hits.withColumns({"az_deg": F.pmod(F.degrees(F.atan2("px", "py")), F.lit(360.0)), "slant_km": F.lit(KE_A_KM) * F.sin(phi) / F.cos(e + phi)})
+    hits = hits.withColumns({"az": F.pmod(F.floor(F.col("az_deg") * n_az / 360), F.lit(n_az)), "gate": F.floor((F.col("slant_km") - first_km) / spacing_km + 0.5).cast("int")})
+    met = hits.join(sweeps.select(*keys, "tilt", "az", "v"), [*keys, "tilt", "az"]).withColumn("value", F.get("v", F.col("gate"))).filter("value IS NOT NULL")
+    if least is not None:
+        met = met.filter((F.abs("value") if signed else F.col("value")) >= least)
+    first = F.min(F.struct("t", "tilt", "az_deg", "slant_km", "ground_km", (F.col("z") + F.col("dz") * F.col("t")).alias("height_km"), "value")).alias("m")
+    return met.groupBy(*keys, "ray_id").agg(first).select(*keys, "ray_id", "m.tilt", "m.t", "m.az_deg", "m.slant_km", "m.ground_km", "m.height_km", "m.value")
 
 
 def tilt_stack(rays: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import UTC, datetime
 
@@ -59,11 +60,47 @@ def test_section_is_split_where_radars_are_equally_near(spark):
     assert got == [(1, 0, 0.0, 0.5), (1, 1, 0.5, 1.0), (2, 0, 0.0, 1.0)]
 
 
-def test_pick_hits_the_first_surface(spark):
-    rays = spark.createDataFrame([(1, 50.0, 0.0, 20.0, 0.0, 0.0, -1.0)], "ray_id int, x double, y double, z double, dx double, dy double, dz double")
-    tilts = spark.createDataFrame([(0, 0.5), (1, 5.0)], "tilt int, elev double")
-    row = views.pick(rays, tilts).first()
-    assert row["tilt"] == 1 and abs(row["t"] - (20 - 4.52)) < 0.05
+RAY = "vol int, ray_id int, x double, y double, z double, dx double, dy double, dz double"
+
+
+def _sweeps(spark, held, elevs=(0.5, 5.0), n_az=4, gates=200):
+    rows = [(1, t, e, a, [held(t, a, g) for g in range(gates)]) for t, e in enumerate(elevs) for a in range(n_az)]
+    return spark.createDataFrame(rows, "vol int, tilt int, elev double, az long, v array<double>")
+
+
+def test_pick_takes_the_first_drawn_gate(spark):
+    down = lambda i, x=50.0: (1, i, x, 0.0, 20.0, 0.0, 0.0, -1.0)
+    rays = spark.createDataFrame([down(1), down(2, 80.0), down(3, 150.0), down(4, 250.0), (1, 5, 0.0, 10.0, 30.0, 0.0, 0.0, 1.0), (1, 6, 0.0, 40.0, 0.0, 0.0, 0.0, 1.0), (1, 7, 50.0, 0.0, -1.0, 0.0, 0.0, -1.0), (1, 8, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)], RAY)
+    held = lambda t, a, g: None if t == 1 and 75 < g < 85 else 3.0 if t == 1 and g > 140 else 30.0 + t
+    got = {r["ray_id"]: r for r in views.pick(rays, _sweeps(spark, held), ["vol"], 4, least=5.0).collect()}
+    # through a missing gate and through a weak one to the tilt below; beyond the last gate, off upwards and under the ground nothing
+    assert {i: r["tilt"] for i, r in got.items()} == {1: 1, 2: 0, 3: 0, 6: 0} and abs(got[1]["t"] - (20 - 4.52)) < 0.05 and got[2]["value"] == 30.0
+    for r in got.values():
+        assert abs(r["height_km"] - (math.sqrt(r["slant_km"] ** 2 + 8494.67**2 + 2 * r["slant_km"] * 8494.67 * math.sin(math.radians((0.5, 5.0)[r["tilt"]]))) - 8494.67)) < 1e-9
+    # a radar at 90 km east is nearer to what lies beyond 45 km
+    other = spark.createDataFrame([(1, 90.0, 0.0)], "vol int, x double, y double")
+    assert {r["ray_id"] for r in views.pick(rays, _sweeps(spark, held), ["vol"], 4, others=other).collect()} == {6}
+
+
+def test_pick_finds_two_crossings_however_near(spark):
+    # level rays that graze a tilt's surface from above near 100 km: in and out again
+    height = 8494.67 * math.cos(math.radians(0.5)) / math.cos(math.radians(0.5) + 100 / 8494.67) - 8494.67
+    slope = math.cos(math.radians(0.5)) * math.sin(math.radians(0.5) + 100 / 8494.67) / math.cos(math.radians(0.5) + 100 / 8494.67) ** 2
+    rows = [(1, i, 0.0, 0.0, height - 100 * slope + lift, 0.0, 1.0, slope) for i, lift in enumerate((1e-7, 0.1, -1e-7))]
+    tilts = spark.createDataFrame([(1, 0, 0.5, 190.0)], "vol int, tilt int, elev double, reach_km double")
+    got = {}
+    for r in views.crossings(spark.createDataFrame(rows, RAY), tilts, ["vol"]).collect():
+        got.setdefault(r["ray_id"], []).append(r["t"])
+    assert [len(got.get(i, [])) for i in range(3)] == [2, 2, 0]
+    for i, lift in enumerate((1e-7, 0.1)):
+        assert all(abs(abs(t - 100) - math.sqrt(2 * lift * 8494.67)) < 0.6 for t in got[i])
+
+
+def test_pick_far_and_flat(spark):
+    # a ray that meets the surface only beyond 300 km
+    rays = spark.createDataFrame([(1, 1, 0.0, -400.0, 5.0, 0.0, 1.0, 0.0)], RAY)
+    row = views.pick(rays, _sweeps(spark, lambda t, a, g: 20.0, elevs=(0.0,), gates=460), ["vol"], 4).first()
+    assert abs(row["ground_km"] - math.acos(8494.67 / 8499.67) * 8494.67) < 1e-6 and row["t"] < 110
 
 
 def _archive(tmp_path, times_ms, broken=()):
