@@ -1,8 +1,8 @@
 """Secret scans: candidates found by pattern, false positives removed by a random forest; DataFrame expressions only.
 
 A candidate is a run of at least 12 letters, digits, ``+/_-`` with a digit, or of 16 capitals and digits; besides,
-whatever its length and symbols, the run of non-blanks that a key word with = or : assigns, and the password part of
-a url. Its features are length, character classes and their transitions, entropy, coverage by dictionary words, whether
+whatever its length and symbols, the run of non-blanks, or the quoted words of one line, that a key word with = or : assigns, and the
+password part of a url. Its features are length, character classes and their transitions, entropy, coverage by dictionary words, whether
 it lies in a path, and the words next to it. The dictionary is the corpus's own: its DICTIONARY_WORDS most frequent
 words of letters, counted over all documents, together with words that placeholders are made of; coverage is the share of a
 candidate's runs of four characters that occur in them. The forest (JVM, fitted by Spark's own library) is trained from
@@ -33,16 +33,16 @@ from stormlake.llm.base import stored
 KEY_WORDS = "pass(?:word|wd)?|pwd|secret|token|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|auth"
 #: What stands between a key word and its value: the rest of a name, a closing quote, = or : with blanks.
 ASSIGNED = rf"(?i:{KEY_WORDS})[\w-]{{0,24}}[\"'\]]{{0,2}}[ \t]{{0,3}}(?:[=:]{{1,2}}>?)[ \t]{{0,3}}"
-#: A value as it is quoted, or up to the next blank, quote or
+#: A value as it is quoted, with blanks if it has up to 200 characters on one line, or up to the next blank, quote or
 #: further assignment, without closing punctuation; the password part of a url.
-_VALUES = [rf"(?<=[{q}])(?<={ASSIGNED}{q})[^\s{q}]+(?={q})" for q in "\"'`"] + [rf"(?<=[=:>\"'` \t])(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={ASSIGNED}[\"'`]?)[^\s\"'`=:>](?:(?![&,;]\w+[=:])[^\s\"'`])*(?<![.,;:)\]}}>])"]
+_VALUES = [rf"(?<=[{q}])(?<={ASSIGNED}{q})[^\s{q}](?:[^\n\r{q}]{{0,198}}[^\s{q}])?(?={q})|(?<=[{q}])(?<={ASSIGNED}{q})[^\s{q}]+(?={q})" for q in "\"'`"] + [rf"(?<=[=:>\"'` \t])(?<=[=:>][ \t]{{0,3}}[\"'`]?)(?<={ASSIGNED}[\"'`]?)[^\s\"'`=:>](?:(?![&,;]\w+[=:])[^\s\"'`])*(?<![.,;:)\]}}>])"]
 _URL = r"(?<=:)(?<=://[^\s:/@]{0,64}:)[^\s/?#\"'`<>]+(?=@)"
 _RUN = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}|[A-Z0-9]{16,}(?![A-Za-z0-9+/_-]))"
 CANDIDATE = "|".join([_URL, *_VALUES, _RUN])
 #: Characters of context on either side.
 CONTEXT = 48
 #: Labelled findings made by rule, trees and their depth.
-SEED_FINDINGS, TREES, DEPTH = 14_000, 24, 8
+SEED_FINDINGS, TREES, DEPTH, SEED_PARTS = 18_000, 24, 9, 6
 SECRET_FROM = 0.5
 #: Words of the corpus that the driver holds as a dictionary, and words that findings made by rule are of.
 DICTIONARY_WORDS, SEED_WORDS = 2000, 200
@@ -57,7 +57,7 @@ PLACEHOLDERS = "example sample dummy test demo change default placeholder passwo
 #: Words that findings are made of where the corpus has too few.
 PROSE = "the of and to in there stone river letter early thorough inner meaning later wonder nation other state thing those heard under theory history".split()
 OTHER_NAMES = r"passages?|passengers?|passive|secretary|authors?|authority|authentic|tokens|\w+_(?:count|length|len|size|limit|type|name|url|uri|path|file|expiry|expires|expires_in)"
-OTHER_WORDS = "commit|sha|revision|uuid|guid|card|phone|call|order|invoice|isbn|serial|ticket|version|released?|file|page|image|checksum|digest|example|sample|placeholder"
+OTHER_WORDS = "commit|sha-?\\d*|md5|etag|integrity|blob|nonce|hash|class|import|sequence|revision|uuid|guid|card|phone|call|order|invoice|isbn|serial|ticket|version|released?|file|page|image|checksum|digest|example|sample|placeholder"
 
 
 def candidates(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -164,12 +164,20 @@ def features(words: list[str]) -> dict[str, Column]:
         "in_url": flag(before.rlike(r"(?:^|/)[^\s:/@]*:$") & after.rlike("^@")),
         "one_word": flag(c.rlike("^[A-Z]?[a-z]{1,11}$")),
         "stand_in": flag(low.rlike(r"^(?:null|none|nil|true|false|yes|no|undefined|required|optional|string|str|\*+|x+|-+|pass|%\w+%|<.*>?|\$\{.*|\{\{.*)$|\w\(|^\w+(?:\.\w+)+[\[(]?|^\w+\[") | c.rlike(r"^\$[A-Z_]+$")),
+        "encoded": flag(before.rlike(r"(?i)(?:base64,|data:[\w/+.-]{3,40},|;base64)\W{0,2}$")),
+        "digest": flag(low.rlike("^(?:sha-?\\d{1,3}|md5)[-:]") | F.lower(before).rlike(r"(?:sha-?\d{1,3}|md5|crc32|blake\d\w?|digest|checksum|fingerprint|integrity|etag)[\"']?\s*[-:=@ ]+[\"']?$")),
+        "name_like": flag(c.rlike(r"^(?:[A-Z]{0,4}[a-z]+\d{0,3}[A-Z]?){2,}\d{0,2}$|^[a-z]+(?:[-_](?:[a-z]+|\d{1,4})){2,}$")),
+        "one_alphabet": flag(c.rlike("^[ACGTUN]+$|^[acgtun]+$")),
+        "counting": flag(low.rlike("0123|1234|2345|3456|4567|5678|6789|abcd|bcde|qwerty")),
+        "distinct": F.size(F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))).cast("double") / F.least(n, F.lit(40.0)),
+        "words": F.regexp_count(c, F.lit(r"\s+")).cast("double"),
+        "said": flag(low.rlike(r"\b(?:your|please|must|enter|required|field|invalid|wrong|least|characters|forgot|should|cannot)\b")),
         "shouted": flag(before.rlike(r"[A-Z]{3,}\W*$") & after.rlike(r"^\W*[A-Z]{2,}")),
     }
 
 
 def seed_findings(spark: SparkSession, words: list[str] | None = None, n: int = SEED_FINDINGS, seed: int = 20240501) -> DataFrame:
-    """n labelled findings (candidate, before, after, label) made by rule: 18 kinds of secrets, 17 of others; of the words given
+    """n labelled findings (candidate, before, after, label) made by rule: 22 kinds of secrets, 27 of others; of the words given
     where these are enough."""
     pool = words[:SEED_WORDS] if words and len(words) >= len(PROSE) else PROSE
     kinds = [
@@ -185,7 +193,7 @@ def seed_findings(spark: SparkSession, words: list[str] | None = None, n: int =
         ("left(capitals, 16 + size % 17)", "' '", "' '", 1),
         ("left(figures, 12 + size % 6)", "element_at(array(' ', ' card ', ' call ', ' order '), 1 + size % 4)", "' '", 0),
         ("left(h, 40)", "element_at(array(' commit ', ' sha ', ' revision ', ' checksum '), 1 + size % 4)", "' '", 0),
-        ("concat_ws('-', left(h, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))", "' uuid '", "' '", 0),
+        ("concat_ws('-', left(h, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))", "element_at(array(' uuid ', ' ', ' id=', ' https://www.site.com/items/', ' \"id\": \"'), 1 + other % 5)", "element_at(array(' ', '/ ', '\", '), 1 + size % 3)", 0),
         ("upper(rpad(run, 16, 'ENTION'))", "concat(' ', upper(words[0]), '!! ')", "concat('!! ', upper(words[1]), '!!')", 0),
         ("concat(run, size, element_at(array('', 'part', '-page', '_v2'), 1 + size % 4))", "' '", "' '", 0),
         ("concat('assets/', run, '/', left(figures, 8))", "' https://www.site.com/'", "'.html '", 0),
@@ -210,8 +218,24 @@ def seed_findings(spark: SparkSession, words: list[str] | None = None, n: int =
         ("element_at(array(left(figures, 1 + size % 6), 'bearer', concat(words[0], '-', words[1])), 1 + size % 3)", "element_at(array(' tokens: ', ' max_tokens=', ' token_count: ', ' token_type: ', ' secret_name=', ' auth_type='), 1 + other % 6)", "' '", 0),
         ("element_at(array('password', 'pass', '<password>', 'changeme', '********'), 1 + size % 5)", "concat(' https://', element_at(array('user', 'username'), 1 + other % 2), ':')", "'@host '", 0),
         ("concat(element_at(array('/etc/', './', 'https://www.site.com/'), 1 + size % 3), words[0], '/', words[1], element_at(array('', '.pem', '/', '.json'), 1 + size % 4))", "element_at(array(' secret: ', ' auth=', ' token_file=', ' private_key: '), 1 + other % 4)", "' '", 0),
+        ("concat(element_at(array('sha512-', 'sha256-', 'sha1-'), 1 + size % 3), left(concat(b64, b64), element_at(array(88, 44, 28), 1 + size % 3)))", "element_at(array(' \"integrity\": \"', ' integrity ', ' resolved '), 1 + other % 3)", "element_at(array('\", ', ' '), 1 + size % 2)", 0),
+        # digests, encoded files, names of code, sequences, slugs; quoted words
+        ("left(h, element_at(array(64, 40, 32), 1 + size % 3))", "element_at(array(' sha256:', ' image@sha256:', ' md5: ', ' sha1=', ' checksum: ', ' sha512-'), 1 + other % 6)", "element_at(array(' ', '\" '), 1 + size % 2)", 0),
+        ("left(concat(b64, b64, b64), 40 + 8 * size)", "element_at(array(' src=\"data:image/png;base64,', ' url(data:font/woff2;base64,', ' data:image/jpeg;base64,'), 1 + other % 3)", "element_at(array('\" ', ') '), 1 + size % 2)", 0),
+        ("concat(initcap(words[0]), element_at(array('2', '2D', '8', '3d', '64'), 1 + size % 5), initcap(words[1]), initcap(words[2]))", "element_at(array(' class ', ' new ', ' the ', ' import ', ' extends '), 1 + other % 5)", "element_at(array(' ', '(', '.'), 1 + size % 3)", 0),
+        ("concat(initcap(words[0]), initcap(words[1]), initcap(words[3]), size % 12)", "element_at(array(' ', ' class ', ' see ', ' com.'), 1 + other % 4)", "element_at(array(' ', '.java ', '<'), 1 + size % 3)", 0),
+        ("left(translate(concat(h, h), '0123456789abcdef', 'ACGTTGCAACGTGTCA'), 16 + 3 * size)", "' '", "' '", 0),
+        ("concat(words[0], element_at(array('1234567890', '123456789', '0123456789abcdef', 'abcdef12345'), 1 + size % 4), element_at(array('', upper(words[1])), 1 + other % 2))", "' '", "' '", 0),
+        ("concat_ws('-', words[0], words[1], 1 + size, words[2], words[3])", "element_at(array(' ', ' https://www.site.com/blog/', ' id=', ' slug: '), 1 + other % 4)", "' '", 0),
+        ("concat_ws('_', words[0], words[1], words[2], 10 + size)", "element_at(array(' ', ' def ', ' var ', ' test_'), 1 + other % 4)", "element_at(array(' ', '(', '='), 1 + size % 3)", 0),
+        ("concat_ws(' ', words[0], words[1], words[2], element_at(array(words[3], string(size), concat(words[3], ' ', words[4])), 1 + size % 3))", "element_at(array(' passphrase: \"', ' password=\"', ' secret: \"', ' \"password\": \"'), 1 + other % 4)", "'\" '", 1),
+        ("concat(left(alnum, 4 + size % 6), ' ', substr(alnum, 12, 3 + size % 7))", "element_at(array(' password=\"', ' DB_PASSWORD=\"', ' token: \"'), 1 + other % 3)", "'\" '", 1),
+        ("element_at(array('This field is required', 'must be at least 8 characters', concat('Please enter your ', words[0]), 'Wrong user name or password', concat('Forgot your ', words[0], '?')), 1 + size % 5)", "element_at(array(' password: \"', ' \"password\": \"', ' token_error = \"', ' passwordHint=\"'), 1 + other % 4)", "'\" '", 0),
+        ("concat(element_at(array('', concat(words[0], '-'), concat(words[1], '_', left(words[0], 3), '_'), 'v1.'), 1 + size % 4), left(concat(alnum, reverse(alnum)), 36 + 2 * size))", "element_at(array(' ', ' use ', ' key ', ' ('), 1 + other % 4)", "element_at(array(' ', ') ', '. '), 1 + size % 3)", 1),
+        ("concat(element_at(array('sk_live_', 'xoxb-', 'AIza', 'pk_live_', 'gho_'), 1 + size % 5), left(alnum, 24 + size % 12))", "element_at(array(' ', ' key: ', ' export X=', ' \"'), 1 + other % 4)", "element_at(array(' ', '\" '), 1 + size % 2)", 1),
     ]
-    rows = spark.range(n, numPartitions=1).withColumn("h", F.sha2(F.concat_ws("-", F.lit(seed), "id"), 512))
+    # a key's findings don't depend on how many tasks make them
+    rows = spark.range(n, numPartitions=SEED_PARTS).withColumn("h", F.sha2(F.concat_ws("-", F.lit(seed), "id"), 512))
     rows = rows.withColumns({
         "kind": (F.col("id") % len(kinds)).cast("int"),
         "size": F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(24)).cast("int"),
