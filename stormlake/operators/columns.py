@@ -50,12 +50,19 @@ def low_level_rotation() -> str:
 
 
 def rotation_tracks() -> str:
-    """(vol, az, bin, track): largest low-level shear of the frames up to each, where it reaches the least that is drawn."""
+    """(vol, az, bin, track): largest low-level shear of a loop's frames up to each, where it reaches the least that is drawn. Loops are loops(vol, loop): frames of one site
+    without a gap.
+
+    Only places where the largest shear grows are kept, each until it grows again, and then spread over the frames between: no place meets
+    a frame that shows nothing of it.
+    """
     return f"""
     WITH low AS ({low_level_rotation()}),
-    places AS (SELECT v.vol, p.az, p.bin FROM (SELECT DISTINCT az, bin FROM low) p CROSS JOIN (SELECT DISTINCT vol FROM {{radials}}) v),
-    tracks AS (SELECT p.vol, p.az, p.bin, max(l.rot) OVER (PARTITION BY p.az, p.bin ORDER BY p.vol ROWS UNBOUNDED PRECEDING) AS track FROM places p LEFT JOIN low l ON l.vol = p.vol AND l.az = p.az AND l.bin = p.bin)
-    SELECT vol, az, bin, track FROM tracks WHERE track >= {TRACK_MIN_ROT}e0"""
+    placed AS (SELECT l.loop, w.vol, w.az, w.bin, w.rot FROM low w JOIN {{loops}} l ON l.vol = w.vol),
+    raised AS (SELECT *, max(rot) OVER (PARTITION BY loop, az, bin ORDER BY vol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM placed),
+    held AS (SELECT *, lead(vol) OVER (PARTITION BY loop, az, bin ORDER BY vol) AS until FROM raised WHERE before IS NULL OR rot > before),
+    frames AS (SELECT loop, array_sort(collect_list(vol)) AS vols FROM {{loops}} GROUP BY loop)
+    SELECT explode(filter(f.vols, v -> v >= h.vol AND (h.until IS NULL OR v < h.until))) AS vol, h.az, h.bin, h.rot AS track FROM held h JOIN frames f ON f.loop = h.loop WHERE h.rot >= {TRACK_MIN_ROT}e0"""
 
 
 def sweep_statistics() -> str:

@@ -94,8 +94,18 @@ def in_effect() -> str:
     SELECT a.req_id, a.day, max_by(i.cycle, i.place) AS cycle, max(i.issued_us) AS issued_us FROM asked a JOIN issued i ON i.day = a.day AND i.issued_us <= a.at_us GROUP BY a.req_id, a.day"""
 
 
-def in_polygon() -> str:
-    """Points inside rings (ring_id, seq, x0, y0, x1, y1 edges): ray casting, odd crossings. Rings are broadcast edges."""
-    return """
-    SELECT p.point_id, e.ring_id FROM {points} p JOIN {edges} e ON (e.y0 > p.lat) <> (e.y1 > p.lat) AND p.lon < (e.x1 - e.x0) * (p.lat - e.y0) / (e.y1 - e.y0) + e.x0
-    GROUP BY p.point_id, e.ring_id HAVING count(*) % 2 = 1"""
+def in_polygon(cell_deg: float = 2.0) -> str:
+    """Points inside rings (ring_id and edges x0, y0, x1, y1) of any shape: ray casting, odd crossings.
+
+    A ring lies in the squares of a grid that its bounding box meets; a point asks for the rings of its own square, and then for the edges
+    of those whose box holds it.
+    """
+    square = lambda x: f"cast(floor({x} / {cell_deg!r}e0) AS bigint)"
+    return f"""
+    WITH boxes AS (SELECT ring_id, min(least(x0, x1)) AS w, max(greatest(x0, x1)) AS e, min(least(y0, y1)) AS s, max(greatest(y0, y1)) AS n FROM {{edges}} GROUP BY ring_id),
+    columns AS (SELECT *, explode(sequence({square("w")}, {square("e")})) AS i FROM boxes),
+    squares AS (SELECT ring_id, w, e, s, n, i, explode(sequence({square("s")}, {square("n")})) AS j FROM columns),
+    placed AS (SELECT point_id, lat, lon, {square("lon")} AS i, {square("lat")} AS j FROM {{points}}),
+    met AS (SELECT p.point_id, p.lat, p.lon, q.ring_id FROM placed p JOIN squares q ON q.i = p.i AND q.j = p.j AND p.lon BETWEEN q.w AND q.e AND p.lat BETWEEN q.s AND q.n)
+    SELECT m.point_id, e.ring_id FROM met m JOIN {{edges}} e ON e.ring_id = m.ring_id WHERE (e.y0 > m.lat) <> (e.y1 > m.lat) AND m.lon < (e.x1 - e.x0) * (m.lat - e.y0) / (e.y1 - e.y0) + e.x0
+    GROUP BY m.point_id, e.ring_id HAVING count(*) % 2 = 1"""

@@ -84,19 +84,29 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 TICKS = "SELECT 725846400000000 + unnest(range(0, 24)) * 8640000000000 AS at_us"
 
 
+#: Corners of a ring around its place, in units that vary from corner to corner.
+_CORNERS = ((10, 0), (4, 8), (-6, 9), (-9, -1), (-3, -9), (7, -6), (2, -1))
+
+
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One square ring around each nation's place."""
-    k, c = F.col("n_nationkey"), F.col("c")
-    lon, lat = -118 + (k * 7 % 45), 26 + (k * 5 % 20)
-    corner = lambda i, at: F.when(i % 4 < 2, at).otherwise(at + 3)
-    x = lambda i: corner((i + 1) % 4, lon).cast("double")
-    y = lambda i: corner(i, lat).cast("double")
-    return _read(spark, sf_dir, "nation").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(3)))).select(k.cast("bigint").alias("ring_id"), x(c).alias("x0"), y(c).alias("y0"), x(c + 1).alias("x1"), y(c + 1).alias("y1"))
+    """One ring of seven corners around each nation's place, none of them convex."""
+    k = F.col("n_nationkey")
+    place = (-118 + (k * 7 % 45), 26 + (k * 5 % 20))
+
+    def at(axis: int, c: F.Column) -> F.Column:
+        out = F.element_at(F.array(*[F.lit(x[axis]) for x in _CORNERS]), (c % 7 + 1).cast("int"))
+        return place[axis].cast("double") + out * ((k * 3 + (c % 7) * 2) % 5 + 8) / F.lit(40.0)
+
+    c = F.col("c")
+    return _read(spark, sf_dir, "nation").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(6)))).select(k.cast("bigint").alias("ring_id"), at(0, c).alias("x0"), at(1, c).alias("y0"), at(0, c + 1).alias("x1"), at(1, c + 1).alias("y1"))
+
 
+def _corner(axis: int, c: str) -> str:
+    return f"{['lon', 'lat'][axis]}::double + {[x[axis] for x in _CORNERS]}[cast({c} % 7 + 1 AS int)] * ((k * 3 + ({c} % 7) * 2) % 5 + 8) / 4e1"
 
-EDGES = """SELECT cast(k AS bigint) AS ring_id, cast(CASE WHEN (c + 1) % 4 < 2 THEN lon ELSE lon + 3 END AS double) AS x0, cast(CASE WHEN c % 4 < 2 THEN lat ELSE lat + 3 END AS double) AS y0,
-    cast(CASE WHEN (c + 2) % 4 < 2 THEN lon ELSE lon + 3 END AS double) AS x1, cast(CASE WHEN (c + 1) % 4 < 2 THEN lat ELSE lat + 3 END AS double) AS y1
-    FROM (SELECT n_nationkey AS k, -118 + (n_nationkey * 7 % 45) AS lon, 26 + (n_nationkey * 5 % 20) AS lat, unnest(range(0, 4)) AS c FROM nation)"""
+
+EDGES = f"""SELECT cast(k AS bigint) AS ring_id, {_corner(0, "c")} AS x0, {_corner(1, "c")} AS y0, {_corner(0, "(c + 1)")} AS x1, {_corner(1, "(c + 1)")} AS y1
+    FROM (SELECT n_nationkey AS k, -118 + (n_nationkey * 7 % 45) AS lon, 26 + (n_nationkey * 5 % 20) AS lat, unnest(range(0, 7)) AS c FROM nation)"""
 
 
 def track_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +208,15 @@ MOMENTS = f"""SELECT vol, tilt, elev, az, i AS bin, CASE WHEN x >= -18e-2 THEN r
         FROM embeddings, (SELECT unnest(range(64)) AS i) g) q"""
 
 
+def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes by the loop that they are frames of."""
+    return radials(spark, sf_dir).select("vol").distinct().withColumn("loop", F.floor(F.col("vol") / 3))
+
+
+LOOPS = f"SELECT DISTINCT vol, vol // 3 AS loop FROM ({RADIALS}) q"
+
+
 BINDINGS: dict[str, Binding] = {
     "radials": (radials, RADIALS), "bins": (bins, BINS), "scans": (scans, SCANS), "requests": (requests, REQUESTS), "sites": (sites, SITES), "points": (points, POINTS),
-    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS),
+    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS), "loops": (loops, LOOPS),
 }

@@ -81,14 +81,15 @@ TWINS: dict[str, str] = {
     "outlook_in_effect": """WITH days AS (SELECT req_id, at_us, (at_us - 43200000000) // 86400000000 AS day FROM {requests}),
         listed AS (SELECT d.*, c.cycle, d.day * 86400000000 + c.minute::bigint * 60000000 AS issued_us FROM days d, (VALUES (6, 360), (13, 780), (16, 990), (20, 1200), (1, 1500)) c(cycle, minute))
         SELECT l.req_id, l.day, arg_max(l.cycle, l.issued_us) AS cycle, max(l.issued_us) AS issued_us FROM listed l SEMI JOIN (SELECT * FROM {outlooks} WHERE n_areas > 0) o USING (day, cycle) WHERE l.issued_us <= l.at_us GROUP BY l.req_id, l.day""",
-    "points_in_polygons": "SELECT p.point_id, r.ring_id FROM {points} p JOIN (SELECT ring_id, min(least(x0, x1)) AS x0, max(greatest(x0, x1)) AS x1, min(least(y0, y1)) AS y0, max(greatest(y0, y1)) AS y1 FROM {edges} GROUP BY ring_id) r ON p.lon >= r.x0 AND p.lon < r.x1 AND p.lat >= r.y0 AND p.lat < r.y1",
+    "points_in_polygons": """WITH t AS (SELECT p.point_id, e.ring_id, (e.x0 - p.lon) AS ax, (e.y0 - p.lat) AS ay, (e.x1 - p.lon) AS bx, (e.y1 - p.lat) AS by_ FROM {points} p, {edges} e)
+        SELECT point_id, ring_id FROM t GROUP BY point_id, ring_id HAVING abs(sum(atan2(ax * by_ - ay * bx, ax * bx + ay * by_))) > 3""",
     "column_products": f"""WITH {_SAMPLED}, s AS ({_sampled("radials")}),
         z AS (SELECT *, CASE WHEN x >= 0 THEN power(10, least(x, 56) / 10) ELSE 0 END AS z FROM s),
         j AS (SELECT a.vol, a.az, a.bin, a.tilt, a.x, 3.44e-6 * power((a.z + b.z) / 2, 4 / 7.0::double) * 1000 * (b.h - a.h) AS w, CASE WHEN a.x >= 18 THEN a.h + CASE WHEN b.x < 18 THEN (a.x - 18) / (a.x - b.x) * (b.h - a.h) ELSE 0 END END AS top
             FROM z a LEFT JOIN z b ON b.vol = a.vol AND b.az = a.az AND b.bin = a.bin AND b.tilt = a.tilt + 1)
         SELECT vol, az, bin, max(x) AS cref, round(last(top ORDER BY tilt) FILTER (top IS NOT NULL), 4) AS top_km, CASE WHEN coalesce(sum(w), 0) >= 0.1 THEN round(sum(w), 4) END AS vil FROM j GROUP BY vol, az, bin HAVING max(x) IS NOT NULL""",
     "low_level_rotation": _ROTATION,
-    "rotation_tracks": f"""WITH r AS ({_ROTATION}), v AS (SELECT DISTINCT vol FROM {{radials}}) SELECT v.vol, r.az, r.bin, max(r.rot) AS track FROM v JOIN r ON r.vol <= v.vol GROUP BY ALL HAVING max(r.rot) >= 5""",
+    "rotation_tracks": f"""WITH r AS ({_ROTATION}), v AS (SELECT DISTINCT vol FROM {{radials}}) SELECT v.vol, r.az, r.bin, max(r.rot) AS track FROM v JOIN r ON r.vol <= v.vol AND r.vol // 3 = v.vol // 3 GROUP BY ALL HAVING max(r.rot) >= 5""",
     "sweep_statistics": """SELECT vol, tilt, round(avg(elev), 3) AS elev, count(DISTINCT az) AS n_rays, arg_min_null(v[10], az) AS first_dbz, cast(sum(len(list_filter(v, lambda x: x IS NOT NULL))) AS bigint) AS n_valid,
         round(sum(coalesce(list_sum(v), 0)) / sum(len(list_filter(v, lambda x: x IS NOT NULL))), 4) AS mean_dbz, max(list_max(v)) AS top_dbz FROM {radials} GROUP BY vol, tilt""",
     "point_samples": "SELECT p.point_id, r.vol, r.tilt, r.v[cast(floor(p.range_km + 0.5) AS int)] AS dbz FROM {samples} p JOIN {radials} r ON r.az = cast(floor(p.az / 7.2e0 + 1e-9) AS bigint) WHERE p.range_km >= 0.5 AND p.range_km < 64.5",
