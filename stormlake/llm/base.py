@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +60,15 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim_memory() -> None:
+    """Give back to the system what a worker's allocators hold free. A worker lives on from group to group, and its two allocators, Arrow's and
+    the C library's, would each keep the most that any group took of it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to a table of the shared folder and read it again: compressed, for rows with texts. It goes when the driver ends."""
     spark = df.sparkSession

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stormlake.llm.base import checkpointed, release
+from stormlake.llm.base import checkpointed, release, trim_memory
 from stormlake.llm.bytesof import chunks, mix, shingles, space_table, words
 
 SHINGLE_WORDS = 5
@@ -173,6 +173,7 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
     dealt = texts.select(F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), "node", "text")
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
+        trim_memory()
         _, sets = _sets(table, size)
         short, df = np.unique(packing.cut(np.concatenate([x[0] for x in sets] or [np.zeros(0, np.uint64)])), return_counts=True)
         out: dict[str, list] = {x.split()[0]: [] for x in PACKED.split(", ")}
@@ -184,6 +185,7 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
         return _table(PACKED, **out)
 
     def add_up(key: tuple, table: pa.Table) -> pa.Table:
+        trim_memory()
         runs, counts = [], []
         for low, n, at, df in zip(*(table.column(c).to_pylist() for c in ("low", "counts", "at", "df")), strict=True):
             run = packing.unpack(key[0].as_py(), low, n)
@@ -213,6 +215,7 @@ def eligible_sets(texts: DataFrame, chars: int, nodes: int, size: int = SHINGLE_
     scale = IDF_SPREAD / np.log(nodes + 1) if nodes else 0.0
 
     def weigh(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim_memory()
         out: dict[str, list] = {x.split()[0]: [] for x in ELIGIBLE.split(", ")}
         if left.num_rows:
             node, sets = _sets(left, size)
@@ -259,6 +262,7 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> Da
     hubs = salted.select(F.col("a").alias("hub"), F.col("salt").alias("part")).distinct().join(named("hub"), "hub")
 
     def each(left: pa.Table, right: pa.Table) -> pa.Table:
+        trim_memory()
         out: dict[str, list] = {"a": [], "b": []}
         if left.num_rows and right.num_rows:
             unpack = lambda t, n, i: (np.frombuffer(t.column(f"{n}_hashes")[i].as_py(), np.uint64), np.frombuffer(t.column(f"{n}_weights")[i].as_py(), np.float32))
@@ -309,6 +313,7 @@ def apart(bands: DataFrame, roots: DataFrame, sets: DataFrame, least: float = SI
     rows = rows.select("key", "part", "own", "rest", "node", "root").join(sets.select("node", "hashes", "weights"), "node")
 
     def each(table: pa.Table) -> pa.Table:
+        trim_memory()
         out: dict[str, list] = {"a": [], "b": []}
         rest = table.column("rest").to_numpy(zero_copy_only=False)
         table = table.take(pa.array(np.lexsort((table.column("node").to_numpy(), ~rest))))
