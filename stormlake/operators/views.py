@@ -159,7 +159,7 @@ def section_pieces(lines: DataFrame, radars: DataFrame) -> DataFrame:
     return alone.filter(~F.coalesce("never", F.lit(False))).select("line_id", "radar", t0.alias("t0"), t1.alias("t1")).filter("t1 > t0")
 
 
-def _bisected(lo: str, hi: str, rises: str, rounds: int = 60) -> str:
+def _bisected(lo: str, hi: str, rises: str, rounds: int = 44) -> str:
     """SQL for where a function changes between lo and hi: ``rises`` says, of ``m``, whether the place lies beyond it."""
     middle = "((w.a + w.b) / 2)"
     return f"aggregate(sequence(1, {rounds}), named_struct('a', {lo}, 'b', {hi}), (w, i) -> CASE WHEN {rises.replace('$m', middle)} THEN named_struct('a', {middle}, 'b', w.b) ELSE named_struct('a', w.a, 'b', {middle}) END, w -> (w.a + w.b) / 2)"

@@ -163,6 +163,58 @@ def chain_volumes(files: DataFrame) -> DataFrame:
     return files.groupBy("site").transformWithStateInPandas(VolumeChain(), WINDS, "Append", "None")
 
 
+MOVES = "site string, name string, time_s long, change string"
+
+
+class RollingWindow(StatefulProcessor):
+    """Scans of one site that lie in the last ``span_s`` of the clock: each is reported as it comes in, and as it goes out when the clock has passed it.
+
+    A timer is set for the oldest scan held, so a site that sends nothing more is emptied all the same. A scan that comes again isn't reported
+    again, and one that comes too late isn't at all.
+    """
+
+    def __init__(self, span_s: int):
+        self.span_s = span_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", StructType([StructField("name", StringType())]), StructType([StructField("time", LongType())]))
+
+    def _watch(self, times: list[int]) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if times:
+            self.handle.registerTimer((min(times) + self.span_s) * 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentProcessingTimeInMs() / 1000, []
+        for row in pd.concat(list(rows)).sort_values(["time_s", "name"]).itertuples():
+            if row.time_s + self.span_s >= now and not self.held.containsKey((row.name,)):
+                self.held.updateValue((row.name,), (int(row.time_s),))
+                out.append((key[0], row.name, int(row.time_s), "in"))
+        self._watch([v[0] for _, v in self.held.iterator()])
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in MOVES.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out, kept = timerValues.getCurrentProcessingTimeInMs() / 1000, [], []
+        for name, value in list(self.held.iterator()):
+            if value[0] + self.span_s < now:
+                out.append((key[0], name[0], int(value[0]), "out"))
+                self.held.removeKey(name)
+            else:
+                kept.append(value[0])
+        self._watch(kept)
+        yield pd.DataFrame(sorted(out, key=lambda x: x[2]), columns=[x.split()[0] for x in MOVES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def rolling_window(scans: DataFrame, minutes: float) -> DataFrame:
+    """(site, name, time_s) of scans to what comes into a live window of so many minutes and what goes out of it."""
+    return scans.groupBy("site").transformWithStateInPandas(RollingWindow(int(minutes * 60)), MOVES, "Append", "ProcessingTime")
+
+
 def sessions(scans: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Loops of a site: session windows with a gap of 30 minutes. The last scan, not the window's end, is reported."""
     timed = scans.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
