@@ -278,11 +278,12 @@ def prune_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(text.alias("text")).filter("text IS NOT NULL")
 
 
-@_frame("tilt_stack", """WITH w AS (SELECT vol, max(len(v) - tilt) AS width, count(DISTINCT tilt) AS n FROM {radials} GROUP BY vol) SELECT r.vol, r.az, any_value(w.n) AS n_tilts, any_value(w.width) AS width, sum(len(list_filter(v[:len(v) - tilt], lambda x: x IS NOT NULL))) AS n_valid, round(sum((tilt + 1) * list_sum(v[:len(v) - tilt])), 3) AS mark FROM {radials} r JOIN w USING (vol) GROUP BY r.vol, r.az""")
+@_frame("tilt_stack", """WITH x AS (SELECT vol, az, tilt, list_concat(v, list_reverse(v)[1:tilt]) AS v FROM {radials}), w AS (SELECT vol, max(len(v)) AS width, count(DISTINCT tilt) AS n FROM x GROUP BY vol)
+    SELECT x.vol, x.az, any_value(w.n) AS n_tilts, any_value(w.width) AS width, cast(sum(len(list_filter(v, lambda x: x IS NOT NULL))) AS bigint) AS n_valid, round(sum((tilt + 1) * coalesce(list_sum(v), 0)), 3) AS mark FROM x JOIN w USING (vol) GROUP BY x.vol, x.az""")
 def tilt_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tilts of a ray as one array of layers, padded to the widest; here each tilt is a gate shorter than the one below."""
-    cut = BINDINGS["radials"][0](spark, sf_dir).withColumn("v", F.slice("v", F.lit(1), (F.size("v") - F.col("tilt")).cast("int")))
-    stack = views.tilt_stack(cut)
+    """Tilts of a ray as one array of layers, padded to the widest; here each tilt is a gate longer than the one below, by its own last gates."""
+    longer = BINDINGS["radials"][0](spark, sf_dir).withColumn("v", F.concat("v", F.slice(F.reverse("v"), F.lit(1), F.col("tilt").cast("int"))))
+    stack = views.tilt_stack(longer)
     valid = lambda layer: F.filter(layer["v"], lambda x: x > C.VALID_ABOVE)
     n = F.aggregate("layers", F.lit(0).cast("long"), lambda a, t: a + F.size(valid(t)))
     mark = F.aggregate("layers", F.lit(0.0), lambda a, t: a + (t["tilt"] + 1) * F.aggregate(valid(t), F.lit(0.0), lambda b, x: b + x))
