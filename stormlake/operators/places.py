@@ -67,11 +67,14 @@ def active_at() -> str:
 
 
 def active_sweep() -> str:
-    """How many intervals of each kind are in force after each change: a running sum of begins and ends, without a range join."""
+    """How many intervals of each kind are in force after each change: a running sum of begins and ends, without a range join. The sum runs within days,
+    upon what the days before have left: a kind's days are numbered in one task, its changes aren't."""
     return """
     WITH changes AS (SELECT kind, begin_us AS at_us, 1 AS d FROM {intervals} WHERE end_us > begin_us UNION ALL SELECT kind, end_us AS at_us, -1 AS d FROM {intervals} WHERE end_us > begin_us),
-    summed AS (SELECT kind, at_us, sum(d) AS d FROM changes GROUP BY kind, at_us)
-    SELECT kind, at_us, cast(sum(d) OVER (PARTITION BY kind ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS bigint) AS n_active FROM summed"""
+    summed AS (SELECT kind, at_us, cast(floor(at_us / 86400e6) AS bigint) AS day, sum(d) AS d FROM changes GROUP BY kind, at_us),
+    days AS (SELECT kind, day, sum(d) AS d FROM summed GROUP BY kind, day),
+    left_over AS (SELECT kind, day, sum(d) OVER (PARTITION BY kind ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM days)
+    SELECT s.kind, s.at_us, cast(coalesce(l.before, 0) + sum(s.d) OVER (PARTITION BY s.kind, s.day ORDER BY s.at_us ROWS UNBOUNDED PRECEDING) AS bigint) AS n_active FROM summed s JOIN left_over l ON l.kind = s.kind AND l.day = s.day"""
 
 
 def latest_issue() -> str:

@@ -73,14 +73,33 @@ def mosaic_partners(skew_s: int = MOSAIC_SKEW_S) -> str:
     SELECT event_id, other_site, min_by(other_id, {{triple:abs(other_us - ts_us):other_us:other_id}}) AS other_id, min_by(other_us - ts_us, {{triple:abs(other_us - ts_us):other_us:other_id}}) AS offset_us FROM met GROUP BY event_id, other_site"""
 
 
+def _nearest_in_time(name: str, rows: str, key: str, width: int) -> str:
+    """Common tables up to ``name`` (event_id, motion_id): for each row of ``rows`` that asks the row nearest in time that has a profile, within ``width``
+    and of the same key (columns, each with a comma after it).
+
+    Rows lie in buckets of ``width`` in time. A row sees the last before and the first after it in its own bucket by two windows, and of the buckets on
+    either side only the last or first row: no row meets all of an hour.
+    """
+    held = lambda sign: f"struct(ts_us, {sign}event_id AS id)"
+    found = ", ".join(f"struct(abs(w.ts_us - {x}.ts_us) AS away, {sign}{x}.id AS id)" for x, sign in (("w.before", "-"), ("w.after", ""), ("e.last", "-"), ("e.first", "")))
+    return f"""
+    {name}_ends AS (SELECT {key}b, max({held("-")}) AS last, min({held("")}) AS first FROM {rows} WHERE has GROUP BY {key}b),
+    {name}_beside AS (SELECT {key}b, max(last) AS last, max(first) AS first FROM (SELECT {key}b + 1 AS b, last, NULL AS first FROM {name}_ends UNION ALL SELECT {key}b - 1 AS b, NULL AS last, first FROM {name}_ends) q GROUP BY {key}b),
+    {name}_within AS (SELECT *, max(CASE WHEN has THEN {held("-")} END) OVER (PARTITION BY {key}b ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+        min(CASE WHEN has THEN {held("")} END) OVER (PARTITION BY {key}b ORDER BY ts_us RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM {rows}),
+    {name} AS (SELECT w.event_id, array_min(filter(array({found}), c -> c.away <= {width})).id AS motion_id FROM {name}_within w LEFT JOIN {name}_beside e ON {"".join(f"e.{k.strip()} = w.{k.strip()} AND " for k in key.split(",") if k.strip())}e.b = w.b WHERE w.asks)"""
+
+
 def storm_motion_near(max_age_s: int = STORM_MOTION_AGE_S) -> str:
-    """For each scan the nearest one with a profile: its own site's before others, then nearest in time; at most an hour away."""
+    """For each scan the nearest one with a profile: its own site's before others, then nearest in time, the lower id on ties; at most an hour away. Only
+    scans whose own site has none look at the others."""
     width = max_age_s * 1_000_000
     return f"""
-    WITH withmotion AS (SELECT site, ts_us, event_id, cast(floor(ts_us / {width}e0) AS bigint) AS b FROM {{scans}} WHERE size >= 2000),
-    looking AS (SELECT s.site, s.ts_us, s.event_id, cast(floor(s.ts_us / {width}e0) AS bigint) + d.step AS b FROM {{scans}} s CROSS JOIN (SELECT -1 AS step UNION ALL SELECT 0 AS step UNION ALL SELECT 1 AS step) d),
-    met AS (SELECT l.event_id, m.event_id AS motion_id, CASE WHEN m.site = l.site THEN 0 ELSE 1 END AS other, abs(m.ts_us - l.ts_us) AS away FROM looking l JOIN withmotion m ON m.b = l.b AND abs(m.ts_us - l.ts_us) <= {width})
-    SELECT event_id, min_by(motion_id, {{triple:other:away:motion_id}}) AS motion_id FROM met GROUP BY event_id"""
+    WITH timed AS (SELECT site, ts_us, event_id, cast(floor(ts_us / {width}e0) AS bigint) AS b, size >= 2000 AS has, true AS asks FROM {{scans}}),
+    {_nearest_in_time("own", "timed", "site, ", width)},
+    lacking AS (SELECT t.ts_us, t.event_id, t.b, coalesce(t.has, false) AS has, o.motion_id IS NULL AS asks FROM timed t JOIN own o ON o.event_id = t.event_id WHERE t.has OR o.motion_id IS NULL),
+    {_nearest_in_time("other", "lacking", "", width)}
+    SELECT event_id, motion_id FROM own WHERE motion_id IS NOT NULL UNION ALL SELECT event_id, motion_id FROM other WHERE motion_id IS NOT NULL"""
 
 
 def quota_prune(budget: int, keep_from_us: int, keep_to_us: int, also: tuple[str, ...] = ()) -> str:

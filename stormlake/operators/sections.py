@@ -1,4 +1,4 @@
-"""Sampling between tilts, along rays and over the ground, as portable SQL.
+"""Sampling between tilts, along rays and over the ground, as SQL.
 
 Tables as in ``columns``: radials(vol, tilt, elev, az, v), bins(bin).
 """
@@ -36,23 +36,44 @@ def cross_section(top_km: int = 14) -> str:
 
 def tilt_resample() -> str:
     """Each tilt's gates beside those of the tilt below at equal ground range over a flat earth, and how many differ by
-    more than 20: a fold check between sweeps."""
+    more than 20. A ray reads the one below it by a window over whole rays, and counts its own gates before the shuffle."""
     return """
-    WITH gates AS (SELECT r.vol, r.tilt, r.az, b.bin, r.elev, {gate:r.v:b.bin} AS x FROM {radials} r CROSS JOIN {bins} b),
-    keyed AS (SELECT g.vol, g.tilt, g.az, g.bin, g.x, u.v AS under, cast(floor((g.bin + 1e0) * cos(radians(g.elev)) / cos(radians(u.elev)) - 0.5e0) AS int) AS gate
-        FROM gates g JOIN {radials} u ON u.vol = g.vol AND u.tilt = g.tilt - 1 AND u.az = g.az),
-    met AS (SELECT vol, tilt, x, CASE WHEN gate < 64 THEN {gate:under:gate} END AS y FROM keyed)
-    SELECT vol, tilt, count(*) AS n, cast(sum(CASE WHEN abs(x - y) > 2e1 THEN 1 ELSE 0 END) AS bigint) AS n_differ FROM met WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY vol, tilt"""
+    WITH stacked AS (SELECT vol, tilt, v, elev, lag(tilt) OVER w AS tilt0, lag(v) OVER w AS under, lag(elev) OVER w AS elev0 FROM {radials} WINDOW w AS (PARTITION BY vol, az ORDER BY tilt)),
+    met AS (SELECT vol, tilt, filter(transform(v, (x, g) -> abs(x - get(under, cast(floor((g + 1e0) * cos(radians(elev)) / cos(radians(elev0)) - 0.5e0) AS int)))), d -> d IS NOT NULL) AS d FROM stacked WHERE tilt0 = tilt - 1)
+    SELECT vol, tilt, cast(sum(size(d)) AS bigint) AS n, cast(sum(size(filter(d, x -> x > 2e1))) AS bigint) AS n_differ FROM met GROUP BY vol, tilt HAVING sum(size(d)) > 0"""
+
+
+def fold_check(tilts: int = 6, apart_deg: float = 0.2) -> str:
+    """(vol, tilt, elev, n, n_differ, share): gates of a volume's lowest ``tilts`` sweeps that differ from those of the volume before it by more than
+    its Nyquist velocity, and their share in percent; whole percents mean that one of the two has a part a fold off.
+
+    Tables: radials(vol, tilt, az, v); sweeps(vol, tilt, elev, n_az, nyquist, first_m, spacing_m), nyquist 30 m/s where null; loops(vol, loop). The
+    volume before is the last in the loop; its sweep is the lowest within 0.2 degrees. Rays meet by azimuth, floor(az * n_az before / n_az), and gates by
+    range, the nearest. Sweeps without a common gate have n and share 0. Rays meet whole and count before the shuffle.
+    """
+    gate = "cast(floor((p.first_m + g * p.spacing_m - p.first0_m) / p.spacing0_m + 0.5e0) AS int)"
+    return f"""
+    WITH frames AS (SELECT vol, lag(vol) OVER (PARTITION BY loop ORDER BY vol) AS vol0 FROM {{loops}}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY vol ORDER BY elev, tilt) AS k FROM {{sweeps}}),
+    met AS (SELECT b.vol, b.tilt, b.elev, b.n_az, coalesce(b.nyquist, 30e0) AS nyquist, b.first_m, b.spacing_m, f.vol0, min_by(struct(a.tilt, a.n_az, a.first_m, a.spacing_m), struct(a.elev, a.tilt)) AS a
+        FROM ranked b JOIN frames f ON f.vol = b.vol JOIN {{sweeps}} a ON a.vol = f.vol0 AND abs(a.elev - b.elev) < {apart_deg!r}e0 WHERE b.k <= {tilts} GROUP BY b.vol, b.tilt, b.elev, b.n_az, b.nyquist, b.first_m, b.spacing_m, f.vol0),
+    placed AS (SELECT m.*, a.tilt AS tilt0, a.first_m AS first0_m, a.spacing_m AS spacing0_m, cast(floor(r.az * a.n_az / m.n_az) AS bigint) AS az0, r.v FROM met m JOIN {{radials}} r ON r.vol = m.vol AND r.tilt = m.tilt),
+    beside AS (SELECT p.vol, p.tilt, p.elev, filter(transform(p.v, (x, g) -> CASE WHEN {gate} >= 0 THEN abs(x - get(r.v, {gate})) END), d -> d IS NOT NULL) AS d, p.nyquist
+        FROM placed p LEFT JOIN {{radials}} r ON r.vol = p.vol0 AND r.tilt = p.tilt0 AND r.az = p.az0)
+    SELECT vol, tilt, min(elev) AS elev, cast(coalesce(sum(size(d)), 0) AS bigint) AS n, cast(coalesce(sum(size(filter(d, x -> x > nyquist))), 0) AS bigint) AS n_differ,
+        round(1e2 * coalesce(sum(size(filter(d, x -> x > nyquist))), 0) / greatest(coalesce(sum(size(d)), 0), 1), 3) AS share FROM beside GROUP BY vol, tilt"""
 
 
 def phase_unwrap(jump: int = 270) -> str:
     """Running unwrap along a ray: a turn is added after each fall of more than ``jump`` from the last valid gate. The phase
-    is made of the gates' values."""
+    is made of the gates' values. A ray is cut at its turns, which are few, and each piece raised as a whole."""
+    step = "(get(p, k).phase - get(p, k - 1).phase)"
     return f"""
-    WITH gates AS (SELECT r.vol, r.tilt, r.az, b.bin, {{gate:r.v:b.bin}} AS x FROM {{radials}} r CROSS JOIN {{bins}} b),
-    phases AS (SELECT vol, tilt, az, bin, 2e1 * x - 36e1 * floor(2e1 * x / 36e1) AS phase FROM gates WHERE x IS NOT NULL),
-    steps AS (SELECT *, phase - lag(phase) OVER (PARTITION BY vol, tilt, az ORDER BY bin) AS step FROM phases)
-    SELECT vol, tilt, az, bin, round(phase + 36e1 * sum(CASE WHEN step < -{jump} THEN 1 WHEN step > {jump} THEN -1 ELSE 0 END) OVER (PARTITION BY vol, tilt, az ORDER BY bin ROWS UNBOUNDED PRECEDING), 3) AS phase FROM steps"""
+    WITH valid AS (SELECT vol, tilt, az, filter(transform(v, (x, g) -> struct(g AS bin, 2e1 * x - 36e1 * floor(2e1 * x / 36e1) AS phase)), y -> y.phase IS NOT NULL) AS p FROM {{radials}}),
+    turned AS (SELECT *, filter(transform(p, (y, k) -> struct(k AS k, CASE WHEN k = 0 THEN 0 WHEN {step} < -{jump} THEN 1 WHEN {step} > {jump} THEN -1 ELSE 0 END AS turn)), y -> y.k = 0 OR y.turn <> 0) AS turns FROM valid),
+    pieces AS (SELECT vol, tilt, az, p, transform(turns, (z, j) -> struct(z.k AS k, coalesce(get(turns, j + 1).k, size(p)) - z.k AS n, 36e1 * aggregate(slice(turns, 1, j + 1), 0, (a, y) -> a + y.turn) AS turn)) AS pieces FROM turned),
+    gates AS (SELECT vol, tilt, az, inline(flatten(transform(pieces, z -> transform(slice(p, z.k + 1, z.n), y -> struct(y.bin AS bin, y.phase + z.turn AS phase))))) FROM pieces)
+    SELECT vol, tilt, az, bin, round(phase, 3) AS phase FROM gates"""
 
 
 def neighbour_cells(twin_km: float = 6.0) -> str:

@@ -216,7 +216,31 @@ def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOPS = f"SELECT DISTINCT vol, vol // 3 AS loop FROM ({RADIALS}) q"
 
 
+def wind_rays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Velocities of a uniform wind with each vector as its noise, more of it on higher tilts, and as folded at 10 m/s; two tilts of ten lack three sectors."""
+    at = F.col("vec_id")
+    tilt = F.floor((at % 500) / 50).cast("bigint")
+    rows = _read(spark, sf_dir, "embeddings").select(F.floor(at / 500).cast("bigint").alias("vol"), tilt.alias("tilt"), (0.5 + 2.4 * tilt).alias("elev"), (at % 50).alias("az"), "embedding")
+    gate = "CASE WHEN x >= -18e-2 AND NOT (tilt % 5 = 4 AND az < 19) THEN round(12e0 * sin(radians(az * 72e-1 + 36e-1)) - 7e0 * cos(radians(az * 72e-1 + 36e-1)) + (8e0 + 4e0 * tilt) * cast(x AS double), 2) END"
+    return rows.withColumn("v", F.expr(f"transform(embedding, x -> {gate})")).select("vol", "tilt", "elev", "az", "v", F.expr("transform(v, x -> x - 2e1 * floor((x + 1e1) / 2e1))").alias("raw"))
+
+
+#: One row a gate.
+WIND_RAYS = """SELECT *, x - 2e1 * floor((x + 1e1) / 2e1) AS raw FROM (SELECT vol, tilt, elev, az, i AS bin, CASE WHEN x >= -18e-2 AND NOT (tilt % 5 = 4 AND az < 19) THEN round(12e0 * sin(radians(az * 72e-1 + 36e-1)) - 7e0 * cos(radians(az * 72e-1 + 36e-1)) + (8e0 + 4e0 * tilt) * cast(x AS double), 2) END AS x
+    FROM (SELECT vec_id // 500 AS vol, (vec_id % 500) // 50 AS tilt, 0.5e0 + 2.4e0 * ((vec_id % 500) // 50) AS elev, vec_id % 50 AS az, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) g) q"""
+
+
+def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of the volumes of radials, those of odd volumes a little higher and farther out, every third without a Nyquist velocity."""
+    odd, tilt = F.col("vol") % 2, F.col("tilt")
+    rows = radials(spark, sf_dir).select("vol", "tilt", "elev").distinct()
+    return rows.select("vol", "tilt", (F.col("elev") + 0.05 * odd).alias("elev"), F.lit(50).alias("n_az"), F.when(tilt % 3 > 0, 15.0 + tilt).alias("nyquist"), (1000.0 + 2400.0 * odd).alias("first_m"), F.lit(1000.0).alias("spacing_m"))
+
+
+SWEEPS = f"SELECT DISTINCT vol, tilt, elev + 0.05e0 * (vol % 2) AS elev, 50 AS n_az, CASE WHEN tilt % 3 > 0 THEN 15e0 + tilt END AS nyquist, 1e3 + 24e2 * (vol % 2) AS first_m, 1e3 AS spacing_m FROM ({RADIALS}) q"
+
+
 BINDINGS: dict[str, Binding] = {
     "radials": (radials, RADIALS), "bins": (bins, BINS), "scans": (scans, SCANS), "requests": (requests, REQUESTS), "sites": (sites, SITES), "points": (points, POINTS),
-    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS), "loops": (loops, LOOPS),
+    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS), "loops": (loops, LOOPS), "wind_rays": (wind_rays, WIND_RAYS), "sweeps": (sweeps, SWEEPS),
 }

@@ -96,6 +96,21 @@ TWINS: dict[str, str] = {
     "storm_relative": """SELECT * FROM (SELECT r.vol, r.tilt, r.az, unnest(range(64)) AS bin, round(unnest(list_transform(v, lambda x: x - CASE WHEN s.u IS NULL THEN 0 ELSE cos(radians(elev)) * sqrt(s.u * s.u + s.v * s.v) * cos(radians(az * 7.2e0) - atan2(s.u, s.v)) END)), 4) AS srv
         FROM {radials} r LEFT JOIN (SELECT vol, u, v FROM {storms}) s(svol, u, v) ON s.svol = r.vol) q WHERE srv IS NOT NULL""".replace("list_transform(v,", "list_transform(r.v,"),
     "vad_ring_fits": f"WITH {_RINGS} SELECT vol, tilt, ring, n, round(u, 3) AS u, round(v, 3) AS v FROM rings",
+    "vad_refined_fits": """WITH g AS (SELECT vol, tilt, elev, az, bin // 4 AS ring, x, raw, sin(radians(az * 7.2e0 + 3.6e0)) AS s, cos(radians(az * 7.2e0 + 3.6e0)) AS c FROM {radials} WHERE x IS NOT NULL AND bin BETWEEN 4 AND 59 AND elev <= 20),
+        f1 AS (SELECT vol, tilt, ring, (vs * cc - vc * sc) / d AS b, (vc * ss - vs * sc) / d AS c, m - (vs * cc - vc * sc) / d * ms - (vc * ss - vs * sc) / d * mc AS a FROM (SELECT *, ss * cc - sc * sc AS d FROM (
+            SELECT vol, tilt, ring, avg(x) AS m, avg(s) AS ms, avg(c) AS mc, covar_pop(x, s) AS vs, covar_pop(x, c) AS vc, covar_pop(s, c) AS sc, var_pop(s) AS ss, var_pop(c) AS cc FROM g GROUP BY ALL HAVING count(*) >= 50) p) q WHERE abs(d) > 1e-6),
+        e1 AS (SELECT g.*, f1.a + f1.b * g.s + f1.c * g.c AS model, sqrt(avg((g.x - f1.a - f1.b * g.s - f1.c * g.c) ** 2) OVER (PARTITION BY g.vol, g.tilt, g.ring)) AS rms FROM g JOIN f1 USING (vol, tilt, ring)),
+        h AS (SELECT *, model + d AS y FROM (SELECT *, raw - model - 20 * round((raw - model) / 20) AS d FROM e1) q WHERE abs(d) < 3 * greatest(rms, 2)),
+        f2 AS (SELECT *, (vs * cc - vc * sc) / d AS b, (vc * ss - vs * sc) / d AS k FROM (SELECT *, ss * cc - sc * sc AS d FROM (
+            SELECT vol, tilt, ring, min(elev) AS elev, count(*) AS n, count(DISTINCT az * 8 // 50) AS sectors, avg(y) AS m, avg(s) AS ms, avg(c) AS mc, covar_pop(y, s) AS vs, covar_pop(y, c) AS vc, covar_pop(s, c) AS sc, var_pop(s) AS ss, var_pop(c) AS cc FROM h GROUP BY vol, tilt, ring HAVING count(*) >= 50) p) q WHERE abs(d) > 1e-6 AND sectors >= 6),
+        e2 AS (SELECT vol, tilt, ring, sqrt(avg((h.y - f2.m - f2.b * (h.s - f2.ms) - f2.k * (h.c - f2.mc)) ** 2)) AS rms FROM h JOIN f2 USING (vol, tilt, ring) GROUP BY ALL)
+        SELECT vol, tilt, ring, n, round(b / cos(radians(elev)), 3) AS u, round(k / cos(radians(elev)), 3) AS v, round(rms, 3) AS rms FROM f2 JOIN e2 USING (vol, tilt, ring) WHERE rms <= 4.5""",
+    "fold_check": """WITH g AS (SELECT r.vol, r.tilt, r.az, unnest(range(64)) AS i, unnest(r.v) AS x FROM {radials} r),
+        n AS (SELECT *, (SELECT count(*) FROM {sweeps} o WHERE o.vol = s.vol AND (o.elev, o.tilt) < (s.elev, s.tilt)) AS below FROM {sweeps} s),
+        p AS (SELECT b.*, a.vol AS vol0, a.tilt AS tilt0, a.n_az AS n0, a.first_m AS f0, a.spacing_m AS s0 FROM n b JOIN {loops} l ON l.vol = b.vol JOIN {loops} k ON k.loop = l.loop AND k.vol = (SELECT max(o.vol) FROM {loops} o WHERE o.loop = l.loop AND o.vol < l.vol) JOIN {sweeps} a ON a.vol = k.vol AND abs(a.elev - b.elev) < 0.2
+            WHERE b.below < 6 AND NOT EXISTS (SELECT 1 FROM {sweeps} o WHERE o.vol = a.vol AND abs(o.elev - b.elev) < 0.2 AND (o.elev, o.tilt) < (a.elev, a.tilt))),
+        m AS (SELECT p.vol, p.tilt, p.elev, coalesce(p.nyquist, 30) AS nyquist, b.x, c.x AS y FROM p JOIN g b ON b.vol = p.vol AND b.tilt = p.tilt LEFT JOIN g c ON c.vol = p.vol0 AND c.tilt = p.tilt0 AND c.az = b.az * p.n0 // p.n_az AND c.i = round((p.first_m + b.i * p.spacing_m - p.f0) / p.s0))
+        SELECT vol, tilt, elev, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS n, count(*) FILTER (abs(x - y) > nyquist) AS n_differ, round(100 * count(*) FILTER (abs(x - y) > nyquist) / greatest(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL), 1), 3) AS share FROM m GROUP BY ALL""",
     "wind_profile": f"WITH {_PROFILE} SELECT * FROM profile",
     "wind_levels": f"WITH {_PROFILE}, vols AS (SELECT DISTINCT vol FROM {{radials}}), rows AS (SELECT unnest(range(125, 12000, 250)) AS row_m) SELECT c.vol, r.row_m, p.u, p.v FROM vols c CROSS JOIN rows r LEFT JOIN profile p ON p.vol = c.vol AND abs(p.height_m - r.row_m) < 125",
     "hodograph_layers": f"""WITH {_PROFILE}, lists AS (SELECT vol, list({{'h': height_m, 'u': u, 'v': v}} ORDER BY height_m) AS l FROM profile GROUP BY vol), steps AS (SELECT vol, l[i] AS b, l[i - 1] AS a FROM (SELECT *, unnest(range(2, len(l) + 1)) AS i FROM lists) q)

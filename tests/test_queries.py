@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections import Counter
 
 import pytest
@@ -57,6 +58,48 @@ def test_no_products_or_single_partitions_in_large_joins(spark):
         assert "CartesianProduct" not in text and "SinglePartition" not in text.split("Executed Plan")[-1], name
 
 
+@pytest.mark.parametrize("name", ["column_products", "low_level_rotation", "storm_relative", "sweep_statistics", "range_windows", "phase_unwrap", "tilt_resample", "fold_check", "vad_ring_fits", "vad_refined_fits"])
+def test_gates_are_no_rows_of_a_shuffle(spark, name):
+    text = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "CartesianProduct" not in text
+    dealt = re.findall(r"(?:hashpartitioning|rangepartitioning|Sort \[|Window \[)[^\n]*", text)
+    assert not any("bin#" in line for line in dealt), name
+
+
+def test_ring_fits_in_two_passes(spark):
+    """Gates a fold off come back, gates far off are left out, and a ring needs six of eight sectors."""
+    import math
+
+    from stormlake.operators import columns
+    from stormlake.operators.sql import run
+
+    def ray(tilt, az):
+        true = 12 * math.sin(math.radians((az + 0.5) * 7.2)) - 7 * math.cos(math.radians((az + 0.5) * 7.2))
+        v = [None if tilt == 1 and az < 19 else true - (20.0 if (az + g) % 17 == 0 else 0.0) for g in range(64)]
+        return 0, tilt, 30.0 if tilt == 2 else 0.5, az, v, [None if x is None else x - 20 * math.floor((x + 10) / 20) for x in v]
+
+    rows = spark.createDataFrame([ray(t, a) for t in range(3) for a in range(50)], "vol long, tilt long, elev double, az long, v array<double>, raw array<double>")
+    first = {(r["tilt"], r["ring"]): r for r in run(columns.ring_fits(), radials=rows).collect()}
+    found = {(r["tilt"], r["ring"]): r for r in run(columns.refined_fits(10.0), radials=rows).collect()}
+    assert set(found) == {(0, k) for k in range(1, 15)} and {t for t, _ in first} == {0, 1, 2}
+    cosine = math.cos(math.radians(0.5))
+    assert all(r["n"] == 200 and r["rms"] == 0 and abs(r["u"] - 12 / cosine) < 1e-3 and abs(r["v"] + 7 / cosine) < 1e-3 for r in found.values())
+    assert max(abs(first[k]["u"] - 12 / cosine) for k in found) > 0.02
+    assert not run(columns.refined_fits(10.0), radials=rows.limit(0)).collect()
+
+
+def test_fold_check_between_volumes(spark):
+    from stormlake.operators import sections
+    from stormlake.operators.sql import run
+
+    values = {0: [0.0, 10.0, None, 10.0], 1: [0.0, 45.0, 5.0, None], 2: [1.0, 1.0, 1.0, 1.0]}
+    rays = spark.createDataFrame([(vol, 0, az, v) for vol, v in values.items() for az in range(2 if vol == 0 else 4)], "vol long, tilt long, az long, v array<double>")
+    sweeps = spark.createDataFrame([(0, 0, 0.5, 2, None, 1000.0, 1000.0), (1, 0, 0.6, 4, None, 1000.0, 1000.0), (2, 0, 0.9, 4, 1.0, 1000.0, 1000.0)], "vol long, tilt long, elev double, n_az int, nyquist double, first_m double, spacing_m double")
+    loops = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "vol long, loop long")
+    got = [tuple(r) for r in run(sections.fold_check(), radials=rays, sweeps=sweeps, loops=loops).collect()]
+    assert got == [(1, 0, 0.6, 8, 4, 50.0)]  # 2's sweep is 0.3 degrees away; each ray of 0 meets two of 1, and two gates of each
+
+
 def test_geometry(spark):
     row = spark.range(1).select(
         *[c.alias(n) for c, n in zip(geometry.project(35.9, -97.0, 35.0, -97.0), ("x", "y"), strict=True)],
