@@ -78,6 +78,30 @@ def parse_iso(text: str) -> datetime | None:
     return at
 
 
+def instant_us(text: Column) -> Column:
+    """What ``parse_iso`` accepts, as microseconds since 1970 whatever the session's time zone; null for anything else."""
+    part = lambda k: F.regexp_extract(text, rf"^\s*{_ISO.pattern}\s*$", k)
+    or_zero = lambda k: F.coalesce(F.nullif(part(k), F.lit("")), F.lit("00"))
+    civil = F.try_to_timestamp(F.concat(part(1), F.lit("-"), part(2), F.lit("-"), part(3), F.lit(" "), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), F.lit("+0000")), F.lit("yyyy-MM-dd HH:mm:ssxx"))
+    zone = part(8)
+    minutes = F.when(zone.isin("", "Z"), F.lit(0)).otherwise(F.substring(zone, 2, 2).try_cast("int") * 60 + F.right(zone, F.lit(2)).try_cast("int"))
+    away = F.when(zone.startswith("-"), -minutes).otherwise(minutes).cast("long") * 60_000_000
+    return F.when(part(1) != "0000", F.unix_micros(civil)) + F.rpad(F.substring(part(7), 1, 6), 6, "0").cast("long") - away
+
+
+def window_in_force(text: Column, now_us: Column) -> Column:
+    """struct(from_us, to_us) of a window file's JSON at an instant, both ends included, to_us null where it is open; null where the file isn't valid or was written
+    more than 24 hours before or after.
+
+    The file has from, to and written as ISO text and live, a boolean that may be missing or null. A live window keeps its length, ends open and begins that long before now.
+    """
+    doc = F.from_json(text, "from string, to string, written string, live boolean, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    start, end, written = (instant_us(doc[k]) for k in ("from", "to", "written"))
+    live = F.coalesce(doc["live"], F.lit(False))
+    valid = doc["_corrupt_record"].isNull() & (start <= end) & (F.abs(now_us - written) <= WINDOW_STALE_MS * 1000)
+    return F.when(valid, F.struct(F.when(live, now_us - (end - start)).otherwise(start).alias("from_us"), F.when(~live, end).alias("to_us")))
+
+
 @dataclass(frozen=True)
 class TimeWindow:
     """[start, end] in unix seconds; without end it is live and rolls with the clock over ``minutes``."""
@@ -151,4 +175,4 @@ def request_key(kind: str, site: str, at: str = "", start: str = "", end: str =
 
 
 def window_is_stale(written_ms: int, now_ms: int) -> bool:
-    return now_ms - written_ms > WINDOW_STALE_MS
+    return abs(now_ms - written_ms) > WINDOW_STALE_MS

@@ -119,6 +119,22 @@ def iso_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", times.iso(at).alias("iso"), (F.datediff(at.cast("date"), F.lit("1970-01-01").cast("date")) + 1).cast("bigint").alias("julian_day"))
 
 
+@_frame("window_files", """WITH e AS (SELECT event_id, epoch_us(ts) AS us, epoch_us(ts) // 1000000 * 1000000 AS s, epoch_us(ts) + event_id % 37 * 3600000000 AS now_us FROM events),
+    w AS (SELECT *, CASE event_id % 5 WHEN 0 THEN us // 86400000000 * 86400000000 WHEN 1 THEN us // 60000000 * 60000000 WHEN 2 THEN s WHEN 3 THEN us END AS a, s + (event_id % 11 - 1) * 3600000000 AS b FROM e)
+    SELECT event_id, cast(CASE WHEN event_id % 4 = 1 THEN now_us - b + a ELSE a END AS bigint) AS from_us, cast(CASE WHEN event_id % 4 <> 1 THEN b END AS bigint) AS to_us FROM w WHERE event_id % 12 <> 3 AND a <= b AND now_us - s <= 86400000000""")
+def window_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window files written in every form that is read, some of them invalid or stale, at an instant up to 36 hours later."""
+    at, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    us = F.unix_micros(at)
+    said = lambda us, pattern: F.date_format(F.timestamp_micros(us), pattern)
+    second = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+    start = F.when(k % 5 == 0, said(us, "yyyy-MM-dd")).when(k % 5 == 1, said(us, "yyyy-MM-dd HH:mm")).when(k % 5 == 2, said(us, second)).when(k % 5 == 3, said(us + 7_200_000_000, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+02:00'")).otherwise(F.lit("2024-02-30"))
+    live = F.when(k % 12 == 3, F.lit(', "live": "yes"')).when(k % 4 == 3, F.lit(', "live": false')).when(k % 4 == 2, F.lit(', "live": null')).when(k % 4 == 1, F.lit(', "live": true')).otherwise(F.lit(""))
+    text = F.concat(F.lit('{"from": "'), start, F.lit('", "to": "'), said(us + (k % 11 - 1) * 3_600_000_000, second), F.lit('"'), live, F.lit(', "written": "'), said(us, second), F.lit('"}'))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", times.window_in_force(text, us + k % 37 * 3_600_000_000).alias("w"))
+    return rows.filter("w IS NOT NULL").select("event_id", "w.from_us", "w.to_us")
+
+
 @_frame("beam_geometry", """SELECT point_id, round(r, 4) AS slant_km, round(sqrt(r * r + k * k + 2e0 * r * k * sin(e)) - k, 4) AS height_km, round(k * atan2(r * cos(e), k + r * sin(e)), 4) AS ground_km, floor(az * 72e1 / 36e1) AS az_bin
     FROM (SELECT point_id, az, 8494.67e0 AS k, radians(2.5e0) AS e, 8494.67e0 * sin(range_km / 8494.67e0) / cos(radians(2.5e0) + range_km / 8494.67e0) AS r FROM {samples}) q""")
 def beam_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,6 +100,48 @@ def test_fold_check_between_volumes(spark):
     assert got == [(1, 0, 0.6, 8, 4, 50.0)]  # 2's sweep is 0.3 degrees away; each ray of 0 meets two of 1, and two gates of each
 
 
+def test_instants_as_columns(spark):
+    """The column reads what the function reads, in any session time zone."""
+    from stormlake.functions import times
+
+    said = ["2024-05-20", " 2024-05-20T13:00 ", "2024-05-20 13:00:07", "2024-05-20T13:00:07Z", "2024-05-20T13:00:07.5+02:00", "2024-05-20T13:00:07.1234567-0530", "2024-05-20 13:00 Z", "2024-02-30", "2024-05-20T24:00", "2024-05-20T13:00:60", "2024-5-20", "", "now", "2024-05-20T13", "0000-01-01", "1969-12-31T23:59:59.999999Z", None]
+    epoch = times.parse_iso("1970-01-01")
+    want = [None if x is None or (at := times.parse_iso(x)) is None else round((at - epoch).total_seconds() * 1_000_000) for x in said]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, x string")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/Chicago"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r["us"] for r in rows.select("i", times.instant_us(F.col("x")).alias("us")).orderBy("i").collect()] == want, zone
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_window_files_that_are_not_valid(spark):
+    from stormlake.functions import times
+
+    texts = ["", "[]", "12", "{", '{"from": 5, "to": "2024-01-02", "written": "2024-01-01"}', '{"from": "2024-01-01", "to": "2024-01-02"}', '{"from": "2024-01-03", "to": "2024-01-02", "written": "2024-01-01"}', '{"from": "2024-01-01", "to": "2024-01-02", "written": "2024-01-01", "live": 1}', None]
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert all(r["w"] is None for r in rows.select(times.window_in_force(F.col("x"), F.lit(1_704_067_200_000_000)).alias("w")).collect())
+    assert times.window_is_stale(0, 86_400_001) and times.window_is_stale(86_400_001, 0) and not times.window_is_stale(86_400_000, 0)
+
+
+def test_nearest_profiles_across_buckets(spark):
+    """Own site first, however far within the hour; ties by id; profiles on the other side of a bucket's edge."""
+    from stormlake.operators import scans
+    from stormlake.operators.sql import run
+
+    rng = __import__("random").Random(5)
+    rows = [(rng.choice("ABC"), rng.randrange(0, 20) * 900_000_000, i, rng.choice((1, 1, 1, 2500))) for i in range(120)]
+    got = {r["event_id"]: r["motion_id"] for r in run(scans.storm_motion_near(), scans=spark.createDataFrame(rows, "site string, ts_us long, event_id long, size long")).collect()}
+    want = {}
+    for site, at, i, _ in rows:
+        near = [(s != site, abs(u - at), k) for s, u, k, size in rows if size >= 2000 and abs(u - at) <= 3_600_000_000]
+        if near:
+            want[i] = min(near)[2]
+    assert got == want and len(got) > 60
+
+
 def test_geometry(spark):
     row = spark.range(1).select(
         *[c.alias(n) for c, n in zip(geometry.project(35.9, -97.0, 35.0, -97.0), ("x", "y"), strict=True)],
