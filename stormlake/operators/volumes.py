@@ -407,18 +407,18 @@ def chained(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.Timestamp
             yield icao, at, volume, sweeps, wind
 
 
-def blocks(radials: DataFrame, block_s: int = BLOCK_S) -> DataFrame:
-    """Rows by site and block, in time order; scans of the last 15 minutes of a block also lead into the next."""
+def blocks(radials: DataFrame, block_s: int = BLOCK_S, lead_s: int = C.PRIOR_MAX_AGE_S) -> DataFrame:
+    """Rows by site and block, in time order; scans of the last 15 minutes (lead_s) of a block also lead into the next."""
     at = F.unix_micros("scan_time")
     own = F.floor(at / (block_s * 1_000_000)).cast("long")
-    near = at >= (own + 1) * F.lit(block_s * 1_000_000) - F.lit(C.PRIOR_MAX_AGE_S * 1_000_000)
+    near = at >= (own + 1) * F.lit(block_s * 1_000_000) - F.lit(lead_s * 1_000_000)
     place = F.struct(own.alias("block"), F.lit(False).alias("leads"))
     lead = F.struct((own + 1).alias("block"), F.lit(True).alias("leads"))
     rows = radials.filter(F.col("icao").isNotNull() & F.col("scan_time").isNotNull()).withColumn("__b", F.explode(F.when(near, F.array(place, lead)).otherwise(F.array(place))))
     return rows.select(*radials.columns, "__b.block", "__b.leads").repartition("icao", "block").sortWithinPartitions("icao", "block", "scan_time")
 
 
-def analysed(radials: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), block_s: int = BLOCK_S) -> DataFrame:
+def analysed(radials: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), block_s: int = BLOCK_S, lead_s: int = C.PRIOR_MAX_AGE_S) -> DataFrame:
     """Everything that is computed of each volume: rows (kind, icao, scan_time, and a struct for each kind)."""
     wanted = set(kinds)
     structs = {"ray": RAY, **{k: v for k, v in KINDS.items() if v is not RAY}}
@@ -435,7 +435,7 @@ def analysed(radials: DataFrame, kinds: tuple[str, ...] = tuple(KINDS), block_s:
                 n = len(made)
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([icao] * n), pa.array([at] * n, pa.timestamp("us", "UTC")), *(made if k == own else pa.nulls(n, shape.field(k).type) for k in structs)], schema=shape)
 
-    return blocks(radials, block_s).mapInArrow(each, ANALYSED)
+    return blocks(radials, block_s, lead_s).mapInArrow(each, ANALYSED)
 
 
 def _number(column: pd.Series) -> float | None:

@@ -13,22 +13,26 @@ from stormlake.operators import volumes
 from stormlake.sources import bucket, store
 
 
-def process(radials: DataFrame, root: str, provisional: bool = False, own: DataFrame | None = None, block_s: int = volumes.BLOCK_S, raw: bool = True) -> None:
+def process(radials: DataFrame, root: str, provisional: bool = False, own: DataFrame | None = None, block_s: int = volumes.BLOCK_S, lead_s: int = C.PRIOR_MAX_AGE_S, raw: bool = True, held: bool = False) -> None:
     """Everything of a volume: radials, derived fields, products, cells, tracks, winds, motions, melting layers, hydrometeors,
     and last the catalogue.
 
     Volumes are analysed once, into a table apart that all others are taken from. Each volume's rows replace those of the same
     volume; a rerun leaves the same. own: (icao, scan_time) of the volumes to write, where ``radials`` also holds some that
     only lead into them. raw: whether to write the radials and the catalogue, which aren't new where radials come from the
-    store itself.
+    store itself. held: radials are rows of a table; else they are written apart first, so that each file is decoded once. lead_s: how far a scan before
+    may lie that leads into a block; none at 0.
     """
     spark = radials.sparkSession
-    rows = radials if own is None else radials.join(own, ["icao", "scan_time"], "left_semi")
     staged = f"{root}/_staged-{uuid.uuid4().hex}"
     try:
+        if not held:
+            radials.write.parquet(f"{staged}/radials")
+            radials = spark.read.parquet(f"{staged}/radials")
+        rows = radials if own is None else radials.join(own, ["icao", "scan_time"], "left_semi")
         store.scan_rows(rows, provisional).write.parquet(f"{staged}/scans")
         scans = spark.read.parquet(f"{staged}/scans")
-        volumes.analysed(radials, block_s=block_s).write.partitionBy("kind").parquet(f"{staged}/analysed")
+        volumes.analysed(radials, block_s=block_s, lead_s=lead_s).write.partitionBy("kind").parquet(f"{staged}/analysed")
         found = spark.read.schema(volumes.ANALYSED).parquet(f"{staged}/analysed")
         if own is not None:
             found = found.join(own, ["icao", "scan_time"], "left_semi")
@@ -46,39 +50,44 @@ def process(radials: DataFrame, root: str, provisional: bool = False, own: DataF
 
 
 def backfill(spark: SparkSession, source: bucket.Bucket, site: str, start: datetime, end: datetime, folder: str, root: str) -> list[str]:
-    """First each scan alone, newest first, as a provisional preview; then all of the range in time order as final, each against
-    the one before. The archive's scan just before the range, if it is complete and at most 15 minutes older, is the first
-    one's prior and isn't written. Scans that can't be fetched are skipped; a provisional one never serves as the one before."""
-    paths = []
+    """The range's keys that could be fetched, in time order. First all scans in one job, each alone, as provisional previews; then all of the range in a second
+    as final, each against the one before. The archive's scan just before the range, if it is complete and at most 15 minutes older, is the first
+    one's prior and isn't written. Scans that can't be fetched are skipped, those that can't be read give no rows; a provisional one never serves as
+    the one before.
+
+    Executors fetch the files, each once, and keep them in ``folder``, which may be each machine's own. What is fetched and decoded lies in ``root`` until both
+    jobs are done; the driver holds keys.
+    """
     keys = bucket.keys_between(source, site, start, end)
-    for key in reversed(keys):
-        try:
-            paths.append(str(bucket.download(source, key, folder)))
-        except OSError:
-            continue
-        # a scan that can't be read gives no rows
-        process(volumes.read_archive(spark, paths[-1]), root, provisional=True)
-    if not paths:
+    if not keys:
         return []
-    final = volumes.decode(spark.read.format("binaryFile").load(paths).select("path", "content"))
-    lead = _predecessor(spark, source, site, keys[0], folder)
-    if lead is None:
-        process(final, root)
-    else:
-        process(final.unionByName(lead), root, own=final.select("icao", "scan_time").distinct())
-    return paths[::-1]
+    lead = _predecessor(source, site, keys[0])
+    held = f"{root}/_fetched-{uuid.uuid4().hex}"
+    try:
+        bucket.fetched(spark, source, [*keys, *lead], folder).write.parquet(f"{held}/files")
+        files = spark.read.parquet(f"{held}/files")
+        got = {r["key"] for r in files.select("key").collect()}
+        if not got.intersection(keys):
+            return []
+        named = files.select(F.col("key").alias("path"), "content")
+        volumes.decode(named.filter(~F.col("path").isin(lead))).write.parquet(f"{held}/range")
+        volumes.decode(named.filter(F.col("path").isin(lead))).filter("complete").write.parquet(f"{held}/lead")
+        final = spark.read.parquet(f"{held}/range")
+        process(final, root, provisional=True, block_s=1, lead_s=0, held=True)
+        process(final.unionByName(spark.read.parquet(f"{held}/lead")), root, own=final.select("icao", "scan_time").distinct(), held=True)
+    finally:
+        store.delete(spark, held)
+    return [k for k in keys if k in got]
 
 
-def _predecessor(spark: SparkSession, source: bucket.Bucket, site: str, first: str, folder: str) -> DataFrame | None:
+def _predecessor(source: bucket.Bucket, site: str, first: str) -> list[str]:
+    """The key of the scan that leads into a range, if there is one."""
     at = bucket.key_time(first)
     try:
         key = bucket.key_at(source, site, at - timedelta(milliseconds=1))
-        if key is None or not 0 < (at - bucket.key_time(key)).total_seconds() <= C.PRIOR_MAX_AGE_S:
-            return None
-        path = str(bucket.download(source, key, folder))
-    except (OSError, ValueError):
-        return None
-    return volumes.read_archive(spark, path).filter("complete")
+    except OSError:
+        return []
+    return [key] if key is not None and 0 < (at - bucket.key_time(key)).total_seconds() <= C.PRIOR_MAX_AGE_S else []
 
 
 def changed_volumes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -98,5 +107,5 @@ def unfold_again(radials: DataFrame, root: str) -> DataFrame:
     rows = [tuple(r) for r in changed.collect()]
     own = spark.createDataFrame(rows, "icao string, scan_time timestamp")
     if rows:
-        process(radials, root, own=own, raw=False)
+        process(radials, root, own=own, raw=False, held=True)
     return own

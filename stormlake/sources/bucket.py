@@ -17,6 +17,8 @@ from datetime import UTC, datetime, timedelta
 from pathlib import Path
 from typing import Protocol
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from stormlake.functions.constants import LIVE_MIN, RING_SIZE, RING_SPACING_S
@@ -140,6 +142,23 @@ def download(bucket: Bucket, key: str, folder: str) -> Path:
     return target
 
 
+def fetched(spark: SparkSession, bucket: Bucket, keys: list[str], folder: str, per_part: int = 4) -> DataFrame:
+    """(key, content) of the keys that can be fetched; executors fetch them, a few files a partition, and keep them in a folder of theirs, which
+    needn't be shared."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key in batch["key"]:
+                try:
+                    content = download(bucket, key, folder).read_bytes()
+                except OSError:
+                    continue
+                yield pd.DataFrame({"key": [key], "content": [content]})
+
+    named = spark.createDataFrame([(k,) for k in keys], "key string").repartition(max(1, -(-len(keys) // per_part)))
+    return named.mapInPandas(each, "key string, content binary")
+
+
 def chunk_stamp(key: str) -> str:
     """Stamp of a chunk named ``stamp-number-kind`` (kind S, I or E)."""
     return key.rpartition("/")[2][:15]

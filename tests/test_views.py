@@ -136,6 +136,23 @@ def test_backfill_writes_every_table_twice_alike(spark, tmp_path):
     assert first == {n: read(n).count() for n in first} and read("scan_index").filter("provisional").count() == 1
 
 
+def test_backfill_fetches_on_executors_and_decodes_once(spark, tmp_path, monkeypatch):
+    """Two jobs over what is fetched and decoded once; nothing is read back from the folder of fetched files, which may be another on each machine."""
+    t0 = 1_714_600_800_000
+    source = _archive(tmp_path, [t0, t0 + 300_000])
+    made, passes = [], []
+    decode, process = jobs.volumes.decode, jobs.process
+    monkeypatch.setattr(jobs.volumes, "decode", lambda files: made.append(files.count()) or decode(files))
+    monkeypatch.setattr(jobs, "process", lambda radials, *a, **k: passes.append((radials.select("scan_time").distinct().count(), k.get("provisional", False), radials._jdf.queryExecution().executedPlan().toString())) or process(radials, *a, **k))
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    keys = jobs.backfill(spark, source, "KTST", datetime(2024, 5, 1, 22, tzinfo=UTC), datetime(2024, 5, 2, tzinfo=UTC), str(raw), out)
+    assert [k.rpartition("/")[2] for k in keys] == ["KTST20240501_220000_V06", "KTST20240501_220500_V06"] and len(list(raw.iterdir())) == 2
+    assert made == [2, 0] and [p[:2] for p in passes] == [(2, True), (2, False)]
+    assert not any("InArrow" in p[2] or str(raw) in p[2] for p in passes)
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    assert jobs.backfill(spark, source, "KNON", datetime(2024, 5, 1, 22, tzinfo=UTC), datetime(2024, 5, 2, tzinfo=UTC), str(raw), out) == []
+
+
 @pytest.mark.parametrize("categorical", [False, True])
 @pytest.mark.parametrize("folded", [False, True])
 def test_between_tilts_against_brute_force(spark, categorical, folded):
