@@ -230,17 +230,34 @@ WIND_RAYS = """SELECT *, x - 2e1 * floor((x + 1e1) / 2e1) AS raw FROM (SELECT vo
     FROM (SELECT vec_id // 500 AS vol, (vec_id % 500) // 50 AS tilt, 0.5e0 + 2.4e0 * ((vec_id % 500) // 50) AS elev, vec_id % 50 AS az, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings) g) q"""
 
 
-def sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sweeps of the volumes of radials, those of odd volumes a little higher and farther out, every third without a Nyquist velocity."""
-    odd, tilt = F.col("vol") % 2, F.col("tilt")
-    rows = radials(spark, sf_dir).select("vol", "tilt", "elev").distinct()
-    return rows.select("vol", "tilt", (F.col("elev") + 0.05 * odd).alias("elev"), F.lit(50).alias("n_az"), F.when(tilt % 3 > 0, 15.0 + tilt).alias("nyquist"), (1000.0 + 2400.0 * odd).alias("first_m"), F.lit(1000.0).alias("spacing_m"))
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rays as radials has, in volumes of 8 tilts and 15 rays, so that a small table holds some."""
+    at, gate = F.col("vec_id"), lambda x: F.when(x >= -0.18, F.round(30 + 150 * x.cast("double"), 1))
+    return _read(spark, sf_dir, "embeddings").select(F.floor(at / 120).cast("bigint").alias("vol"), F.floor((at % 120) / 15).cast("bigint").alias("tilt"), (at % 15).alias("az"), F.transform("embedding", gate).alias("v"))
 
 
-SWEEPS = f"SELECT DISTINCT vol, tilt, elev + 0.05e0 * (vol % 2) AS elev, 50 AS n_az, CASE WHEN tilt % 3 > 0 THEN 15e0 + tilt END AS nyquist, 1e3 + 24e2 * (vol % 2) AS first_m, 1e3 AS spacing_m FROM ({RADIALS}) q"
+FRAMES = "SELECT vec_id // 120 AS vol, (vec_id % 120) // 15 AS tilt, vec_id % 15 AS az, list_transform(embedding, lambda x: CASE WHEN cast(x AS double) >= -0.18e0 THEN round(30e0 + 150e0 * cast(x AS double), 1) END) AS v FROM embeddings"
+
+
+def frame_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps of the volumes of frames, those of odd volumes a little higher and farther out, every third without a Nyquist velocity; the fourth tilt of every
+    fourth volume lies too high for a partner."""
+    odd, tilt, high = F.col("vol") % 2, F.col("tilt"), F.when((F.col("vol") % 4 == 2) & (F.col("tilt") == 3), 0.5).otherwise(0.0)
+    rows = frames(spark, sf_dir).select("vol", "tilt").distinct()
+    return rows.select("vol", "tilt", F.round(0.5 + 1.2 * tilt + 0.05 * odd + high, 2).alias("elev"), F.lit(15).alias("n_az"), F.when(tilt % 3 > 0, 15.0 + tilt).alias("nyquist"), (1000.0 + 2400.0 * odd).alias("first_m"), F.lit(1000.0).alias("spacing_m"))
+
+
+FRAME_SWEEPS = f"SELECT DISTINCT vol, tilt, round(0.5e0 + 1.2e0 * tilt + 0.05e0 * (vol % 2) + CASE WHEN vol % 4 = 2 AND tilt = 3 THEN 0.5e0 ELSE 0e0 END, 2) AS elev, 15 AS n_az, CASE WHEN tilt % 3 > 0 THEN 15e0 + tilt END AS nyquist, 1e3 + 24e2 * (vol % 2) AS first_m, 1e3 AS spacing_m FROM ({FRAMES}) q"
+
+
+def frame_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).select("vol").distinct().withColumn("loop", F.floor(F.col("vol") / 3))
+
+
+FRAME_LOOPS = f"SELECT DISTINCT vol, vol // 3 AS loop FROM ({FRAMES}) q"
 
 
 BINDINGS: dict[str, Binding] = {
     "radials": (radials, RADIALS), "bins": (bins, BINS), "scans": (scans, SCANS), "requests": (requests, REQUESTS), "sites": (sites, SITES), "points": (points, POINTS),
-    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS), "loops": (loops, LOOPS), "wind_rays": (wind_rays, WIND_RAYS), "sweeps": (sweeps, SWEEPS),
+    "intervals": (intervals, INTERVALS), "ticks": (ticks, TICKS), "edges": (edges, EDGES), "track_points": (track_points, TRACK_POINTS), "samples": (samples, SAMPLES), "gates": (gates, GATES), "keys": (keys, KEYS), "issues": (issues, ISSUES), "outlooks": (outlooks, OUTLOOKS), "shears": (shears, SHEARS), "storms": (storms, STORMS), "moments": (moments, MOMENTS), "loops": (loops, LOOPS), "wind_rays": (wind_rays, WIND_RAYS), "frames": (frames, FRAMES), "frame_sweeps": (frame_sweeps, FRAME_SWEEPS), "frame_loops": (frame_loops, FRAME_LOOPS),
 }

@@ -58,7 +58,7 @@ _portable("point_samples", columns.point_samples())
 _portable("storm_relative", columns.storm_relative())
 _portable("vad_ring_fits", columns.ring_fits())
 _portable("vad_refined_fits", columns.refined_fits(10.0), radials="wind_rays")
-_portable("fold_check", sections.fold_check())
+_portable("fold_check", sections.fold_check(), radials="frames", sweeps="frame_sweeps", loops="frame_loops")
 _portable("wind_profile", columns.wind_profile())
 _portable("storm_motions", columns.storm_motions())
 _portable("wind_levels", columns.wind_levels())
