@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import random
 
-from stormlake.operators import scans
+import pytest
+
+from stormlake.operators import places, scans, sections
 from stormlake.operators.sql import run
 from stormlake.plans import catalogue
 
@@ -58,3 +61,77 @@ def test_no_window_is_worked_out_anew_for_each_row(spark):
     rows = spark.createDataFrame(crowd(20, 600), SCANS)
     for text in (scans.storm_motion_near(), scans.mosaic_partners()):
         assert "unboundedfollowing" not in run(text, scans=rows)._jdf.queryExecution().toString().lower()
+
+
+SITES, POINTS = "site long, lat double, lon double", "point_id long, lat double, lon double"
+
+
+def arc(a, b):
+    """Great-circle km of (lat, lon)."""
+    (p, x), (q, y) = (map(math.radians, c) for c in (a, b))
+    return 2 * places.EARTH_KM * math.asin(min(1.0, math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2)))
+
+
+def spread(n, seed=7):
+    """Sites on a coarse lattice, many at one place, some near a pole and the date line."""
+    rng = random.Random(seed)
+    lattice = [(k, 30.0 + rng.randrange(12), -100.0 + rng.randrange(12)) for k in range(n)]
+    return [*lattice, (n, 89.5, 10.0), (n + 1, 89.0, -170.0), (n + 2, 10.0, 179.9), (n + 3, 10.5, -179.9), (n + 4, 10.0, 179.9)]
+
+
+def test_nearest_radar_of_points_anywhere(spark):
+    rng, sites = random.Random(1), spread(60)
+    points = [(i, 30 + rng.randrange(240) / 20, -100 + rng.randrange(240) / 20) for i in range(150)] + [(200, 89.9, -80.0), (201, -60.0, 30.0), (202, 10.1, -179.99), (203, 10.2, 179.99), (204, 60.0, 0.0), (205, 0.0, 0.0)]
+    got = {r["point_id"]: (r["site"], r["km"]) for r in run(places.nearest_radar(), points=spark.createDataFrame(points, POINTS), sites=spark.createDataFrame(sites, SITES)).collect()}
+    want = {i: min((round(arc((lat, lon), (q, y)), 7), k) for k, q, y in sites) for i, lat, lon in points}
+    assert {i: s for i, (s, _) in got.items()} == {i: k for i, (_, k) in want.items()} and all(abs(got[i][1] - want[i][0]) < 1e-4 for i in want)
+
+
+def test_nearest_radar_makes_no_product(spark):
+    rng = random.Random(2)
+    sites = [(k, 25 + rng.random() * 24, -120 + rng.random() * 50) for k in range(1000)]
+    points = [(i, 35 + rng.random(), -97 + rng.random()) for i in range(2000)]
+    most, found = most_rows(run(places.nearest_radar(), points=spark.createDataFrame(points, POINTS), sites=spark.createDataFrame(sites, SITES)))
+    assert len(found) == 2000 and most < 20_000
+
+
+def test_mosaic_cells_make_no_product(spark):
+    """Each of 900 cells is seen by the radar at its place, of 30 by a first one and of the others by a later one that shares the place."""
+    sites = [(k + 1, 30.0 + k % 30, -100.0 + k % 30) for k in range(900)]
+    points = [(k, 30.001 + k % 30, -100.0 + k % 30) for k in range(900)]
+    most, found = most_rows(run(sections.neighbour_cells(), points=spark.createDataFrame(points, POINTS), sites=spark.createDataFrame(sites, SITES)))
+    assert sorted(r["point_id"] for r in found) == list(range(30)) and most < 50_000
+
+
+def test_cells_of_the_nearest_radar_against_all(spark):
+    rng = random.Random(4)
+    sites = [(k + 1, 25.0 + rng.randrange(48) / 2, -120.0 + rng.randrange(100) / 2) for k in range(12)]
+    points = [(i, 25 + rng.random() * 24, -120 + rng.random() * 50) for i in range(600)]
+    got = {r["point_id"] for r in run(sections.neighbour_cells(0.0), points=spark.createDataFrame(points, POINTS), sites=spark.createDataFrame(sites, SITES)).collect()}
+    km = lambda p, s: math.sqrt((p[1] - s[1]) ** 2 + ((p[2] - s[2]) * math.cos(math.radians(p[1]))) ** 2)
+    assert got == {p[0] for p in points if min((km(p, s), s[0]) for s in sites)[1] == p[0] % 12 + 1} and len(got) > 20
+
+
+@pytest.mark.parametrize("k", [1, 4])
+def test_nearest_sites_that_share_places(spark, k):
+    sites = spread(80)
+    got = {(r["site"], r["rank"]): (r["other"], r["km"]) for r in run(places.nearest_sites(k, 300.0), sites=spark.createDataFrame(sites, SITES)).collect()}
+    want = {}
+    for a, *p in sites:
+        near = sorted((round(arc(p, q), 4), b) for b, *q in sites if b != a and arc(p, q) <= 300)
+        want |= {(a, r + 1): (b, km) for r, (km, b) in enumerate(near[:k])}
+    assert got == want
+
+
+def test_nearest_sites_rank_places(spark):
+    sites = [(k, 35.0 + k % 3, -97.0) for k in range(600)]
+    most, found = most_rows(run(places.nearest_sites(), sites=spark.createDataFrame(sites, SITES)))
+    assert len(found) == 2400 and most <= 3600
+
+
+@pytest.mark.parametrize("text", [places.neighbours(), places.offsets()])
+def test_pairs_of_places_are_dealt(spark, text):
+    """However small the table of sites, its pairs are made in many tasks, and what sites at one place share is worked out once."""
+    sites = [(k, 35.0 + k % 3, -97.0) for k in range(60)]
+    frame = run(text, sites=spark.createDataFrame(sites, SITES).coalesce(1))
+    assert frame.rdd.getNumPartitions() >= places.TASKS and len(frame.collect()) == 60 * 59
