@@ -6,10 +6,12 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from stormlake.operators import places, scans, sections
+from stormlake.operators import columns, places, rays, scans, sections, tracking, views
 from stormlake.operators.sql import run
 from stormlake.plans import catalogue
+from stormlake.plans.twins import TWINS
 
 SCANS = "site string, ts_us long, event_id long, size long"
 
@@ -135,3 +137,92 @@ def test_pairs_of_places_are_dealt(spark, text):
     sites = [(k, 35.0 + k % 3, -97.0) for k in range(60)]
     frame = run(text, sites=spark.createDataFrame(sites, SITES).coalesce(1))
     assert frame.rdd.getNumPartitions() >= places.TASKS and len(frame.collect()) == 60 * 59
+
+
+def test_links_of_a_crowd_make_few_pairs(spark, monkeypatch):
+    """Greedy links of 500 cells that all lie within reach of each other."""
+    rng, made, plain = random.Random(9), [], tracking.checkpointed
+
+    def counted(frame):
+        made.append(plain(frame))
+        return made[-1]
+
+    monkeypatch.setattr(tracking, "checkpointed", counted)
+    spot = lambda: (rng.random() * 9, rng.random() * 9)
+    before, after = [(j, *spot(), rng.choice([10.0, 15.0])) for j in range(500)], [(i, *spot()) for i in range(500)]
+    b = spark.createDataFrame([(1, *r) for r in before], "frame int, id long, px double, py double, reach_km double")
+    a = spark.createDataFrame([(1, *r) for r in after], "frame int, id long, x double, y double")
+    got = {(r["before_id"], r["after_id"]) for r in tracking.links(b, a, ["frame"]).collect()}
+    want, jj, ii = set(), set(), set()
+    for _, i, j in sorted((math.hypot(x - px, y - py), i, j) for j, px, py, reach in before for i, x, y in after if math.hypot(x - px, y - py) <= reach):
+        if i not in ii and j not in jj:
+            want.add((j, i))
+            ii.add(i)
+            jj.add(j)
+    assert got == want and max(f.count() for f in made) < 20 * 500
+
+
+def test_gates_at_the_very_edge_of_a_reach(spark, tmp_path):
+    """Debris counts of 6000 places equal SQL, also where a gate lies three gates on along the same ray."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(6000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.QUERIES["cell_rotation"](spark, str(tmp_path)).select("id", "rot", "n_debris").collect()
+    c = duckdb.connect()
+    for name in ("supplier", "embeddings"):
+        c.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(c.execute(f"SELECT id, rot, n_debris FROM ({catalogue.ORACLES['cell_rotation']}) q").fetchall())
+
+
+def test_samples_at_edges_of_bins(spark):
+    """Azimuths and ranges in tenths, every edge of a bin among them."""
+    samples = [(k, k / 10.0, 0.2 + (k % 700) / 10.0) for k in range(3600)]
+    radials = [(0, 0, a, [float(g) for g in range(64)]) for a in range(50)]
+    frame = run(columns.point_samples(), samples=spark.createDataFrame(samples, "point_id long, az double, range_km double"), radials=spark.createDataFrame(radials, "vol long, tilt long, az long, v array<double>").withColumn("v", F.expr("transform(v, x -> x + 100 * az)")))
+    got = {r["point_id"]: r["dbz"] for r in frame.collect()}
+    assert got == {k: (k // 72) * 100.0 + math.floor(r + 0.5) - 1 for k, _, r in samples if 0.5 <= r < 64.5}
+
+
+def partial():
+    """A volume of two tilts, the lower one without its second ray, the upper one without its third."""
+    return [(0, t, 0.5 + 1.2 * t, a, [10.0 + t] * 64) for t in range(2) for a in range(4) if (t, a) not in ((0, 1), (1, 2))]
+
+
+def test_section_of_a_ray_that_a_tilt_lacks(spark):
+    table = spark.createDataFrame(partial(), "vol long, tilt long, elev double, az long, v array<double>")
+    got = {}
+    for r in run(sections.cross_section(), radials=table, bins=spark.range(64).selectExpr("cast(id AS int) AS bin")).collect():
+        got.setdefault(r["az"], {})[r["bin"], r["h_km"]] = r["value"]
+    assert set(got) == {0, 1, 2, 3} and len({frozenset(v) for v in got.values()}) == 1
+    assert {v for v in got[1].values()} == {None, 11.0} and {v for v in got[2].values()} == {None, 10.0}
+
+
+def test_stack_of_a_ray_that_a_tilt_lacks(spark):
+    stack = {r["az"]: r["layers"] for r in views.tilt_stack(spark.createDataFrame(partial(), "vol long, tilt long, elev double, az long, v array<double>")).collect()}
+    assert {a: [(t["tilt"], round(t["elev"], 1), len(t["v"])) for t in layers] for a, layers in stack.items()} == {a: [(0, 0.5, 64), (1, 1.7, 64)] for a in range(4)}
+    assert set(stack[1][0]["v"]) == {views.MISSING} and set(stack[1][1]["v"]) == {11.0} and set(stack[2][1]["v"]) == {views.MISSING}
+
+
+def test_points_on_edges_as_in_sql(spark):
+    """Every point of a lattice that corners and edges lie on."""
+    duckdb = pytest.importorskip("duckdb")
+    corners = [(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (2.0, 1.0), (0.0, 3.0)]
+    turned = [(-83.25, 41.0), (-84.9, 43.4), (-87.95, 43.925), (-88.475, 40.7), (-86.825, 38.525), (-83.9, 39.35), (-85.5, 40.75)]
+    edges = [(n, *ring[k], *ring[(k + 1) % len(ring)]) for n, ring in enumerate((corners, turned)) for k in range(len(ring))]
+    points = [(100 * i + j, j / 2 - 1, i / 2 - 1) for i in range(12) for j in range(12)] + [(5000 + k, y, x) for k, (x, y) in enumerate(turned)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE p (point_id BIGINT, lat DOUBLE, lon DOUBLE)")
+    c.executemany("INSERT INTO p VALUES (?, ?, ?)", points)
+    c.execute("CREATE TABLE e (ring_id BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)")
+    c.executemany("INSERT INTO e VALUES (?, ?, ?, ?, ?)", edges)
+    want = set(c.execute(TWINS["points_in_polygons"].format(points="p", edges="e")).fetchall())
+    frame = run(places.in_polygon(), points=spark.createDataFrame(points, POINTS), edges=spark.createDataFrame(edges, "ring_id long, x0 double, y0 double, x1 double, y1 double"))
+    assert {tuple(r) for r in frame.select("point_id", "ring_id").collect()} == want
+
+
+def test_phases_that_scatter_by_just_the_limit(spark):
+    """Smoothed phases of the last four gates are 6 degrees off their mean, without a slope, at levels that running sums round."""
+    phi = [183.1, 186.5, 183.5, 175.7, 203.6, 187.8, 189.7, 201.7]
+    table = [(1, k, [round(x + 0.1 * k, 1) for x in phi], [0.99] * 8, [38.7, 54.4, 60.3, 17.7, 49.7, 32.1, 73.0, 29.7]) for k in range(300)]
+    frame = spark.createDataFrame(table, "vol int, az int, phi array<double>, rho array<double>, z array<double>")
+    assert {tuple(round(x, 9) + 0.0 if x is not None else x for x in r["kdp"][-2:]) for r in rays.specific_phase(frame, ["vol"], 1000.0).collect()} == {(0.0, 0.0)}
