@@ -217,11 +217,14 @@ def pick(rays: DataFrame, sweeps: DataFrame, keys: list[str], n_az: int, others:
 
 def tilt_stack(rays: DataFrame) -> DataFrame:
     """(vol, az, layers): the tilts of each ray (vol, tilt, elev, az, v), lowest first, padded with the sentinel to the widest of
-    the volume. A volume has a few dozen tilts."""
-    width = rays.groupBy("vol").agg(F.max(F.size("v")).alias("width"))
-    filled = F.transform("v", lambda x: F.coalesce(x, F.lit(MISSING)))
-    padded = rays.join(F.broadcast(width), "vol").withColumn("v", F.concat(filled, F.array_repeat(F.lit(MISSING), F.col("width") - F.size("v"))))
-    return padded.groupBy("vol", "az").agg(F.array_sort(F.collect_list(F.struct("tilt", "elev", "v"))).alias("layers"))
+    the volume; a tilt of the volume that lacks the ray is a layer of sentinels. A volume has a few dozen tilts."""
+    tilts = rays.groupBy("vol", "tilt").agg(F.min("elev").alias("elev"), F.max(F.size("v")).alias("width"))
+    whole = tilts.groupBy("vol").agg(F.max("width").alias("width"), F.array_sort(F.collect_list(F.struct("tilt", "elev"))).alias("tilts"))
+    held = rays.groupBy("vol", "az").agg(F.array_sort(F.collect_list(F.struct("tilt", "elev", "v"))).alias("held")).join(whole, "vol")
+    empty = "array(struct(t.tilt AS tilt, t.elev AS elev, array_repeat({0}, width) AS v))"
+    padded = "transform(filter(held, h -> h.tilt = t.tilt), h -> struct(h.tilt AS tilt, h.elev AS elev, concat(transform(h.v, x -> coalesce(x, {0})), array_repeat({0}, width - size(h.v))) AS v))"
+    layers = f"flatten(transform(tilts, t -> CASE WHEN exists(held, h -> h.tilt = t.tilt) THEN {padded} ELSE {empty} END))".replace("{0}", f"{float(MISSING)!r}D")
+    return held.select("vol", "az", F.expr(layers).alias("layers"))
 
 
 def storm_vectors(vols: DataFrame, own: DataFrame, by_hand: DataFrame) -> DataFrame:
