@@ -79,7 +79,7 @@ def specific_phase(rays: DataFrame, keys: list[str], spacing_m: float = 1000.0)
 
     Gates with correlation of 0.9 and 20 dBZ or more are trusted; their phases are unwrapped and smoothed by a median of five gates, and slopes
     fitted over 1 km to either side where it is 40 dBZ or more, else over 3 km: where two thirds of the window are trusted and scatter by at most 6 degrees about the fit. Fits
-    read the ends of one array of running sums, whatever their reach.
+    read the ends of one array of running sums, whatever their reach; a scatter of just 6 degrees passes, whichever way the sums were rounded.
     """
     heavy, light = (max(2, math.floor(m / spacing_m + 0.5)) for m in KDP_HALF_M)
     km = spacing_m / 1000
@@ -94,7 +94,7 @@ def specific_phase(rays: DataFrame, keys: list[str], spacing_m: float = 1000.0)
     of = lambda c: f"(t.b.{c} - t.a.{c})"
     cov, var = f"({of('xp')} - {of('x')} * {of('p')} / {of('n')})", f"({of('xx')} - {of('x')} * {of('x')} / {of('n')})"
     scatter = f"sqrt(greatest({of('pp')} - {of('p')} * {of('p')} / {of('n')} - {cov} * {cov} / {var}, 0D) / {of('n')})"
-    fit = f"CASE WHEN 3 * {of('n')} >= 2 * t.size AND {var} > 0 THEN CASE WHEN {scatter} <= {KDP_RESIDUAL_DEG!r}D THEN greatest(least({cov} / {var} / {2 * km!r}D, {KDP_MOST!r}D), {KDP_LEAST!r}D) END END"
+    fit = f"CASE WHEN 3 * {of('n')} >= 2 * t.size AND {var} > 0 THEN CASE WHEN {scatter} <= {KDP_RESIDUAL_DEG + 1e-9!r}D THEN greatest(least({cov} / {var} / {2 * km!r}D, {KDP_MOST!r}D), {KDP_LEAST!r}D) END END"
     reach = f"CASE WHEN get(z, g) >= {KDP_HEAVY_DBZ!r}D THEN {heavy} ELSE {light} END"
     lo, hi = f"greatest(g - {reach}, 0)", f"least(g + {reach}, size(clean) - 1)"
     ends = f"transform(clean, (p, g) -> CASE WHEN p IS NOT NULL THEN struct({hi} - {lo} + 1 AS size, get(sums, {lo}) AS a, get(sums, {hi} + 1) AS b) END)"
