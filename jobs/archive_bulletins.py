@@ -86,10 +86,15 @@ def archive(spark: SparkSession, config: Config) -> dict:
     said = {r["outcome"]: r.asDict() for r in manifest.groupBy("outcome").agg(F.count("*").alias("documents"), F.sum("n_rows").alias("rows"), F.sum("bytes").alias("bytes")).collect()}
     kept = manifest.filter("outcome = 'kept'").select(F.col("doc_id").alias("kd"), F.col("source").alias("ks"), F.col("lang").alias("kl"), F.col("sha256").alias("kh"))
     own = (F.col("sha256") == F.col("kh")) & F.col("doc_id").eqNullSafe(F.col("kd")) & F.col("source").eqNullSafe(F.col("ks")) & F.col("lang").eqNullSafe(F.col("kl"))
-    texts = rows.join(kept, own, "left_semi").dropDuplicates(["doc_id", "source", "lang", "sha256"])
+    # keys without texts are what is held, so texts stream by unsorted
+    texts = rows.join(kept.hint("shuffle_hash"), own, "left_semi")
     # a source of any size goes to as many tasks as its bytes ask for
     tasks = max(1, -(-int(said.get("kept", {}).get("bytes") or 0) // config.file_bytes))
-    texts = texts.repartition("source", "lang", F.pmod(F.xxhash64("doc_id", "sha256"), F.lit(tasks)))
+    texts = texts.withColumn("task", F.pmod(F.xxhash64("doc_id", "sha256"), F.lit(tasks))).repartition("source", "lang", "task")
+    # the manifest tells whether rows are repeated; if so, repeated ones now lie in one task
+    if said.get("kept", {}).get("rows", 0) > said.get("kept", {}).get("documents", 0):
+        texts = texts.dropDuplicates(["doc_id", "source", "lang", "sha256", "task"])
+    texts = texts.drop("task")
     texts.write.mode("overwrite").partitionBy("source", "lang").parquet(f"{config.output}/archive")
     done = {"read": sum(x["rows"] for x in said.values()), **{k: said.get(k, {}).get("documents", 0) for k in ("kept", "pruned", "copy")}, "kept_bytes": said.get("kept", {}).get("bytes", 0)}
     LOG.info("%s: read %d rows; wrote %d texts of %d bytes; %d pruned, %d copies", config.documents, done["read"], done["kept"], done["kept_bytes"], done["pruned"], done["copy"])

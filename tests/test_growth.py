@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from stormlake.operators import columns, places, rays, scans, sections, tracking, views
+from stormlake.operators import columns, places, rays, scans, sections, tilts, tracking, views
 from stormlake.operators.sql import run
 from stormlake.plans import catalogue
 from stormlake.plans.twins import TWINS
@@ -226,3 +226,34 @@ def test_phases_that_scatter_by_just_the_limit(spark):
     table = [(1, k, [round(x + 0.1 * k, 1) for x in phi], [0.99] * 8, [38.7, 54.4, 60.3, 17.7, 49.7, 32.1, 73.0, 29.7]) for k in range(300)]
     frame = spark.createDataFrame(table, "vol int, az int, phi array<double>, rho array<double>, z array<double>")
     assert {tuple(round(x, 9) + 0.0 if x is not None else x for x in r["kdp"][-2:]) for r in rays.specific_phase(frame, ["vol"], 1000.0).collect()} == {(0.0, 0.0)}
+
+
+def test_tilts_of_many_sweeps(spark):
+    """Against a fold sweep by sweep; a chunk's edge, sweeps without gates and elevations that many share. The fold's steps are the elevations."""
+    rng = random.Random(11)
+    rows = [("A", i, rng.randrange(1500) / 10, rng.choice((None, *range(40)))) for i in range(9000)]
+    kept = []
+    for _, i, elev, gates in sorted(rows, key=lambda r: (r[2], r[1])):
+        if kept and elev - kept[-1][0] < 0.2:
+            last = kept[-1]
+            if None not in (gates, last[2]) and (gates, i) > (last[2], last[1]):
+                kept[-1] = (elev, i, gates)
+        else:
+            kept.append((elev, i, gates))
+    frame = tilts.select_tilts(spark.createDataFrame(rows, "site string, i long, elev double, gates long"))
+    assert [tuple(t) for t in frame.first()["tilts"]] == kept
+    assert "apart" in frame._jdf.queryExecution().toString()
+
+
+def test_archive_drops_no_duplicates_where_there_are_none(spark, tmp_path, monkeypatch):
+    """Texts that aren't repeated, as the manifest tells, are not dealt once more to be compared."""
+    from jobs import archive_bulletins
+
+    plans, plain = [], archive_bulletins.F.pmod
+    monkeypatch.setattr(archive_bulletins.F, "pmod", lambda *a: plans.append(1) or plain(*a))
+    spark.createDataFrame([(k, f"text {k}", "s", "en") for k in range(50)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/d")
+    dropped = []
+    real = type(spark.range(1)).dropDuplicates
+    monkeypatch.setattr(type(spark.range(1)), "dropDuplicates", lambda self, *a: dropped.append(self.columns) or real(self, *a))
+    done = archive_bulletins.archive(spark, archive_bulletins.Config(f"{tmp_path}/d", f"{tmp_path}/out", 1.0))
+    assert done["kept"] == 50 and plans and not any("text" in c for c in dropped)
