@@ -86,8 +86,7 @@ def archive(spark: SparkSession, config: Config) -> dict:
     said = {r["outcome"]: r.asDict() for r in manifest.groupBy("outcome").agg(F.count("*").alias("documents"), F.sum("n_rows").alias("rows"), F.sum("bytes").alias("bytes")).collect()}
     kept = manifest.filter("outcome = 'kept'").select(F.col("doc_id").alias("kd"), F.col("source").alias("ks"), F.col("lang").alias("kl"), F.col("sha256").alias("kh"))
     own = (F.col("sha256") == F.col("kh")) & F.col("doc_id").eqNullSafe(F.col("kd")) & F.col("source").eqNullSafe(F.col("ks")) & F.col("lang").eqNullSafe(F.col("kl"))
-    # keys without texts are what is held, so texts stream by unsorted
-    texts = rows.join(kept.hint("shuffle_hash"), own, "left_semi")
+    texts = rows.join(kept, own, "left_semi")
     # a source of any size goes to as many tasks as its bytes ask for
     tasks = max(1, -(-int(said.get("kept", {}).get("bytes") or 0) // config.file_bytes))
     texts = texts.withColumn("task", F.pmod(F.xxhash64("doc_id", "sha256"), F.lit(tasks))).repartition("source", "lang", "task")
