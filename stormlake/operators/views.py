@@ -184,7 +184,9 @@ def crossings(rays: DataFrame, tilts: DataFrame, keys: list[str]) -> DataFrame:
     ground = lambda t: f"sqrt((x + dx * {t}) * (x + dx * {t}) + (y + dy * {t}) * (y + dy * {t}))"
     over = lambda t: f"(z + dz * {t} - {k}D * cos(e) / cos(e + {ground(t)} / {k}D) + {k}D)"
     slope = lambda t: f"(dz - coalesce(cos(e) * sin(e + {ground(t)} / {k}D) / power(cos(e + {ground(t)} / {k}D), 2) * try_divide(bb + aa * {t}, {ground(t)}), 0D))"
-    rows = rows.withColumn("tm", F.expr(_bisected("t0", "t1", f"{slope('$m')} > 0")))
+    # a concave function that is above zero at both ends meets it nowhere, at one end once; only below it at both does the top matter
+    rows = rows.withColumns({"f0": F.expr(over("t0")), "f1": F.expr(over("t1"))}).filter("NOT (f0 > 0 AND f1 > 0)")
+    rows = rows.withColumn("tm", F.expr(f"CASE WHEN f0 > 0 THEN t0 WHEN f1 > 0 THEN t1 ELSE {_bisected('t0', 't1', slope('$m') + ' > 0')} END"))
     up = f"CASE WHEN {over('t0')} <= 0 AND {over('tm')} >= 0 THEN {_bisected('t0', 'tm', over('$m') + ' < 0')} END"
     down = f"CASE WHEN {over('tm')} >= 0 AND {over('t1')} <= 0 THEN {_bisected('tm', 't1', over('$m') + ' > 0')} END"
     rows = rows.withColumn("t", F.explode_outer(F.expr(f"array_distinct(filter(array({up}, {down}), t -> t IS NOT NULL))"))).filter("t IS NOT NULL")
