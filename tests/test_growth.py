@@ -30,6 +30,22 @@ def most_rows(frame):
     return walk(frame._jdf.queryExecution().executedPlan()), found
 
 
+def shuffled_rows(frame):
+    """Rows that a frame's plan sent through shuffles, and the collected rows."""
+    found = frame.collect()
+
+    def walk(p):
+        kind = p.getClass().getSimpleName()
+        under = [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+        return sum(map(walk, under)) + (p.metrics().get("shuffleRecordsWritten").get().value() if kind == "ShuffleExchangeExec" else 0)
+
+    return walk(frame._jdf.queryExecution().executedPlan()), found
+
+
+def events_of(spark, rows, folder):
+    spark.createDataFrame(rows, SCANS).selectExpr("site AS event_type", "timestamp_micros(ts_us) AS ts", "event_id", "cast(size AS double) / 100 AS value").write.parquet(f"{folder}/events.parquet")
+
+
 def crowd(n, span_s, seed=3):
     rng = random.Random(seed)
     return [(rng.choice("ABCD"), rng.randrange(span_s) * 1_000_000, i, rng.choice((100, 2500))) for i in range(n)]
@@ -58,6 +74,34 @@ def test_skew_summary_grows_with_the_scans(spark, tmp_path):
     assert len(found) == 3000 and most <= 4 * 3000 and all(r["text"].count(", ") == 2 for r in found)
 
 
+@pytest.mark.parametrize("name", ["mosaic_partners", "skew_summary"])
+def test_partners_shuffle_scans_only(spark, tmp_path, name):
+    """Not the rows that a scan has for every other site; with some more, of the ends of buckets."""
+    events_of(spark, crowd(3000, 1800), tmp_path)
+    sent, found = shuffled_rows(catalogue.QUERIES[name](spark, str(tmp_path)))
+    assert len(found) in (3000, 9000) and sent < 1.1 * 3000
+
+
+@pytest.mark.parametrize("shared", [1, 7])
+def test_partners_of_ids_that_repeat(spark, tmp_path, shared):
+    """Scans that share an id have one row for each other site; sites are many, some rows lack a site or a time."""
+    rng = random.Random(5)
+    rows = [(rng.choice(["A", "B", "C", *(f"S{k}" for k in range(20))]), 1_000_000 * rng.randrange(9000) - 4_000_000_000, i // shared, 1) for i in range(600)]
+    rows += [(None, 0, 900, 1), ("A", None, 901, 1), ("A", 10**12, 902, 1), ("B", 10**12 + 600_000_000, 903, 1), ("C", 10**12 - 600_000_001, 904, 1)]
+    events_of(spark, rows, tmp_path)
+    want = {}
+    for s, at, i, _ in rows:
+        for o, u, k, _ in rows:
+            if None not in (s, o, at, u) and s != o and abs(u - at) <= 600_000_000:
+                want[i, o] = min(want.get((i, o), (10**18,)), (abs(u - at), u, k, u - at))
+    got = catalogue.QUERIES["mosaic_partners"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["event_id"], r["other_site"]): (r["other_id"], r["offset_us"]) for r in got} == {key: (w[2], w[3]) for key, w in want.items()}
+    said, texts = {}, catalogue.QUERIES["skew_summary"](spark, str(tmp_path)).collect()
+    for (i, o), w in sorted(want.items()):
+        said.setdefault(i, []).append(f"{o} {'-' if w[3] < 0 else '+'}{abs(w[3]) // 60_000_000}:{abs(w[3]) // 1_000_000 % 60:02d}")
+    assert len(texts) == len(said) and {r["event_id"]: r["text"] for r in texts} == {i: ", ".join(t) for i, t in said.items()}
+
+
 def test_no_window_is_worked_out_anew_for_each_row(spark):
     """A frame that ends with its partition is."""
     rows = spark.createDataFrame(crowd(20, 600), SCANS)
